@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_extendible_shards": sharding.op2_extendible_shards,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_extendible_shards": sharding.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
