@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup, token_files, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, sentence_pieces, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_extendible_shards": sharding.op2_extendible_shards,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_sentence_pieces": sentence_pieces.op6_sentence_pieces,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_extendible_shards": sharding.OP2_SQL,
