@@ -44,6 +44,7 @@ class WordIds(dict):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tails: dict[bytes, bytes] = {}
         self.shown = lambda s: "".join(x for x, _ in level.pre_tokenize_str(s))
 
     def __missing__(self, word: bytes) -> bytes:
@@ -53,7 +54,7 @@ class WordIds(dict):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             out = np.asarray(ids, dtype="<u4").tobytes()
         elif plain[2]:
-            out = self[plain[1]] + self._whole(plain[2])
+            out = self[plain[1]] + self._tail(plain[2])
         else:
             text = word.decode("ascii") if word.isascii() else self.shown(word.decode().lower())
             out = np.asarray([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
@@ -61,9 +62,14 @@ class WordIds(dict):
             self[word] = out
         return out
 
-    def _whole(self, tail: bytes) -> bytes:
-        ids = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def _tail(self, tail: bytes) -> bytes:
+        if tail not in self.tails:
+            ids = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+            found = np.asarray(ids, dtype="<u4").tobytes()
+            if len(tail) > 8:
+                return found
+            self.tails[tail] = found
+        return self.tails[tail]
 
     def text(self, raw: bytes) -> bytes:
         words = raw.lower().split()
