@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, table
 
@@ -121,8 +122,8 @@ def pieces_of(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_pieces, ids_crc32 (of the ids as little-endian int32), round_trip, pieces array<int>.
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per row of docs: id (or the columns named in keep), n_pieces, ids_crc32 (of the ids as little-endian int32), round_trip, pieces array<int>.
 
     A space is put in front of a text, spaces become the mark, and nothing else is
     normalised. Null and empty text have no pieces. round_trip says that decoding gives
@@ -131,24 +132,27 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     ids are kept; other columns are ignored. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
+    kept = docs.select(*(keep or [id_col]))
 
     def encode(batches):
         model = pieces_of(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = [model.encode(t or "") for t in texts]
             same = [model.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
             counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(at, flat)],
-                names=[id_col, "n_pieces", "ids_crc32", "round_trip", "pieces"],
+                [*batch.columns[:-1], pa.array(counts), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(at, flat)],
+                names=[*batch.schema.names[:-1], "n_pieces", "ids_crc32", "round_trip", "pieces"],
             )
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, f"`{id_col}` {kind}, n_pieces long, ids_crc32 long, round_trip boolean, pieces array<int>")
+    rows = docs.select(*kept.columns, F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType(kept.schema.fields)
+    for name, made in (("n_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType()), ("pieces", T.ArrayType(T.IntegerType()))):
+        schema = schema.add(name, made)
+    return rows.mapInArrow(encode, schema)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, pieces_col: str = "pieces", text_col: str = "text") -> DataFrame:
