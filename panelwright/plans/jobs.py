@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelwright.config import PanelConfig
 from panelwright.operators import clean, frames, graph, metrics, selection, training
 from panelwright.sources import io
+from panelwright.sources.scratch import written
 
 RESULT = "method string, transition_weight double, sid string, horizon_min int, f1 double, transition_f1 double, trsp double, precision double, recall double, threshold double, n_features int, n_boost_rounds int"
 GAIN = "transition_weight double, sid string, horizon_min int, column_name string, seq int, gain double"
@@ -33,9 +34,10 @@ def naive(panel: DataFrame, targets: DataFrame, config: PanelConfig) -> DataFram
 
 
 def _prepared(frame: DataFrame, names: list[str]) -> tuple[DataFrame, training.Assembler]:
-    """A sensor's frame with its feature vector, fitted on its training rows."""
+    """A sensor's frame with its feature vector, fitted on its training rows; a table that its many fits read."""
     assembler = training.Assembler.fit(frame.where("split = 'train'"), names)
-    return assembler.transform(frame), assembler
+    keep = [c for c in ("sid", "pos", "label", "y", "split", "horizon_min", "weight") if c in frame.columns]
+    return written(assembler.transform(frame).select(*keep, "features"), "fit-rows").persist(), assembler
 
 
 def _judge(model, rows: DataFrame, config: PanelConfig, weight: float, method: str) -> tuple[DataFrame, float]:
@@ -69,10 +71,9 @@ def local(panel: DataFrame, targets: DataFrame, config: PanelConfig, holidays: D
     for horizon in config.horizons:
         frame = frames.local_frame(own, horizon, config, holidays)
         names = frames.feature_names(frame)
-        frame = clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon)).persist()
+        frame = written(clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon)), "local-frame")
         for sid in sids:
             rows, assembler = _prepared(frame.where(F.col("sid") == sid), names)
-            rows = rows.persist()
             for weight in config.weights:
                 model, _, rounds = _fit_weighted(rows, weight, config)
                 found, limit = _judge(model, rows, config, weight, "local")
@@ -80,7 +81,6 @@ def local(panel: DataFrame, targets: DataFrame, config: PanelConfig, holidays: D
                 used = training.gain_table(model, assembler, spark)
                 gains += [(float(weight), sid, horizon, r["column_name"], r["seq"], r["gain"]) for r in used.collect()]
             rows.unpersist()
-        frame.unpersist()
     return spark.createDataFrame(results, RESULT), spark.createDataFrame(gains, GAIN)
 
 
@@ -89,7 +89,8 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
     spark = panel.sparkSession
     graph.check_alignment(panel, sensors)
     upstream = graph.hop_sets(edges, config.hops, upstream=True)
-    cut = clean.head(panel, config).persist()
+    upstream = written(upstream, "hops")
+    cut = written(clean.head(panel, config), "panel")
     n = cut.agg(F.max("n")).first()[0]
     n_train = int(n * config.train_share)
     own = clean.only_targets(cut, targets)
@@ -97,16 +98,18 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
     results, gains, params_, sweeps, probs = [], [], [], [], None
     for horizon in config.horizons:
         k = config.steps(horizon)
-        features = frames.wide_frame(cut, horizon, config, upstream, targets, holidays).persist()
+        features = frames.wide_frame(cut, horizon, config, upstream, targets, holidays)
+        features = written(features, "wide-features")
         named = sorted(r[0] for r in features.select("column_name").distinct().collect())
         columns = spark.createDataFrame(list(zip(named, range(len(named)), strict=True)), "column_name string, col_idx int")
         ys = own.select("sid", "pos", clean.future_target(k).alias("y"))
-        kept = selection.prefilter(selection.correlations(features, ys, n_train), columns, config.prefilter_top).persist()
-        base = clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon))
+        kept = selection.prefilter(selection.correlations(features, ys, n_train), columns, config.prefilter_top)
+        kept = written(kept, "prefiltered")
+        base = written(clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon)), "targets")
         for sid in sids:
             chosen = [r[0] for r in kept.where(F.col("sid") == sid).join(F.broadcast(columns), "column_name").orderBy("col_idx").select("column_name").collect()]
             side = frames.gather(features, kept.where(F.col("sid") == sid), chosen)
-            frame = base.where(F.col("sid") == sid).join(side, "pos").persist()
+            frame = written(base.where(F.col("sid") == sid).join(side, "pos"), "wide-frame")
             rows, assembler = _prepared(frame, chosen)
             inner, val = training.split_train(rows, config)
             ranker, _ = training.fit_with_validation(inner, val, config.fixed_params, config)
@@ -127,7 +130,6 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
             sweeps += [o[:4] for o in options]
             names = next(o[4] for o in options if o[2] == budget)
             rows, assembler = _prepared(frame, names)
-            rows = rows.persist()
             for weight in config.weights:
                 model, params, rounds = _fit_weighted(rows, weight, config)
                 found, limit = _judge(model, rows, config, weight, "global")
@@ -170,20 +172,20 @@ def transfer(panel: DataFrame, targets: DataFrame, config: PanelConfig, artifact
         for horizon in config.horizons:
             frame = frames.local_frame(own, horizon, config, holidays)
             names = frames.feature_names(frame)
-            frame = clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon)).persist()
+            frame = written(clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon)), "local-frame")
             columns = spark.createDataFrame([(s, c, i) for s in sids for i, c in enumerate(names)], "sid string, column_name string, col_idx int")
             gain = to_local_names(known["gain"].where(F.col("horizon_min") == horizon)).select("sid", "column_name", "seq", "gain")
-            top = selection.select_top(columns, selection.known_gain(gain, columns), config.transfer_features).persist()
+            top = selection.select_top(columns, selection.known_gain(gain, columns), config.transfer_features)
+            top = written(top, "transfer-columns")
             probs = known["train_probs"].where(F.col("horizon_min") == horizon)
             for sid in sids:
                 chosen = [r["column_name"] for r in top.where(F.col("sid") == sid).orderBy("rank").collect()]
                 rows, _ = _prepared(frame.where(F.col("sid") == sid), chosen)
-                rows = training.soft_labels(rows, probs.where(F.col("sid") == sid), config.soft_share).persist()
+                rows = written(training.soft_labels(rows, probs.where(F.col("sid") == sid), config.soft_share), "soft-rows").persist()
                 model, _, rounds = _fit_weighted(rows, weight, config, soft=True, all_stages=True)
                 found, limit = _judge(model, rows, config, weight, "transfer")
                 results.append(_result(found, "transfer", weight, sid, horizon, limit, len(chosen), rounds))
                 rows.unpersist()
-            frame.unpersist()
     return spark.createDataFrame(results, RESULT)
 
 

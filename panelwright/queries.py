@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from panelwright.functions import timefeat
 from panelwright.operators import clean, frames, graph, metrics, profiles, report, selection, training, windows
 from panelwright.plans import jobs
 from panelwright.sources import io
+from panelwright.sources.scratch import new_folder, written
 
 C: PanelConfig = HOURLY
 #: The horizon of queries on a single one: 2 rows ahead.
@@ -65,12 +63,6 @@ def tidy(rows: DataFrame) -> DataFrame:
     return rows.select(*[one(n, k) for n, k in rows.dtypes])
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 QUERIES: dict = {}
 
 
@@ -86,7 +78,7 @@ def query(f):
 def wide_csv_round_trip(spark, sf_dir):
     p = Hourly(spark, sf_dir)
     sids = [r[0] for r in p.sensors.orderBy("idx").select("sid").collect()]
-    path = folder(spark, "wide")
+    path = new_folder(spark, "wide")
     io.write_wide(p.readings, sids, path)
     return io.to_long(io.read_wide(spark, path)).where("speed IS NOT NULL")
 
@@ -95,7 +87,7 @@ def wide_csv_round_trip(spark, sf_dir):
 def wide_csv_sensors(spark, sf_dir):
     p = Hourly(spark, sf_dir)
     sids = [r[0] for r in p.sensors.orderBy("idx").select("sid").collect()]
-    path = folder(spark, "wide")
+    path = new_folder(spark, "wide")
     io.write_wide(p.readings, sids, path)
     wide = io.read_wide(spark, path)
     return io.to_long(wide).groupBy("sid").agg(F.count("speed").alias("n_readings"), F.count("*").alias("n_cells"))
@@ -106,7 +98,7 @@ def graph_from_matrix(spark, sf_dir):
     p = Hourly(spark, sf_dir)
     sids = [r[0] for r in p.sensors.orderBy("idx").select("sid").collect()]
     matrix = p.edges.groupBy("src").pivot("dst", sids).agg(F.first("weight")).na.fill(0.0)
-    path = folder(spark, "graph")
+    path = new_folder(spark, "graph")
     matrix.write.option("header", True).csv(f"{path}/matrix")
     p.sensors.write.option("header", True).csv(f"{path}/sensors")
     edges, _ = io.read_graph(spark, f"{path}/matrix", f"{path}/sensors", "csv")
@@ -117,7 +109,7 @@ def graph_from_matrix(spark, sf_dir):
 @query
 def result_append(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    path = io.stamped(folder(spark, "results"), "naive")
+    path = io.stamped(new_folder(spark, "results"), "naive")
     report_ = clean.zero_report(p.readings, p.sensors)
     io.append_results(report_, path)
     io.append_results(report_, path)
@@ -129,7 +121,7 @@ def choices_json_lines(spark, sf_dir):
     p = Hourly(spark, sf_dir)
     limits = clean.thresholds(clean.dense_panel(p.readings, p.sensors, C), C)
     rows = limits.select("sid", F.struct(F.col("thr").alias("threshold")).alias("params"), F.array(*map(F.lit, C.horizons)).alias("horizons"), F.lit("hourly").alias("dataset"))
-    path = folder(spark, "choices")
+    path = new_folder(spark, "choices")
     io.write_choices(rows, path)
     back = spark.read.schema("dataset string, horizons array<int>, params struct<threshold: double>, sid string").json(path)
     return back.select("dataset", F.array_join(F.transform("horizons", lambda h: h.cast("string")), " ").alias("horizons"), F.col("params.threshold").alias("threshold"), "sid")
@@ -137,7 +129,7 @@ def choices_json_lines(spark, sf_dir):
 
 @query
 def importance_csv(spark, sf_dir):
-    path = folder(spark, "importance")
+    path = new_folder(spark, "importance")
     io.write_importance(_importance(spark, sf_dir), spark, path)
     return spark.read.option("header", True).schema(io.IMPORTANCE).csv(path)
 
@@ -571,8 +563,8 @@ def local_model(spark, sf_dir):
 @query
 def global_then_transfer_model(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    path, config, targets = folder(spark, "artifacts"), jobs.quick(C, H), p.targets.where(F.col("sid").endswith("3"))
-    out = jobs.global_model(p.panel.persist(), p.sensors, p.edges, targets, config, p.holidays, path)
+    path, config, targets = new_folder(spark, "artifacts"), jobs.quick(C, H), p.targets.where(F.col("sid").endswith("3"))
+    out = jobs.global_model(written(p.panel, "panel"), p.sensors, p.edges, targets, config, p.holidays, path)
     return out["results"].unionByName(jobs.transfer(p.panel, targets, config, path, p.holidays))
 
 
