@@ -25,6 +25,8 @@ MARK = "▁"
 #: Chunks a worker remembers, and the longest (characters).
 MEMO_CHUNKS = 400_000
 MEMO_CHARS = 32
+#: Columns that encoding makes.
+MADE = {"n_pieces": T.LongType(), "ids_crc32": T.LongType(), "round_trip": T.BooleanType(), "pieces": T.ArrayType(T.IntegerType())}
 
 
 class Pieces(dict):
@@ -129,10 +131,11 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     normalised. Null and empty text have no pieces. round_trip says that decoding gives
     the text again; it fails only for texts that hold the mark itself, or, with a model
     without byte pieces, unknown characters. Texts are read whole; repeated rows and null
-    ids are kept; other columns are ignored. An empty table gives no rows.
+    ids are kept; other columns are ignored, and of those in keep, columns with the names
+    of these results give way to them. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    kept = docs.select(*(keep or [id_col]))
+    kept = docs.select(*[c for c in keep or [id_col] if c not in MADE])
 
     def encode(batches):
         model = pieces_of(model_path)
@@ -145,12 +148,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(counts), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(at, flat)],
-                names=[*batch.schema.names[:-1], "n_pieces", "ids_crc32", "round_trip", "pieces"],
+                names=[*batch.schema.names[:-1], *MADE],
             )
 
     rows = docs.select(*kept.columns, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType(kept.schema.fields)
-    for name, made in (("n_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType()), ("pieces", T.ArrayType(T.IntegerType()))):
+    for name, made in MADE.items():
         schema = schema.add(name, made)
     return rows.mapInArrow(encode, schema)
 

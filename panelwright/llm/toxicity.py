@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_
     total = picked.count()
     if total > MAX_TRAIN:  # a share by hash first, so that the sort that follows is small
         picked = picked.where(F.pmod("k", F.lit(1 << 20)) < int((1 << 20) * 1.2 * MAX_TRAIN / total)).orderBy("k").limit(MAX_TRAIN)
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked["__id"]).select("k", *[f"y{i}" for i in range(len(categories))], F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("text"))
+    rows = own.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("k", *[f"y{i}" for i in range(len(categories))], "text")
 
     def count(batches):
         for batch in batches:
