@@ -9,6 +9,9 @@ from panelwright.config import PanelConfig
 
 from .clean import by_sid
 
+#: Hops that neighbour features tell apart.
+MOST_HOPS = 3
+
 
 def hop_sets(edges: DataFrame, hops: int, upstream: bool = False) -> DataFrame:
     """hops(sid, nb_sid, hop): neighbours by their least number of steps, 1 to hops.
@@ -29,28 +32,30 @@ def hop_sets(edges: DataFrame, hops: int, upstream: bool = False) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def neighbour_means(panel: DataFrame, hops: DataFrame, measures: dict[str, str], wave_rows: int = 0) -> DataFrame:
-    """Per (sid, pos): <prefix>_h<hop> for each measure (prefix -> column of panel): the neighbours' mean by hop.
+def neighbour_means(panel: DataFrame, hops: DataFrame, measures: dict[str, str], waves: dict[str, str] | None = None, wave_rows: int = 1) -> DataFrame:
+    """Per (sid, pos): <prefix>_h<hop>, the neighbours' mean by hop, for each measure (prefix -> column of panel).
 
-    Null where any neighbour of that hop has null. With wave_rows, a hop's neighbours are
-    taken that many rows earlier for each step. Hops are broadcast; the key has the
-    position in it, so a sensor with many neighbours is no hot key.
+    Null where any neighbour of that hop has null. waves are measures whose neighbours are
+    taken wave_rows rows earlier for each step. All measures share one join with the
+    broadcast hops and one aggregation, combined on the map side; its key has the position
+    in it, so a sensor with many neighbours is no hot key.
     """
-    most = 3
-    rows = panel.select("sid", "pos", *dict.fromkeys(measures.values()))
-    if wave_rows:
-        early = {f"{c}__{h}": F.lag(c, h * wave_rows).over(by_sid()) for c in dict.fromkeys(measures.values()) for h in range(1, most + 1)}
-        rows = rows.withColumns(early)
+    waves, steps = waves or {}, range(1, MOST_HOPS + 1)
+    late = dict.fromkeys(waves.values())
+    rows = panel.withColumns({f"{c}__{h}": F.lag(c, h * wave_rows).over(by_sid()) for c in late for h in steps}) if late else panel
+    rows = rows.select("sid", "pos", *dict.fromkeys([*measures.values(), *(f"{c}__{h}" for c in late for h in steps)]))
     near = F.broadcast(hops.select(F.col("sid").alias("target"), F.col("nb_sid").alias("sid"), "hop"))
-    met = rows.join(near, "sid")
-    pick = lambda c: F.coalesce(*[F.when(F.col("hop") == h, F.col(f"{c}__{h}")) for h in range(1, most + 1)]) if wave_rows else F.col(c)
-    met = met.select("target", "pos", "hop", *[pick(c).cast("double").alias(p) for p, c in measures.items()])
-    # within a hop all weights are 1 / hop
-    weighted = lambda p: F.sum(F.col(p) / F.col("hop")) / F.sum(1 / F.col("hop"))
-    whole = [F.when(F.count(p) == F.count("*"), weighted(p)).alias(p) for p in measures]
-    by_hop = met.groupBy("target", "pos", "hop").agg(*whole)
-    named = {f"{p}_h{h}": F.max(F.when(F.col("hop") == h, F.col(p))) for p in measures for h in range(1, most + 1)}
-    return by_hop.groupBy(F.col("target").alias("sid"), "pos").agg(*[c.alias(n) for n, c in named.items()])
+    values = {p: F.col(c) for p, c in measures.items()}
+    values |= {p: F.coalesce(*[F.when(F.col("hop") == h, F.col(f"{c}__{h}")) for h in steps]) for p, c in waves.items()}
+    met = rows.join(near, "sid").select("target", "pos", "hop", *[v.cast("double").alias(p) for p, v in values.items()])
+
+    def mean(p: str, h: int):
+        here = F.col("hop") == h
+        # within a hop all weights are 1 / hop
+        weighted = F.sum(F.when(here, F.col(p) / F.col("hop"))) / F.sum(F.when(here, 1 / F.col("hop")))
+        return F.when(F.count(F.when(here, F.col(p))) == F.count_if(here), weighted).alias(f"{p}_h{h}")
+
+    return met.groupBy(F.col("target").alias("sid"), "pos").agg(*[mean(p, h) for p in values for h in steps])
 
 
 def onsets(panel: DataFrame, steps: int) -> DataFrame:
@@ -62,10 +67,8 @@ def onsets(panel: DataFrame, steps: int) -> DataFrame:
 def all_neighbour_features(panel: DataFrame, upstream: DataFrame, horizon: int, config: PanelConfig) -> DataFrame:
     """Speed, congestion and transitions of upstream neighbours, and speed and congestion as a wave reaches them."""
     rows = onsets(panel, config.steps(horizon))
-    out = neighbour_means(rows, upstream, {"spd": "speed", "cong": "label", "trans_on": "__on", "trans_off": "__off"})
-    if "wave" in config.families:
-        out = out.join(neighbour_means(panel, upstream, {"wspd": "speed", "wcong": "label"}, config.wave_rows), ["sid", "pos"])
-    return out
+    waves = {"wspd": "speed", "wcong": "label"} if "wave" in config.families else None
+    return neighbour_means(rows, upstream, {"spd": "speed", "cong": "label", "trans_on": "__on", "trans_off": "__off"}, waves, config.wave_rows)
 
 
 def origin_scores(panel: DataFrame, edges: DataFrame) -> DataFrame:

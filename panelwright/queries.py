@@ -300,7 +300,7 @@ def neighbour_means(spark, sf_dir):
 @query
 def neighbour_waves(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    return graph.neighbour_means(p.panel, p.upstream, {"wspd": "speed", "wcong": "label"}, C.wave_rows)
+    return graph.neighbour_means(p.panel, p.upstream, {}, {"wspd": "speed", "wcong": "label"}, C.wave_rows)
 
 
 @query
