@@ -45,11 +45,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that stage wrote; nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its row count is within the bound, else unchanged."""
+    """df, of a few fixed-width columns, with a broadcast hint if its row count is within the bound, else unchanged."""
     if rows is None:
         rows = df.count()
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def join_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """texts(id, h, ...) with the columns of lists(id, h, ...), which has a row for each (id, h) and may be wide.
+
+    Lists are never broadcast, only their keys are, if they are few; so the shuffle gets
+    the texts that have a list and no others.
+    """
+    lists = lists.withColumnsRenamed({"id": "__id", "h": "__h"})
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    if lists.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(lists.select("__id", "__h"))
+        texts = texts.join(keys, same, "left_semi")
+    return texts.join(lists, same).drop("__id", "__h")

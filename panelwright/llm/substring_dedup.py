@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, small, stage, table
+from .common import join_lists, prepare, small, stage, table
 from .jaccard_join import run_hashes
 
 WINDOW = 35
@@ -61,7 +61,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     kind = dict(docs.dtypes)[id_col]
     lengths = levels(window)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).select("id", "h", "text")
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
 
     def first(batches):
         for batch in batches:
@@ -103,8 +102,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                     places.append(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(hashes, np.int64), _lists(places, np.int32)], names=["id", "h", "anchors", "spots"])
 
-        some = small(alive)
-        texts = own.join(some, same(own, some)).select(own["id"], own["h"], "text", "spots")
+        texts = join_lists(own, alive)
         alive = _repeated(stage(texts.mapInArrow(longer, f"id {kind}, h long, anchors array<long>, spots array<int>"), "repeat-longer"))
 
     before, level = (lengths[-3], lengths[-2]) if len(lengths) > 2 else (lengths[0], lengths[0])
@@ -132,8 +130,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                 names=["id", "h", "anchor", "start", "windows"],
             )
 
-    some = small(alive)
-    texts = own.join(some, same(own, some)).select(own["id"], own["h"], "text", "spots")
+    texts = join_lists(own, alive)
     rows = stage(texts.mapInArrow(last, f"id {kind}, h long, anchor long, start int, windows binary"), "repeat-last")
 
     hot = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
@@ -196,7 +193,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     seen = stage(dealt.mapInArrow(judged, f"id {kind}, h long, starts array<int>, anchor long, window long"), "repeat-judged")
     spread = seen.where("window IS NOT NULL")
-    twice = spread.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    twice = stage(spread.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "repeat-spread")
     late = spread.where("size(starts) > 0").join(twice, ["anchor", "window"]).select("id", "h", "starts")
     found = seen.where("window IS NULL").select("id", "h", "starts").unionAll(late)
     found = found.groupBy("id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -206,7 +203,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 def _repeated(rows: DataFrame) -> DataFrame:
     """id, h and the spots of rows' anchors that occur twice or more."""
     each = rows.select("id", "h", "spots", F.posexplode("anchors").alias("k", "anchor")).select("id", "h", "anchor", F.expr("get(spots, k)").alias("spot"))
-    twice = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: Spark splits a hot anchor's rows over tasks only in a join of two plain exchanges
+    twice = stage(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-twice")
     return stage(each.join(twice, "anchor").groupBy("id", "h").agg(F.collect_set("spot").alias("spots")), "repeat-alive")
 
 
@@ -243,14 +241,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = own.withColumn("h", F.xxhash64("text"))
-    found = small(repeats)
-    same = own["id"].eqNullSafe(found["id"]) & (own["h"] == found["h"])
+    own = own.withColumn("h", F.xxhash64("text")).select("id", "h", "text")
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string"
     if with_text:
-        texts = own.join(found, same, "left").select(own["id"], "text", "starts")
+        same = own["id"].eqNullSafe(repeats["id"]) & (own["h"] == repeats["h"])
+        texts = own.join(repeats, same, "left").select(own["id"], "text", "starts")
         return texts.mapInArrow(keep, schema + ", kept_text string").withColumnRenamed("id", id_col)
-    cut = own.join(found, same).select(own["id"], "text", "starts").mapInArrow(keep, schema)
+    cut = join_lists(own, repeats).select("id", "text", "starts").mapInArrow(keep, schema)
     found = small(repeats.select(F.col("id").alias("i"), F.col("h").alias("g")))
     rest = whole.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_anti")
     rest = rest.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
