@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stage, table
+from .common import join_lists, small, stage, table
 from .url_filter import LOWER, UPPER
 
 WINDOW = 13
@@ -60,8 +60,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # position -1 stands for the document itself
     spots = own.select("id", "h", "words", F.size("words").alias("n_words"), F.explode(F.expr("sequence(-1, size(words) - 1)")).alias("pos"))
     token = [_shingle("pos", k) for k in sizes]
-    if len(token) > 1:
-        spots = spots.withColumn("token", F.explode(F.array(*token)))
+    if len(token) > 1:  # with short items, a spot has tokens of several sizes; the document itself keeps one row
+        spots = spots.select("*", F.posexplode(F.array(*token)).alias("which", "token")).where("pos >= 0 OR which = 0")
     else:
         spots = spots.withColumn("token", token[0] if token else F.lit(None).cast("long"))
     known = small(known).withColumn("known", F.lit(True))
@@ -78,9 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     starts = starts.select("id", "h", "key", (F.col("pos") - F.col("at")).alias("start"), "len").distinct()
     wanted = starts.groupBy("id", "h").agg(F.collect_list(F.struct("start", "len", "key")).alias("tries"))
     wanted = stage(wanted, "bench-tries")
-    ids = wanted.select(F.col("id").alias("i"), F.col("h").alias("g"), "tries")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    texts = texts.join(small(ids), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+    texts = join_lists(texts.select("id", "h", "text"), wanted)
     texts = texts.select("id", "h", words_of(F.col("text")).alias("words"), "tries").dropDuplicates(["id", "h"])
     hits = texts.select("id", "h", "words", F.explode("tries").alias("x")).where("array_join(slice(words, x.start + 1, x.len), ' ') = x.key").select("id", "h", "x.*")
     hits = stage(hits, "bench-hits")
@@ -92,7 +91,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = covered.alias("c").join(items.alias("t"), F.col("c.id").eqNullSafe(F.col("t.id")) & (F.col("c.h") == F.col("t.h")))
     found = stage(found.select(F.col("c.id").alias("i"), F.col("c.h").alias("g"), "n_hit", "items"), "bench-found")
 
-    each = met.where("pos = -1").join(small(found), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    each = met.where("pos = -1").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listing = F.coalesce("items", F.array().cast("array<string>"))
     return each.select(
