@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from .common import new_path, prepare
 
 #: Words whose ids a worker remembers, and the longest word it remembers (bytes).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 MEMO_BYTES = 48
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
-#: A run of letters whose NFC form is itself, then ASCII punctuation.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
+#: A run of letters whose NFC form is itself, then ASCII punctuation without the apostrophe.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class WordIds(dict):
@@ -52,12 +53,14 @@ class WordIds(dict):
         if plain is None:
             text = word.decode("utf-8", "replace")
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            out = np.asarray(ids, dtype="<u4").tobytes()
+            out = array("I", ids).tobytes()
         elif plain[2]:
+            if plain[1] not in self:  # the word before the punctuation is new, so the two together may well not come again
+                return self[plain[1]] + self._tail(plain[2])
             out = self[plain[1]] + self._tail(plain[2])
         else:
             text = word.decode("ascii") if word.isascii() else self.shown(word.decode().lower())
-            out = np.asarray([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+            out = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         if len(self) < MEMO_WORDS and len(word) <= MEMO_BYTES:
             self[word] = out
         return out
