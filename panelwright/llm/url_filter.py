@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, stage, table
+from .common import small, stage, table
 
 #: The rules of the registered query: verdict, host and path prefix.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -67,8 +67,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     tried = keys.select("host", "path", "key", block.alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
     filter_rows = bloom_blocks(rules, blocks)
     passed = tried.join(small(filter_rows, blocks), "block").where(" AND ".join(f"(w{i} & b{i}) <> 0" for i in range(4)))
-    listed = small(rules, n) if n <= BROADCAST_ROWS else rules
-    hits = passed.select("host", "path", "key").join(listed, F.col("key") == F.col("rule"))
+    hits = passed.select("host", "path", "key").join(small(rules, n), F.col("key") == F.col("rule"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("k"), "rule", "verdict")).alias("best"))
     best = stage(best.select("host", "path", "best.rule", "best.verdict"), "url-hits")
     return parsed.join(best, ["host", "path"], "left").select(F.col(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
