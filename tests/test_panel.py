@@ -154,21 +154,15 @@ def test_threshold_search_against_plain_loops(spark):
     prob = np.round(np.clip(y * 0.3 + rng.random(60) * 0.7, 0, 1), 2)
     rows = [("m", "s", 10, i, int(y[i]), float(prob[i]), int(rng.random() < 0.5)) for i in range(60)]
     scores = metrics.mark_changes(spark.createDataFrame(rows, "method string, sid string, horizon_min int, pos long, y_true int, prob double, current_label int"), 1)
+    curve = {r.k: r for r in metrics.threshold_curve(scores, C).collect()}
+    for k in range(1, metrics.THRESHOLDS + 1, 9):
+        found = metrics.evaluate(scores.withColumn("y_pred", (F.col("prob") >= 0.02 + 0.02 * (k - 1)).cast("int")), C).first()
+        for name in ("f1", "transition_f1", "trsp", "precision", "recall"):
+            assert curve[k][name] == pytest.approx(found[name])
     for metric in ("f1", "transition_f1", "trsp"):
-        tried = []
-        for k in range(metrics.THRESHOLDS):
-            t = 0.02 + 0.02 * k
-            found = metrics.evaluate(scores.withColumn("y_pred", (F.col("prob") >= t).cast("int")), C).first() if k % 6 == 0 else None
-            tried.append((t, found))
-        curve = {r.k: r for r in metrics.threshold_curve(scores, C).collect()}
-        for k, (_, found) in enumerate(tried, 1):
-            if found is not None:
-                assert curve[k].f1 == pytest.approx(found.f1) and curve[k].trsp == pytest.approx(found.trsp)
         best = metrics.best_threshold(scores, C, metric).first()
-        values = [curve[k][metric] for k in range(1, 49)]
+        values = [curve[k][metric] for k in range(1, metrics.THRESHOLDS + 1)]
         assert best.score == max(values) and best.threshold == pytest.approx(0.02 * (values.index(max(values)) + 1))
-        if metric == "f1":
-            break
 
 
 def test_no_changed_rows_fall_back(spark):
