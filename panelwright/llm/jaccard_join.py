@@ -1,12 +1,15 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-Which rows meet at all comes from set partitioning. In a band of set sizes, a linked pair
-differs in at most k shingles; cut the shingles' hash range into k + 1 parts, and one part
-must be the same in both. Rows that share a part (directly or through others) are brought
-together in tiles, banded by set size. In a tile a pair must pass the size bound and a
-bound from its bitmaps (differing bits count differing shingles from below); then the
-sorted shingle arrays are intersected exactly. Pairs already connected are passed over, so
-a tile gives at most one link a row. Links are joined to components afterwards.
+Which rows meet at all comes from prefixes: with every set in one order, rarest shingle
+first, linked sets share a shingle among their first n - ceil(share * n) + 1. How rare a
+shingle is comes from a table of hashed counts over all documents, of fixed size; it only
+makes the order, so its collisions cost no link. Rows that share a prefix shingle and are
+in one band of sizes or in neighbouring ones (directly or through others) are brought together in tiles, banded by set size. First the
+tiles hold bitmaps alone: a pair must pass the size bound and a bound from its bitmaps
+(differing bits count differing shingles from below). Rows that this connects meet again
+in tiles with their sorted shingle arrays, which are intersected exactly. Pairs already
+connected are passed over, so a tile gives at most one link a row. Links are joined to
+components afterwards.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, small, stage, table
+from .common import discard, prepare, small, stage, table
 from .components import components
 
-#: Ratio of a band's sizes; parts of a level at most that refine empty parts.
-BAND_RATIO = 1.25
-REFINED_PARTS = 512
-#: Shingles of a tile's block, and bits of a bitmap.
+#: Counts of the table that orders shingles.
+COUNTS = 1 << 18
+#: Keys that a task combines at once.
+COMBINED_KEYS = 1 << 21
+#: Bitmaps or shingles of a tile's block, and bits of a bitmap.
+BLOCK_MAPS = 1 << 12
 BLOCK_SHINGLES = 1 << 20
 BITMAP_BITS = 1024
 
@@ -81,57 +86,69 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(run_hashes(words, min(size, len(words))))
 
 
-def band_bounds(most: int) -> list[int]:
-    """First sizes of the bands, up to a bound past most."""
+def band_bounds(num: int, den: int, most: int = 1 << 40) -> list[int]:
+    """First sizes of the bands: sets that link are in the same band or the next."""
     out = [1]
     while out[-1] <= most:
-        out.append(max(out[-1] + 1, math.ceil(out[-1] * BAND_RATIO)))
+        out.append(max(out[-1] + 1, -(-out[-1] * den // num)))
     return out
 
 
-_BOUNDS = band_bounds(1 << 40)
+def prefix_keys(own: np.ndarray, counts: np.ndarray, bounds: list[int], num: int, den: int) -> np.ndarray:
+    """A set's first shingles, rarest first, each with the set's band and the next: linked sets share such a key."""
+    n = len(own)
+    if n == 0:
+        return own
+    first = n - -(-n * num // den) + 1
+    order = np.lexsort((own, counts[(own & np.uint64(COUNTS - 1)).astype(np.int64)]))
+    own, band = own[order[:first]], int(np.searchsorted(bounds, n, "right"))
+    return np.concatenate([mix(own ^ mix(np.array([b], dtype=np.uint64))) for b in (band, band + 1)])
+
 
+def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How many documents' shingles fall on each of the COUNTS places. docs(text)."""
 
-def band_of(n: int) -> int:
-    return int(np.searchsorted(_BOUNDS, n, "right")) - 1
+    def count(batches):
+        total = np.zeros(COUNTS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                total[(shingle_set(text, size) & np.uint64(COUNTS - 1)).astype(np.int64)] += 1
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["place", "n"])
+
+    sums = docs.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    out = np.zeros(COUNTS, dtype=np.int64)
+    out[sums["place"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
 
-def part_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of which a linked pair of different sets shares at least one."""
-    n, keys = len(own), []
-    if n == 0:
-        return np.empty(0, dtype=np.uint64)
-    band = band_of(n)
-    mixed = mix(own + np.uint64(0x5851F42D4C957F2D))
-    for level in (band, band + 1):
-        if level > band and n * den // num < _BOUNDS[level]:
-            continue  # no partner can be that large
-        differ = 2 * (_BOUNDS[level + 1] - 1) * (den - num) // (den + num)
-        if differ == 0:
-            continue  # only equal sets link
-        parts = differ + 1
-        salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64(level << 40))
-        sums, counts = _parts(own, mixed, parts)
-        whole = mix(sums + salt)
-        full = counts > 0
-        keys.append(whole[full])
-        if not full.all():
-            if parts <= REFINED_PARTS:  # an empty part says little: ask for a second way of cutting as well
-                order = np.argsort(mixed, kind="stable")
-                again = _parts(mixed[order], own[order], parts)[0]
-                second = mix(again ^ salt)
-                keys += [mix(second + x) for x in whole[~full]]
-            else:
-                keys.append(whole[~full])
-    return np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.uint64)
-
-
-def _parts(order: np.ndarray, values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of values and count of members in each of equal parts of the range of the sorted hashes order."""
-    at = ((order >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    cuts = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values)])
-    return sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts)
+def bitmap(own: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITMAP_BITS, dtype=bool)
+    bits[(own % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def partners(x: int, sizes: np.ndarray, maps: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of rows after x (sizes ascend) those not connected to it that the size and bitmap bounds let through."""
+    near = np.arange(x + 1, int(np.searchsorted(sizes, sizes[x] * den // num, "right")))
+    near = near[label[near] != label[x]]
+    least = np.bitwise_count(maps[near] ^ maps[x]).sum(axis=1, dtype=np.int64)
+    return near[least * (den + num) <= (sizes[near] + sizes[x]) * (den - num)]
+
+
+def map_tile(rows: list[int], sizes: np.ndarray, maps: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect what the bounds alone let through: at most one a row."""
+    order = np.lexsort((rows, sizes))
+    sizes, maps = sizes[order], maps[order]
+    label, pairs = np.arange(len(order)), []
+    for x in range(len(order) - 1):
+        for y in partners(x, sizes, maps, label, num, den):
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                pairs.append((rows[order[x]], rows[order[y]]))
+    return pairs
 
 
 def link_tile(rows: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -141,24 +158,17 @@ def link_tile(rows: list[int], sets: list[np.ndarray], num: int, den: int) -> li
     flat = np.concatenate([sets[k] for k in order])
     at = np.concatenate([[0], np.cumsum(sizes)])
     names, dense = np.unique(flat, return_inverse=True)
-    bits = np.zeros((len(order), BITMAP_BITS), dtype=bool)
-    bits[np.repeat(np.arange(len(order)), sizes), (flat % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
-    maps = np.packbits(bits, axis=1).view(np.uint64)
+    maps = np.stack([bitmap(sets[k]) for k in order]).view(np.uint64)
     label, links, marked = np.arange(len(order)), [], np.zeros(len(names), dtype=bool)
     for x in range(len(order) - 1):
-        upto = int(np.searchsorted(sizes, sizes[x] * den // num, "right"))
-        near = np.arange(x + 1, upto)
-        near = near[label[near] != label[x]]
-        if not len(near):
-            continue
-        least = np.bitwise_count(maps[near] ^ maps[x]).sum(axis=1)
-        near = near[least.astype(np.int64) * (den + num) <= (sizes[near] + sizes[x]) * (den - num)]
+        near = partners(x, sizes, maps, label, num, den)
         if not len(near):
             continue
         mine = dense[at[x] : at[x + 1]]
         marked[mine] = True
-        picks = np.repeat(at[near] - np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), sizes[near]) + np.arange(sizes[near].sum())
-        both = np.add.reduceat(marked[dense[picks]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+        first = np.concatenate([[0], np.cumsum(sizes[near])[:-1]])
+        picks = np.repeat(at[near] - first, sizes[near]) + np.arange(sizes[near].sum())
+        both = np.add.reduceat(marked[dense[picks]].astype(np.int64), first)
         marked[mine] = False
         for y in near[den * both >= num * (sizes[near] + sizes[x] - both)]:
             if label[y] != label[x]:
@@ -180,12 +190,15 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     """
     spark = docs.sparkSession
     prepare(spark)
-    kind = dict(docs.dtypes)[id_col]
+    kind, bounds = dict(docs.dtypes)[id_col], band_bounds(num, den)
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    counts = spark.sparkContext.broadcast(shingle_counts(own.select("text"), size))
 
     def signatures(batches):
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            keys = [part_keys(s, num, den).view(np.int64) for s in sets]
+            keys = [prefix_keys(s, counts.value, bounds, num, den).view(np.int64) for s in sets]
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(
@@ -193,36 +206,37 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                 ],
-                names=["id", "n", "print", "keys"],
+                names=["id", "n", "print", "map", "keys"],
             )
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = own.mapInArrow(signatures, f"id {kind}, n long, print binary, keys array<long>")
+    sets = own.mapInArrow(signatures, f"id {kind}, n long, print binary, map binary, keys array<long>")
     sets = stage(sets.withColumn("row", F.monotonically_increasing_id()), "join-sets")
+    stage_rows = stage(sets.drop("keys"), "join-rows")
 
     # equal sets are one: rows of a repeated set point to its first row
     same = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    same = sets.select("row", "print").join(same.select("print", "rep"), "print").where("row <> rep").select("row", "rep")
+    # aggregates are written before they are joined, so that Spark can split the other side's hot keys
+    same = sets.select("row", "print").join(stage(same.select("print", "rep"), "join-prints"), "print").where("row <> rep").select("row", "rep")
     same = stage(same, "join-same")
     alone = sets.join(small(same.select("row")), "row", "left_anti")
 
-    keyed = alone.select("row", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("last")).where("lead <> last").select("key", "lead")
-    meet = keyed.join(shared, "key").where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()
-    near = components(meet)
-    near = near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
-    near = stage(near, "join-near")
+    near = stage(_near(alone.select("row", "keys")), "join-near")
+    discard(sets)
+    sets = stage_rows
+    near = stage(_closer(near, sets, num, den), "join-closer")
 
     links = stage(_tile_links(docs, sets, near, num, den, size, id_col, text_col), "join-links")
     joined = components(links)
+    discard(near, links)
 
     rep = sets.select("row", "id", "n").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
     joined = small(joined.select(F.col("node").alias("rep"), "root"))
     rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = stage(rooted.select("row", "id", "n", "root"), "join-rooted")
-    groups = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"))).alias("first"))
+    groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"))).alias("first")), "join-firsts")
     out = rooted.join(groups, "root")
     return out.select(
         F.col("id").alias(id_col),
@@ -233,21 +247,81 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     )
 
 
-def _tile_links(docs: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a long, b long) among rows that may be linked: near(node, root)."""
-    spark = docs.sparkSession
-    bounds = F.array(*[F.lit(b) for b in _BOUNDS[:120]])
-    member = near.join(sets.select(F.col("row").alias("node"), "id", "n", "print"), "node")
-    member = member.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
-    member = stage(member, "join-members")
-    # a group's bands are cut into blocks of a set number of shingles; a small group is one block
-    whole = member.groupBy("root").agg(F.sum("n").alias("all"))
-    band = member.groupBy("root", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    large = whole.where(F.col("all") > BLOCK_SHINGLES).select("root")
-    cut = band.join(large, "root", "left_semi")
-    bins = max(1, math.ceil((whole.agg(F.sum("all")).first()[0] or 0) / BLOCK_SHINGLES))
-
-    one = member.join(large, "root", "left_anti").select("node", "print", "root", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("tile"))
+def _near(keyed: DataFrame) -> DataFrame:
+    """near(node, root) of the rows that share keys, directly or through others: keyed(row, keys).
+
+    Each task first chains the rows of a key that it has itself and passes on one of them,
+    so that a key of very many rows is a row a task for the shuffle.
+    """
+
+    def combine(batches):
+        rows, keys, held = [], [], 0
+
+        def flush():
+            row = np.repeat(np.concatenate(rows), np.concatenate([np.diff(a) for a, _ in keys]))
+            key = np.concatenate([k for _, k in keys])
+            order = np.lexsort((row, key))
+            row, key = row[order], key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            pairs = np.unique(np.stack([row[:-1][~new[1:]], row[1:][~new[1:]]], axis=1), axis=0)
+            found = pa.table({"key": pa.array(key[new]), "row": pa.array(row[new]), "other": pa.nulls(int(new.sum()), pa.int64())})
+            chained = pa.table({"key": pa.array(mix(pairs[:, 0].astype(np.uint64)).view(np.int64)), "row": pa.array(pairs[:, 0]), "other": pa.array(pairs[:, 1])})
+            return [*found.to_batches(max_chunksize=1 << 16), *chained.to_batches(max_chunksize=1 << 16)]
+
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy()
+            rows.append(batch.column(0).to_numpy())
+            keys.append((at, lists.values.to_numpy()[at[0] : at[-1]]))
+            held += int(at[-1] - at[0])
+            if held >= COMBINED_KEYS:
+                yield from flush()
+                rows, keys, held = [], [], 0
+        if held:
+            yield from flush()
+
+    def chain(batches):
+        last_key = last_row = None
+        for batch in batches:
+            other = batch.column(2)
+            linked = np.asarray(other.is_valid())
+            row, key = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            a, b = row[linked], other.drop_null().to_numpy()
+            row, key = row[~linked], key[~linked]
+            if len(key):
+                same = np.concatenate([[key[0] == last_key], key[1:] == key[:-1]])
+                before = np.concatenate([[row[0] if last_row is None else last_row], row[:-1]])
+                a, b = np.concatenate([a, before[same]]), np.concatenate([b, row[same]])
+                last_key, last_row = key[-1], row[-1]
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    met = keyed.mapInArrow(combine, "key long, row long, other long").repartition("key").sortWithinPartitions("key", "row")
+    near = components(met.mapInArrow(chain, "a long, b long").distinct())
+    return near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _members(near: DataFrame, sets: DataFrame, columns: list[str], num: int, den: int) -> DataFrame:
+    """near(node, root) with columns of the rows and their size's band."""
+    bounds = F.array(*[F.lit(b) for b in band_bounds(num, den)])
+    rows = near.join(sets.select(F.col("row").alias("node"), *columns), "node")
+    return rows.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
+
+
+def _tiles(member: DataFrame, weight: F.Column, block: int) -> DataFrame:
+    """member(node, root, band, ...) with tile, a row for each tile that it is in.
+
+    A group up to a block's weight is in one tile, with other small groups. A larger one's
+    bands are cut into blocks, and each two blocks of a band, or of neighbouring bands,
+    make a tile.
+    """
+    whole = member.groupBy("root").agg(F.sum(weight).alias("all"))
+    band = member.groupBy("root", "band").agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
+    large = F.broadcast(whole.where(F.col("all") > block).select("root"))  # at most a row for each block's weight
+    cut = F.broadcast(band.join(large, "root", "left_semi"))
+    bins = max(1, math.ceil((whole.agg(F.sum("all")).first()[0] or 0) / block))
+
+    one = member.join(large, "root", "left_anti").withColumn("tile", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
     own = member.join(cut, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     next_up = cut.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     last = cut.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -259,8 +333,42 @@ def _tile_links(docs: DataFrame, sets: DataFrame, near: DataFrame, num: int, den
         f"if(above IS NULL, array(), transform(sequence(0, above - 1), j -> {name('band', 'block', 'band + 1', 'j')})),"
         f"if(below IS NULL, array(), transform(sequence(0, below - 1), j -> {name('band - 1', 'j', 'band', 'block')})))"
     )
-    own = own.select("node", "print", "root", F.explode(tiles).alias("tile"))
-    placed = stage(one.unionAll(own), "join-tiles")
+    return one.unionByName(own.withColumn("tile", F.explode(tiles)).select(*one.columns))
+
+
+def _by_root(group: pa.Table, columns: tuple[str, ...]) -> list[dict]:
+    """A tile's groups of two rows or more: node -> its columns."""
+    roots: dict[int, dict] = {}
+    for node, root, *own in zip(*(group.column(c).to_pylist() for c in ("node", "root", *columns)), strict=True):
+        roots.setdefault(root, {})[node] = own  # equal sets come once
+    return [rows for rows in roots.values() if len(rows) > 1]
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def _closer(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """near(node, root), with only what the bounds of sizes and bitmaps connect."""
+
+    def connect(group: pa.Table) -> pa.Table:
+        pairs = []
+        for rows in _by_root(group, ("n", "map")):
+            maps = np.stack([np.frombuffer(m, dtype=np.uint64) for _, m in rows.values()])
+            pairs += map_tile(list(rows), np.array([n for n, _ in rows.values()]), maps, num, den)
+        return _pairs(pairs)
+
+    member = stage(_members(near, sets, ["n", "map"], num, den), "join-maps")
+    pairs = _tiles(member, F.lit(1), BLOCK_MAPS).select("tile", "node", "root", "n", "map").groupBy("tile").applyInArrow(connect, "a long, b long")
+    out = components(pairs)
+    discard(member)
+    return out.unionAll(out.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _tile_links(docs: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a long, b long) among rows that may be linked: near(node, root)."""
+    member = stage(_members(near, sets, ["id", "n", "print"], num, den), "join-members")
+    placed = stage(_tiles(member, F.col("n"), BLOCK_SHINGLES).select("tile", "node", "root", "print"), "join-tiles")
 
     ids = small(stage(member.select(F.col("id").alias("i")).distinct(), "join-ids"))
     texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("i")), "left_semi").select(F.col(text_col).cast("string").alias("text"))
@@ -272,19 +380,13 @@ def _tile_links(docs: DataFrame, sets: DataFrame, near: DataFrame, num: int, den
             prints = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["print", "shingles"])
 
-    found = texts.mapInArrow(arrays, "print binary, shingles binary")
-    filled = placed.join(found, "print")
-
     def link(group: pa.Table) -> pa.Table:
-        by_root: dict[int, dict[int, bytes]] = {}
-        for node, root, raw in zip(*(group.column(c).to_pylist() for c in ("node", "root", "shingles")), strict=True):
-            by_root.setdefault(root, {})[node] = raw  # equal sets come once
         links = []
-        for rows in by_root.values():
-            if len(rows) > 1:
-                links += link_tile(list(rows), [np.frombuffer(x, dtype=np.uint64) for x in rows.values()], num, den)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        for rows in _by_root(group, ("shingles",)):
+            links += link_tile(list(rows), [np.frombuffer(x, dtype=np.uint64) for (x,) in rows.values()], num, den)
+        return _pairs(links)
 
+    filled = placed.join(texts.mapInArrow(arrays, "print binary, shingles binary"), "print")
     return filled.select("tile", "node", "root", "shingles").groupBy("tile").applyInArrow(link, "a long, b long")
 
 

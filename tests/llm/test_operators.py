@@ -141,6 +141,7 @@ def near_rows():
 @pytest.mark.parametrize("num,size,block", [(90, 3, 1 << 20), (80, 5, 1 << 20), (90, 3, 300)])
 def test_jaccard_groups(spark, monkeypatch, rows, num, size, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)  # a small block cuts groups into tiles
+    monkeypatch.setattr(jaccard_join, "BLOCK_MAPS", 3 if block == 300 else 1 << 12)
     every = near_rows() + [(None if i is None else i + 1000, t) for i, t in rows]
     found = jaccard_join.jaccard_groups(docs_of(spark, every), num, 100, size)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
@@ -154,18 +155,20 @@ def test_near_dedup_keeps_one(spark):
     assert jaccard_join.jaccard_groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_part_keys_miss_no_link():
+def test_prefix_keys_miss_no_link():
     rng = np.random.default_rng(2)
-    for n in [9, 10, 11, 15, 30, 77, 250, 900]:
+    for n in [1, 2, 9, 10, 11, 15, 30, 77, 250, 900]:
         for num in (80, 90):
+            bounds = jaccard_join.band_bounds(num, 100)
             for _ in range(25):
+                counts = rng.integers(0, 50, jaccard_join.COUNTS)
                 a = rng.integers(0, 2**63, n, dtype=np.uint64)
                 change = rng.integers(0, max(2, n // 6))
                 b = np.concatenate([a[change:], rng.integers(0, 2**63, rng.integers(0, change + 1), dtype=np.uint64)])
                 a, b = np.unique(a), np.unique(b)
                 both = len(np.intersect1d(a, b))
-                if len(b) and 100 * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                    assert np.intersect1d(jaccard_join.part_keys(a, num, 100), jaccard_join.part_keys(b, num, 100)).size
+                if len(b) and 100 * both >= num * (len(a) + len(b) - both):
+                    assert np.intersect1d(jaccard_join.prefix_keys(a, counts, bounds, num, 100), jaccard_join.prefix_keys(b, counts, bounds, num, 100)).size
 
 
 def test_components(spark):
