@@ -29,8 +29,9 @@ from .components import components
 COUNTS = 1 << 18
 #: Keys that a task combines at once.
 COMBINED_KEYS = 1 << 21
-#: Bitmaps or shingles of a tile's block, and bits of a bitmap.
+#: Bitmaps, their bytes, or shingles of a tile's block, and the fewest bits of a bitmap.
 BLOCK_MAPS = 1 << 12
+BLOCK_MAP_BYTES = 4 << 20
 BLOCK_SHINGLES = 1 << 20
 BITMAP_BITS = 1024
 
@@ -125,11 +126,19 @@ def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_BITS, dtype=bool)
-    bits[(own % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    """A set's hashed bits, twice as many as it has members at least, so that long texts' maps say something too."""
+    size = max(BITMAP_BITS, 1 << (2 * len(own) - 1).bit_length()) if len(own) else BITMAP_BITS
+    bits = np.zeros(size, dtype=bool)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits)
 
 
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Maps as rows of one matrix: longer ones folded to the shortest one's bits."""
+    least = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in maps]).view(np.uint64)
+
+
 def partners(x: int, sizes: np.ndarray, maps: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
     """Of rows after x (sizes ascend) those not connected to it that the size and bitmap bounds let through."""
     near = np.arange(x + 1, int(np.searchsorted(sizes, sizes[x] * den // num, "right")))
@@ -158,7 +167,7 @@ def link_tile(rows: list[int], sets: list[np.ndarray], num: int, den: int) -> li
     flat = np.concatenate([sets[k] for k in order])
     at = np.concatenate([[0], np.cumsum(sizes)])
     names, dense = np.unique(flat, return_inverse=True)
-    maps = np.stack([bitmap(sets[k]) for k in order]).view(np.uint64)
+    maps = folded([bitmap(sets[k]) for k in order])
     label, links, marked = np.arange(len(order)), [], np.zeros(len(names), dtype=bool)
     for x in range(len(order) - 1):
         near = partners(x, sizes, maps, label, num, den)
@@ -354,12 +363,13 @@ def _closer(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def connect(group: pa.Table) -> pa.Table:
         pairs = []
         for rows in _by_root(group, ("n", "map")):
-            maps = np.stack([np.frombuffer(m, dtype=np.uint64) for _, m in rows.values()])
+            maps = folded([np.frombuffer(m, dtype=np.uint8) for _, m in rows.values()])
             pairs += map_tile(list(rows), np.array([n for n, _ in rows.values()]), maps, num, den)
         return _pairs(pairs)
 
     member = stage(_members(near, sets, ["n", "map"], num, den), "join-maps")
-    pairs = _tiles(member, F.lit(1), BLOCK_MAPS).select("tile", "node", "root", "n", "map").groupBy("tile").applyInArrow(connect, "a long, b long")
+    weight = F.greatest(F.lit(1.0 / BLOCK_MAPS), F.octet_length("map") / BLOCK_MAP_BYTES)
+    pairs = _tiles(member, weight, 1).select("tile", "node", "root", "n", "map").groupBy("tile").applyInArrow(connect, "a long, b long")
     out = components(pairs)
     discard(member)
     return out.unionAll(out.select(F.col("root").alias("node"), "root").distinct())
