@@ -556,16 +556,16 @@ def common_params(spark, sf_dir):
 @query
 def local_model(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    results, _ = jobs.local(p.panel, p.targets.where(F.col("sid").endswith("3")), jobs.quick(C, H), p.holidays)
+    results, _ = jobs.local(p.panel, p.targets, C, p.holidays)
     return results
 
 
 @query
 def global_then_transfer_model(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    path, config, targets = new_folder(spark, "artifacts"), jobs.quick(C, H), p.targets.where(F.col("sid").endswith("3"))
-    out = jobs.global_model(written(p.panel, "panel"), p.sensors, p.edges, targets, config, p.holidays, path)
-    return out["results"].unionByName(jobs.transfer(p.panel, targets, config, path, p.holidays))
+    path = new_folder(spark, "artifacts")
+    out = jobs.global_model(written(p.panel, "panel"), p.sensors, p.edges, p.targets, C, p.holidays, path)
+    return out["results"].unionByName(jobs.transfer(p.panel, p.targets, C, path, p.holidays))
 
 
 # the weekly panel, which grows with the tables

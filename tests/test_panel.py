@@ -232,3 +232,27 @@ def test_config():
     assert C.steps(12.5) == 2 and C.steps(1) == 1  # halves go to the even number
     with pytest.raises(ValueError):
         replace(C, selection_metric="auc")
+
+
+def test_model_queries_take_all_targets_and_the_whole_config(spark, monkeypatch):
+    from panelwright import queries
+    from panelwright.plans import jobs
+
+    given = []
+
+    def job(name, result):
+        def run(*args):
+            config = next(a for a in args if isinstance(a, PanelConfig))
+            targets = args[args.index(config) - 1]
+            given.append((name, config, sorted(r.sid for r in targets.collect())))
+            return result
+
+        return run
+
+    rows = spark.createDataFrame([], jobs.RESULT)
+    monkeypatch.setattr(jobs, "local", job("local", (rows, None)))
+    monkeypatch.setattr(jobs, "global_model", job("global", {"results": rows}))
+    monkeypatch.setattr(jobs, "transfer", job("transfer", rows))
+    for name in ("local_model", "global_then_transfer_model"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert given == [(name, HOURLY, ["100003", "100005", "100007", "100009"]) for name in ("local", "global", "transfer")]
