@@ -187,7 +187,7 @@ def link_tile(rows: list[int], sets: list[np.ndarray], num: int, den: int) -> li
 
 
 def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id, head.
+    """Per row of docs: id, n_shingles, component_id, head, row_no, text_hash, again.
 
     Two rows link when den * |A and B| >= num * |A or B| for their sets of word shingles
     (A-Z lowered, words between ASCII white space; fewer than size words make one
@@ -195,13 +195,14 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     component, which has that id. A text that is null or has no words has an empty set and
     its own component. Rows that repeat an id are rows of their own; null ids are passed
     over unless a component has no other. Texts are read whole. An empty table gives no
-    rows; other columns are ignored. Sets are compared by 64-bit shingle hashes.
+    rows; other columns are ignored. Sets are compared by 64-bit shingle hashes. again marks
+    rows that have the id and the text of their component's head and are not it.
     """
     spark = docs.sparkSession
     prepare(spark)
     kind, bounds = dict(docs.dtypes)[id_col], band_bounds(num, den)
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(own.select("text"), size))
 
     def signatures(batches):
@@ -217,11 +218,12 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
+                    batch.column(2),
                 ],
-                names=["id", "n", "print", "map", "keys"],
+                names=["id", "n", "print", "map", "keys", "h"],
             )
 
-    sets = own.mapInArrow(signatures, f"id {kind}, n long, print binary, map binary, keys array<long>")
+    sets = own.mapInArrow(signatures, f"id {kind}, n long, print binary, map binary, keys array<long>, h long")
     sets = stage(sets.withColumn("row", F.monotonically_increasing_id()), "join-sets")
     stage_rows = stage(sets.drop("keys"), "join-rows")
 
@@ -241,18 +243,21 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     joined = components(links)
     discard(near, links)
 
-    rep = sets.select("row", "id", "n").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+    rep = sets.select("row", "id", "n", "h").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
     joined = small(joined.select(F.col("node").alias("rep"), "root"))
     rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = stage(rooted.select("row", "id", "n", "root"), "join-rooted")
-    groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"))).alias("first")), "join-firsts")
+    rooted = stage(rooted.select("row", "id", "n", "h", "root"), "join-rooted")
+    groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("h"))).alias("first")), "join-firsts")
     out = rooted.join(groups, "root")
+    head = F.col("row") == F.col("first.row")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("first.id").alias("component_id"),
-        (F.col("row") == F.col("first.row")).alias("head"),
+        head.alias("head"),
         F.col("row").alias("row_no"),
+        F.col("h").alias("text_hash"),
+        (~head & F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("again"),
     )
 
 
@@ -401,14 +406,30 @@ def _tile_links(docs: DataFrame, sets: DataFrame, near: DataFrame, num: int, den
 
 
 def near_dedup(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component of jaccard_groups, all columns as they were; ids must be unique."""
+    """docs with one row of each component of jaccard_groups, all columns as they were.
+
+    A row is judged by its id and text, so rows that repeat an id, or have none, stand or
+    fall by themselves; of rows that repeat both, one at most stays.
+    """
     groups = stage(jaccard_groups(docs, num, den, size, id_col, text_col), "join-groups")
-    gone = small(groups.where("NOT head").select(F.col(id_col).alias("__id")).distinct())
-    return docs.join(gone, F.col(id_col).eqNullSafe(gone["__id"]), "left_anti")
+    gone = groups.where("NOT head").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__of"), F.col("again").alias("__again"))
+    gone = stage(gone.distinct(), "join-gone")
+    marked = docs.withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
+    key = lambda right: F.col(id_col).eqNullSafe(right["__id"]) & (marked["__h"] == right["__of"])
+    others = small(gone.where("NOT __again"))
+    kept = marked.join(others, key(others), "left_anti")
+    again = gone.where("__again")
+    n_again = again.count()
+    if n_again == 0:
+        return kept.drop("__h")
+    # rows repeated with their id: one of each stays
+    again = small(again, n_again)
+    once = marked.join(again, key(again), "left_semi").dropDuplicates([id_col, "__h"])
+    return kept.join(again, key(again), "left_anti").unionByName(once).drop("__h")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents")).drop("head", "row_no")
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("head", "row_no", "text_hash", "again")
 
 
 OP8_SQL = r"""

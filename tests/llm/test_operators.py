@@ -155,6 +155,22 @@ def test_near_dedup_keeps_one(spark):
     assert jaccard_join.jaccard_groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    def near(name):
+        words = [f"{name}{k}" for k in range(60)]
+        return " ".join(words), " ".join([*words[:-1], "other"])
+
+    (a, a2), (b, b2), (c, c2), (d, d2) = (near(x) for x in "abcd")
+    rows = [(7, a), (7, a2), (7, "seven has a clean one too"), (None, b), (None, b2), (None, "null has a clean one too"), (None, None), (None, "")]
+    rows += [(8, c), (8, c), (8, c2), (9, c), (6, d), (6, d), (5, d2), (5, ""), (5, "")]
+    kept = jaccard_join.near_dedup(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, rows).columns
+    groups = {a: "a", a2: "a", b: "b", b2: "b", c: "c", c2: "c", d: "d", d2: "d"}
+    found = sorted(((r.doc_id, groups.get(r.text, r.text)) for r in kept.collect()), key=str)
+    expected = [(7, "a"), (7, rows[2][1]), (None, "b"), (None, rows[5][1]), (None, None), (None, ""), (8, "c"), (5, "d"), (5, ""), (5, "")]
+    assert found == sorted(expected, key=str)
+
+
 def test_prefix_keys_miss_no_link():
     rng = np.random.default_rng(2)
     for n in [1, 2, 9, 10, 11, 15, 30, 77, 250, 900]:
