@@ -46,6 +46,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows each get their result. Empty tables give no rows or no hits; other
     columns are ignored. Texts are searched whole.
     """
+    return _judged(docs, benchmark, id_col, text_col).drop("text_hash")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """contamination with text_hash, which with the id tells rows apart."""
     windows = stage(item_windows(benchmark), "bench-windows")
     listed = windows.groupBy("key").agg(F.first("words").alias("words")).withColumn("len", F.size("words"))
     listed = listed.withColumn("s", F.least(F.lit(SHINGLE), F.col("len")))
@@ -101,14 +106,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.size(listing).cast("long").alias("n_items"),
         F.sha2(F.array_join(listing, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * HIT_SHARE >= F.col("n_words"))).alias("contaminated"),
+        F.col("h").alias("text_hash"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows, all columns as they were; rows with one id stand or fall together."""
-    bad = stage(contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__id")).distinct(), "bench-bad")
-    bad = small(bad)
-    return docs.join(bad, F.col(id_col).eqNullSafe(bad["__id"]), "left_anti")
+    """docs without contaminated rows, all columns as they were; a row is judged by its id and text."""
+    bad = _judged(docs, benchmark, id_col, text_col).where("contaminated")
+    bad = small(stage(bad.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__of")).distinct(), "bench-bad"))
+    marked = docs.withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
+    return marked.join(bad, F.col(id_col).eqNullSafe(bad["__id"]) & (marked["__h"] == bad["__of"]), "left_anti").drop("__h")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

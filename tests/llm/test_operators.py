@@ -238,6 +238,16 @@ def test_contamination(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, docs), frame).collect()} == clean
 
 
+def test_decontaminate_with_null_and_repeated_ids(spark):
+    item = " ".join(f"bench{k}" for k in range(20))
+    frame = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bad = [(7, f"some {item}"), (7, f"some {item}"), (None, f"more {item}"), (9, item)]
+    good = [(7, "seven has a clean one too"), (7, "seven has a clean one too"), (None, "null has a clean one too"), (None, None), (7, ""), (8, "eight")]
+    kept = decontaminate.decontaminate(docs_of(spark, bad + good), frame)
+    assert kept.columns == docs_of(spark, good).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(good, key=str)
+
+
 def test_token_files(spark, rows):
     import tokenizers
 
