@@ -305,6 +305,22 @@ def test_shards_of_one_repeated_id(spark):
     assert found.agg(F.max("shard_bytes"), F.count("*")).first()[1] == 40 and found.agg(F.max("shard_bytes")).first()[0] <= 100
 
 
+@pytest.mark.parametrize("limit", [100, 10**9])
+def test_written_shards_hold_every_row_once(spark, rows, limit):
+    every = rows + [(1, "x" * 10)] * 30 + [(None, "y" * 10)] * 30 + [(None, None)]
+    path = new_path(spark, "shards")
+    sharding.write_shards(docs_of(spark, every), path, limit)
+    found = spark.read.parquet(path).withColumn("at", F.regexp_extract(F.col("_metadata.file_path"), "/shard=([^/]+)/", 1))
+    assert found.drop("at", "shard").columns == docs_of(spark, every).columns
+    found = found.collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(every, key=str)
+    size = {}
+    for r in found:
+        size.setdefault(r["at"], []).append(len((r.text or "").encode()))
+    assert all(sum(own) <= limit or len(own) == 1 for own in size.values())
+    assert (len(size) > 1) == (limit == 100)
+
+
 def test_urls(spark):
     urls = ["http://Example.NET/en/x", "https://a.b.example.net/enx", "http://net/", "http://net", "http://notnet/", "http://x.example.com/de/?q", "http://example.com?/de/", "http://example.com#/de/", "http://q.org/fr/a://net/", None, "", "no scheme", "http://[::1]/a", "://net/\n", "http://example.net/en/x"]
     frame = spark.createDataFrame([(k, u, "z", "z") for k, u in enumerate(urls)], "page_id long, url string, key string, rule string")
