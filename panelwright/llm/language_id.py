@@ -3,8 +3,9 @@
 A text is a normalised TF-IDF vector of hashed byte 2- and 3-grams (letters lower-cased,
 ASCII characters other than letters as one space). Each language has several centroids,
 found by spherical k-means; the language of the nearest one by cosine is predicted. A text
-is rejected if it is further from its centroid than nearly all training texts were. The
-model is fitted on at most MAX_PER_LANG labelled texts a language, chosen by their id's
+is rejected if it is much further from its centroid than nearly all texts of its language
+are from centroids that were found without them. The cosine of a short text is smaller, in
+proportion to the root of its grams, and so is its bound. The model is fitted on at most MAX_PER_LANG labelled texts a language, chosen by their id's
 hash; predictions are made where the rows are.
 """
 
@@ -22,8 +23,13 @@ CENTROIDS = 4
 ROUNDS = 12
 #: Labelled texts of a language that the model is fitted on, at most.
 MAX_PER_LANG = 600
-#: A text is rejected below this share of the least similarity that training texts had.
-REJECT_SHARE = 0.2
+#: A text is rejected below this share of the similarity that all but REJECT_QUANTILE of its
+#: language's training texts have to centroids of the FOLDS that they are not in.
+REJECT_SHARE = 0.5
+REJECT_QUANTILE = 0.01
+FOLDS = 5
+#: Distinct grams from which on a text's length doesn't matter for its bound.
+FULL_GRAMS = 64
 
 _SPACED = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -60,6 +66,21 @@ def spherical_kmeans(rows: np.ndarray, k: int) -> np.ndarray:
     return found
 
 
+def length_factor(counts: np.ndarray) -> np.ndarray:
+    """What a text's bound is multiplied by: the root of its distinct grams' share of FULL_GRAMS, 1 at most."""
+    return np.sqrt(np.minimum(1.0, (counts > 0).sum(axis=-1) / FULL_GRAMS))
+
+
+def unseen_similarity(rows: np.ndarray) -> np.ndarray:
+    """Each unit row's similarity to the nearest centroid of the folds that it is not in; a single row's to itself."""
+    if len(rows) < 2:
+        return np.ones(len(rows))
+    fold, out = np.arange(len(rows)) % FOLDS, np.empty(len(rows))
+    for k in range(min(FOLDS, len(rows))):
+        out[fold == k] = (rows[fold == k] @ spherical_kmeans(rows[fold != k], CENTROIDS).T).max(axis=1)
+    return out
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model from labelled rows: idf, centroids, their languages and rejection bounds.
 
@@ -91,18 +112,19 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     for row, (_, at, n) in zip(counts, sample, strict=True):
         row[np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
     idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows_ = vectors(counts, idf)
+    rows_, factors = vectors(counts, idf), length_factor(counts)
     del counts
     langs, centroids, bounds = [], [], []
     for lang in sorted(sizes):
-        own = rows_[[r[0] == lang for r in sample]]
+        mine = [r[0] == lang for r in sample]
+        own = rows_[mine]
         if not len(own):
             continue
         found = spherical_kmeans(own, CENTROIDS)
-        best = (own @ found.T).max(axis=1)
+        least = np.quantile(unseen_similarity(own) / factors[mine], REJECT_QUANTILE)
         langs += [lang] * len(found)
         centroids.append(found)
-        bounds += [float(best.min()) * REJECT_SHARE] * len(found)
+        bounds += [float(least) * REJECT_SHARE] * len(found)
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids), "bounds": np.array(bounds)}
 
 
@@ -126,14 +148,15 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             known = [k for k, t in enumerate(texts) if m["langs"] and t and any(map(str.isalpha, t))]
             found = {}
             if known:
-                cos = vectors(np.stack([gram_counts(texts[k]) for k in known]), m["idf"]) @ m["centroids"].T
+                counts = np.stack([gram_counts(texts[k]) for k in known])
+                cos = vectors(counts, m["idf"]) @ m["centroids"].T
                 best = cos.argmax(axis=1)
-                found = {k: (b, float(c[b])) for k, b, c in zip(known, best, cos, strict=True)}
+                found = {k: (b, float(c[b]), f) for k, b, c, f in zip(known, best, cos, length_factor(counts), strict=True)}
             for k in range(len(texts)):
-                b, score = found.get(k, (None, 0.0))
+                b, score, factor = found.get(k, (None, 0.0, 1.0))
                 langs.append("und" if b is None else m["langs"][b])
                 scores.append(min(1.0, max(0.0, score)))
-                rejected.append(b is None or score < m["bounds"][b])
+                rejected.append(b is None or score < m["bounds"][b] * factor)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[id_col, "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
@@ -160,9 +183,10 @@ def keep_known(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
             if not m["langs"] or not t or not any(map(str.isalpha, t)):
                 out.append(False)
                 continue
-            cos = (vectors(gram_counts(t)[None], m["idf"]) @ m["centroids"].T)[0]
+            counts = gram_counts(t)
+            cos = (vectors(counts[None], m["idf"]) @ m["centroids"].T)[0]
             best = int(cos.argmax())
-            out.append(bool(cos[best] >= m["bounds"][best]))
+            out.append(bool(cos[best] >= m["bounds"][best] * length_factor(counts)))
         return pd.Series(out, dtype=bool)
 
     return docs.where(known(F.col(text_col).cast("string")))

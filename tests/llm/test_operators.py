@@ -368,6 +368,17 @@ def test_language_id(spark):
     assert language_id.predict(frame.limit(0), model).count() == 0
 
 
+def test_language_id_rejects_unlearned_languages_in_known_letters(spark):
+    frame = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    other = ["Chiudere le finestre e scendere in strada, dove il vento scherza con le foglie secche", "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura", "Minä olen suomalainen ja asun pienessä kaupungissa", "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0"]
+    short = ["theingth", "the wh", "dereinich", "sch ung", "eau", "queoiles é", "der"]
+    docs = spark.createDataFrame([*enumerate(other), *enumerate(short, 100)], "doc_id long, text string")
+    assert {r.doc_id for r in language_id.predict(docs, model).where("rejected").collect()} == set(range(len(other)))
+    assert {r.text for r in language_id.keep_known(docs, model).collect()} == set(short)
+    assert language_id.keep_known(frame, model).count() == frame.count()
+
+
 def test_pieces_are_the_best_path():
     model, rng = sentence_pieces.pieces_of(PIECES), random.Random(9)
     score = {i: s for _, (n, i, s) in ((w, model.automaton.get(w)) for w in model.automaton.keys())}
