@@ -1,92 +1,61 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-Which rows meet at all comes from prefixes: with every set in one order, rarest shingle
-first, linked sets share a shingle among their first n - ceil(share * n) + 1. How rare a
-shingle is comes from a table of hashed counts over all documents, of fixed size; it only
-makes the order, so its collisions cost no link. Rows that share a prefix shingle and are
-in one band of sizes or in neighbouring ones (directly or through others) are brought together in tiles, banded by set size. First the
-tiles hold bitmaps alone: a pair must pass the size bound and a bound from its bitmaps
-(differing bits count differing shingles from below). Rows that this connects meet again
-in tiles with their sorted shingle arrays, which are intersected exactly. Pairs already
-connected are passed over, so a tile gives at most one link a row. Links are joined to
-components afterwards.
+Which rows meet at all follows from the pigeonhole principle. Linked sets of a band of sizes
+and the next differ in d shingles at most, so of d + 1 or more parts of the hash range one
+holds the same shingles in both sets. A part's key is the hash of what the set has there, a
+handful of shingles at once; no shingle's frequency matters, and nothing has to be counted
+or known about the corpus. Sets with so many empty parts that the agreeing one may be empty
+also get their least shingles as keys (a prefix under the order of hashes).
+
+Rows that share keys form groups, and groups are put in tiles of bounded weight. A tile
+bounds each pair's overlap from above by the counts of differing bits of hashed bitmaps and
+by the sizes; what passes is intersected exactly as sorted arrays, and a link is confirmed
+on the words themselves. Rows already connected are passed over, so a tile gives at most one
+link a row. A group over one tile's weight is first dealt to tiles at random, twice, which
+connects what is close; only rows that are still apart meet again, in tiles for each two
+blocks of the same or neighbouring bands of sizes. Links are joined to components afterwards.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, small, stage, table
+from .common import discard, join_lists, prepare, small, stage, table, unused
 from .components import components
+from .hashes import mix, run_hashes
 
-#: Counts of the table that orders shingles.
-COUNTS = 1 << 18
 #: Keys that a task combines at once.
 COMBINED_KEYS = 1 << 21
-#: Bitmaps, their bytes, or shingles of a tile's block, and the fewest bits of a bitmap.
-BLOCK_MAPS = 1 << 12
-BLOCK_MAP_BYTES = 4 << 20
-BLOCK_SHINGLES = 1 << 20
+#: Shingles of a tile, and what a row counts for at least.
+TILE_SHINGLES = 1 << 18
+LEAST_WEIGHT = 128
+#: The fewest bits of a bitmap.
 BITMAP_BITS = 1024
 
-_RNG = np.random.default_rng(20240601)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(1, 2**62)) * 4 + 3
-_BACK = pow(_BASE, -1, 2**64)
-_POWERS = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE and its inverse to the powers 0 to n - 1, modulo 2^64."""
-    if _POWERS["n"] < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _BACK)):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-        _POWERS["n"] = size
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def word_spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums of the joined words' hash, and where words begin and end."""
-    raw = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(len(raw))[0], out=sums[1:])
-    gaps = np.flatnonzero(raw == 32)
-    starts = np.concatenate([[0], gaps + 1])
-    return sums, starts, np.concatenate([gaps, [len(raw)]])
-
-
-def run_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """64-bit hashes of every size consecutive words; words hold no space."""
-    sums, starts, ends = word_spans(words)
-    first, last = starts[: len(words) - size + 1], ends[size - 1 :]
-    return mix((sums[last] - sums[first]) * _powers(int(ends[-1]) + 1)[1][first])
-
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text, A-Z lowered; fewer words make one shingle."""
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, dtype=np.uint64)
-    return np.unique(run_hashes(words, min(size, len(words))))
+    return np.unique(run_hashes(words, min(size, len(words)))[0])
+
 
+def shingle_words(text: bytes, size: int) -> set[bytes]:
+    """The shingles of a text as words."""
+    words = text.lower().split()
+    size = min(size, len(words))
+    return {b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)}
 
+
+@cache
 def band_bounds(num: int, den: int, most: int = 1 << 40) -> list[int]:
     """First sizes of the bands: sets that link are in the same band or the next."""
     out = [1]
@@ -95,34 +64,40 @@ def band_bounds(num: int, den: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def prefix_keys(own: np.ndarray, counts: np.ndarray, bounds: list[int], num: int, den: int) -> np.ndarray:
-    """A set's first shingles, rarest first, each with the set's band and the next: linked sets share such a key."""
+@cache
+def parts_of(family: int, num: int, den: int) -> tuple[int, np.ndarray]:
+    """Of a family (a band and the one below): how many shingles linked sets may differ in, and the parts' first hashes.
+
+    There are as many parts as keep a set's expected empty ones below what the differences leave.
+    """
+    bounds = band_bounds(num, den)
+    low, high = bounds[max(0, family - 2)], bounds[family] - 1
+    differ = 2 * high * (den - num) // (den + num)
+    parts = differ + 1
+    while differ and parts < 2 * differ + 2:
+        empty = parts * math.exp(-low / parts)
+        if empty + 3 * math.sqrt(empty) < parts - differ:
+            break
+        parts += 1
+    return differ, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
+
+
+def part_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A set's keys: linked sets share one."""
     n = len(own)
     if n == 0:
         return own
-    first = n - -(-n * num // den) + 1
-    order = np.lexsort((own, counts[(own & np.uint64(COUNTS - 1)).astype(np.int64)]))
-    own, band = own[order[:first]], int(np.searchsorted(bounds, n, "right"))
-    return np.concatenate([mix(own ^ mix(np.array([b], dtype=np.uint64))) for b in (band, band + 1)])
-
-
-def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents' shingles fall on each of the COUNTS places. docs(text)."""
-
-    def count(batches):
-        total = np.zeros(COUNTS, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                total[(shingle_set(text, size) & np.uint64(COUNTS - 1)).astype(np.int64)] += 1
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["place", "n"])
-
-    sums = docs.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
-    out = np.zeros(COUNTS, dtype=np.int64)
-    out[sums["place"].to_numpy()] = sums["n"].to_numpy()
-    return out
+    band = int(np.searchsorted(band_bounds(num, den), n, "right"))
+    sums, out = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))]), []
+    for family in (band, band + 1):
+        differ, firsts = parts_of(family, num, den)
+        at = np.append(np.searchsorted(own, firsts), n)
+        full = at[1:] > at[:-1]
+        tag = mix(np.arange(len(firsts), dtype=np.uint64) + np.uint64(family << 32))
+        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ tag)[full])
+        if len(firsts) - int(full.sum()) >= len(firsts) - differ:
+            out.append(mix(own[: n - -(-n * num // den) + 1] ^ mix(np.array([(family << 32) - 1], dtype=np.uint64))))
+    return np.concatenate(out)
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -139,55 +114,51 @@ def folded(maps: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in maps]).view(np.uint64)
 
 
-def partners(x: int, sizes: np.ndarray, maps: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of rows after x (sizes ascend) those not connected to it that the size and bitmap bounds let through."""
-    near = np.arange(x + 1, int(np.searchsorted(sizes, sizes[x] * den // num, "right")))
-    near = near[label[near] != label[x]]
-    least = np.bitwise_count(maps[near] ^ maps[x]).sum(axis=1, dtype=np.int64)
-    return near[least * (den + num) <= (sizes[near] + sizes[x]) * (den - num)]
+def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with others."""
+    flat = np.concatenate(others)
+    met = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(met.astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
 
 
-def map_tile(rows: list[int], sizes: np.ndarray, maps: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs that connect what the bounds alone let through: at most one a row."""
-    order = np.lexsort((rows, sizes))
-    sizes, maps = sizes[order], maps[order]
-    label, pairs = np.arange(len(order)), []
-    for x in range(len(order) - 1):
-        for y in partners(x, sizes, maps, label, num, den):
-            if label[y] != label[x]:
-                label[label == label[y]] = label[x]
-                pairs.append((rows[order[x]], rows[order[y]]))
-    return pairs
-
-
-def link_tile(rows: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what the tile's linked pairs connect: at most one a row, each verified."""
-    order = sorted(range(len(rows)), key=lambda k: (len(sets[k]), rows[k]))
-    sizes = np.array([len(sets[k]) for k in order])
-    flat = np.concatenate([sets[k] for k in order])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    names, dense = np.unique(flat, return_inverse=True)
-    maps = folded([bitmap(sets[k]) for k in order])
-    label, links, marked = np.arange(len(order)), [], np.zeros(len(names), dtype=bool)
-    for x in range(len(order) - 1):
-        near = partners(x, sizes, maps, label, num, den)
+def link_tile(nodes: list[int], labels: list[int], blocks: list[str], texts: list[bytes], num: int, den: int, size: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links of a tile's rows, each confirmed: at most one a row, of rows of different labels; with every, all.
+
+    Rows meet those of other blocks, or, in a tile without blocks (empty strings), all others.
+    """
+    sets = [shingle_set(t, size) for t in texts]
+    order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
+    sets, nodes, texts = [sets[k] for k in order], [nodes[k] for k in order], [texts[k] for k in order]
+    sizes, maps = np.array([len(s) for s in sets]), folded([bitmap(s) for s in sets])
+    label = np.unique([labels[k] for k in order], return_inverse=True)[1]
+    block = np.unique([blocks[k] for k in order], return_inverse=True)[1]
+    crossed, links = blocks[0] != "", []
+    for x in range(len(nodes) - 1):
+        near = np.arange(x + 1, int(np.searchsorted(sizes, sizes[x] * den // num, "right")))
+        if crossed:
+            near = near[block[near] != block[x]]
+        if not every:
+            near = near[label[near] != label[x]]
+        differing = np.bitwise_count(maps[near] ^ maps[x]).sum(axis=1, dtype=np.int64)
+        near = near[differing * (den + num) <= (sizes[near] + sizes[x]) * (den - num)]
         if not len(near):
             continue
-        mine = dense[at[x] : at[x + 1]]
-        marked[mine] = True
-        first = np.concatenate([[0], np.cumsum(sizes[near])[:-1]])
-        picks = np.repeat(at[near] - first, sizes[near]) + np.arange(sizes[near].sum())
-        both = np.add.reduceat(marked[dense[picks]].astype(np.int64), first)
-        marked[mine] = False
-        for y in near[den * both >= num * (sizes[near] + sizes[x] - both)]:
-            if label[y] != label[x]:
+        both = overlaps(sets[x], [sets[y] for y in near])
+        mine = None
+        for y in near[den * both >= num * (sizes[near] + sizes[x] - both)].tolist():
+            if not every and label[y] == label[x]:
+                continue
+            mine = shingle_words(texts[x], size) if mine is None else mine
+            other = shingle_words(texts[y], size)
+            shared = len(mine & other)
+            if den * shared >= num * (len(mine) + len(other) - shared):
                 label[label == label[y]] = label[x]
-                links.append((rows[order[x]], rows[order[int(y)]]))
+                links.append((nodes[x], nodes[y]))
     return links
 
 
-def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id, head, row_no, text_hash, again.
+def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id, head, row_no, text_hash, again; n_links if asked for.
 
     Two rows link when den * |A and B| >= num * |A or B| for their sets of word shingles
     (A-Z lowered, words between ASCII white space; fewer than size words make one
@@ -195,20 +166,19 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     component, which has that id. A text that is null or has no words has an empty set and
     its own component. Rows that repeat an id are rows of their own; null ids are passed
     over unless a component has no other. Texts are read whole. An empty table gives no
-    rows; other columns are ignored. Sets are compared by 64-bit shingle hashes. again marks
-    rows that have the id and the text of their component's head and are not it.
+    rows; other columns are ignored, whatever their names. n_links counts the other rows
+    that a row links with; for it every pair of different sets that the bounds let through
+    is verified. again marks rows that have the id and the text of their component's head
+    and are not it.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    kind, bounds = dict(docs.dtypes)[id_col], band_bounds(num, den)
-
+    prepare(docs.sparkSession)
+    kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(own.select("text"), size))
 
     def signatures(batches):
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            keys = [prefix_keys(s, counts.value, bounds, num, den).view(np.int64) for s in sets]
+            keys = [part_keys(s, num, den).view(np.int64) for s in sets]
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(
@@ -216,38 +186,40 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                     batch.column(2),
                 ],
-                names=["id", "n", "print", "map", "keys", "h"],
+                names=["id", "n", "print", "keys", "h"],
             )
 
-    sets = own.mapInArrow(signatures, f"id {kind}, n long, print binary, map binary, keys array<long>, h long")
-    sets = stage(sets.withColumn("row", F.monotonically_increasing_id()), "join-sets")
-    stage_rows = stage(sets.drop("keys"), "join-rows")
+    keyed = own.mapInArrow(signatures, f"id {kind}, n long, print binary, keys array<long>, h long")
+    keyed = stage(keyed.withColumn("row", F.monotonically_increasing_id()), "join-sets")
+    sets = keyed.drop("keys")  # the scan leaves out the keys
 
     # equal sets are one: rows of a repeated set point to its first row
-    same = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    prints = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     # aggregates are written before they are joined, so that Spark can split the other side's hot keys
-    same = sets.select("row", "print").join(stage(same.select("print", "rep"), "join-prints"), "print").where("row <> rep").select("row", "rep")
-    same = stage(same, "join-same")
-    alone = sets.join(small(same.select("row")), "row", "left_anti")
+    prints = stage(prints, "join-prints")
+    same = stage(sets.select("row", "print").join(prints, "print").where("row <> rep").select("row", "rep"), "join-same")
+    alone = keyed.join(small(same.select("row")), "row", "left_anti")
 
     near = stage(_near(alone.select("row", "keys")), "join-near")
-    discard(sets)
-    sets = stage_rows
-    near = stage(_closer(near, sets, num, den), "join-closer")
-
-    links = stage(_tile_links(docs, sets, near, num, den, size, id_col, text_col), "join-links")
+    links = _links(own, sets, near, num, den, size, with_links)
     joined = components(links)
-    discard(near, links)
 
     rep = sets.select("row", "id", "n", "h").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
     joined = small(joined.select(F.col("node").alias("rep"), "root"))
     rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = stage(rooted.select("row", "id", "n", "h", "root"), "join-rooted")
+    if with_links:
+        copies = prints.select("rep", "copies")
+        ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, F.col("b") == F.col("rep"), "left")
+        ends = ends.groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("others"))
+        rooted = rooted.join(stage(ends, "join-ends"), "rep", "left").join(copies, "rep", "left")
+        rooted = rooted.withColumn("n_links", F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
+    more = ["n_links"] if with_links else []
+    rooted = stage(rooted.select("row", "id", "n", "h", "root", *more), "join-rooted")
     groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("h"))).alias("first")), "join-firsts")
+    discard(keyed, prints, same, near, links)
     out = rooted.join(groups, "root")
     head = F.col("row") == F.col("first.row")
     return out.select(
@@ -258,6 +230,7 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
         F.col("row").alias("row_no"),
         F.col("h").alias("text_hash"),
         (~head & F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("again"),
+        *more,
     )
 
 
@@ -315,94 +288,73 @@ def _near(keyed: DataFrame) -> DataFrame:
     return near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _members(near: DataFrame, sets: DataFrame, columns: list[str], num: int, den: int) -> DataFrame:
-    """near(node, root) with columns of the rows and their size's band."""
+def _links(own: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int, size: int, every: bool) -> DataFrame:
+    """links(a long, b long), written, among the rows of near(node, root)."""
     bounds = F.array(*[F.lit(b) for b in band_bounds(num, den)])
-    rows = near.join(sets.select(F.col("row").alias("node"), *columns), "node")
-    return rows.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
+    member = near.join(sets.select(F.col("row").alias("node"), "id", "h", "n"), "node")
+    member = member.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
+    member = stage(member.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)) / TILE_SHINGLES), "join-members")
+
+    whole = stage(member.groupBy("root").agg(F.sum("weight").alias("all")), "join-wholes")
+    large = whole.where("all > 1").select("root", F.ceil("all").alias("tiles"))  # at most a row a tile's weight
+    bins = max(1, math.ceil(whole.agg(F.sum("all")).first()[0] or 0))
+    few, most = member.join(small(large.select("root")), "root", "left_anti"), member.join(small(large), "root")
+    placed = few.withColumn("tile", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
+    placed = placed.withColumn("label", F.col("node")).withColumn("block", F.lit(""))
+    if not every:
+        for salt in (1, 2):
+            dealt = most.withColumn("tile", F.concat_ws(" ", F.lit(f"deal {salt}"), "root", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("tiles"))))
+            placed = placed.unionByName(dealt.withColumn("label", F.col("node")).withColumn("block", F.lit("")).select(*placed.columns))
+    links = stage(_in_tiles(own, placed, num, den, size, every), "join-links")
+    if large.limit(1).count():
+        joined = components(links)
+        apart = most.join(joined, most["node"] == joined["node"], "left").select(most["*"], F.coalesce(joined["root"], most["node"]).alias("label"))
+        late = stage(_in_tiles(own, _crossed(stage(apart, "join-apart"), every), num, den, size, every), "join-late")
+        links = stage(links.unionAll(late), "join-links")
+    discard(member, whole)
+    return links
 
 
-def _tiles(member: DataFrame, weight: F.Column, block: int) -> DataFrame:
-    """member(node, root, band, ...) with tile, a row for each tile that it is in.
+def _crossed(member: DataFrame, every: bool) -> DataFrame:
+    """Tiles for the pairs of different labels in a large group: member(root, label, band, weight, ...) with tile and block.
 
-    A group up to a block's weight is in one tile, with other small groups. A larger one's
-    bands are cut into blocks, and each two blocks of a band, or of neighbouring bands,
-    make a tile.
+    A label of a tile's weight or more is a class of its own, the others are one class. A
+    class's band is cut into blocks; each two blocks of a band or of neighbouring ones make
+    a tile, unless they are of one label.
     """
-    whole = member.groupBy("root").agg(F.sum(weight).alias("all"))
-    band = member.groupBy("root", "band").agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
-    large = F.broadcast(whole.where(F.col("all") > block).select("root"))  # at most a row for each block's weight
-    cut = F.broadcast(band.join(large, "root", "left_semi"))
-    bins = max(1, math.ceil((whole.agg(F.sum("all")).first()[0] or 0) / block))
-
-    one = member.join(large, "root", "left_anti").withColumn("tile", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
-    own = member.join(cut, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    next_up = cut.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    last = cut.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    own = own.join(next_up, ["root", "band"], "left").join(last, ["root", "band"], "left")
-    name = lambda low, i, high, j: f"concat_ws(' ', 'tile', root, {low}, {i}, {high}, {j})"
-    tiles = F.expr(
-        "concat("
-        f"transform(sequence(0, blocks - 1), j -> {name('band', 'least(block, j)', 'band', 'greatest(block, j)')}),"
-        f"if(above IS NULL, array(), transform(sequence(0, above - 1), j -> {name('band', 'block', 'band + 1', 'j')})),"
-        f"if(below IS NULL, array(), transform(sequence(0, below - 1), j -> {name('band - 1', 'j', 'band', 'block')})))"
-    )
-    return one.unionByName(own.withColumn("tile", F.explode(tiles)).select(*one.columns))
-
-
-def _by_root(group: pa.Table, columns: tuple[str, ...]) -> list[dict]:
-    """A tile's groups of two rows or more: node -> its columns."""
-    roots: dict[int, dict] = {}
-    for node, root, *own in zip(*(group.column(c).to_pylist() for c in ("node", "root", *columns)), strict=True):
-        roots.setdefault(root, {})[node] = own  # equal sets come once
-    return [rows for rows in roots.values() if len(rows) > 1]
-
-
-def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-
-def _closer(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """near(node, root), with only what the bounds of sizes and bitmaps connect."""
-
-    def connect(group: pa.Table) -> pa.Table:
-        pairs = []
-        for rows in _by_root(group, ("n", "map")):
-            maps = folded([np.frombuffer(m, dtype=np.uint8) for _, m in rows.values()])
-            pairs += map_tile(list(rows), np.array([n for n, _ in rows.values()]), maps, num, den)
-        return _pairs(pairs)
-
-    member = stage(_members(near, sets, ["n", "map"], num, den), "join-maps")
-    weight = F.greatest(F.lit(1.0 / BLOCK_MAPS), F.octet_length("map") / BLOCK_MAP_BYTES)
-    pairs = _tiles(member, weight, 1).select("tile", "node", "root", "n", "map").groupBy("tile").applyInArrow(connect, "a long, b long")
-    out = components(pairs)
-    discard(member)
-    return out.unionAll(out.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _tile_links(docs: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a long, b long) among rows that may be linked: near(node, root)."""
-    member = stage(_members(near, sets, ["id", "n", "print"], num, den), "join-members")
-    placed = stage(_tiles(member, F.col("n"), BLOCK_SHINGLES).select("tile", "node", "root", "print"), "join-tiles")
-
-    ids = small(stage(member.select(F.col("id").alias("i")).distinct(), "join-ids"))
-    texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("i")), "left_semi").select(F.col(text_col).cast("string").alias("text"))
-
-    def arrays(batches):
-        for batch in batches:
-            found = [shingle_set(t, size) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            found = [s for s in found if len(s)]
-            prints = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["print", "shingles"])
+    classes = member.groupBy("root", "label").agg(F.sum("weight").alias("w"))
+    classes = classes.withColumn("class", F.when(F.lit(not every) & (F.col("w") >= 1), F.col("label")).otherwise(-1))
+    mixed = classes.groupBy("root").agg(F.count("*").alias("labels")).where("labels > 1").select("root")
+    classes = stage(classes.join(mixed, "root").select("root", "label", "class"), "join-classes")
+    member = stage(member.join(classes, ["root", "label"]), "join-classed")
+    cells = stage(member.groupBy("root", "band", "class").agg(F.ceil(F.sum("weight")).cast("int").alias("blocks")), "join-cells")
+    seen = cells.select("root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("from"), F.struct("band", "class", "blocks").alias("cell"))
+    seen = stage(seen.groupBy("root", F.col("from").alias("band")).agg(F.collect_list("cell").alias("cells")), "join-seen")
+    own = member.join(cells, ["root", "band", "class"])
+    own = own.withColumn("block", F.concat_ws(":", "band", "class", F.pmod(F.xxhash64("node"), F.col("blocks")))).drop("blocks")
+    other = F.explode(F.expr("flatten(transform(filter(cells, c -> c.class <> class OR class = -1), c -> transform(sequence(0, c.blocks - 1), j -> concat_ws(':', c.band, c.class, j))))"))
+    tiles = own.join(seen, ["root", "band"]).withColumn("other", other)
+    tiles = tiles.withColumn("tile", F.concat_ws(" ", F.lit("cross"), "root", F.least("block", "other"), F.greatest("block", "other")))
+    return tiles.withColumn("block", F.when(F.col("block") == F.col("other"), "").otherwise(F.col("block"))).drop("cells", "other", "class")
+
+
+def _in_tiles(own: DataFrame, placed: DataFrame, num: int, den: int, size: int, every: bool) -> DataFrame:
+    """Links of the rows placed(id, h, node, root, label, block, tile), whose texts come from own(id, h, text)."""
 
     def link(group: pa.Table) -> pa.Table:
-        links = []
-        for rows in _by_root(group, ("shingles",)):
-            links += link_tile(list(rows), [np.frombuffer(x, dtype=np.uint64) for (x,) in rows.values()], num, den)
-        return _pairs(links)
+        roots: dict[int, dict] = {}
+        for node, root, label, block, text in zip(*(group.column(c).to_pylist() for c in ("node", "root", "label", "block")), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            roots.setdefault(root, {})[node] = (label, block, text)  # a row that repeats with its id comes once
+        pairs = []
+        for rows in roots.values():
+            if len(rows) > 1:
+                labels, blocks, texts = zip(*rows.values(), strict=True)
+                pairs += link_tile(list(rows), list(labels), list(blocks), list(texts), num, den, size, every)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    filled = placed.join(texts.mapInArrow(arrays, "print binary, shingles binary"), "print")
-    return filled.select("tile", "node", "root", "shingles").groupBy("tile").applyInArrow(link, "a long, b long")
+    placed = stage(placed.select("id", "h", "node", "root", "label", "block", "tile"), "join-tiles")
+    filled = join_lists(own, placed).select("tile", "node", "root", "label", "block", "text")
+    return filled.groupBy("tile").applyInArrow(link, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,21 +363,21 @@ def near_dedup(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id
     A row is judged by its id and text, so rows that repeat an id, or have none, stand or
     fall by themselves; of rows that repeat both, one at most stays.
     """
-    groups = stage(jaccard_groups(docs, num, den, size, id_col, text_col), "join-groups")
-    gone = groups.where("NOT head").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__of"), F.col("again").alias("__again"))
+    groups = jaccard_groups(docs, num, den, size, id_col, text_col)
+    names = i, of, re, h = [unused(docs, x) for x in ("gone_id", "gone_hash", "gone_again", "own_hash")]
+    gone = groups.where("NOT head").select(F.col(id_col).alias(i), F.col("text_hash").alias(of), F.col("again").alias(re))
     gone = stage(gone.distinct(), "join-gone")
-    marked = docs.withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
-    key = lambda right: F.col(id_col).eqNullSafe(right["__id"]) & (marked["__h"] == right["__of"])
-    others = small(gone.where("NOT __again"))
-    kept = marked.join(others, key(others), "left_anti")
-    again = gone.where("__again")
+    marked = docs.withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
+    key = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(of))
+    kept = marked.join(small(gone.where(~F.col(re))), key, "left_anti")
+    again = gone.where(F.col(re))
     n_again = again.count()
     if n_again == 0:
-        return kept.drop("__h")
+        return kept.drop(*names)
     # rows repeated with their id: one of each stays
     again = small(again, n_again)
-    once = marked.join(again, key(again), "left_semi").dropDuplicates([id_col, "__h"])
-    return kept.join(again, key(again), "left_anti").unionByName(once).drop("__h")
+    once = marked.join(again, key, "left_semi").dropDuplicates([id_col, h])
+    return kept.join(again, key, "left_anti").unionByName(once).drop(*names)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

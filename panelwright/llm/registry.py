@@ -21,7 +21,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
-    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }

@@ -6,7 +6,8 @@ target window is stood for by one anchor, the shorter window in it with the leas
 (the leftmost of ties). Equal target windows have equal anchors in the same place, so a
 target window whose anchor occurs once is unique and drops out; anchors are a small share
 of all positions. At the last level the target windows of each repeated anchor are
-compared with each other by their own hash.
+compared with each other by a 128-bit digest of their words (blake2b), not by the hashes
+that chose the anchors; so no construction of words makes different windows equal.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_lists, prepare, small, stage, table
-from .jaccard_join import run_hashes
+from .hashes import run_hashes
 
 WINDOW = 35
 #: The first level is the first halving of the target at most this long.
@@ -37,7 +38,7 @@ def levels(window: int) -> list[int]:
 
 def anchors(words: list[bytes], level: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the level's windows, and for each target window the place of its anchor."""
-    hashes = run_hashes(words, level)
+    hashes = run_hashes(words, level)[0]
     inside = np.lib.stride_tricks.sliding_window_view(hashes, window - level + 1)
     return hashes, inside.argmin(axis=1) + np.arange(len(inside))
 
@@ -51,6 +52,15 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def window_digests(words: list[bytes], starts: np.ndarray, window: int) -> bytes:
+    """16 bytes for each window of the words from starts: a digest of what it says."""
+    raw = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(begins[starts].tolist(), ends[starts + window - 1].tolist(), strict=True)
+    return b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in spans])
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all, repeats): all has id, h, n_words, sha for each row of docs; repeats has id, h and the starts of its repeated windows.
 
@@ -89,7 +99,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         at = anchors(words, level, window)[1]
         return words, np.flatnonzero(np.isin(at, spots))
 
-    for before, level in zip(lengths[:-3], lengths[1:-2], strict=False):
+    for before, level in zip(lengths[:-2], lengths[1:-1], strict=False):
 
         def longer(batches, before=before, level=level):
             for batch in batches:
@@ -105,25 +115,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         texts = join_lists(own, alive)
         alive = _repeated(stage(texts.mapInArrow(longer, f"id {kind}, h long, anchors array<long>, spots array<int>"), "repeat-longer"))
 
-    before, level = (lengths[-3], lengths[-2]) if len(lengths) > 2 else (lengths[0], lengths[0])
+    level = lengths[max(0, len(lengths) - 2)]
 
     def last(batches):
-        """A row for each anchor and unbroken run of its candidate windows: their hashes, packed."""
+        """A row for each anchor and unbroken run of its candidate windows: their digests, packed."""
         for batch in batches:
             ids, prints, marks, firsts, packed = [], [], [], [], []
             for n, (text, spots) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                words, starts = candidates(text, before, np.asarray(spots))
+                words, starts = candidates(text, level, np.asarray(spots))
                 if not len(starts):
                     continue
                 found, at = anchors(words, level, window)
-                full = run_hashes(words, window)[starts]
+                raw = window_digests(words, starts, window)
                 cuts = np.flatnonzero((np.diff(starts) > 1) | (np.diff(at[starts]) != 0)) + 1
                 edges = [0, *cuts.tolist(), len(starts)]
-                raw = full.tobytes()
                 ids += [n] * (len(edges) - 1)
                 marks.append(found[at[starts[edges[:-1]]]].view(np.int64))
                 firsts.append(starts[edges[:-1]])
-                packed += [raw[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                packed += [raw[16 * a : 16 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
             take = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([*marks, np.empty(0, np.int64)])), pa.array(np.concatenate([*firsts, np.empty(0, np.int64)]).astype(np.int32)), pa.array(packed, pa.binary())],
@@ -144,16 +153,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         def judge(parts):
             group = pa.Table.from_batches(parts).combine_chunks()
             raw = group.column("windows").combine_chunks()
-            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] // 8
-            flat = np.frombuffer(raw.buffers()[2], np.uint64)[offsets[0] : offsets[-1]]
+            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] // 16
+            flat = np.frombuffer(raw.buffers()[2], np.uint64, int(offsets[-1]) * 2).reshape(-1, 2)[offsets[0] : offsets[-1]]
+            flat, more = flat[:, 0], flat[:, 1]
             counts = np.diff(offsets)
             row = np.repeat(np.arange(len(counts)), counts)
             at = np.asarray(group.column("start"))[row] + np.arange(len(flat)) - (offsets[:-1] - offsets[0])[row]
             anchor = np.asarray(group.column("anchor"))[row]
             deal = np.asarray(group.column("deal"))[row]
-            order = np.lexsort((flat, deal, anchor))
-            a, d, w = anchor[order], deal[order], flat[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
+            order = np.lexsort((more, flat, deal, anchor))
+            a, d, w, v = anchor[order], deal[order], flat[order], more[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (v[1:] != v[:-1])])
             number = np.cumsum(new) - 1
             times = np.bincount(number)
             again = np.empty(len(flat), dtype=bool)
@@ -161,14 +171,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             kept = np.unique(row[again])
             inside = np.split(at[again], np.flatnonzero(np.diff(row[again])) + 1) if again.any() else []
             take = pa.array(kept)
-            out = [group.column("id").take(take), group.column("h").take(take), pa.chunked_array([_lists(inside, np.int32)]), pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.int64())]
-            yield pa.table(out, names=["id", "h", "starts", "anchor", "window"])
+            out = [group.column("id").take(take), group.column("h").take(take), pa.chunked_array([_lists(inside, np.int32)]), *[pa.nulls(len(kept), pa.int64())] * 3]
+            yield pa.table(out, names=["id", "h", "starts", "anchor", "window", "more"])
             each = order[new & (d >= 0)]
             if len(each):
                 once = ~again[each]
                 ids = pa.array(np.where(once, row[each], -1), mask=~once)
                 places = _lists([at[k : k + 1] if ok else np.empty(0, np.int32) for k, ok in zip(each, once, strict=True)], np.int32)
-                yield pa.table([group.column("id").take(ids), group.column("h").take(ids), pa.chunked_array([places]), pa.array(anchor[each]), pa.array(flat[each].view(np.int64))], names=["id", "h", "starts", "anchor", "window"])
+                yield pa.table([group.column("id").take(ids), group.column("h").take(ids), pa.chunked_array([places]), pa.array(anchor[each]), pa.array(flat[each].astype(np.int64)), pa.array(more[each].astype(np.int64))], names=["id", "h", "starts", "anchor", "window", "more"])
 
         waiting = []
         for batch in batches:
@@ -191,10 +201,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             for t in judge(waiting):
                 yield from t.to_batches()
 
-    seen = stage(dealt.mapInArrow(judged, f"id {kind}, h long, starts array<int>, anchor long, window long"), "repeat-judged")
+    seen = stage(dealt.mapInArrow(judged, f"id {kind}, h long, starts array<int>, anchor long, window long, more long"), "repeat-judged")
     spread = seen.where("window IS NOT NULL")
-    twice = stage(spread.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "repeat-spread")
-    late = spread.where("size(starts) > 0").join(twice, ["anchor", "window"]).select("id", "h", "starts")
+    twice = stage(spread.groupBy("anchor", "window", "more").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeat-spread")
+    late = spread.where("size(starts) > 0").join(twice, ["anchor", "window", "more"]).select("id", "h", "starts")
     found = seen.where("window IS NULL").select("id", "h", "starts").unionAll(late)
     found = found.groupBy("id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return whole.select("id", "h", "n_words", "sha"), stage(found, "repeat-found")

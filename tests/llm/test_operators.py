@@ -99,11 +99,16 @@ def test_substring_dedup_hot_passage(spark, monkeypatch):
     assert substring_dedup.drop_repeats(docs_of(spark, many).limit(0)).count() == 0
 
 
-def plain_components(rows, num, den, size):
+def shingles_of(rows, size):
     sets = []
     for i, t in rows:
         w = re.findall("[^\x20\x09-\x0d]+", (t or "").encode().lower().decode())
         sets.append((i, {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()))
+    return sets
+
+
+def plain_components(rows, num, den, size):
+    sets = shingles_of(rows, size)
     label = list(range(len(sets)))
 
     def root(x):
@@ -138,14 +143,48 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("num,size,block", [(90, 3, 1 << 20), (80, 5, 1 << 20), (90, 3, 300)])
-def test_jaccard_groups(spark, monkeypatch, rows, num, size, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)  # a small block cuts groups into tiles
-    monkeypatch.setattr(jaccard_join, "BLOCK_MAPS", 3 if block == 300 else 1 << 12)
+@pytest.mark.parametrize("num,size,tile,links", [(90, 3, 1 << 18, False), (80, 5, 1 << 18, True), (90, 3, 600, False), (80, 3, 600, True)])
+def test_jaccard_groups(spark, monkeypatch, rows, num, size, tile, links):
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", tile)  # small tiles cut groups
     every = near_rows() + [(None if i is None else i + 1000, t) for i, t in rows]
-    found = jaccard_join.jaccard_groups(docs_of(spark, every), num, 100, size)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
+    found = jaccard_join.jaccard_groups(docs_of(spark, every), num, 100, size, with_links=links).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
     assert got == plain_components(every, num, 100, size)
+    if links:
+        sets = [s for _, s in shingles_of(every, size)]
+        count = lambda x: sum(bool(x and y) and 100 * len(x & y) >= num * len(x | y) for y in sets) - bool(x)
+        assert sorted(((r.doc_id, r.n_links) for r in found), key=str) == sorted(((i, count(s)) for (i, _), s in zip(every, sets, strict=True)), key=str)
+
+
+def test_a_group_of_many_tiles(spark, monkeypatch):
+    """Near copies connect in the dealt tiles; a template whose fillings are too far apart stays apart."""
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", 4_000)
+    monkeypatch.setattr(jaccard_join, "LEAST_WEIGHT", 100)
+    base = [f"w{k}" for k in range(120)]
+    near = [(k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]])) for k in range(100)]
+    form = [(200 + k, " ".join([*(f"t{j}" for j in range(100)), *(f"f{k}x{j}" for j in range(12))])) for k in range(60)]
+    in_tiles, sizes = jaccard_join._in_tiles, []
+    monkeypatch.setattr(jaccard_join, "_in_tiles", lambda own, placed, *a: sizes.append(placed.groupBy("tile").agg(F.sum("weight")).agg(F.max("sum(weight)")).first()[0]) or in_tiles(own, placed, *a))
+    found = jaccard_join.jaccard_groups(docs_of(spark, near + form)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == plain_components(near + form, 90, 100, 3)
+    assert {r.component_id for r in found if r.doc_id < 200} == {0}
+    assert all(s < 4 for s in sizes if s)
+
+
+def thue_morse(size):
+    out = "a"
+    while len(out) < size:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    x, y = thue_morse(1024)
+    lead = " ".join(f"w{k}" for k in range(34))
+    found = substring_dedup.drop_repeats(docs_of(spark, [(1, f"{lead} {x}"), (2, f"{lead} {y}")]))
+    assert [r.n_removed for r in found.collect()] == [0, 0]
+    found = jaccard_join.jaccard_groups(docs_of(spark, [(1, x), (2, y), (3, f"{x} a b {y} a b")]), 90, 100, 3).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(1, 1, 1), (2, 1, 2), (3, 4, 3)}
 
 
 def test_near_dedup_keeps_one(spark):
@@ -171,20 +210,29 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     assert found == sorted(expected, key=str)
 
 
-def test_prefix_keys_miss_no_link():
+def test_part_keys_miss_no_link():
     rng = np.random.default_rng(2)
-    for n in [1, 2, 9, 10, 11, 15, 30, 77, 250, 900]:
-        for num in (80, 90):
-            bounds = jaccard_join.band_bounds(num, 100)
-            for _ in range(25):
-                counts = rng.integers(0, 50, jaccard_join.COUNTS)
-                a = rng.integers(0, 2**63, n, dtype=np.uint64)
-                change = rng.integers(0, max(2, n // 6))
-                b = np.concatenate([a[change:], rng.integers(0, 2**63, rng.integers(0, change + 1), dtype=np.uint64)])
+    for n in [*range(1, 40), 77, 250, 900, 5000]:
+        for num in (70, 80, 90):
+            for _ in range(12):
+                a = rng.integers(0, 2**64, n, dtype=np.uint64)
+                change = rng.integers(0, max(2, n // 5))
+                b = np.concatenate([a[change:], rng.integers(0, 2**64, rng.integers(0, change + 1), dtype=np.uint64)])
                 a, b = np.unique(a), np.unique(b)
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= num * (len(a) + len(b) - both):
-                    assert np.intersect1d(jaccard_join.prefix_keys(a, counts, bounds, num, 100), jaccard_join.prefix_keys(b, counts, bounds, num, 100)).size
+                    assert np.intersect1d(jaccard_join.part_keys(a, num, 100), jaccard_join.part_keys(b, num, 100)).size
+
+
+def test_part_keys_need_no_counts():
+    """However large the corpus, rows meet only if a part is the same: here 60 of 300 shingles are in all of 2,000 rows."""
+    rng = np.random.default_rng(3)
+    common, seen = rng.integers(0, 2**64, 60, dtype=np.uint64), {}
+    for k in range(2000):
+        own = np.unique(np.concatenate([common, rng.integers(0, 2**64, 240, dtype=np.uint64)]))
+        for key in jaccard_join.part_keys(own, 90, 100).tolist():
+            seen.setdefault(key, set()).add(k)
+    assert max(map(len, seen.values())) <= 17
 
 
 def test_components(spark):
