@@ -1,13 +1,14 @@
-"""Helpers shared by the corpus operators: table reads, the shared scratch folder, id joins."""
+"""Helpers shared by the corpus operators: table reads, bounds of broadcasts, id joins; scratch tables are written by stage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.sources.scratch import discard, new_folder, written
+
+new_path, stage = new_folder, written
+
 #: Most rows of a side that may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Most bytes of its strings.
@@ -27,39 +28,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made for a local run."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_panelwright_dir", None)
-        if folder is None:
-            folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-            spark._panelwright_dir = folder
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that stage wrote; nothing may read them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have: name, with underscores in front as needed."""
     taken = {c.lower() for c in df.columns}

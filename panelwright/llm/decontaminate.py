@@ -1,10 +1,14 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations alone.
 
 An item is cut into windows of 13 words (a shorter item is one window). A window's tokens
-are its three-word shingles, ordered by how rare they are in the documents. As a document
-must hold all of a window, its rarest shingle is the prefix that has to match; the match
-fixes where the window would start (positional bound) and that it must fit in the document
-(length bound). What is left is compared word by word with the document.
+are its three-word shingles, ordered by how rare they are in the documents; a first pass
+over the documents only counts them. As a document must hold all of a window, its rarest
+shingle is the prefix that has to match, and a second pass joins the documents with prefix
+tokens alone. A match fixes where windows would start (positional bound) and that they must
+fit in the document (length bound). What the document says at each such place is then
+joined with the windows word by word, so that however many windows share a token, a place
+is tried once for each length. Beyond the bound of a broadcast, tokens reach the documents
+as a blocked Bloom filter first, and only what passes is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_lists, small, stage, table
+from .bloom import blocks_for, bloom_filter, may_hold
+from .common import BROADCAST_ROWS, join_lists, small, stage, table, unused
 from .url_filter import LOWER, UPPER
 
 WINDOW = 13
@@ -49,6 +54,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _judged(docs, benchmark, id_col, text_col).drop("text_hash")
 
 
+def _spots(worded: DataFrame, sizes: list[int], first: int) -> DataFrame:
+    """(id, h, n_words, pos, token) for each position from first and shingle size of worded(id, h, words)."""
+    places = F.expr(f"if(size(words) > {first}, sequence({first}, size(words) - 1), cast(array() as array<int>))")
+    spots = worded.select("id", "h", "words", F.size("words").alias("n_words"), F.explode(places).alias("pos"))
+    token = [_shingle("pos", k) for k in sizes]
+    if len(token) > 1:  # with short items, a spot has tokens of several sizes; the document itself keeps one row
+        spots = spots.select("*", F.posexplode(F.array(*token)).alias("which", "token")).where("pos >= 0 OR which = 0")
+    else:
+        spots = spots.withColumn("token", token[0] if token else F.lit(None).cast("long"))
+    return spots.select("id", "h", "n_words", "pos", "token")
+
+
+def _holding(spots: DataFrame, tokens: DataFrame, also: str = "false") -> DataFrame:
+    """spots whose token is among the distinct tokens(token), and those that also speaks for."""
+    n = tokens.count()
+    if n > BROADCAST_ROWS:
+        blocks = blocks_for(n)
+        found = may_hold(spots.where("pos >= 0"), "token", stage(bloom_filter(tokens, "token", blocks), "bench-bloom"), blocks)
+        return found.join(tokens, "token", "left_semi").unionByName(spots.where(also))
+    met = spots.join(F.broadcast(tokens.withColumn("known", F.lit(True))), "token", "left")
+    return met.where(f"(known AND pos >= 0) OR {also}").drop("known")
+
+
 def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """contamination with text_hash, which with the id tells rows apart."""
     windows = stage(item_windows(benchmark), "bench-windows")
@@ -58,36 +86,28 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -
     by_size = F.coalesce(*[F.when(F.col("s") == k, _shingle("at", k)) for k in range(1, SHINGLE + 1)])
     tokens = stage(tokens.select("key", "len", "s", "at", by_size.alias("token")), "bench-tokens")
     sizes = sorted(r[0] for r in tokens.select("s").distinct().collect())  # 1 to 3
-    known = tokens.select("token").distinct()
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = own.select("id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
-    # position -1 stands for the document itself
-    spots = own.select("id", "h", "words", F.size("words").alias("n_words"), F.explode(F.expr("sequence(-1, size(words) - 1)")).alias("pos"))
-    token = [_shingle("pos", k) for k in sizes]
-    if len(token) > 1:  # with short items, a spot has tokens of several sizes; the document itself keeps one row
-        spots = spots.select("*", F.posexplode(F.array(*token)).alias("which", "token")).where("pos >= 0 OR which = 0")
-    else:
-        spots = spots.withColumn("token", token[0] if token else F.lit(None).cast("long"))
-    known = small(known).withColumn("known", F.lit(True))
-    met = spots.select("id", "h", "n_words", "pos", "token").join(known, "token", "left").where("known OR pos = -1")
-    met = stage(met.select("id", "h", "n_words", "pos", F.when(F.col("pos") >= 0, F.col("token")).alias("token")), "bench-met")
+    own = own.select("id", F.xxhash64("text").alias("h"), "text")
+    worded = own.select("id", "h", words_of(F.col("text")).alias("words"))
 
-    counts = met.where("pos >= 0").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "token")  # a token that no document has rules its windows out
+    counts = _holding(_spots(worded, sizes, 0), stage(tokens.select("token").distinct(), "bench-known")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = stage(counts, "bench-counts")
+    ranked = tokens.join(small(counts), "token")  # a token that no document has rules its windows out
     whole = tokens.groupBy("key").agg(F.count("*").alias("needed"))
     prefix = ranked.groupBy("key").agg(F.min(F.struct("n", "at", "token", "len")).alias("x"), F.count("*").alias("had")).join(whole, "key").where("had = needed")
-    prefix = stage(prefix.select("key", "x.at", "x.token", "x.len"), "bench-prefix")
+    prefix = stage(prefix.select("x.at", "x.token", "x.len").distinct(), "bench-prefix")
 
+    # position -1 stands for the document itself
+    met = _holding(_spots(worded, sizes, -1), stage(prefix.select("token").distinct(), "bench-firsts"), "pos = -1")
+    met = stage(met.select("id", "h", "n_words", "pos", "token"), "bench-met")
     starts = met.where("pos >= 0").join(small(prefix), "token").where("pos >= at AND pos - at + len <= n_words")
-    starts = starts.select("id", "h", "key", (F.col("pos") - F.col("at")).alias("start"), "len").distinct()
-    wanted = starts.groupBy("id", "h").agg(F.collect_list(F.struct("start", "len", "key")).alias("tries"))
+    starts = starts.select("id", "h", (F.col("pos") - F.col("at")).alias("start"), "len").distinct()
+    wanted = starts.groupBy("id", "h").agg(F.collect_list(F.struct("start", "len")).alias("tries"))  # a few for each of the document's words
     wanted = stage(wanted, "bench-tries")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    texts = join_lists(texts.select("id", "h", "text"), wanted)
-    texts = texts.select("id", "h", words_of(F.col("text")).alias("words"), "tries").dropDuplicates(["id", "h"])
-    hits = texts.select("id", "h", "words", F.explode("tries").alias("x")).where("array_join(slice(words, x.start + 1, x.len), ' ') = x.key").select("id", "h", "x.*")
-    hits = stage(hits, "bench-hits")
+    texts = join_lists(own, wanted).select("id", "h", words_of(F.col("text")).alias("words"), "tries").dropDuplicates(["id", "h"])
+    tried = texts.select("id", "h", "words", F.explode("tries").alias("x")).select("id", "h", "x.*", F.expr("array_join(slice(words, x.start + 1, x.len), ' ')").alias("key"))
+    hits = stage(tried.join(small(listed.select("key")), "key"), "bench-hits")
 
     covered = hits.select("id", "h", "start", "len").distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("spans"))
     covered = covered.select("id", "h", F.expr("aggregate(spans, struct(0 AS upto, 0L AS n), (a, x) -> struct(greatest(a.upto, x.start + x.len) AS upto, a.n + greatest(0, x.start + x.len - greatest(a.upto, x.start)) AS n)).n").alias("n_hit"))
@@ -113,12 +133,14 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated rows, all columns as they were; a row is judged by its id and text."""
     bad = _judged(docs, benchmark, id_col, text_col).where("contaminated")
-    bad = small(stage(bad.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__of")).distinct(), "bench-bad"))
-    marked = docs.withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
-    return marked.join(bad, F.col(id_col).eqNullSafe(bad["__id"]) & (marked["__h"] == bad["__of"]), "left_anti").drop("__h")
+    i, of, h = (unused(docs, x) for x in ("bad_id", "bad_hash", "own_hash"))
+    bad = small(stage(bad.select(F.col(id_col).alias(i), F.col("text_hash").alias(of)).distinct(), "bench-bad"))
+    marked = docs.withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
+    return marked.join(bad, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(of)), "left_anti").drop(h)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every item of the benchmark: n_words, n_hit, n_items, items_sha256, contaminated."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

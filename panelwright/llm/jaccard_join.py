@@ -381,6 +381,7 @@ def near_dedup(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component at a similarity of 0.9 over three-word shingles."""
     return jaccard_groups(table(spark, sf_dir, "documents")).drop("head", "row_no", "text_hash", "again")
 
 

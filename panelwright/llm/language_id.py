@@ -21,12 +21,14 @@ from .common import prepare, table
 DIMENSIONS = 8192
 CENTROIDS = 4
 ROUNDS = 12
+#: Share of a language's rows that a centroid must be the nearest of.
+LEAST_CLUSTER = 0.03
 #: Labelled texts of a language that the model is fitted on, at most.
 MAX_PER_LANG = 600
 #: A text is rejected below this share of the similarity that all but REJECT_QUANTILE of its
 #: language's training texts have to centroids of the FOLDS that they are not in.
-REJECT_SHARE = 0.5
-REJECT_QUANTILE = 0.01
+REJECT_SHARE = 0.7
+REJECT_QUANTILE = 0.02
 FOLDS = 5
 #: Distinct grams from which on a text's length doesn't matter for its bound.
 FULL_GRAMS = 64
@@ -52,18 +54,23 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(rows: np.ndarray, k: int) -> np.ndarray:
-    """Unit centroids of unit rows; seeds are the rows furthest from those before."""
+    """Unit centroids of unit rows, without those that very few rows are near.
+
+    A seed is a row further from the seeds before than nine in ten are, not the furthest:
+    that may be mislabelled, and a centroid of its own would make its language known here.
+    """
     seeds = [int(np.argmax(rows @ rows.mean(axis=0)))]
     near = rows @ rows[seeds[0]]
     while len(seeds) < min(k, len(rows)):
-        seeds.append(int(np.argmin(near)))
+        seeds.append(int(np.argsort(near, kind="stable")[len(rows) // 10]))
         near = np.maximum(near, rows @ rows[seeds[-1]])
     found = rows[seeds]
     for _ in range(ROUNDS):
         own = np.argmax(rows @ found.T, axis=1)
         means = np.stack([rows[own == c].mean(axis=0) if (own == c).any() else found[c] for c in range(len(found))])
         found = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    return found
+    sizes = np.bincount(np.argmax(rows @ found.T, axis=1), minlength=len(found))
+    return found[sizes >= min(sizes.max(), LEAST_CLUSTER * len(rows))]
 
 
 def length_factor(counts: np.ndarray) -> np.ndarray:
@@ -128,6 +135,19 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids), "bounds": np.array(bounds)}
 
 
+def judge(texts: list[str | None], m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: its nearest centroid (-1 for none), their cosine, and whether it is rejected."""
+    near, score, rejected = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    known = [k for k, t in enumerate(texts) if m["langs"] and t and any(map(str.isalpha, t))]
+    if known:
+        counts = np.stack([gram_counts(texts[k]) for k in known])
+        cos = vectors(counts, m["idf"]) @ m["centroids"].T
+        best = cos.argmax(axis=1)
+        near[known], score[known] = best, np.clip(cos[np.arange(len(known)), best], 0, 1)
+        rejected[known] = score[known] < m["bounds"][best] * length_factor(counts)
+    return near, score, rejected
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, lang_pred, score (cosine, 0 to 1), rejected.
 
@@ -144,20 +164,9 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def guess(batches):
         m = model.value
         for batch in batches:
-            texts, langs, scores, rejected = batch.column(1).to_pylist(), [], [], []
-            known = [k for k, t in enumerate(texts) if m["langs"] and t and any(map(str.isalpha, t))]
-            found = {}
-            if known:
-                counts = np.stack([gram_counts(texts[k]) for k in known])
-                cos = vectors(counts, m["idf"]) @ m["centroids"].T
-                best = cos.argmax(axis=1)
-                found = {k: (b, float(c[b]), f) for k, b, c, f in zip(known, best, cos, length_factor(counts), strict=True)}
-            for k in range(len(texts)):
-                b, score, factor = found.get(k, (None, 0.0, 1.0))
-                langs.append("und" if b is None else m["langs"][b])
-                scores.append(min(1.0, max(0.0, score)))
-                rejected.append(b is None or score < m["bounds"][b] * factor)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[id_col, "lang_pred", "score", "rejected"])
+            near, score, rejected = judge(batch.column(1).to_pylist(), m)
+            langs = [m["langs"][b] if b >= 0 else "und" for b in near.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(guess, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
@@ -168,7 +177,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def keep_known(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs without the rows that predict rejects, all columns as they were; a row is judged by its own text."""
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,22 +186,13 @@ def keep_known(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     def known(texts):
         import pandas as pd
 
-        m = model.value
-        out = []
-        for t in texts:
-            if not m["langs"] or not t or not any(map(str.isalpha, t)):
-                out.append(False)
-                continue
-            counts = gram_counts(t)
-            cos = (vectors(counts[None], m["idf"]) @ m["centroids"].T)[0]
-            best = int(cos.argmax())
-            out.append(bool(cos[best] >= m["bounds"][best] * length_factor(counts)))
-        return pd.Series(out, dtype=bool)
+        return pd.Series(~judge(texts.tolist(), model.value)[2])
 
     return docs.where(known(F.col(text_col).cast("string")))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model of the rows that aren't held out: held_out, lang_pred, score, rejected."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -171,6 +171,7 @@ def decode_pieces(rows: DataFrame, model_path: str, pieces_col: str = "pieces",
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, their digest, and whether they decode to the text."""
     import public_tokenizers
 
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -265,6 +265,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows of 35 words: n_words, n_removed, kept_sha256."""
     return drop_repeats(table(spark, sf_dir, "documents"))
 
 

@@ -8,6 +8,7 @@ the writer adds page indexes, so a reader fetches metadata alone or the pages of
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -31,18 +32,43 @@ PAGE_ROWS = 2_000
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: What a tokenizer file must say for its ids to be those of words in a row: it lower-cases, drops white space and cuts at it.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids in a row, as WordIds takes them."""
+    parts = json.loads(tokenizer.to_str())
+    model, cuts = parts["model"], parts["pre_tokenizer"] or {}
+    return (
+        parts["normalizer"] == _NORMAL
+        and cuts.get("pretokenizers") == _CUTS
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in parts["added_tokens"])
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in parts["added_tokens"])
+    )
+
+
 class WordIds(dict):
     """Word (bytes without ASCII white space, A-Z lowered) -> its ids as little-endian uint32 bytes.
 
-    The tokenizer lower-cases, drops white space and never merges across it, so a text's
-    ids are its words' ids in a row. A word of plain letters goes straight to the BPE
-    model; any other word takes the tokenizer's whole path.
+    For a tokenizer that lower-cases, drops white space and never merges across it, so that
+    a text's ids are its words' ids in a row. A word of plain letters goes straight to the
+    BPE model; any other word takes the tokenizer's whole path. With any other tokenizer, a
+    text takes that path as a whole.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.whole = not by_words(self.tokenizer)
         self.model = self.tokenizer.model
         level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tails: dict[bytes, bytes] = {}
@@ -75,6 +101,8 @@ class WordIds(dict):
         return self.tails[tail]
 
     def text(self, raw: bytes) -> bytes:
+        if self.whole:
+            return np.asarray(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = raw.lower().split()
         if b"<|" in raw:  # special tokens are matched before lower-casing
             words = [own if b"<|" in own else low for own, low in zip(raw.split(), words, strict=True)]
@@ -172,6 +200,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token files of every document and give each one's digest from what is read back."""
     import public_tokenizers
 
     from .common import table

@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import blocks_for, bloom_filter, may_hold
 from .common import small, stage, table
 
 #: The rules of the registered query: verdict, host and path prefix.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Keys a Bloom block is meant to hold: 256 bits for 16 keys.
-BLOCK_KEYS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -29,19 +28,9 @@ def url_parts(url: F.Column) -> tuple[F.Column, F.Column]:
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """rules(rule, verdict): a rule is host, then a path that begins with '/'."""
-    return spark.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
-
-
-def _bits(key: str, blocks: int) -> tuple[F.Column, list[F.Column]]:
-    h, g = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.lit("bits"))
-    return F.pmod(h, F.lit(blocks)), [F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({key}, 'bits'), {6 * i}) & 63 as int))") for i in range(4)]
-
-
-def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
-    """The filter: block long, w0..w3 long."""
-    block, bits = _bits("rule", blocks)
-    marked = rules.select(block.alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
-    return marked.groupBy("block").agg(*[F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(4)])
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for v, r in rules]
+    listed = F.array(*rows) if rows else F.array().cast("array<struct<rule: string, verdict: string>>")
+    return spark.range(1).select(F.inline(listed))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -52,9 +41,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     or one without '://', whose host and path are empty. Repeated rows and null ids are
     kept as they come. An empty table gives no rows; other columns are ignored.
     """
-    rules = rules.where("rule IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    rules = stage(rules.where("rule IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict")), "url-rules")
     n = rules.count()
-    blocks = max(1, -(-n // BLOCK_KEYS))
+    blocks = blocks_for(n)
     lengths = sorted(r[0] for r in rules.select(F.expr("length(rule) - instr(rule, '/') + 1").alias("k")).distinct().collect())  # a url's length bounds them
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
@@ -63,17 +52,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     hosts = spots.select("host", "path", F.posexplode(labels).alias("at", "label")).select("host", "path", F.expr(r"array_join(slice(split(host, '\\.'), at + 1, size(split(host, '\\.'))), '.')").alias("suffix"))
     sized = F.array(*[F.lit(k) for k in lengths]).cast("array<int>")
     keys = hosts.select("host", "path", "suffix", F.explode(sized).alias("k")).where("k <= length(path)").select("host", "path", F.expr("suffix || substring(path, 1, k)").alias("key"))
-    block, bits = _bits("key", blocks)
-    tried = keys.select("host", "path", "key", block.alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
-    filter_rows = bloom_blocks(rules, blocks)
-    passed = tried.join(small(filter_rows, blocks), "block").where(" AND ".join(f"(w{i} & b{i}) <> 0" for i in range(4)))
-    hits = passed.select("host", "path", "key").join(small(rules, n), F.col("key") == F.col("rule"))
+    passed = may_hold(keys, "key", stage(bloom_filter(rules, "rule", blocks), "url-bloom"), blocks)
+    hits = passed.join(small(rules, n), F.col("key") == F.col("rule"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("k"), "rule", "verdict")).alias("best"))
     best = stage(best.select("host", "path", "best.rule", "best.verdict"), "url-hits")
     return parsed.join(best, ["host", "path"], "left").select(F.col(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict under RULES: (page_id, host, path, rule, verdict)."""
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 

@@ -67,6 +67,15 @@ def test_a_text_over_many_partitions(spark):
     assert found.agg(F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.sum(F.col("kept").cast("int"))).first() == (0, 0, 500, 1)
 
 
+def test_a_text_of_many_pieces(spark, monkeypatch):
+    """A text that most rows share never stands in a task as a whole."""
+    monkeypatch.setattr(exact_dedup, "OUT_ROWS", 16)
+    many = [(i, "same  text") for i in range(400)] + [(400 + i, f"own {i % 40}") for i in range(80)] + [(None, "same text")] * 3
+    found = exact_dedup.exact_groups(docs_of(spark, many, 4))
+    assert found.where("doc_id < 400").agg(F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.sum(F.col("kept").cast("int"))).first() == (0, 0, 403, 1)
+    assert found.count() == 483 and found.where("kept").count() == 41
+
+
 def plain_repeats(rows, window):
     words = [(i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
     seen = {}
@@ -235,6 +244,63 @@ def test_part_keys_need_no_counts():
     assert max(map(len, seen.values())) <= 17
 
 
+INSIDE = "id text h n row rows print keys map near node root band tile block label weight class cells i j key rule verdict host path x at token len s pos words tries start known words_ hits own bin part piece edge head keep kept sha lead shard depth prefix cell n_bytes doc first again window more deal anchor anchors spots starts spot gone_id gone_hash gone_again own_hash gone_sha own_sha gone_same row_order bad_id bad_hash lang lang_pred score rejected p_toxic toxic k features n_pieces pieces round_trip ids_crc32 __h __id __sha __text __own part_start n_tokens tokens base".split()
+
+
+def clashing(spark, rows, id_col="doc_id", text_col="text"):
+    names = [n for n in INSIDE if n not in (id_col, text_col)]
+    return spark.createDataFrame([(i, t, *[f"v{k}" for k in range(len(names))]) for k, (i, t) in enumerate(rows)], f"{id_col} long, {text_col} string, " + ", ".join(f"`{n}` string" for n in names))
+
+
+def test_columns_with_the_names_used_inside(spark):
+    """All ten operators give the same for a table that has every name they use inside as a column."""
+    rows = [(1, "the first text of a few words here"), (2, "the first text of a few words here"), (2, "another"), (None, None), (3, "")]
+    bare = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = clashing(spark, rows)
+    items = spark.createDataFrame([(7, "first text of a few")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    lang = language_id.fit(bare.withColumn("lang", F.lit("xx")))
+    chain = toxicity.fit(bare, labels, {"toxic": F.col("toxic")})
+
+    def tokens(docs):
+        path = new_path(spark, "tokens")
+        token_files.write_tokens(docs, path, TOKENIZER, 1)
+        return token_files.token_digests(token_files.read_tokens(spark, path))
+
+    made = {
+        "op1": tokens,
+        "op2": lambda d: sharding.assign_shards(d, 20),
+        "op3": lambda d: substring_dedup.drop_repeats(d, 5),
+        "op4": lambda d: language_id.predict(d, lang),
+        "op6": lambda d: sentence_pieces.encode_pieces(d, PIECES),
+        "op7": exact_dedup.exact_groups,
+        "op8": lambda d: jaccard_join.jaccard_groups(d).drop("row_no", "head", "again"),
+        "op9": lambda d: decontaminate.contamination(d, items),
+        "op10": lambda d: toxicity.score(d, chain),
+    }
+    for name, operator in made.items():
+        assert sorted(map(str, operator(wide).collect())) == sorted(map(str, operator(bare).collect())), name
+    kept = {
+        "op4": lambda d: language_id.keep_known(d, lang),
+        "op7": exact_dedup.exact_dedup,
+        "op8": jaccard_join.near_dedup,
+        "op9": lambda d: decontaminate.decontaminate(d, items),
+    }
+    for name, stage_ in kept.items():
+        found = stage_(wide)
+        assert found.columns == wide.columns, name
+        assert sorted((str(r.doc_id), str(r.text)) for r in found.collect()) == sorted((str(r.doc_id), str(r.text)) for r in stage_(bare).collect()), name
+        assert set(found.collect()) <= set(wide.collect())
+    path = new_path(spark, "shards")
+    name = sharding.write_shards(wide, path, 20)
+    assert name == "_shard"
+    assert sorted(map(str, sharding.read_shards(spark, path, wide, name).drop(name).collect())) == sorted(map(str, wide.collect()))
+    urls = [(1, "http://a.net/x"), (2, None)]
+    rules = url_filter.rule_table(spark, url_filter.RULES)
+    wide_urls = clashing(spark, urls, "page_id", "url")
+    assert sorted(map(str, url_filter.filter_urls(wide_urls, rules).collect())) == sorted(map(str, url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 30)] + [(100, 101), (103, 101), (7, 7), (5, 2), (2, 5)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -286,6 +352,17 @@ def test_contamination(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, docs), frame).collect()} == clean
 
 
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_contamination_by_a_large_and_templated_benchmark(spark, monkeypatch, bound):
+    """Tokens over the broadcast bound go by a Bloom filter; windows that share their rarest token are tried once a place."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+    form = " ".join(f"f{k}" for k in range(12))
+    items = [(k, f"{form} answer{k} end") for k in range(300)] + [(1000, "one"), (1001, "two words")]
+    docs = [(k, f"a {form} answer{k} end b") for k in range(0, 60, 7)] + [(100, form), (101, f"{form} other end"), (102, "one two words"), (103, None)]
+    found = decontaminate.contamination(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted([tuple(r) for r in found.collect()], key=str) == plain_contamination(docs, items)
+
+
 def test_decontaminate_with_null_and_repeated_ids(spark):
     item = " ".join(f"bench{k}" for k in range(20))
     frame = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -319,6 +396,28 @@ def test_token_files(spark, rows):
     assert [list(r.tokens) for r in one] == [ids[7]]
 
 
+def test_token_files_of_another_tokenizer_and_their_layout(spark, rows):
+    """A tokenizer that merges across spaces takes whole texts; the files have the encodings, row groups and page indexes asked for."""
+    import glob
+
+    import pyarrow.parquet as pq
+    import tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_files.word_ids(other).whole and not token_files.word_ids(TOKENIZER).whole
+    tokenizer, path = tokenizers.Tokenizer.from_file(other), new_path(spark, "tokens")
+    token_files.write_tokens(docs_of(spark, rows), path, other, end_id=1)
+    texts = dict(rows)
+    for r in token_files.read_tokens(spark, path).collect():
+        assert list(r.tokens) == tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1]
+    for name in glob.glob(path.removeprefix("file://") + "/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and "RLE_DICTIONARY" in columns["tokens.list.element"].encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+
+
 def test_word_ids_equal_whole_texts():
     import tokenizers
 
@@ -416,6 +515,26 @@ def test_language_id(spark):
     assert language_id.predict(frame.limit(0), model).count() == 0
 
 
+def test_language_id_held_out(spark):
+    """On the given tables: right on rows that weren't learned from; a language that wasn't learned is rejected, known ones aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rest = docs.where(language_id.held_out())
+    found = language_id.predict(rest, language_id.fit(docs.where(~language_id.held_out()))).join(rest.select("doc_id", "lang"), "doc_id")
+    n, right, refused = found.agg(F.count("*"), F.count_if(F.expr("lang_pred = lang")), F.count_if("rejected")).first()
+    assert right >= 0.98 * n and refused <= 0.02 * n
+    for gone in ("en", "fr"):
+        model = language_id.fit(docs.where(~language_id.held_out() & (F.col("lang") != gone)))
+        found = language_id.predict(rest, model).join(rest.select("doc_id", (F.col("lang") == gone).alias("gone")), "doc_id")
+        seen = {r.gone: (r.n, r.refused) for r in found.groupBy("gone").agg(F.count("*").alias("n"), F.count_if("rejected").alias("refused")).collect()}
+        assert seen[True][1] >= 0.9 * seen[True][0] and seen[False][1] <= 0.02 * seen[False][0]
+
+
+def test_language_ties_take_the_first_language():
+    model = {"langs": ["aa", "bb"], "idf": np.ones(language_id.DIMENSIONS, np.float32), "centroids": np.ones((2, language_id.DIMENSIONS), np.float32) / language_id.DIMENSIONS**0.5, "bounds": np.zeros(2)}
+    near, _, rejected = language_id.judge(["some words", None, "12"], model)
+    assert near.tolist() == [0, -1, -1] and rejected.tolist() == [False, True, True]
+
+
 def test_language_id_rejects_unlearned_languages_in_known_letters(spark):
     frame = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
     model = language_id.fit(frame)
@@ -498,7 +617,20 @@ def test_toxicity(spark):
     assert [n for n, _ in chain] == ["low_quality", "toxic"] and len(chain[1][1].earlier) == 1
     found = {r.doc_id: r for r in toxicity.score(docs_of(spark, docs), chain).collect()}
     truth = {k: "scumbag" in (t or "") for k, t in docs}
-    assert sum(found[k].toxic == truth[k] for k in truth) >= 0.98 * len(truth)
+    unseen = [k for k in truth if k >= 300]  # rows without a label
+    assert sum(found[k].toxic == truth[k] for k in unseen) >= 0.97 * len(unseen)
     assert not found[400].toxic and 0 <= found[400].p_toxic <= 1
-    assert toxicity.fit(docs_of(spark, docs), frame.limit(0), {"toxic": F.col("toxic")}) == []
+    none = toxicity.fit(docs_of(spark, docs), frame.limit(0), {"toxic": F.col("toxic")})
+    assert none == [("toxic", None)]
+    assert {(r.p_toxic, r.toxic) for r in toxicity.score(docs_of(spark, docs), none).collect()} == {(None, False)}
     assert toxicity.score(docs_of(spark, docs).limit(0), chain).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    """On the given tables: fitted on three quarters of the labels, judged on the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    chain = toxicity.fit(docs, labels.where(~rest), {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    judged = toxicity.score(docs.join(labels.where(rest).select("doc_id"), "doc_id", "left_semi"), chain).select("doc_id", F.col("toxic").alias("said"))
+    hit, all_, said = labels.join(judged, "doc_id").agg(F.count_if(F.expr("said AND toxic = 1")), F.count_if(F.expr("toxic = 1")), F.count_if("said")).first()
+    assert hit >= 0.9 * all_ and hit >= 0.93 * said
