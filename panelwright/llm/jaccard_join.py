@@ -157,6 +157,21 @@ def link_tile(nodes: list[int], labels: list[int], blocks: list[str], texts: lis
     return links
 
 
+def as_stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs that connect what links connect, each node with the least that it reaches."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        above[max(a, b)] = min(a, b)
+    return [(root(x), x) for x in above if root(x) != x]
+
+
 def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, head, row_no, text_hash, again; n_links if asked for.
 
@@ -237,8 +252,9 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
 def _near(keyed: DataFrame) -> DataFrame:
     """near(node, root) of the rows that share keys, directly or through others: keyed(row, keys).
 
-    Each task first chains the rows of a key that it has itself and passes on one of them,
-    so that a key of very many rows is a row a task for the shuffle.
+    A key's rows are joined to the least of them. Each task first does so with the rows that
+    it has itself and passes on the least, so that a key of very many rows is a row a task
+    for the shuffle.
     """
 
     def combine(batches):
@@ -250,10 +266,11 @@ def _near(keyed: DataFrame) -> DataFrame:
             order = np.lexsort((row, key))
             row, key = row[order], key[order]
             new = np.concatenate([[True], key[1:] != key[:-1]])
-            pairs = np.unique(np.stack([row[:-1][~new[1:]], row[1:][~new[1:]]], axis=1), axis=0)
+            least = row[new][np.cumsum(new) - 1]
+            pairs = np.unique(np.stack([least[~new], row[~new]], axis=1), axis=0)
             found = pa.table({"key": pa.array(key[new]), "row": pa.array(row[new]), "other": pa.nulls(int(new.sum()), pa.int64())})
-            chained = pa.table({"key": pa.array(mix(pairs[:, 0].astype(np.uint64)).view(np.int64)), "row": pa.array(pairs[:, 0]), "other": pa.array(pairs[:, 1])})
-            return [*found.to_batches(max_chunksize=1 << 16), *chained.to_batches(max_chunksize=1 << 16)]
+            joined = pa.table({"key": pa.array(mix(pairs[:, 0].astype(np.uint64)).view(np.int64)), "row": pa.array(pairs[:, 0]), "other": pa.array(pairs[:, 1])})
+            return [*found.to_batches(max_chunksize=1 << 16), *joined.to_batches(max_chunksize=1 << 16)]
 
         for batch in batches:
             lists = batch.column(1)
@@ -267,8 +284,8 @@ def _near(keyed: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    def chain(batches):
-        last_key = last_row = None
+    def join(batches):
+        last_key = last_least = None
         for batch in batches:
             other = batch.column(2)
             linked = np.asarray(other.is_valid())
@@ -276,15 +293,16 @@ def _near(keyed: DataFrame) -> DataFrame:
             a, b = row[linked], other.drop_null().to_numpy()
             row, key = row[~linked], key[~linked]
             if len(key):
-                same = np.concatenate([[key[0] == last_key], key[1:] == key[:-1]])
-                before = np.concatenate([[row[0] if last_row is None else last_row], row[:-1]])
-                a, b = np.concatenate([a, before[same]]), np.concatenate([b, row[same]])
-                last_key, last_row = key[-1], row[-1]
+                new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
+                firsts = np.concatenate([[row[0] if new[0] else last_least], row[1:][new[1:]]])
+                least = firsts[np.cumsum(new) - int(new[0])]
+                a, b = np.concatenate([a, least[~new]]), np.concatenate([b, row[~new]])
+                last_key, last_least = key[-1], least[-1]
             pairs = np.unique(np.stack([a, b], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     met = keyed.mapInArrow(combine, "key long, row long, other long").repartition("key").sortWithinPartitions("key", "row")
-    near = components(met.mapInArrow(chain, "a long, b long").distinct())
+    near = components(met.mapInArrow(join, "a long, b long").distinct())
     return near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -339,7 +357,7 @@ def _crossed(member: DataFrame, every: bool) -> DataFrame:
 
 
 def _in_tiles(own: DataFrame, placed: DataFrame, num: int, den: int, size: int, every: bool) -> DataFrame:
-    """Links of the rows placed(id, h, node, root, label, block, tile), whose texts come from own(id, h, text)."""
+    """Links of the rows placed(id, h, node, root, label, block, tile), whose texts come from own(id, h, text); without every, pairs that connect the same rows."""
 
     def link(group: pa.Table) -> pa.Table:
         roots: dict[int, dict] = {}
@@ -349,7 +367,8 @@ def _in_tiles(own: DataFrame, placed: DataFrame, num: int, den: int, size: int,
         for rows in roots.values():
             if len(rows) > 1:
                 labels, blocks, texts = zip(*rows.values(), strict=True)
-                pairs += link_tile(list(rows), list(labels), list(blocks), list(texts), num, den, size, every)
+                found = link_tile(list(rows), list(labels), list(blocks), list(texts), num, den, size, every)
+                pairs += found if every else as_stars(found)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     placed = stage(placed.select("id", "h", "node", "root", "label", "block", "tile"), "join-tiles")
