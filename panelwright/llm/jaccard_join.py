@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, join_lists, prepare, small, stage, table, unused
-from .components import components
+from .components import components, partitions_for
 from .hashes import mix, run_hashes
 
 #: Keys that a task combines at once.
@@ -211,29 +211,30 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     keyed = stage(keyed.withColumn("row", F.monotonically_increasing_id()), "join-sets")
     sets = keyed.drop("keys")  # the scan leaves out the keys
 
-    # equal sets are one: rows of a repeated set point to its first row
-    prints = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    # aggregates are written before they are joined, so that Spark can split the other side's hot keys
-    prints = stage(prints, "join-prints")
-    same = stage(sets.select("row", "print").join(prints, "print").where("row <> rep").select("row", "rep"), "join-same")
+    with partitions_for(docs.sparkSession, keyed.count()):  # narrow rows from here on, but for keys and tiles
+        # equal sets are one: rows of a repeated set point to its first row
+        prints = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+        # aggregates are written before they are joined, so that Spark can split the other side's hot keys
+        prints = stage(prints, "join-prints")
+        same = stage(sets.select("row", "print").join(prints, "print").where("row <> rep").select("row", "rep"), "join-same")
     alone = keyed.join(small(same.select("row")), "row", "left_anti")
-
-    near = stage(_near(alone.select("row", "keys")), "join-near")
+    near = _near(alone.select("row", "keys"))
     links = _links(own, sets, near, num, den, size, with_links)
     joined = components(links)
 
-    rep = sets.select("row", "id", "n", "h").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
-    joined = small(joined.select(F.col("node").alias("rep"), "root"))
-    rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    if with_links:
-        copies = prints.select("rep", "copies")
-        ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, F.col("b") == F.col("rep"), "left")
-        ends = ends.groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("others"))
-        rooted = rooted.join(stage(ends, "join-ends"), "rep", "left").join(copies, "rep", "left")
-        rooted = rooted.withColumn("n_links", F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
-    more = ["n_links"] if with_links else []
-    rooted = stage(rooted.select("row", "id", "n", "h", "root", *more), "join-rooted")
-    groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("h"))).alias("first")), "join-firsts")
+    with partitions_for(docs.sparkSession, keyed.count()):
+        rep = sets.select("row", "id", "n", "h").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+        joined = small(joined.select(F.col("node").alias("rep"), "root"))
+        rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        if with_links:
+            copies = prints.select("rep", "copies")
+            ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, F.col("b") == F.col("rep"), "left")
+            ends = ends.groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("others"))
+            rooted = rooted.join(stage(ends, "join-ends"), "rep", "left").join(copies, "rep", "left")
+            rooted = rooted.withColumn("n_links", F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
+        more = ["n_links"] if with_links else []
+        rooted = stage(rooted.select("row", "id", "n", "h", "root", *more), "join-rooted")
+        groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("h"))).alias("first")), "join-firsts")
     discard(keyed, prints, same, near, links)
     out = rooted.join(groups, "root")
     head = F.col("row") == F.col("first.row")
@@ -250,7 +251,7 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
 
 
 def _near(keyed: DataFrame) -> DataFrame:
-    """near(node, root) of the rows that share keys, directly or through others: keyed(row, keys).
+    """near(node, root), written, of the rows that share keys, directly or through others: keyed(row, keys).
 
     A key's rows are joined to the least of them. Each task first does so with the rows that
     it has itself and passes on the least, so that a key of very many rows is a row a task
@@ -302,8 +303,10 @@ def _near(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     met = keyed.mapInArrow(combine, "key long, row long, other long").repartition("key").sortWithinPartitions("key", "row")
-    near = components(met.mapInArrow(join, "a long, b long").distinct())
-    return near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
+    near = components(met.mapInArrow(join, "a long, b long"))
+    with_roots = F.explode(F.array(F.struct("node", "root"), F.struct(F.col("root").alias("node"), "root")))
+    with partitions_for(keyed.sparkSession, near.count()):
+        return stage(near.select(with_roots.alias("x")).select("x.*").distinct(), "join-near")
 
 
 def _links(own: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int, size: int, every: bool) -> DataFrame:
@@ -313,7 +316,8 @@ def _links(own: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int,
     member = member.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
     member = stage(member.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)) / TILE_SHINGLES), "join-members")
 
-    whole = stage(member.groupBy("root").agg(F.sum("weight").alias("all")), "join-wholes")
+    with partitions_for(own.sparkSession, near.count()):
+        whole = stage(member.groupBy("root").agg(F.sum("weight").alias("all")), "join-wholes")
     large = whole.where("all > 1").select("root", F.ceil("all").alias("tiles"))  # at most a row a tile's weight
     bins = max(1, math.ceil(whole.agg(F.sum("all")).first()[0] or 0))
     few, most = member.join(small(large.select("root")), "root", "left_anti"), member.join(small(large), "root")
@@ -327,7 +331,9 @@ def _links(own: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int,
     if large.limit(1).count():
         joined = components(links)
         apart = most.join(joined, most["node"] == joined["node"], "left").select(most["*"], F.coalesce(joined["root"], most["node"]).alias("label"))
-        late = stage(_in_tiles(own, _crossed(stage(apart, "join-apart"), every), num, den, size, every), "join-late")
+        with partitions_for(own.sparkSession, near.count()):
+            crossed = stage(_crossed(stage(apart, "join-apart"), every), "join-crossed")
+        late = stage(_in_tiles(own, crossed, num, den, size, every), "join-late")
         links = stage(links.unionAll(late), "join-links")
     discard(member, whole)
     return links
