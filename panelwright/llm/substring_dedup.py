@@ -36,11 +36,10 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def anchors(words: list[bytes], level: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the level's windows, and for each target window the place of its anchor."""
-    hashes = run_hashes(words, level)[0]
+def anchors(hashes: np.ndarray, level: int, window: int) -> np.ndarray:
+    """For each target window, the place of its anchor among the hashes of the level's windows."""
     inside = np.lib.stride_tricks.sliding_window_view(hashes, window - level + 1)
-    return hashes, inside.argmin(axis=1) + np.arange(len(inside))
+    return inside.argmin(axis=1) + np.arange(len(inside))
 
 
 def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
@@ -81,8 +80,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                     hashes.append(np.empty(0, np.int64))
                     spots.append(np.empty(0, np.int32))
                     continue
-                found, at = anchors(w, lengths[0], window)
-                at = np.unique(at)
+                found = run_hashes(w, lengths[0])[0]
+                at = np.unique(anchors(found, lengths[0], window))
                 hashes.append(found[at].view(np.int64))
                 spots.append(at)
             yield pa.RecordBatch.from_arrays(
@@ -93,11 +92,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     whole = stage(own.mapInArrow(first, f"id {kind}, h long, n_words long, sha string, anchors array<long>, spots array<int>"), "repeat-first")
     alive = _repeated(whole)
 
-    def candidates(text: bytes, level: int, spots: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The starts of target windows whose anchor at the level is among spots."""
-        words = text.split()
-        at = anchors(words, level, window)[1]
-        return words, np.flatnonzero(np.isin(at, spots))
+    def among(places: np.ndarray, spots: list[int]) -> np.ndarray:
+        """The starts of target windows whose anchor is at one of the spots."""
+        held = np.zeros(int(places.max()) + 1, dtype=bool)
+        held[spots] = True
+        return np.flatnonzero(held[places])
 
     for before, level in zip(lengths[:-2], lengths[1:-1], strict=False):
 
@@ -105,9 +104,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             for batch in batches:
                 hashes, places = [], []
                 for text, spots in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    words, starts = candidates(text, before, np.asarray(spots))
-                    found, at = anchors(words, level, window)
-                    at = np.unique(at[starts])
+                    shorter, found = run_hashes(text.split(), before, level)
+                    starts = among(anchors(shorter, before, window), spots)
+                    at = np.unique(anchors(found, level, window)[starts])
                     hashes.append(found[at].view(np.int64))
                     places.append(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(hashes, np.int64), _lists(places, np.int32)], names=["id", "h", "anchors", "spots"])
@@ -122,10 +121,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         for batch in batches:
             ids, prints, marks, firsts, packed = [], [], [], [], []
             for n, (text, spots) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                words, starts = candidates(text, level, np.asarray(spots))
+                words = text.split()
+                found = run_hashes(words, level)[0]
+                at = anchors(found, level, window)
+                starts = among(at, spots)
                 if not len(starts):
                     continue
-                found, at = anchors(words, level, window)
                 raw = window_digests(words, starts, window)
                 cuts = np.flatnonzero((np.diff(starts) > 1) | (np.diff(at[starts]) != 0)) + 1
                 edges = [0, *cuts.tolist(), len(starts)]
