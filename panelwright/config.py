@@ -43,8 +43,9 @@ class PanelConfig:
     zero_missing: bool = True
     tail_drop: bool = True
     selection_metric: str = "trsp"
-    #: Parameters of a fit and the stages of their search.
-    fixed_params: dict = field(default_factory=lambda: {"max_depth": 3, "eta": 0.05, "subsample": 0.8, "colsample_bytree": 0.8})
+    #: Parameters of the ranking and sweep fits and their most rounds, and the grid and stages of a search.
+    fixed_params: dict = field(default_factory=lambda: {"max_depth": 3, "eta": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 1, "gamma": 0, "reg_lambda": 1, "reg_alpha": 0})
+    fixed_rounds: int = 600
     grid: dict = field(
         default_factory=lambda: {
             "max_depth": [3, 5, 7],
@@ -53,9 +54,11 @@ class PanelConfig:
             "colsample_bytree": [0.6, 0.8],
             "min_child_weight": [1],
             "gamma": [0],
+            "reg_lambda": [1],
+            "reg_alpha": [0],
         }
     )
-    stages: tuple[tuple[str, ...], ...] = (("max_depth", "eta"), ("subsample", "colsample_bytree"), ("min_child_weight", "gamma"))
+    stages: tuple[tuple[str, ...], ...] = (("max_depth", "eta"), ("subsample", "colsample_bytree"), ("min_child_weight", "gamma"), ("reg_lambda", "reg_alpha"))
     max_rounds: int = 2000
     patience: int = 50
 

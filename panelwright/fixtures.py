@@ -30,16 +30,25 @@ def weekly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("ts", _sid(F.col("idx")).alias("sid"), speed.alias("speed"))
 
 
-def sensors_of(readings: DataFrame) -> DataFrame:
-    """sensors(sid, idx) of the derived panels."""
-    return readings.select("sid").distinct().withColumn("idx", (F.col("sid").cast("int") - FIRST_SID).cast("int"))
+def hourly_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensors(sid, idx) of hourly_readings, from the ids alone."""
+    return _sensors(spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("idx")))
+
+
+def weekly_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensors(sid, idx) of weekly_readings, from the ids alone."""
+    return _sensors(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("idx")))
+
+
+def _sensors(ids: DataFrame) -> DataFrame:
+    return ids.distinct().select(_sid(F.col("idx")).alias("sid"), F.col("idx").cast("int").alias("idx"))
 
 
 def edges_of(sensors: DataFrame) -> DataFrame:
     """edges(src, dst, weight): self-loops, each to the next, even ones to the third next, among the sensors."""
     most = sensors.agg(F.max("idx").alias("most"))
     ends = F.when(F.col("idx") % 2 == 0, F.array(F.col("idx"), F.col("idx") + 1, F.col("idx") + 3)).otherwise(F.array(F.col("idx"), F.col("idx") + 1))
-    out = sensors.select("sid", F.explode(ends).alias("to")).join(F.broadcast(most), F.col("to") <= F.col("most"))
+    out = sensors.select("sid", F.explode(ends).alias("to")).join(F.broadcast(most), F.col("to") <= F.col("most"))  # one row
     known = sensors.select(F.col("sid").alias("dst"), F.col("idx").alias("to"))
     return out.join(known, "to").select(F.col("sid").alias("src"), "dst", F.lit(1.0).alias("weight"))
 

@@ -1,0 +1,165 @@
+"""Boosted trees for the rows of one small model, in whole-array steps.
+
+A model here has one sensor's rows, which the length of its time axis bounds; what is large
+is the number of models, and Spark spreads these over tasks (training.fit_models). Values
+are cut into at most BINS quantile bins; a missing value has a bin of its own and goes to
+the side that gains more. The loss is logistic with a ridge on the leaves.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+BINS = 32
+MISSING = BINS - 1
+
+
+def edges_of(x: np.ndarray) -> list[np.ndarray]:
+    """Each column's cuts between bins: distinct quantiles of its values."""
+    out = []
+    for k in range(x.shape[1]):
+        known = x[~np.isnan(x[:, k]), k]
+        cuts = np.unique(np.quantile(known, np.arange(1, BINS - 1) / (BINS - 1))) if len(known) else np.empty(0)
+        out.append(cuts[cuts > known.min()] if len(known) else cuts)
+    return out
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers: how many cuts are not above the value."""
+    out = np.full(x.shape, MISSING, dtype=np.int64)
+    for k, cuts in enumerate(edges):
+        known = ~np.isnan(x[:, k])
+        out[known, k] = np.searchsorted(cuts, x[known, k], "right")
+    return out
+
+
+@dataclass
+class Tree:
+    """A full tree: of each inner node the column (-1: all rows go left), last bin on the left, and the side of missing values."""
+
+    column: np.ndarray
+    cut: np.ndarray
+    missing_left: np.ndarray
+    leaf: np.ndarray
+
+    def margin(self, codes: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes))
+        for _ in range(int(np.log2(len(self.leaf)))):
+            code = codes[rows, np.maximum(self.column[node], 0)]
+            right = np.where(code == MISSING, ~self.missing_left[node], code > self.cut[node]) & (self.column[node] >= 0)
+            node = 2 * node + 1 + right
+        return self.leaf[node - (len(self.leaf) - 1)]
+
+
+@dataclass
+class Booster:
+    edges: list[np.ndarray]
+    trees: list[Tree] = field(default_factory=list)
+    #: For each column, the sum of its splits' gains, and their number.
+    gains: np.ndarray | None = None
+    splits: np.ndarray | None = None
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        codes, margin = binned(x, self.edges), np.zeros(len(x))
+        for tree in self.trees:
+            margin += tree.margin(codes)
+        return sigmoid(margin)
+
+    def mean_gain(self) -> np.ndarray:
+        """The mean gain of each column's splits, 0 for a column without."""
+        return self.gains / np.maximum(self.splits, 1)
+
+
+def sigmoid(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+
+
+def log_loss(y: np.ndarray, margin: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, margin) - y * margin))
+
+
+def grow(codes: np.ndarray, flat: np.ndarray, grad: np.ndarray, hess: np.ndarray, columns: np.ndarray, params: dict, gains: np.ndarray, splits: np.ndarray) -> Tree:
+    """One tree. flat is codes plus the column's place; gains and splits are added to."""
+    depth, ridge, least = int(params.get("max_depth", 3)), float(params.get("reg_lambda", 1)), float(params.get("min_child_weight", 1))
+    gamma, lasso, eta = float(params.get("gamma", 0)), float(params.get("reg_alpha", 0)), float(params.get("eta", 0.3))
+    width, inner = len(columns) * BINS, 2**depth - 1
+    tree = Tree(np.full(inner, -1), np.zeros(inner, dtype=np.int64), np.zeros(inner, dtype=bool), np.zeros(inner + 1))
+    node, rows = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes))
+    pull = (lambda g: np.sign(g) * np.maximum(np.abs(g) - lasso, 0)) if lasso else (lambda g: g)
+    worth = lambda g, h: pull(g) ** 2 / (h + ridge)
+    live = hess > 0
+    for level in range(depth):
+        live &= np.bincount(node, hess, inner)[node] >= 2 * least  # others can't be split
+        here, at = np.unique(node[live], return_inverse=True)
+        if not len(here):
+            break
+        places = (at[:, None] * width + flat[live]).ravel()
+        total = lambda v, places=places, here=here: np.bincount(places, np.repeat(v[live], len(columns)), len(here) * width).reshape(len(here), len(columns), BINS)
+        g, h = total(grad), total(hess)
+        g_all, h_all = g[:, :1].sum(axis=2, keepdims=True), h[:, :1].sum(axis=2, keepdims=True)
+        g_left, h_left = np.cumsum(g[:, :, :MISSING], axis=2), np.cumsum(h[:, :, :MISSING], axis=2)
+        best = np.zeros(len(here))
+        some = np.flatnonzero(h[:, :, MISSING].any(axis=0))
+        for side, of in ((False, slice(None)), (True, some)):  # missing values to the right, then to the left
+            gl, hl = g_left[:, of], h_left[:, of]
+            if side:
+                gl, hl = gl + g[:, of, MISSING:], hl + h[:, of, MISSING:]
+            if not gl.size:
+                continue
+            hr = h_all - hl
+            gain = 0.5 * (worth(gl, hl) + worth(g_all - gl, hr) - worth(g_all, h_all)) - gamma
+            gain[(hl < least) | (hr < least)] = -np.inf
+            gain = gain.reshape(len(here), -1)
+            top = gain.argmax(axis=1)
+            value = gain[np.arange(len(here)), top]
+            more = value > best + 1e-9
+            best[more] = value[more]
+            tree.column[here[more]] = (columns[some] if side else columns)[top[more] // MISSING]
+            tree.cut[here[more]], tree.missing_left[here[more]] = top[more] % MISSING, side
+        cut = tree.column[here] >= 0
+        np.add.at(gains, tree.column[here[cut]], best[cut])
+        np.add.at(splits, tree.column[here[cut]], 1)
+        code = codes[rows, np.maximum(tree.column[node], 0)]
+        right = np.where(code == MISSING, ~tree.missing_left[node], code > tree.cut[node]) & (tree.column[node] >= 0)
+        live &= tree.column[node] >= 0  # a leaf's rows take no further part
+        node = 2 * node + 1 + right
+    while (node < inner).any():
+        node = np.where(node < inner, 2 * node + 1, node)
+    g, h = (np.bincount(node - inner, v, inner + 1) for v in (grad, hess))
+    tree.leaf = -eta * pull(g) / (h + ridge)
+    return tree
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, params: dict, rounds: int, seed: int, val: tuple[np.ndarray, np.ndarray] | None = None, patience: int = 50) -> Booster:
+    """A model of y in [0, 1]. With val, rounds end when its loss has not improved for patience of them, and those after the best are cut."""
+    rng, edges = np.random.default_rng(seed), edges_of(x)
+    model, codes = Booster(edges), binned(x, edges)
+    n_columns = x.shape[1]
+    taken = max(1, int(round(float(params.get("colsample_bytree", 1)) * n_columns)))
+    share = float(params.get("subsample", 1))
+    margin, history = np.zeros(len(y)), []
+    if val is not None:
+        val_codes, val_margin, least, best = binned(val[0], edges), np.zeros(len(val[1])), np.inf, 0
+    for k in range(rounds):
+        p = sigmoid(margin)
+        kept = weight if share >= 1 else weight * (rng.random(len(y)) < share)
+        columns = np.sort(rng.choice(n_columns, taken, replace=False)) if taken < n_columns else np.arange(n_columns)
+        flat = codes[:, columns] + np.arange(len(columns)) * BINS
+        gains, splits = np.zeros(n_columns), np.zeros(n_columns)
+        tree = grow(codes, flat, kept * (p - y), kept * p * (1 - p), columns, params, gains, splits)
+        margin += tree.margin(codes)
+        model.trees.append(tree)
+        history.append((gains, splits))
+        if val is not None:
+            val_margin += tree.margin(val_codes)
+            loss = log_loss(val[1], val_margin)
+            if loss < least:
+                least, best = loss, k
+            elif k - best >= patience:
+                break
+    if val is not None:
+        model.trees, history = model.trees[: best + 1], history[: best + 1]
+    model.gains, model.splits = (np.sum([h[i] for h in history], axis=0) if history else np.zeros(n_columns) for i in (0, 1))
+    return model

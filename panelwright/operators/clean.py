@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelwright.config import PanelConfig
 
+from .sizes import bounded
+
+
 def by_sid():
     """The window that all per-sensor features share."""
     return Window.partitionBy("sid").orderBy("pos")
@@ -48,7 +51,7 @@ def dense_panel(readings: DataFrame, sensors: DataFrame, config: PanelConfig) ->
     """panel(sid, idx, pos, ts, n, speed): every surviving time for every sensor."""
     if config.zero_missing:
         readings = zero_to_null(readings)
-    grid = time_axis(readings, sensors, config).crossJoin(F.broadcast(sensors.select("sid", "idx")))
+    grid = time_axis(readings, sensors, config).crossJoin(bounded(sensors.select("sid", "idx")))
     return grid.join(readings.select("ts", "sid", "speed"), ["ts", "sid"], "left").select("sid", "idx", "pos", "ts", "n", "speed")
 
 
@@ -66,7 +69,7 @@ def thresholds(panel: DataFrame, config: PanelConfig, train_only: bool | None =
 
 def label(panel: DataFrame, limits: DataFrame) -> DataFrame:
     """panel with label: 1 where the speed is below its sensor's threshold; a missing speed is 0."""
-    out = panel.join(F.broadcast(limits), "sid", "left")
+    out = panel.join(limits, "sid", "left")  # by the sensor, as the windows that follow are
     return out.withColumn("label", F.coalesce((F.col("speed") < F.col("thr")).cast("int"), F.lit(0))).drop("thr")
 
 
@@ -82,12 +85,13 @@ def head(panel: DataFrame, config: PanelConfig) -> DataFrame:
     return panel.where(F.col("pos") < cut).withColumn("n", cut)
 
 
-def only_targets(panel: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows of the target sensors; an unknown target is an error."""
-    unknown = [r[0] for r in targets.join(panel.select("sid").distinct(), "sid", "left_anti").limit(5).collect()]
+def only_targets(panel: DataFrame, targets: DataFrame, sensors: DataFrame | None = None) -> DataFrame:
+    """Rows of the target sensors; a target that isn't among sensors (by default the panel's) is an error."""
+    known = (panel if sensors is None else sensors).select("sid").distinct()
+    unknown = [r[0] for r in targets.join(known, "sid", "left_anti").limit(5).collect()]
     if unknown:
         raise ValueError(f"unknown target sensors: {unknown}")
-    return panel.join(F.broadcast(targets.select("sid")), "sid", "left_semi")
+    return panel.join(bounded(targets.select("sid")), "sid", "left_semi")
 
 
 def future_target(steps: int) -> Column:
@@ -95,8 +99,9 @@ def future_target(steps: int) -> Column:
     return F.coalesce(F.max("label").over(rows_between(1, steps)), F.lit(0))
 
 
-def with_split(rows: DataFrame, steps: int, config: PanelConfig) -> DataFrame:
-    """rows with split (train, eval, test in time order), without rows whose target window isn't whole."""
+def with_split(rows: DataFrame, steps: int | Column, config: PanelConfig) -> DataFrame:
+    """rows with split (train, eval, test in time order), without rows whose target window of so many steps isn't whole."""
+    steps = F.lit(steps) if isinstance(steps, int) else steps
     left = F.when((F.col("n") > steps) & F.lit(config.tail_drop), F.col("n") - steps).otherwise(F.col("n"))
     rows = rows.withColumn("m", left).where("pos < m")
     train = share(F.col("m"), config.train_share)

@@ -10,6 +10,7 @@ from panelwright.functions.timefeat import NAMES, add_time_features
 
 from . import graph, profiles, windows
 from .clean import future_target
+from .sizes import bounded
 
 KEYS = ["sid", "idx", "pos", "ts", "n", "label"]
 SPATIAL = ("spd", "cong", "wspd", "wcong", "trans_on", "trans_off")
@@ -70,9 +71,9 @@ def wide_frame(panel: DataFrame, horizon: int, config: PanelConfig, upstream: Da
     out = _melt(panel.withColumns(speed), ["speed", *speed], "sid")
     if upstream is not None:
         near = graph.neighbour_means(panel, upstream, {"spd": "speed", "cong": "label"}) if snapshot_only else graph.all_neighbour_features(panel, upstream, horizon, config)
-        near = near.join(F.broadcast(panel.select("sid", "idx").distinct()), "sid")
+        near = near.join(panel.select("sid", "idx").distinct(), "sid")
         out = out.unionByName(_melt(near, [c for c in near.columns if c not in ("sid", "idx", "pos")], "idx"))
-    own = panel if targets is None else panel.join(F.broadcast(targets.select("sid")), "sid", "left_semi")
+    own = panel if targets is None else panel.join(bounded(targets.select("sid")), "sid", "left_semi")
     state = own_congestion(horizon, config)
     rows = add_extra(own.withColumns(state), horizon, config)
     names = [c for c in rows.columns if c not in (*KEYS, "speed")]
@@ -87,9 +88,3 @@ def with_target(features: DataFrame, panel: DataFrame, horizon: int, config: Pan
     """Features of one row a (sid, pos) with the target y, null where the panel has no such row."""
     target = panel.select("sid", "pos", future_target(config.steps(horizon)).alias("y"))
     return features.join(target, ["sid", "pos"], "left")
-
-
-def gather(features: DataFrame, chosen: DataFrame, names: list[str]) -> DataFrame:
-    """Chosen columns of the long frame side by side: one row a pos."""
-    picked = features.join(F.broadcast(chosen.select("column_name").distinct()), "column_name", "left_semi")
-    return picked.groupBy("pos").pivot("column_name", names).agg(F.first("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.config import PanelConfig
 
 from .clean import by_sid
+from .sizes import bounded
 
 #: Hops that neighbour features tell apart.
 MOST_HOPS = 3
@@ -36,15 +37,15 @@ def neighbour_means(panel: DataFrame, hops: DataFrame, measures: dict[str, str],
     """Per (sid, pos): <prefix>_h<hop>, the neighbours' mean by hop, for each measure (prefix -> column of panel).
 
     Null where any neighbour of that hop has null. waves are measures whose neighbours are
-    taken wave_rows rows earlier for each step. All measures share one join with the
-    broadcast hops and one aggregation, combined on the map side; its key has the position
+    taken wave_rows rows earlier for each step. All measures share one join with the hops
+    (broadcast if they are few) and one aggregation, combined on the map side; its key has the position
     in it, so a sensor with many neighbours is no hot key.
     """
     waves, steps = waves or {}, range(1, MOST_HOPS + 1)
     late = dict.fromkeys(waves.values())
     rows = panel.withColumns({f"{c}__{h}": F.lag(c, h * wave_rows).over(by_sid()) for c in late for h in steps}) if late else panel
     rows = rows.select("sid", "pos", *dict.fromkeys([*measures.values(), *(f"{c}__{h}" for c in late for h in steps)]))
-    near = F.broadcast(hops.select(F.col("sid").alias("target"), F.col("nb_sid").alias("sid"), "hop"))
+    near = bounded(hops.select(F.col("sid").alias("target"), F.col("nb_sid").alias("sid"), "hop"))
     values = {p: F.col(c) for p, c in measures.items()}
     values |= {p: F.coalesce(*[F.when(F.col("hop") == h, F.col(f"{c}__{h}")) for h in steps]) for p, c in waves.items()}
     met = rows.join(near, "sid").select("target", "pos", "hop", *[v.cast("double").alias(p) for p, v in values.items()])
@@ -73,7 +74,7 @@ def all_neighbour_features(panel: DataFrame, upstream: DataFrame, horizon: int,
 
 def origin_scores(panel: DataFrame, edges: DataFrame) -> DataFrame:
     """scores(sid, score): at how many times a sensor is congested, no downstream neighbour is, and some upstream one is."""
-    links = F.broadcast(edges.where("weight <> 0 AND src <> dst").select("src", "dst").distinct())
+    links = bounded(edges.where("weight <> 0 AND src <> dst").select("src", "dst").distinct())
     hot = panel.where("label = 1").select("ts", "sid")
     below_hot = hot.join(links, hot["sid"] == links["dst"]).select("ts", F.col("src").alias("sid"))  # a downstream neighbour is congested
     after_hot = hot.join(links, hot["sid"] == links["src"]).select("ts", F.col("dst").alias("sid"))  # an upstream neighbour is congested
@@ -87,18 +88,24 @@ def top_origins(scores: DataFrame, k: int = 10) -> DataFrame:
     return scores.where("score > 0").orderBy(F.desc("score"), "idx").limit(k)
 
 
-def alignment(panel: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Sensors that only the readings or only the graph has; empty if they agree."""
-    own = panel.select("sid").distinct().withColumn("__a", F.lit(True))
-    known = sensors.select("sid").distinct().withColumn("__b", F.lit(True))
+def alignment(readings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Where readings(sid, ...) and the graph's sensors(sid, idx) disagree: (sid, only_in), empty if they agree.
+
+    A sensor that one of them alone has is "readings" or "graph"; where both have an idx, a
+    sensor with another one in the graph is "order", as neighbour features go by it.
+    """
+    ordered = "idx" in readings.columns and "idx" in sensors.columns
+    own = readings.groupBy("sid").agg((F.min("idx") if ordered else F.lit(0)).alias("__a"))
+    known = sensors.groupBy("sid").agg((F.min("idx") if ordered else F.lit(0)).alias("__b"))
     both = own.join(known, "sid", "full")
-    return both.where("__a IS NULL OR __b IS NULL").select("sid", F.when(F.col("__a").isNull(), "graph").otherwise("readings").alias("only_in"))
+    kind = F.when(F.col("__a").isNull(), "graph").when(F.col("__b").isNull(), "readings").when(F.col("__a") != F.col("__b"), "order")
+    return both.select("sid", kind.alias("only_in")).where("only_in IS NOT NULL")
 
 
-def check_alignment(panel: DataFrame, sensors: DataFrame) -> None:
-    odd = [tuple(r) for r in alignment(panel, sensors).limit(5).collect()]
+def check_alignment(readings: DataFrame, sensors: DataFrame) -> None:
+    odd = [tuple(r) for r in alignment(readings, sensors).limit(5).collect()]
     if odd:
-        raise ValueError(f"readings and graph have different sensors: {odd}")
+        raise ValueError(f"readings and graph have different sensors or another order: {odd}")
 
 
 def graph_report(edges: DataFrame, sensors: DataFrame) -> DataFrame:

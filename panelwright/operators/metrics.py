@@ -29,10 +29,7 @@ def naive_scores(panel: DataFrame, config: PanelConfig, horizons: tuple[int, ...
         columns[f"h{h}"] = F.struct(F.lit(h).alias("horizon_min"), F.lit(k).alias("k"), future_target(k).alias("y_true"), lag(DAY).alias("yesterday"), lag(WEEK).alias("lastweek"))
     rows = panel.withColumns(columns)
     rows = rows.select("sid", "pos", "n", "label", F.explode(F.array(*columns)).alias("h")).select("sid", "pos", "n", "label", "h.*")
-    out = None
-    for h in horizons:  # the split depends on the horizon alone
-        part = with_split(rows.where(F.col("horizon_min") == h), config.steps(h), config).where(F.col("split") == split)
-        out = part if out is None else out.unionByName(part)
+    out = with_split(rows, F.col("k"), config).where(F.col("split") == split)
     out = mark_changes(out, config.score_window)
     methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("y_pred")) for m, c in (("naive_persistence", "label"), ("naive_yesterday", "yesterday"), ("naive_lastweek", "lastweek"))])
     out = out.withColumn("p", F.explode(methods))
@@ -132,22 +129,27 @@ def threshold_curve(scores: DataFrame, config: PanelConfig, keys: tuple[str, ...
     return rows.select(*keys, "k", value.alias("threshold"), *[c.alias(n) for n, c in metrics_of(config).items()])
 
 
+def best_thresholds(scores: DataFrame, config: PanelConfig, metrics: tuple[str, ...], keys: tuple[str, ...] = ("method", "sid", "horizon_min")) -> DataFrame:
+    """best_threshold by each of the metrics, with metric; all from one curve."""
+    by = {"f1": F.col("f1"), "transition_f1": F.coalesce("transition_f1", "f1"), "trsp": F.col("trsp")}
+    ranked = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), by[m].alias("score")) for m in metrics]))
+    rows = threshold_curve(scores, config, keys).withColumn("m", ranked).select("*", "m.*").drop("m")
+    first = Window.partitionBy(*keys, "metric").orderBy(F.col("score").desc_nulls_last(), "k")
+    rows = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    return rows.withColumn("threshold", F.when(F.col("score").isNull(), NO_THRESHOLD).otherwise(F.col("threshold"))).drop("__r", "k")
+
+
 def best_threshold(scores: DataFrame, config: PanelConfig, metric: str | None = None, keys: tuple[str, ...] = ("method", "sid", "horizon_min")) -> DataFrame:
     """Per key: the threshold with the best metric (the lowest of ties) and its metrics; NO_THRESHOLD if none is defined.
 
     transition_f1 gives way to f1 where no row changes.
     """
-    metric = metric or config.selection_metric
-    score = {"f1": F.col("f1"), "transition_f1": F.coalesce("transition_f1", "f1"), "trsp": F.col("trsp")}[metric]
-    rows = threshold_curve(scores, config, keys).withColumn("score", score)
-    first = Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "k")
-    rows = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1")
-    return rows.withColumn("threshold", F.when(F.col("score").isNull(), NO_THRESHOLD).otherwise(F.col("threshold"))).drop("__r", "k")
+    return best_thresholds(scores, config, (metric or config.selection_metric,), keys).drop("metric")
 
 
 def evaluate_with_threshold(test: DataFrame, best: DataFrame, config: PanelConfig, keys: tuple[str, ...] = ("method", "sid", "horizon_min")) -> DataFrame:
     """Metrics of test rows (prob, y_true, current_label, changed) at each key's threshold."""
-    rows = test.join(F.broadcast(best.select(*keys, "threshold")), list(keys))
+    rows = test.join(best.select(*keys, "threshold"), list(keys))
     return evaluate(rows.withColumn("y_pred", (F.col("prob") >= F.col("threshold")).cast("int")), config, keys)
 
 
@@ -168,4 +170,5 @@ def summary(results: DataFrame, dataset: str, experiment: str) -> DataFrame:
 
 def training_time(spark, dataset: str, experiment: str, method: str, seconds: float) -> DataFrame:
     """One row: how many minutes a method took, to two digits."""
-    return spark.createDataFrame([(dataset, experiment, method, seconds)], "dataset string, experiment string, method string, s double").select("dataset", "experiment", "method", F.round(F.col("s") / 60, 2).alias("tt_mins"))
+    values = {"dataset": dataset, "experiment": experiment, "method": method}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()], F.round(F.lit(float(seconds)) / 60, 2).alias("tt_mins"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import bounded
+
 SPATIAL = r"^(spd|cong|trans_on|trans_off|wspd|wcong)_h(\d+)_(\d+)$"
 #: Beginnings of names that lose a numeric ending even if it is no known sensor.
 NUMBERED = ("lag_", "roll_", "delta_", "acceleration_")
@@ -18,7 +20,7 @@ def with_group(rows: DataFrame, sensors: DataFrame, name: str = "column_name") -
     """
     col = F.col(name)
     tail = F.regexp_extract(col, r"_(\d+)$", 1)
-    known = F.broadcast(sensors.select(F.col("sid").alias("__sid")).distinct())
+    known = bounded(sensors.select(F.col("sid").alias("__sid")).distinct())
     rows = rows.withColumn("__end", F.when(col.rlike(r"^\d+$"), col).otherwise(tail))
     rows = rows.join(known, F.col("__end") == F.col("__sid"), "left")
     is_known = F.col("__sid").isNotNull()

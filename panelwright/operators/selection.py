@@ -24,23 +24,27 @@ def correlations(features: DataFrame, targets: DataFrame, n_train: int) -> DataF
 
     targets(sid, pos, y). A null value acts as its column's mean, so only rows with a value
     add to the cross product; the target's mean is over all train rows. 0 if undefined.
-    The long rows meet an array of the targets' values by position; sums are combined on
-    the map side, so the shuffle has a row for each column and partition.
+    The long rows meet the targets' values side by side by position, and one aggregation
+    gives moments and cross products; its sums are combined on the map side, so the shuffle
+    has a row for each column and partition.
     """
     train = targets.where(F.col("pos") < n_train).select("sid", "pos", F.col("y").cast("double").alias("y"))
-    y = train.groupBy("sid").agg(F.avg("y").alias("y_mean"), (F.var_pop("y") * F.count("y")).alias("syy"))
-    sids = [r[0] for r in y.select("sid").orderBy("sid").collect()]  # the few targets of a job
+    y = train.groupBy("sid").agg((F.var_pop("y") * F.count("y")).alias("syy"))
+    spread = {r["sid"]: r["syy"] for r in y.collect()}  # a row for each of a job's few targets
+    sids = sorted(spread)
     by_pos = train.groupBy("pos").pivot("sid", sids).agg(F.first("y"))
-    x = features.where((F.col("pos") < n_train) & F.col("value").isNotNull())
-    met = x.join(by_pos, "pos")
-    sums = met.groupBy("column_name").agg(F.avg("value").alias("x_mean"), *[F.sum(F.col("value") * F.col(f"`{s}`")).alias(f"xy_{s}") for s in sids], *[F.sum(f"`{s}`").alias(f"y_{s}") for s in sids])
-    pairs = F.array(*[F.struct(F.lit(s).alias("sid"), F.col(f"xy_{s}").alias("xy"), F.col(f"y_{s}").alias("sy")) for s in sids])
-    long = sums.select("column_name", "x_mean", F.explode(pairs).alias("p")).select("column_name", "x_mean", "p.*")
-    moments = column_moments(features, n_train)
-    out = moments.select("column_name", "sxx").join(F.broadcast(y)).join(long, ["column_name", "sid"], "left")
+    met = features.where(F.col("pos") < n_train).join(by_pos, "pos", "left")
+    known = F.col("value").isNotNull()
+    sums = met.groupBy("column_name").agg(
+        F.avg("value").alias("mean"),
+        (F.coalesce(F.var_pop("value"), F.lit(0.0)) * F.count("value")).alias("sxx"),
+        *[F.sum(F.col("value") * F.col(f"`{s}`")).alias(f"xy_{s}") for s in sids],
+        *[F.sum(F.when(known, F.col(f"`{s}`"))).alias(f"y_{s}") for s in sids],
+    )
+    pairs = F.array(*[F.struct(F.lit(s).alias("sid"), F.lit(spread[s]).alias("syy"), F.col(f"xy_{s}").alias("xy"), F.col(f"y_{s}").alias("sy")) for s in sids])
+    out = sums.select("column_name", "mean", "sxx", F.explode(pairs).alias("p")).select("column_name", "mean", "sxx", "p.*") if sids else sums.select("column_name", *[F.lit(None).cast(t).alias(c) for c, t in (("mean", "double"), ("sxx", "double"), ("sid", "string"), ("syy", "double"), ("xy", "double"), ("sy", "double"))]).where("false")
     # sum of (x - mean) * (y - mean of all y) over rows with a value
-    top = F.col("xy") - F.col("x_mean") * F.col("sy")
-    below = F.sqrt(F.col("sxx") * F.col("syy"))
+    top, below = F.col("xy") - F.col("mean") * F.col("sy"), F.sqrt(F.col("sxx") * F.col("syy"))
     return out.select("sid", "column_name", F.when(below > 0, F.coalesce(F.abs(top / below), F.lit(0.0))).otherwise(0.0).alias("score"))
 
 
@@ -55,32 +59,31 @@ def prefilter(scores: DataFrame, columns: DataFrame, top_k: int) -> DataFrame:
     return rows.where(F.col("rank") <= F.greatest(F.lit(top_k), F.col("n_own"))).select("sid", "column_name", "own", "score")
 
 
-def select_own_and_cross(columns: DataFrame, gain: DataFrame, nfeat: int) -> DataFrame:
-    """(sid, column_name, rank): own columns in order, then others by gain up to nfeat in all; no gain is 0, ties in order.
+def rank_own_and_cross(columns: DataFrame, gain: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """columns with rank and n_own: own columns in order, then others by gain; no gain is 0, ties in order.
 
-    columns(sid, column_name, col_idx), gain(sid, column_name, gain).
+    columns(keys, column_name, col_idx), gain(keys, column_name, gain); sid is one of the keys.
     """
-    rows = columns.join(gain, ["sid", "column_name"], "left").withColumn("own", is_own(F.col("column_name"), F.col("sid")))
-    by = Window.partitionBy("sid").orderBy(F.desc("own"), F.when(F.col("own"), 0.0).otherwise(-F.coalesce("gain", F.lit(0.0))), "col_idx")
-    rows = rows.withColumns({"rank": F.row_number().over(by), "n_own": F.sum(F.col("own").cast("int")).over(Window.partitionBy("sid"))})
+    rows = columns.join(gain.select(*keys, "column_name", "gain"), [*keys, "column_name"], "left").withColumn("own", is_own(F.col("column_name"), F.col("sid")))
+    by = Window.partitionBy(*keys).orderBy(F.desc("own"), F.when(F.col("own"), 0.0).otherwise(-F.coalesce("gain", F.lit(0.0))), "col_idx")
+    return rows.withColumns({"rank": F.row_number().over(by), "n_own": F.sum(F.col("own").cast("int")).over(Window.partitionBy(*keys))})
+
+
+def select_own_and_cross(columns: DataFrame, gain: DataFrame, nfeat: int) -> DataFrame:
+    """(sid, column_name, rank): own columns in order, then others by gain up to nfeat in all."""
+    rows = rank_own_and_cross(columns, gain)
     return rows.where(F.col("rank") <= F.greatest(F.lit(nfeat), F.col("n_own"))).select("sid", "column_name", "rank")
 
 
-def select_top(columns: DataFrame, gain: DataFrame, nfeat: int) -> DataFrame:
-    """(sid, column_name, rank): nfeat columns by gain, filled with the rest in order. gain(sid, column_name, seq, gain)."""
+def select_top(columns: DataFrame, gain: DataFrame, nfeat: int, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """(keys, column_name, rank): nfeat columns by gain, filled with the rest in order. gain(keys, column_name, seq, gain)."""
     if nfeat <= 0:
         raise ValueError("nfeat must be positive")
-    rows = columns.join(gain, ["sid", "column_name"], "left")
-    by = Window.partitionBy("sid").orderBy(F.col("gain").isNull(), F.desc("gain"), F.coalesce("seq", "col_idx"))
-    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= nfeat).select("sid", "column_name", "rank")
+    rows = columns.join(gain, [*keys, "column_name"], "left")
+    by = Window.partitionBy(*keys).orderBy(F.col("gain").isNull(), F.desc("gain"), F.coalesce("seq", "col_idx"))
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= nfeat).select(*keys, "column_name", "rank")
 
 
-def known_gain(gain: DataFrame, columns: DataFrame) -> DataFrame:
+def known_gain(gain: DataFrame, columns: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """gain of the columns that a frame has."""
-    return gain.join(columns.select("sid", "column_name"), ["sid", "column_name"], "left_semi")
-
-
-def best_budget(scores: DataFrame) -> DataFrame:
-    """Of (sid, budget, score): the best score's row for each sid, the smallest budget of ties."""
-    first = Window.partitionBy("sid").orderBy(F.desc("score"), "budget")
-    return scores.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    return gain.join(columns.select(*keys, "column_name"), [*keys, "column_name"], "left_semi")

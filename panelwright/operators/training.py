@@ -1,22 +1,33 @@
-"""Row weights, boosted-tree fits on MLlib, staged parameter search, and soft labels."""
+"""Row weights, soft labels, and the fits, search and predictions of very many small models at once.
+
+A model is one (sid, horizon_min, transition_weight). Its rows and the list of its
+candidates (parameters, columns, rounds) meet in one group of a task; what the models'
+predictions are worth is found by the metrics' aggregations over all models together, and so
+is the best candidate of each. No model's rows, scores or choices pass through the driver.
+"""
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+import time
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.config import PanelConfig
+from panelwright.sources.scratch import written
 
-from . import metrics
-from .clean import inner_validation
+from . import boosting, metrics
+from .clean import share
 
 NO_PROBABILITY = 0.5
+#: Tasks of a stage of fits, at most.
+MOST_TASKS = 4_096
+#: What tells models apart, and candidates of a model.
+MODEL = ("sid", "horizon_min", "transition_weight")
+CANDIDATE = (*MODEL, "cand")
 
 
 def row_weight(current: Column, target: Column, weight: float) -> Column:
@@ -41,115 +52,138 @@ def soft_labels(rows: DataFrame, probs: DataFrame, alpha: float, keys: tuple[str
     return out.withColumn("soft", alpha * F.coalesce("__p", F.lit(NO_PROBABILITY)) + (1 - alpha) * F.col("y")).drop("__p")
 
 
-@dataclass
-class Assembler:
-    """Columns to a vector: nulls become the train median, and columns with nulls get a flag of their own."""
-
-    names: list[str]
-    medians: dict[str, float]
-    flagged: list[str]
-
-    @classmethod
-    def fit(cls, train: DataFrame, names: list[str]) -> Assembler:
-        stats = train.agg(*[F.percentile_approx(F.col(f"`{n}`").cast("double"), 0.5).alias(f"m{i}") for i, n in enumerate(names)], *[F.count_if(F.col(f"`{n}`").isNull()).alias(f"k{i}") for i, n in enumerate(names)]).first()
-        medians = {n: 0.0 if stats[f"m{i}"] is None else float(stats[f"m{i}"]) for i, n in enumerate(names)}
-        return cls(names, medians, [n for i, n in enumerate(names) if stats[f"k{i}"]])
-
-    @property
-    def inputs(self) -> list[str]:
-        """Names of the vector's places; a flag is named after its column."""
-        return self.names + self.flagged
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        filled = [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(self.medians[n])).alias(f"__v{i}") for i, n in enumerate(self.names)]
-        flags = [F.col(f"`{n}`").isNull().cast("double").alias(f"__f{i}") for i, n in enumerate(self.flagged)]
-        wide = rows.select("*", *filled, *flags)
-        made = [c for c in wide.columns if c.startswith(("__v", "__f"))]
-        return VectorAssembler(inputCols=made, outputCol="features").transform(wide).drop(*made)
-
-
-def learner(params: dict, rounds: int, seed: int, label: str = "y", weight: str = "weight") -> GBTClassifier:
-    """The MLlib learner for a parameter set; keys that it has no counterpart for are passed over."""
-    return GBTClassifier(
-        labelCol=label,
-        featuresCol="features",
-        weightCol=weight,
-        maxIter=rounds,
-        maxDepth=params.get("max_depth", 3),
-        stepSize=params.get("eta", 0.05),
-        subsamplingRate=params.get("subsample", 1.0),
-        featureSubsetStrategy=str(params["colsample_bytree"]) if params.get("colsample_bytree", 1) < 1 else "all",
-        minInstancesPerNode=int(params.get("min_child_weight", 1)),
-        minInfoGain=float(params.get("gamma", 0)),
-        seed=seed,
-    )
-
-
-def weighed(rows: DataFrame, class_from: DataFrame | None = None) -> DataFrame:
-    """rows with their weight times the class weight on positives, the latter taken from class_from (rows by default)."""
-    if "weight" not in rows.columns:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    w = class_weight(rows if class_from is None else class_from, []).first()[0]
-    return rows.withColumn("weight", F.col("weight") * F.when(F.col("y") == 1, float(w)).otherwise(1.0))
-
-
-def as_two_rows(rows: DataFrame) -> DataFrame:
-    """Soft labels as weighted hard rows: soft of the weight on 1, the rest on 0. The log-loss is the same."""
-    both = F.array(F.struct(F.lit(1).alias("y"), F.col("soft").alias("part")), F.struct(F.lit(0).alias("y"), (1 - F.col("soft")).alias("part")))
-    out = rows.drop("y").withColumn("__b", F.explode(both))
-    return out.select("*", F.col("__b.y").alias("y"), (F.col("weight") * F.col("__b.part")).alias("__w")).drop("__b", "weight").withColumnRenamed("__w", "weight").where("weight > 0")
-
-
-def best_rounds(model: GBTClassificationModel, val: DataFrame, patience: int) -> int:
-    """The round with the least validation loss before patience rounds without a better one."""
-    losses = model.evaluateEachIteration(val)
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
-def fit_final(train: DataFrame, params: dict, rounds: int, config: PanelConfig, soft: bool = False) -> GBTClassificationModel:
-    """A fit on all training rows: row weight times class weight."""
-    rows = weighed(train)
-    return learner(params, rounds, config.seed).fit(as_two_rows(rows) if soft else rows)
-
-
-def fit_with_validation(inner: DataFrame, val: DataFrame, params: dict, config: PanelConfig, soft: bool = False, max_rounds: int | None = None) -> tuple[GBTClassificationModel, int]:
-    """A fit on the inner training rows with as many rounds as unweighted validation rows speak for."""
-    rows = weighed(inner)
-    rows = as_two_rows(rows) if soft else rows
-    most = max_rounds or config.max_rounds
-    model = learner(params, most, config.seed).fit(rows)
-    rounds = best_rounds(model, val.withColumn("weight", F.lit(1.0)), config.patience)
-    if rounds < most:
-        model = learner(params, rounds, config.seed).fit(rows)
-    return model, rounds
-
-
-def predict(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    """rows with prob."""
-    out = model.transform(rows).withColumn("prob", vector_to_array("probability")[1])
-    return out.drop("rawPrediction", "probability", "prediction")
-
-
-def gain_table(model: GBTClassificationModel, assembler: Assembler, spark) -> DataFrame:
-    """gain(column_name, seq, gain) of the columns that the model uses, flags counted with their columns."""
-    total: dict[str, float] = {}
-    for name, value in zip(assembler.inputs, model.featureImportances.toArray().tolist(), strict=True):
-        total[name] = total.get(name, 0.0) + value
-    used = [(n, i, v) for i, (n, v) in enumerate(total.items()) if v > 0]
-    return spark.createDataFrame(used, "column_name string, seq int, gain double")
-
-
-def scored(rows: DataFrame, config: PanelConfig, method: str = "model") -> DataFrame:
-    """Predicted rows of one sensor and horizon as scores for the metrics."""
-    out = rows.withColumn("method", F.lit(method)).withColumnRenamed("y", "y_true").withColumn("current_label", F.col("label"))
-    out = metrics.mark_changes(out, config.score_window)
-    return out.select("method", "sid", "horizon_min", "pos", "y_true", "prob", "current_label", "changed")
+def model_rows(frame: DataFrame, names: list[str], config: PanelConfig) -> DataFrame:
+    """frame(sid, horizon_min, pos, label, y, split, ...) as rows of models, without a weight yet.
+
+    features holds the named columns in order, missing as NaN; inner says whether a training
+    row is in the part that candidates are fitted on, the rest of training being their
+    validation; changed is marked within each split.
+    """
+    values = [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in names]
+    rows = frame.select("sid", "horizon_min", "pos", "label", "y", "split", F.array(*values).alias("features"))
+    return with_inner(rows, config)
+
+
+def with_inner(rows: DataFrame, config: PanelConfig) -> DataFrame:
+    """rows with inner and changed. A model needs two training rows; without them none is inner."""
+    by = Window.partitionBy("sid", "horizon_min")
+    n = F.count_if(F.col("split") == "train").over(by)
+    cut = F.greatest(F.lit(1), F.least(n - 1, share(n, 1 - config.inner_share)))
+    rows = rows.withColumn("inner", (F.col("split") == "train") & (n > 1) & (F.row_number().over(by.orderBy("pos")) <= cut))
+    return metrics.mark_changes(rows.withColumn("y_true", F.col("y")), config.score_window, ("sid", "horizon_min", "split")).drop("y_true")
+
+
+def with_weights(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """rows once for each transition weight, with their weight."""
+    each = rows.withColumn("transition_weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    moved = F.col("label") != F.col("y")
+    return each.withColumn("weight", F.when(moved, F.col("transition_weight")).otherwise(1.0))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
+
+
+def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig) -> DataFrame:
+    """Fit each model's candidates and predict, written: a row a (candidate, predicted row), and one a candidate with what was fitted.
+
+    rows(model keys, pos, label, y, split, inner, changed, weight, features and, for taught
+    models, soft). candidates(model keys, cand, params, columns, rounds, splits): columns are
+    places in features, all if null. With rounds, the fit is on all training rows; without,
+    on the inner ones, with rounds by the rest's unweighted loss (config.max_rounds at most,
+    or params' max_rounds). splits names the splits to predict. The class weight
+    (negatives over positives) comes from the hard labels of the rows fitted on, and counts
+    for rows whose label is 1, or soft label is.
+
+    A predicted row has pos, split, y_true, current_label, changed and prob; a candidate's
+    own row has a null pos, and n_rounds, gains (mean gain by place in features) and
+    inference_us (a row's prediction). A model with no two training rows gives nothing.
+    """
+    kinds = dict(rows.dtypes)
+    soft = "soft" in rows.columns
+    schema = f"sid {kinds['sid']}, horizon_min int, transition_weight double, cand int, pos long, split string, y_true int, current_label int, changed boolean, prob double, n_rounds int, gains array<double>, inference_us double"
+    kept = ["sid", "horizon_min", "transition_weight", "pos", "split", "y", "label", "changed", "inner", "weight", "features", *(["soft"] if soft else [])]
+    types = [F.col("horizon_min").cast("int"), F.col("transition_weight").cast("double")]
+    rows = rows.select(*kept).withColumns({"horizon_min": types[0], "transition_weight": types[1], "y": F.col("y").cast("int"), "label": F.col("label").cast("int"), "pos": F.col("pos").cast("long")})
+    candidates = candidates.select("sid", *types, "cand", F.map_entries("params").alias("params"), "columns", "rounds", "splits")
+    names = [n for n in schema.replace(",", "").split() if not n.startswith(("string", "int", "long", "double", "boolean", "array"))]
+
+    def fit(mine: pa.Table, tries: pa.Table):
+        empty = {"sid": pa.nulls(0, mine.schema.field("sid").type)}
+        mine = mine.sort_by("pos")
+        x, y = _matrix(mine["features"]), mine["y"].to_numpy().astype(float)
+        split, inner, weight = mine["split"].to_numpy(zero_copy_only=False), mine["inner"].to_numpy(), mine["weight"].to_numpy()
+        aim = mine["soft"].to_numpy() if soft else y
+        out = []
+        for one in tries.sort_by("cand").to_pylist() if inner.any() else []:
+            params = {e["key"]: e["value"] for e in one["params"]}
+            columns = np.arange(x.shape[1]) if one["columns"] is None else np.array(one["columns"], dtype=np.int64)
+            on = split == "train" if one["rounds"] is not None else inner
+            rest = (split == "train") & ~inner
+            positive, negative = (y[on] == 1).sum(), (y[on] == 0).sum()
+            class_weight = negative / positive if positive and negative else 1.0
+            w = weight[on] * np.where(aim[on] == 1, class_weight, 1.0)
+            most = int(one["rounds"] or params.get("max_rounds") or config.max_rounds)
+            val = None if one["rounds"] is not None else (x[rest][:, columns], aim[rest])
+            model = boosting.fit(x[on][:, columns], aim[on], w, params, most, config.seed, val, config.patience)
+            asked = np.isin(split, one["splits"])
+            began = time.perf_counter()
+            prob = model.predict(x[asked][:, columns])
+            took = (time.perf_counter() - began) * 1e6 / max(1, len(prob))
+            gains = np.zeros(x.shape[1])
+            gains[columns] = model.mean_gain()
+            n, of = len(prob), mine.filter(pa.array(asked))
+            own = {"sid": of["sid"], "horizon_min": of["horizon_min"], "transition_weight": of["transition_weight"], "cand": pa.array([one["cand"]] * n, pa.int32()), "pos": of["pos"], "split": of["split"], "y_true": of["y"], "current_label": of["label"], "changed": of["changed"], "prob": pa.array(prob)}
+            out.append(pa.table(own | {"n_rounds": pa.nulls(n, pa.int32()), "gains": pa.nulls(n, pa.list_(pa.float64())), "inference_us": pa.nulls(n, pa.float64())}))
+            head = {c: pa.array([one[c]], mine.schema.field(c).type) for c in MODEL} | {"cand": pa.array([one["cand"]], pa.int32())}
+            blank = {"pos": pa.int64(), "split": pa.string(), "y_true": pa.int32(), "current_label": pa.int32(), "changed": pa.bool_(), "prob": pa.float64()}
+            out.append(pa.table(head | {c: pa.nulls(1, t) for c, t in blank.items()} | {"n_rounds": pa.array([len(model.trees)], pa.int32()), "gains": pa.array([gains], pa.list_(pa.float64())), "inference_us": pa.array([took])}))
+        if not out:
+            blank = {"horizon_min": pa.int32(), "transition_weight": pa.float64(), "cand": pa.int32(), "pos": pa.int64(), "split": pa.string(), "y_true": pa.int32(), "current_label": pa.int32(), "changed": pa.bool_(), "prob": pa.float64(), "n_rounds": pa.int32(), "gains": pa.list_(pa.float64()), "inference_us": pa.float64()}
+            return pa.table(empty | {c: pa.nulls(0, t) for c, t in blank.items()})
+        string = out[0].schema.field("split").type
+        return pa.concat_tables([t.set_column(t.schema.get_field_index("split"), "split", t["split"].cast(string)) for t in out]).select(names)
+
+    # little data and much work: as many partitions as models, which AQE leaves as they are
+    parts = min(MOST_TASKS, max(1, 2 * candidates.select(*MODEL).distinct().count()))
+    rows, candidates = rows.repartition(parts, *MODEL), candidates.repartition(parts, *MODEL)
+    met = rows.groupBy(*MODEL).cogroup(candidates.groupBy(*MODEL)).applyInArrow(fit, schema)
+    return written(met, "fits")
+
+
+def predictions(fits: DataFrame, split: str) -> DataFrame:
+    """The predicted rows of a split, as scores for the metrics."""
+    return fits.where(F.col("pos").isNotNull() & (F.col("split") == split))
+
+
+def fitted(fits: DataFrame) -> DataFrame:
+    """(candidate, n_rounds, gains, inference_us)."""
+    return fits.where("pos IS NULL").select(*CANDIDATE, "n_rounds", "gains", "inference_us")
+
+
+def listed(models: DataFrame, choices: list[dict], columns: Column | None = None, rounds: Column | None = None, splits: tuple[str, ...] = ("eval",)) -> DataFrame:
+    """Candidates: each choice of parameters for each of models(model keys, ...)."""
+    options = F.array(*[F.struct(F.lit(i).alias("cand"), as_map(c).alias("params")) for i, c in enumerate(choices)])
+    none = F.lit(None)
+    made = models.select(*MODEL, (none.cast("array<int>") if columns is None else columns).alias("columns"), (none.cast("int") if rounds is None else rounds).alias("rounds"), F.explode(options).alias("o"))
+    return made.select(*MODEL, "o.cand", "o.params", "columns", "rounds", F.array(*map(F.lit, splits)).alias("splits"))
+
+
+def as_map(params: dict) -> Column:
+    return F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(float(v)))])
+
+
+def best_candidate(fits: DataFrame, config: PanelConfig, metric: str | None = None) -> DataFrame:
+    """Of each model, the candidate with the best score on eval rows, the first of ties: (candidate, threshold, score, f1, ..., n_rounds, gains).
+
+    The threshold is each candidate's own best one. An undefined score counts as -1.
+    """
+    scores = metrics.best_threshold(predictions(fits, "eval"), config, metric, CANDIDATE)
+    rows = fitted(fits).join(scores, list(CANDIDATE), "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
+    first = Window.partitionBy(*MODEL).orderBy(F.desc("score"), "cand")
+    return rows.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 
 
 def stage_choices(params: dict, grid: dict, keys: tuple[str, ...]) -> list[dict]:
@@ -162,29 +196,52 @@ def active_stages(grid: dict, stages: tuple[tuple[str, ...], ...]) -> list[tuple
     return [s for s in stages if any(len(grid.get(k, [])) > 1 for k in s)]
 
 
-def staged_search(inner: DataFrame, val: DataFrame, weight: float, config: PanelConfig, soft: bool = False, all_stages: bool = False) -> tuple[dict, int, float]:
-    """The best parameters, their rounds and score: stages in order, each keeping its best; only a better score wins."""
-    best = {k: v[0] for k, v in config.grid.items()}
-    top, rounds = None, 1
+def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_stages: bool = False) -> DataFrame:
+    """The best parameters of each of models(model keys): (model keys, params, n_rounds, score, threshold, f1, precision, recall, transition_f1).
+
+    Stages go in order; each tries its values around the best so far on the eval rows, and
+    only a better score wins. All models go through a stage together.
+    """
+    start = {k: v[0] for k, v in config.grid.items()}
+    kept = ["params", "n_rounds", "score", "threshold", "f1", "precision", "recall", "transition_f1"]
+    best = None
     for keys in config.stages if all_stages else active_stages(config.grid, config.stages) or config.stages[:1]:
-        start = best
-        for params in stage_choices(start, config.grid, keys):
-            model, n = fit_with_validation(inner, val, params, config, soft)
-            found = metrics.best_threshold(scored(predict(model, val), config), config, config.metric_for(weight)).first()
-            score = -1.0 if found is None or found["score"] is None else found["score"]
-            if top is None or score > top:
-                best, rounds, top = params, n, score
-    return best, rounds, top
+        changes = [as_map({k: c[k] for k in keys if k in c}) for c in stage_choices(start, config.grid, tuple(k for k in keys if k in config.grid))]
+        base = models.select(*MODEL, as_map(start).alias("was")) if best is None else best.select(*MODEL, F.col("params").alias("was"))
+        options = F.array(*[F.struct(F.lit(i).alias("cand"), c.alias("now")) for i, c in enumerate(changes)])
+        tried = base.select(*MODEL, "was", F.explode(options).alias("o")).select(*MODEL, "o.cand", F.map_concat(F.map_filter("was", lambda k, v: ~F.map_contains_key("o.now", k)), "o.now").alias("params"))
+        tried = written(tried, "candidates")
+        fits = fit_models(rows, tried.select("*", F.lit(None).cast("array<int>").alias("columns"), F.lit(None).cast("int").alias("rounds"), F.array(F.lit("eval")).alias("splits")), config)
+        found = best_candidate(fits, config, config.metric_for(1.0)).join(tried, list(CANDIDATE)).select(*MODEL, *kept)
+        if best is not None:  # of equal scores the earlier stage's stays
+            both = best.withColumn("__s", F.lit(0)).unionByName(found.withColumn("__s", F.lit(1)))
+            first = Window.partitionBy(*MODEL).orderBy(F.desc("score"), "__s")
+            found = both.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k", "__s")
+        best = written(found, "searched")
+    return best
+
+
+def final_models(rows: DataFrame, best: DataFrame, config: PanelConfig) -> tuple[DataFrame, DataFrame]:
+    """(results, fits) of models refitted on all training rows with the searched params and n_rounds.
+
+    results has the model keys, the test metrics at the threshold that the eval rows speak
+    for, threshold, inference_us, n_rounds and gains.
+    """
+    tries = best.select(*MODEL, F.lit(0).alias("cand"), "params", F.lit(None).cast("array<int>").alias("columns"), F.col("n_rounds").alias("rounds"), F.array(*map(F.lit, ("train", "eval", "test"))).alias("splits"))
+    fits = fit_models(rows, tries, config)
+    limits = metrics.best_threshold(predictions(fits, "eval"), config, config.metric_for(1.0), CANDIDATE)
+    found = metrics.evaluate_with_threshold(predictions(fits, "test"), limits, config, CANDIDATE)
+    out = fitted(fits).join(limits.select(*CANDIDATE, "threshold"), list(CANDIDATE), "left").join(found, list(CANDIDATE), "left")
+    return written(out.drop("cand"), "results"), fits
+
+
+def gain_rows(models: DataFrame, names: DataFrame) -> DataFrame:
+    """gain(model keys, column_name, seq, gain) of the columns that a model uses: models(model keys, gains), names(sid, horizon_min, seq, column_name)."""
+    each = models.select(*MODEL, F.posexplode("gains").alias("seq", "gain")).where("gain > 0")
+    return each.join(names, ["sid", "horizon_min", "seq"]).select(*MODEL, "column_name", "seq", "gain")
 
 
 def warm_start_grid(params: dict) -> dict:
     """A grid around known parameters: their depth and one that is two deeper (7 at most), the rest as they are."""
     grid = {k: [v] for k, v in params.items()}
     return grid | {"max_depth": [params["max_depth"], min(params["max_depth"] + 2, 7)]}
-
-
-def split_train(frame: DataFrame, config: PanelConfig) -> tuple[DataFrame, DataFrame]:
-    """(inner, val) of a frame's training rows, whose positions start at 0."""
-    train = frame.where("split = 'train'")
-    marked = inner_validation(train, train.count(), config)
-    return marked.where("NOT is_val"), marked.where("is_val")

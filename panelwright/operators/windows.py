@@ -94,7 +94,7 @@ def add_state_times(panel: DataFrame, config: PanelConfig) -> DataFrame:
 def add_margin(panel: DataFrame, config: PanelConfig) -> DataFrame:
     """panel with the speed's difference from, and ratio to, the threshold of its train rows."""
     limits = thresholds(panel, config, train_only=True)
-    rows = panel.join(F.broadcast(limits), "sid", "left")
+    rows = panel.join(limits, "sid", "left")
     return rows.withColumns({"margin": F.col("speed") - F.col("thr"), "margin_ratio": F.when(F.col("thr") > 0, F.col("speed") / F.col("thr"))}).drop("thr")
 
 

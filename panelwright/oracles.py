@@ -176,6 +176,7 @@ wide AS ({melt('speeds', ['speed', *speed], 'sid')} UNION ALL {melt('nears', nam
 
 
 SUMS = f"SELECT column_name, count(value) AS n_values, count(*) AS n_rows, {r('sum(value)', 'total')} FROM {{}} GROUP BY column_name"
+ROWS = f"SELECT pos, count(value) AS n_values, count(*) AS n_rows, {r('sum(value)', 'total')} FROM {{}} GROUP BY pos"
 FULL_WIDE = wide(SPEED, NOW | TRANS | WAVE, TARGETS)
 
 # correlations of speed features with targets
@@ -314,11 +315,16 @@ ORACLES = {
     "neighbour_means": near_query("everything", NOW),
     "neighbour_waves": near_query("everything", WAVE),
     "neighbour_transitions": near_query("everything", TRANS),
-    "graph_alignment": weekly(", known AS (SELECT (s_suppkey + 100000)::VARCHAR AS sid FROM supplier WHERE s_suppkey % 7 <> 1) SELECT coalesce(a.sid, b.sid) AS sid, CASE WHEN a.sid IS NULL THEN 'graph' ELSE 'readings' END AS only_in FROM sensors a FULL JOIN known b ON a.sid = b.sid WHERE a.sid IS NULL OR b.sid IS NULL"),
+    "graph_alignment": weekly(", known AS (SELECT (s_suppkey + 100000)::VARCHAR AS sid FROM supplier WHERE s_acctbal >= 0) SELECT coalesce(a.sid, b.sid) AS sid, CASE WHEN a.sid IS NULL THEN 'graph' ELSE 'readings' END AS only_in FROM sensors a FULL JOIN known b ON a.sid = b.sid WHERE a.sid IS NULL OR b.sid IS NULL"),
+    "graph_order": weekly(", known AS (SELECT (s_suppkey + 100000)::VARCHAR AS sid, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS idx FROM supplier), own AS (SELECT sid, row_number() OVER (ORDER BY idx) - 1 AS idx FROM sensors) SELECT coalesce(a.sid, b.sid) AS sid, CASE WHEN a.sid IS NULL THEN 'graph' WHEN b.sid IS NULL THEN 'readings' ELSE 'order' END AS only_in FROM own a FULL JOIN known b ON a.sid = b.sid WHERE a.sid IS NULL OR b.sid IS NULL OR a.idx <> b.idx"),
+    "training_time": hourly(f"SELECT 'hourly' AS dataset, 'naive' AS experiment, 'naive_persistence' AS method, {r('round(count(*)::DOUBLE / 60, 2)', 'tt_mins')} FROM everything"),
     "graph_report": weekly("SELECT (SELECT count(*) FROM edges a FULL JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) > 1e-8 + 1e-5 * abs(coalesce(b.weight, 0))) = 0 AS is_symmetric, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM sensors WHERE sid NOT IN (SELECT dst FROM edges WHERE src <> dst)) AS n_without_upstream"),
     "local_frame_columns": hourly(f", {own_frame(TARGETS, SPEED | {'y': FUTURE})}, timed AS (SELECT *, {', '.join(f'({e}) AS {n}' for n, e in TIMES.items())} FROM own), long AS ({melt('timed', [n for n in [*SPEED, *CONGESTION, *EXTRA, *TIMES, 'y']], None)} UNION ALL SELECT 'speed', pos, speed FROM timed) " + SUMS.format("long")),
+    "local_frame_rows": hourly(f", {own_frame(TARGETS, SPEED | {'y': FUTURE})}, timed AS (SELECT *, {', '.join(f'({e}) AS {n}' for n, e in TIMES.items())} FROM own), long AS ({melt('timed', [n for n in [*SPEED, *CONGESTION, *EXTRA, *TIMES, 'y']], None)} UNION ALL SELECT 'speed', pos, speed FROM timed) " + ROWS.format("long")),
     "wide_frame_columns": hourly(f"{FULL_WIDE} {SUMS.format('wide')}"),
+    "wide_frame_rows": hourly(f"{FULL_WIDE} {ROWS.format('wide')}"),
     "snapshot_frame_columns": hourly(f"{wide(SPEED_LONG, NOW, 'TRUE')} {SUMS.format('wide')}"),
+    "snapshot_frame_rows": hourly(f"{wide(SPEED_LONG, NOW, 'TRUE')} {ROWS.format('wide')}"),
     "features_with_target": hourly(f", t AS (SELECT sid, pos, {FUTURE} AS y FROM panel) SELECT p.sid, p.pos + 3 AS pos, {r('speed', 'speed')}, t.y::BIGINT AS y FROM panel p LEFT JOIN t ON t.sid = p.sid AND t.pos = p.pos + 3"),
     "column_moments": hourly(f", {CORR} SELECT column_name, n, {r('mean', 'mean')}, {r('sxx', 'sxx')} FROM moments"),
     "target_correlations": hourly(f", {CORR} SELECT sid, column_name, {r('score', 'score')} FROM corr"),
@@ -327,14 +333,14 @@ ORACLES = {
     "top_gain_columns": hourly(f", {CORR}, {TARGET_COLS} SELECT t.sid, t.column_name, row_number() OVER (PARTITION BY t.sid ORDER BY gain IS NULL, gain DESC, col_idx) AS rank FROM tcols t LEFT JOIN (SELECT * FROM gain WHERE gain >= 0.1) g ON g.sid = t.sid AND g.column_name = t.column_name QUALIFY rank <= 20"),
     "row_weights": hourly(f", t AS (SELECT * FROM (SELECT sid, label, {FUTURE} AS y, {split_of(str(K))} AS split FROM panel) WHERE split IS NOT NULL) SELECT sid, split, {r('sum(CASE WHEN label <> y THEN 3.0 ELSE 1.0 END)', 'total_weight')}, max(n_raised) AS n_raised FROM t JOIN (SELECT sid, count(*) FILTER (label <> y) AS n_raised FROM t WHERE split = 'train' GROUP BY sid) q USING (sid) GROUP BY sid, split"),
     "class_weights": hourly(f", t AS (SELECT * FROM (SELECT sid, {FUTURE} AS y, {split_of(str(K))} AS split FROM panel) WHERE split = 'train') SELECT sid, {r('CASE WHEN sum(y) = 0 OR sum(y) = count(*) THEN 1 ELSE (count(*) - sum(y))::DOUBLE / sum(y) END', 'class_weight')} FROM t GROUP BY sid"),
-    "soft_labels": hourly(f", {PROFILE}, t AS (SELECT sid, pos, tow_cong_prob_ahead AS p, {FUTURE} AS y FROM profiled) SELECT sid, pos, y::BIGINT AS y, {r('0.3::DOUBLE * coalesce(CASE WHEN pos % 3 > 0 THEN p END, 0.5) + 0.7::DOUBLE * y', 'soft')} FROM t"),
+    "soft_labels": hourly(f", {PROFILE}, t AS (SELECT sid, pos, speed, tow_cong_prob_ahead AS p, {FUTURE} AS y FROM profiled) SELECT sid, pos, y::BIGINT AS y, {r('0.3::DOUBLE * coalesce(CASE WHEN speed IS NOT NULL THEN p END, 0.5) + 0.7::DOUBLE * y', 'soft')} FROM t"),
     "naive_metrics": hourly(f"{naive_scores(TARGETS)} SELECT method, sid, horizon_min::BIGINT AS horizon_min, {METRICS} FROM metrics"),
     "naive_summary": hourly(f"{naive_scores(TARGETS)} {summary('hourly')}"),
     "weekly_naive_summary": weekly(f"{naive_scores('TRUE')} {summary('weekly')}"),
     "threshold_curve": hourly(f"{CURVE} SELECT 'profile' AS method, sid, {H}::BIGINT AS horizon_min, k::BIGINT AS k, {r(LIMIT, 'threshold')}, {METRICS} FROM metrics"),
     "best_thresholds": hourly(f"{CURVE} SELECT sid, metric, {r('threshold', 'threshold')}, {r('score', 'score')}, {r('f1', 'f1')} FROM ({best('f1')} UNION ALL {best('transition_f1')} UNION ALL {best('trsp')})"),
     "test_metrics_at_threshold": hourly(f"{CURVE}, chosen AS ({best('trsp')}), test AS (SELECT marked.sid, y, cur, changed, (prob >= threshold)::INT AS p FROM marked JOIN chosen USING (sid) WHERE split = 'test'), " + metrics_sql("test", "sid").replace("counts", "counts2").replace("metrics", "metrics2") + f" SELECT 'profile' AS method, sid, {H}::BIGINT AS horizon_min, {METRICS} FROM metrics2"),
-    "feature_groups": hourly(f"{FULL_WIDE}, known AS (SELECT sid FROM sensors WHERE idx <> 4) SELECT column_name, {group_of('known')} AS feature_group FROM (SELECT DISTINCT column_name FROM wide)"),
+    "feature_groups": hourly(f"{FULL_WIDE}, known AS (SELECT sid FROM sensors WHERE idx IN (3, 5, 7, 9)) SELECT column_name, {group_of('known')} AS feature_group FROM (SELECT DISTINCT column_name FROM wide)"),
     "horizon_suffixes": hourly(f""", {CORR}, s AS (SELECT CASE WHEN column_name = sid THEN '__current_speed__' WHEN ends_with(column_name, '_' || sid) THEN left(column_name, length(column_name) - length(sid) - 1) WHEN contains(column_name, sid) THEN replace(column_name, sid, '{{sid}}') END AS suffix, gain, col_idx FROM gain JOIN cols USING (column_name) WHERE gain >= 0.05),
 t AS (SELECT suffix, sum(gain) AS score, min(col_idx) AS seq FROM s WHERE suffix IS NOT NULL GROUP BY suffix) SELECT 1.0::DOUBLE AS transition_weight, {H}::BIGINT AS horizon_min, suffix, {r('score', 'score')}, row_number() OVER (ORDER BY score DESC, seq, suffix) AS rank FROM t"""),
     "common_params": hourly(f""", t AS (SELECT sid, idx, sum(label) AS hot FROM everything GROUP BY sid, idx), u AS (SELECT '{{"eta":0.05,"max_depth":' || (3 + hot % 3)::VARCHAR || '.0}}' AS params, idx FROM t)

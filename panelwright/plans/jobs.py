@@ -1,24 +1,24 @@
 """The jobs: origin mining, naive baselines, and the local, global and transfer models.
 
-A model is fitted for each transition weight, target sensor and horizon, as a distributed
-MLlib fit; the driver holds only parameters, scores and the few chosen column names.
+A model is fitted for each transition weight, target sensor and horizon. All models of a job
+go through each step together: their fits are groups of one cogrouped stage, their scores
+one aggregation. The driver loops over horizons to build frames, and over search stages.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.config import PanelConfig
-from panelwright.operators import clean, frames, graph, metrics, selection, training
+from panelwright.operators import clean, frames, graph, metrics, report, selection, training
 from panelwright.sources import io
 from panelwright.sources.scratch import written
 
-RESULT = "method string, transition_weight double, sid string, horizon_min int, f1 double, transition_f1 double, trsp double, precision double, recall double, threshold double, n_features int, n_boost_rounds int"
-GAIN = "transition_weight double, sid string, horizon_min int, column_name string, seq int, gain double"
-PARAMS = "transition_weight double, sid string, horizon_min int, seq int, params map<string,double>"
+FRAME = ("sid", "horizon_min")
+RESULT = ("method", *training.MODEL, "f1", "transition_f1", "trsp", "precision", "recall", "inference_us", "threshold", "n_features", "n_boost_rounds")
 
 
 def origins(readings: DataFrame, sensors: DataFrame, edges: DataFrame, config: PanelConfig, k: int = 10) -> DataFrame:
@@ -27,168 +27,184 @@ def origins(readings: DataFrame, sensors: DataFrame, edges: DataFrame, config: P
     return graph.top_origins(graph.origin_scores(panel, edges), k)
 
 
-def naive(panel: DataFrame, targets: DataFrame, config: PanelConfig) -> DataFrame:
+def naive(panel: DataFrame, targets: DataFrame, config: PanelConfig, sensors: DataFrame | None = None) -> DataFrame:
     """Scores of the naive predictors: (method, sid, horizon_min, metrics)."""
-    rows = clean.only_targets(clean.head(panel, config), targets)
+    rows = clean.only_targets(clean.head(panel, config), targets, sensors)
     return metrics.evaluate(metrics.naive_scores(rows, config), config)
 
 
-def _prepared(frame: DataFrame, names: list[str]) -> tuple[DataFrame, training.Assembler]:
-    """A sensor's frame with its feature vector, fitted on its training rows; a table that its many fits read."""
-    assembler = training.Assembler.fit(frame.where("split = 'train'"), names)
-    keep = [c for c in ("sid", "pos", "label", "y", "split", "horizon_min", "weight") if c in frame.columns]
-    return written(assembler.transform(frame).select(*keep, "features"), "fit-rows").persist(), assembler
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _judge(model, rows: DataFrame, config: PanelConfig, weight: float, method: str) -> tuple[DataFrame, float]:
-    """Test metrics at the threshold that the eval rows speak for."""
-    of = lambda split: training.scored(training.predict(model, rows.where(F.col("split") == split)), config, method)
-    best = metrics.best_threshold(of("eval"), config, config.metric_for(weight))
-    limit = best.first()
-    found = metrics.evaluate_with_threshold(of("test"), best, config).first()
-    return found, (None if limit is None else limit["threshold"])
+def _local_rows(own: DataFrame, config: PanelConfig, holidays: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, names) of all targets and horizons on their own features: names(sid, horizon_min, seq, column_name)."""
+    rows, names = [], []
+    sids = own.select("sid").distinct()
+    for horizon in config.horizons:
+        frame = frames.local_frame(own, horizon, config, holidays)
+        columns = frames.feature_names(frame)
+        frame = clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon))
+        rows.append(written(training.model_rows(frame, columns, config), "local-rows"))
+        names.append(sids.select("sid", F.lit(horizon).alias("horizon_min"), F.posexplode(F.array(*map(F.lit, columns))).alias("seq", "column_name")))
+    return _union(rows), written(_union(names), "names")
+
+
+def _picked(rows: DataFrame, names: DataFrame, chosen: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """rows with the chosen(keys, seq) features alone, in order of seq, and their names with the new places."""
+    lists = written(chosen.groupBy(*keys).agg(F.array_sort(F.collect_list("seq")).alias("seqs")), "chosen")
+    out = rows.join(lists, list(keys)).withColumn("features", F.transform("seqs", lambda i: F.get("features", i))).drop("seqs")
+    places = lists.select(*keys, F.posexplode("seqs").alias("place", "seq")).join(names, list(set(keys) & {"sid", "horizon_min"}) + ["seq"])
+    return written(out, "picked-rows"), written(places.select(*keys, F.col("place").alias("seq"), "column_name"), "picked-names")
+
+
+def _report(method: str, models: DataFrame, best: DataFrame, names: DataFrame, sensors: DataFrame, began: float, dataset: str = "panel") -> dict[str, DataFrame]:
+    """What a job writes: results, summary, training_time, gain and importance, from final_models' results."""
+    spark = models.sparkSession
+    weight = F.format_string("%s", F.regexp_replace(F.col("transition_weight").cast("string"), r"\.0$", ""))
+    n_features = F.size("gains")
+    results = models.select(F.lit(method).alias("method"), *training.MODEL, "f1", "transition_f1", "trsp", "precision", "recall", "inference_us", "threshold", n_features.alias("n_features"), F.col("n_rounds").alias("n_boost_rounds")).select(*RESULT)
+    by_name = [c for c in training.MODEL if c in names.columns]
+    gain = models.select(*training.MODEL, F.posexplode("gains").alias("seq", "gain")).where("gain > 0").join(names, [*by_name, "seq"])
+    gain = written(gain.select(*training.MODEL, "column_name", "seq", "gain"), "gain")
+    variant = F.concat(F.lit(f"{method}_W"), weight).alias("variant")
+    used = models.select(*training.MODEL).join(names, by_name).select(variant, "horizon_min", "sid", "column_name")
+    grouped = report.group_gain(gain.select(variant, "horizon_min", "sid", "column_name", "gain"), sensors)
+    return {
+        "results": results,
+        "gain": gain,
+        "summary": metrics.summary(results.withColumn("method", F.concat(F.lit(f"XGB-{method.title()}-w"), weight)), dataset, method),
+        "importance": report.importance_report(grouped, report.group_selection(used, sensors)),
+        "params": best.select(*training.MODEL, "params", "n_rounds"),
+        "training_time": metrics.training_time(spark, dataset, method, f"XGB-{method.title()}", time.time() - began),
+    }
 
 
-def _result(found, method: str, weight: float, sid: str, horizon: int, threshold, n_features: int, rounds: int) -> tuple:
-    scores = [None] * 5 if found is None else [found[c] for c in ("f1", "transition_f1", "trsp", "precision", "recall")]
-    return (method, float(weight), sid, horizon, *scores, threshold, n_features, rounds)
+def write_run(out: dict[str, DataFrame], folder: str) -> None:
+    """Write a job's tables under a folder of this run: CSV, and JSON lines for choices."""
+    spark = out["results"].sparkSession
+    for name in ("results", "summary", "training_time"):
+        io.append_results(out[name], io.stamped(folder, name))
+    if "choices" in out:
+        io.write_choices(out["choices"], io.stamped(folder, "choices"))
+    io.write_importance(out["importance"], spark, io.stamped(folder, "importance"))
 
 
-def _fit_weighted(rows: DataFrame, weight: float, config: PanelConfig, soft: bool = False, all_stages: bool = False):
-    """The searched and refitted model of one weight: (model, params, rounds)."""
-    rows = rows.withColumn("weight", training.row_weight(F.col("label"), F.col("y"), weight))
-    inner, val = training.split_train(rows, config)
-    params, rounds, _ = training.staged_search(inner, val, weight, config, soft, all_stages)
-    return training.fit_final(rows.where("split = 'train'"), params, rounds, config, soft), params, rounds
+def local(panel: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Models on each target's own features: results, gain, summary, importance, params, training_time."""
+    began = time.time()
+    own = written(clean.only_targets(clean.head(panel, config), targets), "targets")
+    rows, names = _local_rows(own, config, holidays)
+    rows = training.with_weights(rows, config.weights)
+    best = training.staged_search(rows, rows.select(*training.MODEL).distinct(), config)
+    models, _ = training.final_models(rows, best, config)
+    return _report("local", models, best, names, own.select("sid").distinct(), began)
 
 
-def local(panel: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, gain) of models on each target's own features."""
-    spark = panel.sparkSession
-    own = clean.only_targets(clean.head(panel, config), targets)
-    sids = [r[0] for r in targets.orderBy("sid").collect()]
-    results, gains = [], []
+def _wide_rows(cut: DataFrame, own: DataFrame, upstream: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, names) of all targets and horizons on the columns that the correlation filter leaves; names also has col_idx and n_full."""
+    n_train = int((cut.agg(F.max("n")).first()[0] or 0) * config.train_share)
+    rows, names = [], []
     for horizon in config.horizons:
-        frame = frames.local_frame(own, horizon, config, holidays)
-        names = frames.feature_names(frame)
-        frame = written(clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon)), "local-frame")
-        for sid in sids:
-            rows, assembler = _prepared(frame.where(F.col("sid") == sid), names)
-            for weight in config.weights:
-                model, _, rounds = _fit_weighted(rows, weight, config)
-                found, limit = _judge(model, rows, config, weight, "local")
-                results.append(_result(found, "local", weight, sid, horizon, limit, len(names), rounds))
-                used = training.gain_table(model, assembler, spark)
-                gains += [(float(weight), sid, horizon, r["column_name"], r["seq"], r["gain"]) for r in used.collect()]
-            rows.unpersist()
-    return spark.createDataFrame(results, RESULT), spark.createDataFrame(gains, GAIN)
+        k = config.steps(horizon)
+        features = written(frames.wide_frame(cut, horizon, config, upstream, targets, holidays), "wide-features")
+        everything = Window.partitionBy().orderBy("column_name")  # a row a column
+        columns = features.select("column_name").distinct().withColumn("col_idx", (F.row_number().over(everything) - 1).cast("int"))
+        columns = written(columns.withColumn("n_full", F.count("*").over(Window.partitionBy())), "columns")
+        base = written(clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon)), "targets")
+        ys = own.select("sid", "pos", clean.future_target(k).alias("y"))
+        kept = selection.prefilter(selection.correlations(features, ys, n_train), columns.select("column_name", "col_idx"), config.prefilter_top)
+        kept = kept.select("sid", "column_name").join(columns, "column_name")
+        kept = kept.withColumn("seq", F.row_number().over(Window.partitionBy("sid").orderBy("col_idx")) - 1)
+        kept = written(kept.withColumn("k", F.count("*").over(Window.partitionBy("sid"))), "prefiltered")
+        side = features.join(kept.select("sid", "column_name", "seq", "k"), "column_name").groupBy("sid", "pos").agg(F.first("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("seq", "value"))).alias("m"))
+        values = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(float("nan"))))
+        frame = base.join(side.select("sid", "pos", values.alias("features")), ["sid", "pos"]).select("sid", "horizon_min", "pos", "label", "y", "split", "features")
+        rows.append(written(training.with_inner(frame, config), "wide-rows"))
+        names.append(kept.select("sid", F.lit(horizon).alias("horizon_min"), "seq", "column_name", "col_idx", "n_full"))
+    return _union(rows), _union(names)
 
 
 def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None = None, artifacts: str | None = None) -> dict[str, DataFrame]:
-    """results, gain, params, train_probs and sweep of models on all sensors' features; the artifacts written if a path is given."""
-    spark = panel.sparkSession
-    graph.check_alignment(panel, sensors)
-    upstream = graph.hop_sets(edges, config.hops, upstream=True)
-    upstream = written(upstream, "hops")
+    """Models on all sensors' features: what local gives, and sweep, choices, ranker_gain, train_probs and horizon_suffixes.
+
+    Columns are filtered by correlation and ranked by the gain of a fit on those left; a
+    sweep says how many foreign columns go with the own ones. The artifacts are written if a
+    path is given: the ranker's gains, parameters, training probabilities, and the most
+    telling suffixes and most common parameters of each horizon.
+    """
+    began = time.time()
+    graph.check_alignment(panel.select("sid", "idx"), sensors)
+    upstream = written(graph.hop_sets(edges, config.hops, upstream=True), "hops")
     cut = written(clean.head(panel, config), "panel")
-    n = cut.agg(F.max("n")).first()[0]
-    n_train = int(n * config.train_share)
-    own = clean.only_targets(cut, targets)
-    sids = [r[0] for r in targets.orderBy("sid").collect()]
-    results, gains, params_, sweeps, probs = [], [], [], [], None
-    for horizon in config.horizons:
-        k = config.steps(horizon)
-        features = frames.wide_frame(cut, horizon, config, upstream, targets, holidays)
-        features = written(features, "wide-features")
-        named = sorted(r[0] for r in features.select("column_name").distinct().collect())
-        columns = spark.createDataFrame(list(zip(named, range(len(named)), strict=True)), "column_name string, col_idx int")
-        ys = own.select("sid", "pos", clean.future_target(k).alias("y"))
-        kept = selection.prefilter(selection.correlations(features, ys, n_train), columns, config.prefilter_top)
-        kept = written(kept, "prefiltered")
-        base = written(clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon)), "targets")
-        for sid in sids:
-            chosen = [r[0] for r in kept.where(F.col("sid") == sid).join(F.broadcast(columns), "column_name").orderBy("col_idx").select("column_name").collect()]
-            side = frames.gather(features, kept.where(F.col("sid") == sid), chosen)
-            frame = written(base.where(F.col("sid") == sid).join(side, "pos"), "wide-frame")
-            rows, assembler = _prepared(frame, chosen)
-            inner, val = training.split_train(rows, config)
-            ranker, _ = training.fit_with_validation(inner, val, config.fixed_params, config)
-            gain = training.gain_table(ranker, assembler, spark).withColumn("sid", F.lit(sid))
-            here = columns.join(F.broadcast(kept.where(F.col("sid") == sid).select("sid", "column_name")), "column_name")
-            n_own = here.where(selection.is_own(F.col("column_name"), F.col("sid"))).count()
-            options = []
-            for budget in config.cross_budgets:
-                top = selection.select_own_and_cross(here, gain, n_own + budget).orderBy("rank")
-                names = [r["column_name"] for r in top.collect()]
-                swept, asm = _prepared(frame, names)
-                inner, val = training.split_train(swept, config)
-                model, _ = training.fit_with_validation(inner, val, config.fixed_params, config)
-                best = metrics.best_threshold(training.scored(training.predict(model, swept.where("split = 'eval'")), config), config).first()
-                options.append((sid, horizon, budget, -1.0 if best is None or best["score"] is None else best["score"], names))
-            table = spark.createDataFrame([o[:4] for o in options], "sid string, horizon_min int, budget int, score double")
-            budget = selection.best_budget(table).first()["budget"]
-            sweeps += [o[:4] for o in options]
-            names = next(o[4] for o in options if o[2] == budget)
-            rows, assembler = _prepared(frame, names)
-            for weight in config.weights:
-                model, params, rounds = _fit_weighted(rows, weight, config)
-                found, limit = _judge(model, rows, config, weight, "global")
-                results.append(_result(found, "global", weight, sid, horizon, limit, len(names), rounds))
-                used = training.gain_table(model, assembler, spark).collect()
-                gains += [(float(weight), sid, horizon, r["column_name"], r["seq"], r["gain"]) for r in used]
-                params_.append((float(weight), sid, horizon, len(params_), {a: float(b) for a, b in params.items()}))
-                taught = training.predict(model, rows.where("split = 'train'"))
-                taught = taught.select(F.lit(float(weight)).alias("transition_weight"), "sid", "horizon_min", "pos", "prob")
-                probs = taught if probs is None else probs.unionByName(taught)
-    out = {
-        "results": spark.createDataFrame(results, RESULT),
-        "gain": spark.createDataFrame(gains, GAIN),
-        "params": spark.createDataFrame(params_, PARAMS),
-        "train_probs": probs,
-        "sweep": spark.createDataFrame(sweeps, "sid string, horizon_min int, budget int, score double"),
-    }
+    own = written(clean.only_targets(cut, targets), "targets")
+    rows, names = _wide_rows(cut, own, upstream, targets, config, holidays)
+
+    plain = training.with_weights(rows, (1.0,))
+    frames_ = written(plain.select(*training.MODEL).distinct(), "models")
+    fixed = config.fixed_params | {"max_rounds": config.fixed_rounds}
+    ranked = training.fit_models(plain, training.listed(frames_, [fixed]), config)
+    ranker = written(training.gain_rows(training.fitted(ranked), names.select(*FRAME, "seq", "column_name")).drop("transition_weight"), "ranker-gain")
+
+    order = written(selection.rank_own_and_cross(names, ranker, FRAME), "ranked-columns")
+    picks = [F.array_sort(F.collect_list(F.when(F.col("rank") <= F.col("n_own") + b, F.col("seq")))).alias(f"b{b}") for b in (0, *config.cross_budgets)]
+    lists = written(order.groupBy(*FRAME).agg(*picks, F.first("n_own").alias("n_own"), F.first("n_full").alias("n_full"), F.count("*").alias("n_prefiltered")), "budgets")
+    tries = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(b).alias("budget"), F.col(f"b{b}").alias("columns")) for i, b in enumerate(config.cross_budgets)])
+    tries = frames_.join(lists, list(FRAME)).select(*training.MODEL, F.explode(tries).alias("o")).select(*training.MODEL, "o.*")
+    tries = written(tries.withColumns({"params": training.as_map(fixed), "rounds": F.lit(None).cast("int"), "splits": F.array(F.lit("eval"))}), "sweep")
+    swept = training.fit_models(plain, tries, config)
+    scores = metrics.best_threshold(training.predictions(swept, "eval"), config, config.selection_metric, training.CANDIDATE)
+    sweep = tries.select(*training.CANDIDATE, "budget", F.size("columns").alias("n_features")).join(scores, list(training.CANDIDATE), "left")
+    sweep = written(sweep.select(*FRAME, "cand", "budget", "n_features", "threshold", "f1", "precision", "recall", "transition_f1", "score"), "sweep-scores")
+    best_budget = sweep.where("score IS NOT NULL").groupBy(*FRAME).agg(F.max_by("budget", F.struct("score", -F.col("cand"))).alias("budget"))
+    # without a defined score, own columns alone
+    budget = written(lists.select(*FRAME, "n_own", "n_full", "n_prefiltered").join(best_budget, list(FRAME), "left").withColumn("budget", F.coalesce("budget", F.lit(0))), "budget")
+    chosen = order.join(budget.select(*FRAME, "budget"), list(FRAME)).where(F.col("rank") <= F.col("n_own") + F.col("budget")).select(*FRAME, "seq")
+    rows, names = _picked(rows, names.select(*FRAME, "seq", "column_name"), chosen, FRAME)
+
+    rows = training.with_weights(rows, config.weights)
+    best = training.staged_search(rows, rows.select(*training.MODEL).distinct(), config)
+    models, fits = training.final_models(rows, best, config)
+    out = _report("global", models, best, names, sensors, began)
+    raised = training.count_raised(rows.where("split = 'train'"), list(training.MODEL)).withColumnRenamed("n_raised", "transition_train_count")
+    lists = sweep.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("budget", "n_features", "threshold", "f1", "precision", "recall", "transition_f1", "score"))).alias("feature_sweep_scores"))
+    search = best.select(*training.MODEL, F.col("params").alias("search_best_params"), F.col("n_rounds").alias("search_rounds"), *[F.col(c).alias(f"search_eval_{c}") for c in ("threshold", "f1", "precision", "recall", "transition_f1", "score")])
+    choices = search.join(raised, list(training.MODEL), "left").join(budget, list(FRAME)).join(lists, list(FRAME))
+    gain = ranker.join(F.broadcast(best.sparkSession.createDataFrame([(float(w),) for w in config.weights], "transition_weight double")))
+    seq = F.row_number().over(Window.partitionBy("transition_weight", "horizon_min").orderBy("sid"))
+    params = best.select(*training.MODEL, seq.alias("seq"), F.map_concat(F.map_filter("params", lambda k, v: k != "num_boost_round"), F.create_map(F.lit("num_boost_round"), F.col("n_rounds").cast("double"))).alias("params"))
+    probs = fits.where("pos IS NOT NULL AND split = 'train'").select(*training.MODEL, "pos", "prob")
+    out |= {"sweep": sweep, "choices": choices, "ranker_gain": gain.select(*training.MODEL, "column_name", "seq", "gain"), "params": params, "train_probs": probs}
+    out |= {"horizon_suffixes": report.horizon_suffixes(out["ranker_gain"]), "common_params": report.common_params(params)}
     if artifacts is not None:
-        io.save_artifacts(artifacts, out["gain"], out["params"], out["train_probs"])
+        io.save_artifacts(artifacts, out["ranker_gain"], params, probs, {"horizon_suffixes": out["horizon_suffixes"], "common_params": out["common_params"]})
     return out
 
 
 def to_local_names(gain: DataFrame) -> DataFrame:
     """Gains of own columns under the local frame's names: without the sensor."""
-    from panelwright.operators.report import local_suffix
-
-    name = local_suffix(F.col("column_name"), F.col("sid"))
+    name = report.local_suffix(F.col("column_name"), F.col("sid"))
     local_name = F.when(name == "__current_speed__", "speed").when(name.isNull(), F.col("column_name")).otherwise(name)
     return gain.withColumn("column_name", local_name)
 
 
-def transfer(panel: DataFrame, targets: DataFrame, config: PanelConfig, artifacts: str, holidays: DataFrame | None = None) -> DataFrame:
-    """Results of own-feature models taught by the global models' training probabilities."""
-    spark = panel.sparkSession
-    own = clean.only_targets(clean.head(panel, config), targets)
-    sids = [r[0] for r in targets.orderBy("sid").collect()]
-    results = []
-    for weight in config.weights:
-        known = io.load_artifacts(spark, artifacts, weight)
-        for horizon in config.horizons:
-            frame = frames.local_frame(own, horizon, config, holidays)
-            names = frames.feature_names(frame)
-            frame = written(clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon)), "local-frame")
-            columns = spark.createDataFrame([(s, c, i) for s in sids for i, c in enumerate(names)], "sid string, column_name string, col_idx int")
-            gain = to_local_names(known["gain"].where(F.col("horizon_min") == horizon)).select("sid", "column_name", "seq", "gain")
-            top = selection.select_top(columns, selection.known_gain(gain, columns), config.transfer_features)
-            top = written(top, "transfer-columns")
-            probs = known["train_probs"].where(F.col("horizon_min") == horizon)
-            for sid in sids:
-                chosen = [r["column_name"] for r in top.where(F.col("sid") == sid).orderBy("rank").collect()]
-                rows, _ = _prepared(frame.where(F.col("sid") == sid), chosen)
-                rows = written(training.soft_labels(rows, probs.where(F.col("sid") == sid), config.soft_share), "soft-rows").persist()
-                model, _, rounds = _fit_weighted(rows, weight, config, soft=True, all_stages=True)
-                found, limit = _judge(model, rows, config, weight, "transfer")
-                results.append(_result(found, "transfer", weight, sid, horizon, limit, len(chosen), rounds))
-                rows.unpersist()
-    return spark.createDataFrame(results, RESULT)
-
-
-def quick(config: PanelConfig, horizon: int) -> PanelConfig:
-    """config for one horizon, one weight and a small search, to try the jobs out."""
-    return replace(config, horizons=(horizon,), weights=(3.0,), grid={"max_depth": [2, 3], "eta": [0.1]}, stages=(("max_depth", "eta"),), max_rounds=3, patience=2, cross_budgets=(3, 6), prefilter_top=40)
+def transfer(panel: DataFrame, targets: DataFrame, config: PanelConfig, artifacts: str, holidays: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Own-feature models on the columns that the global ranker found best, taught by the global models' training probabilities; gives what local does."""
+    began = time.time()
+    own = written(clean.only_targets(clean.head(panel, config), targets), "targets")
+    known = io.load_artifacts(panel.sparkSession, artifacts)
+    rows, names = _local_rows(own, config, holidays)
+    rows = training.with_weights(rows, config.weights)
+    columns = names.select(*FRAME, "column_name", F.col("seq").alias("col_idx"))
+    columns = columns.join(F.broadcast(rows.select("transition_weight").distinct()))
+    gain = to_local_names(known["gain"]).select(*training.MODEL, "column_name", "seq", "gain")
+    top = selection.select_top(columns, selection.known_gain(gain, columns, training.MODEL), config.transfer_features, training.MODEL)
+    chosen = top.join(names, [*FRAME, "column_name"]).select(*training.MODEL, "seq")
+    rows, names = _picked(rows, names, chosen, training.MODEL)
+    rows = written(training.soft_labels(rows, known["train_probs"], config.soft_share, (*training.MODEL, "pos")), "soft-rows")
+    best = training.staged_search(rows, rows.select(*training.MODEL).distinct(), config, all_stages=True)
+    models, _ = training.final_models(rows, best, config)
+    return _report("transfer", models, best, names, own.select("sid").distinct(), began)

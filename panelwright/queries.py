@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright import fixtures
@@ -19,34 +21,35 @@ H = 120
 
 
 class Hourly:
-    """The hourly panel and what goes with it."""
+    """The hourly panel and what goes with it. What several steps of a query read is a written table."""
+
+    make = (fixtures.hourly_readings, fixtures.hourly_sensors, fixtures.hourly_targets)
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: PanelConfig = C):
+        readings, sensors, targets = self.make
         self.spark, self.config = spark, config
-        self.readings = fixtures.hourly_readings(spark, sf_dir)
-        self.sensors = fixtures.sensors_of(self.readings)
-        self.edges = fixtures.edges_of(self.sensors)
+        self.readings = written(readings(spark, sf_dir), "readings")
+        self.sensors = written(sensors(spark, sf_dir), "sensors")
         self.holidays = fixtures.holidays(spark)
-        self.targets = fixtures.hourly_targets(self.sensors)
+        self.targets = targets(self.sensors)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return written(fixtures.edges_of(self.sensors), "edges")
 
-    @property
+    @cached_property
     def panel(self) -> DataFrame:
-        return clean.build_panel(self.readings, self.sensors, self.config)
+        return written(clean.build_panel(self.readings, self.sensors, self.config), "panel")
 
-    @property
+    @cached_property
     def upstream(self) -> DataFrame:
-        return graph.hop_sets(self.edges, self.config.hops, upstream=True)
+        return written(graph.hop_sets(self.edges, self.config.hops, upstream=True), "hops")
 
 
 class Weekly(Hourly):
     """The weekly panel, which grows with the tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, config: PanelConfig = C):
-        super().__init__(spark, sf_dir, config)
-        self.readings = fixtures.weekly_readings(spark, sf_dir)
-        self.sensors = fixtures.sensors_of(self.readings)
-        self.edges = fixtures.edges_of(self.sensors)
-        self.targets = fixtures.weekly_targets(self.sensors)
+    make = (fixtures.weekly_readings, fixtures.weekly_sensors, fixtures.weekly_targets)
 
 
 def tidy(rows: DataFrame) -> DataFrame:
@@ -195,7 +198,7 @@ def current_labels(spark, sf_dir):
 @query
 def target_sensor_rows(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    return clean.only_targets(p.panel, p.targets).groupBy("sid").agg(F.count("*").alias("n_rows"), F.sum("label").alias("n_congested"))
+    return clean.only_targets(p.panel, p.targets, p.sensors).groupBy("sid").agg(F.count("*").alias("n_rows"), F.sum("label").alias("n_congested"))
 
 
 # calendar
@@ -324,10 +327,21 @@ def top_origins(spark, sf_dir):
 @query
 def graph_alignment(spark, sf_dir):
     p = Weekly(spark, sf_dir)
-    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 7 <> 1").select((F.col("s_suppkey") + fixtures.FIRST_SID).cast("string").alias("sid"))
+    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal >= 0").select((F.col("s_suppkey") + fixtures.FIRST_SID).cast("string").alias("sid"))
     return graph.alignment(p.readings, known)
 
 
+@query
+def graph_order(spark, sf_dir):
+    """Readings in order of their ids against a graph whose sensors go by nation."""
+    p = Weekly(spark, sf_dir)
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    by_nation = Window.partitionBy().orderBy("s_nationkey", "s_suppkey")  # a row a sensor
+    known = suppliers.select((F.col("s_suppkey") + fixtures.FIRST_SID).cast("string").alias("sid"), (F.row_number().over(by_nation) - 1).alias("idx"))
+    own = p.sensors.select("sid", (F.row_number().over(Window.partitionBy().orderBy("idx")) - 1).alias("idx"))
+    return graph.alignment(own, known)
+
+
 @query
 def graph_report(spark, sf_dir):
     p = Weekly(spark, sf_dir)
@@ -341,26 +355,57 @@ def _column_sums(long: DataFrame) -> DataFrame:
     return long.groupBy("column_name").agg(F.count("value").alias("n_values"), F.count("*").alias("n_rows"), F.sum("value").alias("total"))
 
 
-@query
-def local_frame_columns(spark, sf_dir):
+def _row_sums(long: DataFrame) -> DataFrame:
+    return long.groupBy("pos").agg(F.count("value").alias("n_values"), F.count("*").alias("n_rows"), F.sum("value").alias("total"))
+
+
+def _local_long(spark, sf_dir) -> DataFrame:
     p = Hourly(spark, sf_dir)
-    rows = clean.only_targets(clean.head(p.panel, C), p.targets)
+    rows = clean.only_targets(clean.head(p.panel, C), p.targets, p.sensors)
     frame = frames.local_frame(rows, H, C, p.holidays)
     names = [*frames.feature_names(frame), "y"]
     doubles = frame.select("sid", "pos", *[F.col(n).cast("double").alias(n) for n in names])
-    return _column_sums(doubles.unpivot(["sid", "pos"], names, "column_name", "value"))
+    return doubles.unpivot(["sid", "pos"], names, "column_name", "value")
+
+
+def _wide_long(spark, sf_dir) -> DataFrame:
+    p = Hourly(spark, sf_dir)
+    return frames.wide_frame(clean.head(p.panel, C), H, C, p.upstream, p.targets, p.holidays)
+
+
+def _snapshot_long(spark, sf_dir) -> DataFrame:
+    p = Hourly(spark, sf_dir)
+    return frames.wide_frame(clean.head(p.panel, C), H, C, p.upstream, None, p.holidays, long_lags=True, snapshot_only=True)
+
+
+@query
+def local_frame_columns(spark, sf_dir):
+    return _column_sums(_local_long(spark, sf_dir))
+
+
+@query
+def local_frame_rows(spark, sf_dir):
+    return _row_sums(_local_long(spark, sf_dir))
 
 
 @query
 def wide_frame_columns(spark, sf_dir):
-    p = Hourly(spark, sf_dir)
-    return _column_sums(frames.wide_frame(clean.head(p.panel, C), H, C, p.upstream, p.targets, p.holidays))
+    return _column_sums(_wide_long(spark, sf_dir))
+
+
+@query
+def wide_frame_rows(spark, sf_dir):
+    return _row_sums(_wide_long(spark, sf_dir))
 
 
 @query
 def snapshot_frame_columns(spark, sf_dir):
-    p = Hourly(spark, sf_dir)
-    return _column_sums(frames.wide_frame(clean.head(p.panel, C), H, C, p.upstream, None, p.holidays, long_lags=True, snapshot_only=True))
+    return _column_sums(_snapshot_long(spark, sf_dir))
+
+
+@query
+def snapshot_frame_rows(spark, sf_dir):
+    return _row_sums(_snapshot_long(spark, sf_dir))
 
 
 @query
@@ -458,7 +503,7 @@ def class_weights(spark, sf_dir):
 @query
 def soft_labels(spark, sf_dir):
     panel = clean.head(Hourly(spark, sf_dir).panel, C)
-    probs = profiles.add_congestion_profile(panel, H, C).where("tow_cong_prob_ahead IS NOT NULL AND pos % 3 > 0").select("sid", "pos", F.col("tow_cong_prob_ahead").alias("prob"))
+    probs = profiles.add_congestion_profile(panel, H, C).where("tow_cong_prob_ahead IS NOT NULL AND speed IS NOT NULL").select("sid", "pos", F.col("tow_cong_prob_ahead").alias("prob"))
     rows = panel.withColumn("y", clean.future_target(C.steps(H)))
     return training.soft_labels(rows, probs, C.soft_share).select("sid", "pos", "y", "soft")
 
@@ -469,18 +514,24 @@ def soft_labels(spark, sf_dir):
 @query
 def naive_metrics(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    return jobs.naive(p.panel, p.targets, C)
+    return jobs.naive(p.panel, p.targets, C, p.sensors)
 
 
 @query
 def naive_summary(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    return metrics.summary(jobs.naive(p.panel, p.targets, C), "hourly", "naive")
+    return metrics.summary(jobs.naive(p.panel, p.targets, C, p.sensors), "hourly", "naive")
+
+
+@query
+def training_time(spark, sf_dir):
+    """A method's time as a result row; a second for each cell of the panel stands for what a clock would say."""
+    return metrics.training_time(spark, "hourly", "naive", "naive_persistence", Hourly(spark, sf_dir).panel.count())
 
 
 def _profile_scores(p: Hourly, split: str) -> DataFrame:
     """Scores whose probability is the profile's at the target's time; 0 for an unseen bin."""
-    panel = clean.only_targets(clean.head(p.panel, C), p.targets)
+    panel = clean.only_targets(clean.head(p.panel, C), p.targets, p.sensors)
     rows = profiles.add_congestion_profile(panel, H, C).withColumn("y_true", clean.future_target(C.steps(H)))
     rows = clean.with_split(rows, C.steps(H), C).where(F.col("split") == split)
     rows = rows.withColumns({"horizon_min": F.lit(H), "method": F.lit("profile"), "prob": F.coalesce("tow_cong_prob_ahead", F.lit(0.0)), "current_label": F.col("label")})
@@ -495,8 +546,7 @@ def threshold_curve(spark, sf_dir):
 @query
 def best_thresholds(spark, sf_dir):
     scores = _profile_scores(Hourly(spark, sf_dir), "eval")
-    out = [metrics.best_threshold(scores, C, m).withColumn("metric", F.lit(m)) for m in ("f1", "transition_f1", "trsp")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("sid", "metric", "threshold", "score", "f1")
+    return metrics.best_thresholds(scores, C, ("f1", "transition_f1", "trsp")).select("sid", "metric", "threshold", "score", "f1")
 
 
 @query
@@ -518,8 +568,7 @@ def _gain_rows(p: Hourly) -> DataFrame:
 def feature_groups(spark, sf_dir):
     p = Hourly(spark, sf_dir)
     names = frames.wide_frame(clean.head(p.panel, C), H, C, p.upstream, p.targets, p.holidays).select("column_name").distinct()
-    known = p.sensors.where("idx <> 4")  # names of an unknown sensor take the later rules
-    return report.with_group(names, known)
+    return report.with_group(names, p.targets)  # names of other sensors take the later rules
 
 
 def _importance(spark, sf_dir) -> DataFrame:
@@ -553,19 +602,24 @@ def common_params(spark, sf_dir):
 # models: no SQL form
 
 
+def _results(out: dict) -> DataFrame:
+    """A job's results without the time that predictions took."""
+    return out["results"].drop("inference_us")
+
+
 @query
 def local_model(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    results, _ = jobs.local(p.panel, p.targets, C, p.holidays)
-    return results
+    return _results(jobs.local(p.panel, p.targets, C, p.holidays))
 
 
 @query
 def global_then_transfer_model(spark, sf_dir):
     p = Hourly(spark, sf_dir)
     path = new_folder(spark, "artifacts")
-    out = jobs.global_model(written(p.panel, "panel"), p.sensors, p.edges, p.targets, C, p.holidays, path)
-    return out["results"].unionByName(jobs.transfer(p.panel, p.targets, C, path, p.holidays))
+    out = jobs.global_model(p.panel, p.sensors, p.edges, p.targets, C, p.holidays, path)
+    jobs.write_run(out, new_folder(spark, "run"))
+    return _results(out).unionByName(_results(jobs.transfer(p.panel, p.targets, C, path, p.holidays)))
 
 
 # the weekly panel, which grows with the tables
@@ -592,4 +646,4 @@ def weekly_neighbours(spark, sf_dir):
 @query
 def weekly_naive_summary(spark, sf_dir):
     p = Weekly(spark, sf_dir)
-    return metrics.summary(jobs.naive(p.panel, p.sensors.select("sid"), C), "weekly", "naive")
+    return metrics.summary(jobs.naive(p.panel, p.sensors.select("sid"), C, p.sensors), "weekly", "naive")

@@ -77,9 +77,10 @@ def write_choices(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def save_artifacts(path: str, gain: DataFrame, params: DataFrame, train_probs: DataFrame) -> None:
-    """What a transfer job needs of a global job, as tables partitioned by transition weight."""
-    for name, rows in zip(ARTIFACTS, (gain, params, train_probs), strict=True):
+def save_artifacts(path: str, gain: DataFrame, params: DataFrame, train_probs: DataFrame, horizons: dict[str, DataFrame] | None = None) -> None:
+    """What a transfer job needs of a global job, as tables partitioned by transition weight; horizons are tables on what its horizons have in common."""
+    tables = dict(zip(ARTIFACTS, (gain, params, train_probs), strict=True)) | (horizons or {})
+    for name, rows in tables.items():
         rows.write.mode("overwrite").partitionBy("transition_weight").parquet(f"{path}/{name}")
 
 
