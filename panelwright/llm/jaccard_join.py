@@ -3,9 +3,12 @@
 Which rows meet at all follows from the pigeonhole principle. Linked sets of a band of sizes
 and the next differ in d shingles at most, so of d + 1 or more parts of the hash range one
 holds the same shingles in both sets. A part's key is the hash of what the set has there, a
-handful of shingles at once; no shingle's frequency matters, and nothing has to be counted
-or known about the corpus. Sets with so many empty parts that the agreeing one may be empty
-also get their least shingles as keys (a prefix under the order of hashes).
+handful of shingles at once. Any division into parts misses no link; so that passages which
+many rows share don't bring them all together, shingles that stand out in a table of hashed
+counts over all documents are moved to the range's first parts. The table is of fixed size:
+in a larger corpus fewer shingles stand out, but keys still are of several shingles. Sets
+with so many empty parts that the agreeing one may be empty also get a prefix of single
+shingles as keys, those that stand out last.
 
 Rows that share keys form groups, and groups are put in tiles of bounded weight. A tile
 bounds each pair's overlap from above by the counts of differing bits of hashed bitmaps and
@@ -36,6 +39,9 @@ COMBINED_KEYS = 1 << 21
 #: Shingles of a tile, and what a row counts for at least.
 TILE_SHINGLES = 1 << 18
 LEAST_WEIGHT = 128
+#: Places of the table of counts, and the part of the hash range that shingles which stand out are moved to (as a shift).
+PLACES = 1 << 20
+HOT_SHIFT = 4
 #: The fewest bits of a bitmap.
 BITMAP_BITS = 1024
 
@@ -82,8 +88,38 @@ def parts_of(family: int, num: int, den: int) -> tuple[int, np.ndarray]:
     return differ, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
 
 
+def stands_out(docs: DataFrame, size: int) -> np.ndarray:
+    """For each place of the hashed counts, packed: whether shingles there are more than chance brings together. docs(text)."""
+
+    def count(batches):
+        total = np.zeros(PLACES, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words = text.lower().split() if text else []
+                if words:
+                    own = run_hashes(words, min(size, len(words)))[0]
+                    np.add.at(total, (own & np.uint64(PLACES - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["place", "n"])
+
+    sums = docs.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # PLACES rows at most
+    counts = np.zeros(PLACES, dtype=np.int64)
+    counts[sums["place"].to_numpy()] = sums["n"].to_numpy()
+    usual = float(np.median(counts))
+    return np.packbits(counts > usual + 4 * math.sqrt(usual) + 8)
+
+
+def moved(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Sorted hashes with those that stand out in the first part of the range."""
+    place = (own & np.uint64(PLACES - 1)).astype(np.int64)
+    out = (hot[place >> 3] >> (7 - (place & 7))) & 1 > 0
+    return np.sort(np.where(out, own >> np.uint64(HOT_SHIFT), own))
+
+
 def part_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A set's keys: linked sets share one."""
+    """A set's keys: linked sets share one. Of sorted hashes, the last are the first choice where single ones are keys."""
     n = len(own)
     if n == 0:
         return own
@@ -96,7 +132,7 @@ def part_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
         tag = mix(np.arange(len(firsts), dtype=np.uint64) + np.uint64(family << 32))
         out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ tag)[full])
         if len(firsts) - int(full.sum()) >= len(firsts) - differ:
-            out.append(mix(own[: n - -(-n * num // den) + 1] ^ mix(np.array([(family << 32) - 1], dtype=np.uint64))))
+            out.append(mix(own[-(-n * num // den) - 1 :] ^ mix(np.array([(family << 32) - 1], dtype=np.uint64))))
     return np.concatenate(out)
 
 
@@ -190,10 +226,12 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
+    hot = docs.sparkSession.sparkContext.broadcast(stands_out(own.select("text"), size))
+
     def signatures(batches):
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            keys = [part_keys(s, num, den).view(np.int64) for s in sets]
+            keys = [part_keys(moved(s, hot.value), num, den).view(np.int64) for s in sets]
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(

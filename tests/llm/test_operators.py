@@ -229,8 +229,10 @@ def test_part_keys_miss_no_link():
                 b = np.concatenate([a[change:], rng.integers(0, 2**64, rng.integers(0, change + 1), dtype=np.uint64)])
                 a, b = np.unique(a), np.unique(b)
                 both = len(np.intersect1d(a, b))
+                hot = rng.integers(0, 256, jaccard_join.PLACES // 8, dtype=np.uint8) & rng.integers(0, 256, jaccard_join.PLACES // 8, dtype=np.uint8)
                 if len(b) and 100 * both >= num * (len(a) + len(b) - both):
-                    assert np.intersect1d(jaccard_join.part_keys(a, num, 100), jaccard_join.part_keys(b, num, 100)).size
+                    for x, y in ((a, b), (jaccard_join.moved(a, hot), jaccard_join.moved(b, hot))):
+                        assert np.intersect1d(jaccard_join.part_keys(x, num, 100), jaccard_join.part_keys(y, num, 100)).size
 
 
 def test_part_keys_need_no_counts():
