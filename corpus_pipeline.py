@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage works on what the one before kept, written as Parquet and reread.
 
-1. language ID: documents without a known language go (fitted on the labelled documents);
+1. language ID: documents in no learned language go (fitted on the labelled documents);
 2. exact dedup: of equal texts the smallest id stays;
 3. n-gram Jaccard join: one document of each group of near copies stays. Near copies have
    five-word shingles and a similarity of 0.8 or more here;
@@ -29,22 +29,27 @@ NEAR, SHINGLE = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language that the labelled ones teach, or without a letter."""
     return keep_known(docs, fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keep the smallest id."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, keep the smallest id."""
     return near_dedup(docs, num=NEAR, den=100, size=SHINGLE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a twentieth of their words in benchmark windows."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left; the last stage, so its columns are documents' and the pieces."""
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=docs.columns)
 
 
