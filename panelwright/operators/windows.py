@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,20 +100,55 @@ def add_margin(panel: DataFrame, config: PanelConfig) -> DataFrame:
     return rows.withColumns({"margin": F.col("speed") - F.col("thr"), "margin_ratio": F.when(F.col("thr") > 0, F.col("speed") / F.col("thr"))}).drop("thr")
 
 
+#: Rows that one step of a decayed sum takes together.
+EMA_ROWS = 64
+
+
+def decayed_sum(values: np.ndarray, decay: float, before: float) -> np.ndarray:
+    """y[i] = decay * y[i - 1] + values[i], with before as y[-1]."""
+    n = -(-len(values) // EMA_ROWS)
+    blocks = np.zeros(n * EMA_ROWS)
+    blocks[: len(values)] = values
+    away = np.arange(EMA_ROWS)
+    out = blocks.reshape(n, EMA_ROWS) @ np.where(away[:, None] <= away, decay ** np.maximum(away - away[:, None], 0.0), 0.0)
+    carried = decay ** (away + 1.0)
+    for block in out:
+        block += carried * before
+        before = block[-1]
+    return out.ravel()[: len(values)]
+
+
 def add_ema(panel: DataFrame, config: PanelConfig) -> DataFrame:
     """panel with ema_<m>min: an adjusted exponential mean whose weight halves every k rows.
 
     A missing row still ages the weights and shows the value before it; null until k rows
-    had a speed. Evaluated per sensor in Arrow batches.
+    had a speed. The recurrence is carried from one Arrow batch of the sorted rows to the
+    next, so a sensor's history is never held as a whole.
     """
     spans = {f"ema_{m}min": config.steps(m) for m in config.half_lives}
-    fields = [T.StructField(f.name, f.dataType) for f in panel.schema] + [T.StructField(n, T.DoubleType()) for n in spans]
-
-    def per_sensor(rows):
-        rows = rows.sort_values("pos", kind="stable")
-        for name, k in spans.items():
-            rows[name] = rows["speed"].ewm(halflife=k, min_periods=k, adjust=True, ignore_na=False).mean()
-        return rows
-
-    out = panel.groupBy("sid").applyInPandas(per_sensor, T.StructType(fields))
-    return out.select(*[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    schema = T.StructType([*panel.schema.fields, *[T.StructField(n, T.DoubleType()) for n in spans]])
+
+    def carry(batches):
+        sid, state = None, {}
+        for batch in batches:
+            sids, speed = batch.column("sid"), batch.column("speed").to_numpy(zero_copy_only=False).astype(float)
+            known = ~np.isnan(speed)
+            codes = sids.dictionary_encode().indices.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            means = {name: np.empty(len(codes)) for name in spans}
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi == lo:
+                    continue
+                if sids[lo].as_py() != sid or not state:
+                    sid, state = sids[lo].as_py(), {name: (0.0, 0.0, 0) for name in spans}
+                for name, k in spans.items():
+                    total, weight, seen = state[name]
+                    top = decayed_sum(np.where(known[lo:hi], speed[lo:hi], 0.0), 0.5 ** (1 / k), total)
+                    below = decayed_sum(known[lo:hi].astype(float), 0.5 ** (1 / k), weight)
+                    count = seen + np.cumsum(known[lo:hi])
+                    means[name][lo:hi] = np.where(count >= k, top / np.where(below > 0, below, 1.0), np.nan)
+                    state[name] = (top[-1], below[-1], int(count[-1]))
+            made = [pa.array(m, mask=np.isnan(m)) for m in means.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *spans])
+
+    return panel.repartition("sid").sortWithinPartitions("sid", "pos").mapInArrow(carry, schema)

@@ -61,6 +61,7 @@ def test_windows_match_pandas(spark):
     rng = np.random.default_rng(5)
     speeds = [None if rng.random() < 0.1 else float(x) for x in rng.normal(50, 10, 60)]
     series = pd.Series(speeds, dtype=float)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # the recurrence goes on from batch to batch
     rows = windows.add_ema(panel_of(spark, [0] * 60, speeds), C).withColumns(windows.changes(C) | windows.rollings(C))
     got = rows.orderBy("pos").toPandas()
     expected = {
