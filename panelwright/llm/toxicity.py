@@ -89,6 +89,7 @@ class Linear:
 
 
 def _part(owner: np.ndarray, feature: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of the chosen rows, which are numbered anew."""
     new = np.cumsum(chosen) - 1
     keep = chosen[owner]
     return new[owner[keep]], feature[keep]
@@ -172,6 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_
         return [(n, None) for n in names]
     feature = np.concatenate([np.frombuffer(r[-1], "<u4") for r in sample])
     owner = np.repeat(np.arange(len(sample)), [len(r[-1]) // 4 for r in sample])
+    # features of fewer rows than a model takes are left out before the rows are sent to the tasks
+    seen = np.unique(feature, return_inverse=True, return_counts=True)
+    often = seen[2][seen[1]] >= LEAST_ROWS
+    owner, feature = owner[often].astype(np.int32), feature[often]
     y = np.array([[np.nan if v is None else v for v in r[1:-1]] for r in sample])
     fold = np.array([(r[0] >> 24) % FOLDS for r in sample])
     return list(zip(names, fit_chain(docs.sparkSession, owner, feature, y, fold), strict=True))
