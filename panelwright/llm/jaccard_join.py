@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache
+from collections.abc import Callable
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ PLACES = 1 << 20
 HOT_SHIFT = 4
 #: The fewest bits of a bitmap.
 BITMAP_BITS = 1024
+#: Of a row and others of its tile, gives those that it may link with.
+Bound = Callable[[int, np.ndarray], np.ndarray]
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -157,15 +160,29 @@ def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(met.astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
 
 
-def link_tile(nodes: list[int], labels: list[int], blocks: list[str], texts: list[bytes], num: int, den: int, size: int, every: bool = False) -> list[tuple[int, int]]:
+def bitmap_bound(sets: list[np.ndarray], carried: list, num: int, den: int) -> Bound:
+    """Which of a tile's rows may link with row x, by the differing bits of their bitmaps."""
+    sizes, maps = np.array([len(s) for s in sets]), folded([bitmap(s) for s in sets])
+
+    def may_link(x: int, near: np.ndarray) -> np.ndarray:
+        differing = np.bitwise_count(maps[near] ^ maps[x]).sum(axis=1, dtype=np.int64)
+        return near[differing * (den + num) <= (sizes[near] + sizes[x]) * (den - num)]
+
+    return may_link
+
+
+def link_tile(nodes: list[int], labels: list[int], blocks: list[str], texts: list[bytes], num: int, den: int, size: int, every: bool = False, bound=bitmap_bound, carried: list | None = None) -> list[tuple[int, int]]:
     """Links of a tile's rows, each confirmed: at most one a row, of rows of different labels; with every, all.
 
     Rows meet those of other blocks, or, in a tile without blocks (empty strings), all others.
+    bound(sets, carried, num, den) says which may link before sets are intersected; carried
+    is what the rows bring along for it.
     """
     sets = [shingle_set(t, size) for t in texts]
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
     sets, nodes, texts = [sets[k] for k in order], [nodes[k] for k in order], [texts[k] for k in order]
-    sizes, maps = np.array([len(s) for s in sets]), folded([bitmap(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    may_link = bound(sets, [carried[k] for k in order] if carried else [], num, den)
     label = np.unique([labels[k] for k in order], return_inverse=True)[1]
     block = np.unique([blocks[k] for k in order], return_inverse=True)[1]
     crossed, links = blocks[0] != "", []
@@ -175,8 +192,7 @@ def link_tile(nodes: list[int], labels: list[int], blocks: list[str], texts: lis
             near = near[block[near] != block[x]]
         if not every:
             near = near[label[near] != label[x]]
-        differing = np.bitwise_count(maps[near] ^ maps[x]).sum(axis=1, dtype=np.int64)
-        near = near[differing * (den + num) <= (sizes[near] + sizes[x]) * (den - num)]
+        near = may_link(x, near)
         if not len(near):
             continue
         both = overlaps(sets[x], [sets[y] for y in near])
@@ -246,21 +262,33 @@ def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3
             )
 
     keyed = own.mapInArrow(signatures, f"id {kind}, n long, print binary, keys array<long>, h long")
+    tile = partial(link_tile, num=num, den=den, size=size)
+    return groups_by_keys(own, keyed, lambda rows: rows.select("row", "keys"), tile, num, den, id_col, with_links)
+
+
+def groups_by_keys(own: DataFrame, keyed: DataFrame, keys_of: Callable[[DataFrame], DataFrame], tile: Callable, num: int, den: int, id_col: str, with_links: bool = False, carry: str | None = None) -> DataFrame:
+    """What jaccard_groups gives: own(id, text, h), keyed(id, n, print, h, ...) with what keys_of makes (row, keys) from.
+
+    tile is link_tile with its parameters; carry names a column of keyed that it gets for
+    each row. Rows of equal prints are taken for equal sets: prints are 128-bit digests of
+    the 64-bit hashes that sets hold.
+    """
+    spark = own.sparkSession
     keyed = stage(keyed.withColumn("row", F.monotonically_increasing_id()), "join-sets")
-    sets = keyed.drop("keys")  # the scan leaves out the keys
+    sets = keyed.select("row", "id", "n", "print", "h", *([carry] if carry else []))  # the scan leaves out the rest
 
-    with partitions_for(docs.sparkSession, keyed.count()):  # narrow rows from here on, but for keys and tiles
+    with partitions_for(spark, keyed.count()):  # narrow rows from here on, but for keys and tiles
         # equal sets are one: rows of a repeated set point to its first row
         prints = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
         # aggregates are written before they are joined, so that Spark can split the other side's hot keys
         prints = stage(prints, "join-prints")
         same = stage(sets.select("row", "print").join(prints, "print").where("row <> rep").select("row", "rep"), "join-same")
     alone = keyed.join(small(same.select("row")), "row", "left_anti")
-    near = _near(alone.select("row", "keys"))
-    links = _links(own, sets, near, num, den, size, with_links)
+    near = _near(keys_of(alone))
+    links = _links(own, sets, near, tile, num, den, with_links, carry)
     joined = components(links)
 
-    with partitions_for(docs.sparkSession, keyed.count()):
+    with partitions_for(spark, keyed.count()):
         rep = sets.select("row", "id", "n", "h").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
         joined = small(joined.select(F.col("node").alias("rep"), "root"))
         rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -347,10 +375,10 @@ def _near(keyed: DataFrame) -> DataFrame:
         return stage(near.select(with_roots.alias("x")).select("x.*").distinct(), "join-near")
 
 
-def _links(own: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int, size: int, every: bool) -> DataFrame:
+def _links(own: DataFrame, sets: DataFrame, near: DataFrame, tile: Callable, num: int, den: int, every: bool, carry: str | None = None) -> DataFrame:
     """links(a long, b long), written, among the rows of near(node, root)."""
     bounds = F.array(*[F.lit(b) for b in band_bounds(num, den)])
-    member = near.join(sets.select(F.col("row").alias("node"), "id", "h", "n"), "node")
+    member = near.join(sets.select(F.col("row").alias("node"), "id", "h", "n", *([carry] if carry else [])), "node")
     member = member.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n"))))
     member = stage(member.withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)) / TILE_SHINGLES), "join-members")
 
@@ -365,13 +393,13 @@ def _links(own: DataFrame, sets: DataFrame, near: DataFrame, num: int, den: int,
         for salt in (1, 2):
             dealt = most.withColumn("tile", F.concat_ws(" ", F.lit(f"deal {salt}"), "root", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("tiles"))))
             placed = placed.unionByName(dealt.withColumn("label", F.col("node")).withColumn("block", F.lit("")).select(*placed.columns))
-    links = stage(_in_tiles(own, placed, num, den, size, every), "join-links")
+    links = stage(_in_tiles(own, placed, tile, every, carry), "join-links")
     if large.limit(1).count():
         joined = components(links)
         apart = most.join(joined, most["node"] == joined["node"], "left").select(most["*"], F.coalesce(joined["root"], most["node"]).alias("label"))
         with partitions_for(own.sparkSession, near.count()):
             crossed = stage(_crossed(stage(apart, "join-apart"), every), "join-crossed")
-        late = stage(_in_tiles(own, crossed, num, den, size, every), "join-late")
+        late = stage(_in_tiles(own, crossed, tile, every, carry), "join-late")
         links = stage(links.unionAll(late), "join-links")
     discard(member, whole)
     return links
@@ -400,23 +428,26 @@ def _crossed(member: DataFrame, every: bool) -> DataFrame:
     return tiles.withColumn("block", F.when(F.col("block") == F.col("other"), "").otherwise(F.col("block"))).drop("cells", "other", "class")
 
 
-def _in_tiles(own: DataFrame, placed: DataFrame, num: int, den: int, size: int, every: bool) -> DataFrame:
+def _in_tiles(own: DataFrame, placed: DataFrame, tile: Callable, every: bool, carry: str | None = None) -> DataFrame:
     """Links of the rows placed(id, h, node, root, label, block, tile), whose texts come from own(id, h, text); without every, pairs that connect the same rows."""
 
     def link(group: pa.Table) -> pa.Table:
         roots: dict[int, dict] = {}
-        for node, root, label, block, text in zip(*(group.column(c).to_pylist() for c in ("node", "root", "label", "block")), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            roots.setdefault(root, {})[node] = (label, block, text)  # a row that repeats with its id comes once
+        columns = [group.column(c).to_pylist() for c in ("node", "root", "label", "block")]
+        carried = group.column(carry).to_pylist() if carry else [None] * len(group)
+        for node, root, label, block, text, more in zip(*columns, group.column("text").cast(pa.binary()).to_pylist(), carried, strict=True):
+            roots.setdefault(root, {})[node] = (label, block, text, more)  # a row that repeats with its id comes once
         pairs = []
         for rows in roots.values():
             if len(rows) > 1:
-                labels, blocks, texts = zip(*rows.values(), strict=True)
-                found = link_tile(list(rows), list(labels), list(blocks), list(texts), num, den, size, every)
+                labels, blocks, texts, more = map(list, zip(*rows.values(), strict=True))
+                found = tile(list(rows), labels, blocks, texts, every=every, carried=more if carry else None)
                 pairs += found if every else as_stars(found)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    placed = stage(placed.select("id", "h", "node", "root", "label", "block", "tile"), "join-tiles")
-    filled = join_lists(own, placed).select("tile", "node", "root", "label", "block", "text")
+    more = [carry] if carry else []
+    placed = stage(placed.select("id", "h", "node", "root", "label", "block", "tile", *more), "join-tiles")
+    filled = join_lists(own, placed).select("tile", "node", "root", "label", "block", "text", *more)
     return filled.groupBy("tile").applyInArrow(link, "a long, b long")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, sentence_pieces, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, sentence_pieces, set_sketch, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_minhash_dedup": set_sketch.op11_minhash_dedup,
 }
 ORACLES = {
     "op2_extendible_shards": sharding.OP2_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_minhash_dedup": set_sketch.OP11_SQL,
 }
