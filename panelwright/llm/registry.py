@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, sentence_pieces, set_sketch, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, sentence_pieces, set_sketch, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_minhash_dedup": set_sketch.op11_minhash_dedup,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 ORACLES = {
     "op2_extendible_shards": sharding.OP2_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_jaccard_join": jaccard_join.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op11_minhash_dedup": set_sketch.OP11_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
 }
