@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, sentence_pieces, set_sketch, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import conversation_repair, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, sentence_pieces, set_sketch, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_minhash_dedup": set_sketch.op11_minhash_dedup,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_extendible_shards": sharding.OP2_SQL,
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op11_minhash_dedup": set_sketch.OP11_SQL,
     "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
