@@ -61,6 +61,8 @@ class PanelConfig:
     stages: tuple[tuple[str, ...], ...] = (("max_depth", "eta"), ("subsample", "colsample_bytree"), ("min_child_weight", "gamma"), ("reg_lambda", "reg_alpha"))
     max_rounds: int = 2000
     patience: int = 50
+    #: Fits whose jobs share the cluster at a time.
+    fit_threads: int = 8
 
     def __post_init__(self):
         if self.selection_metric not in ("f1", "transition_f1", "trsp"):
@@ -81,7 +83,8 @@ class PanelConfig:
         return self.selection_metric
 
 
-#: The hourly panel: every window has as many rows as with 5-minute sampling.
+#: The hourly panel: every window has as many rows as with 5-minute sampling. Fits are distributed jobs, so its
+#: models have few rounds and a narrow grid.
 HOURLY = replace(
     PanelConfig(),
     sampling=60,
@@ -91,4 +94,9 @@ HOURLY = replace(
     lags=(60, 120, 180, 360, 720, 2160),
     transition_windows=(120, 240, 360),
     half_lives=(180, 720),
+    fixed_params={"max_depth": 3, "eta": 0.3, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 1, "gamma": 0},
+    fixed_rounds=4,
+    grid={"max_depth": [2, 3], "eta": [0.3], "subsample": [0.8], "colsample_bytree": [0.8], "min_child_weight": [1], "gamma": [0]},
+    max_rounds=4,
+    patience=2,
 )

@@ -1,30 +1,35 @@
-"""Row weights, soft labels, and the fits, search and predictions of very many small models at once.
+"""Row weights, soft labels, and the fits, search and predictions of very many models, each a distributed pyspark.ml fit.
 
-A model is one (sid, horizon_min, transition_weight). Its rows and the list of its
-candidates (parameters, columns, rounds) meet in one group of a task; what the models'
-predictions are worth is found by the metrics' aggregations over all models together, and so
-is the best candidate of each. No model's rows, scores or choices pass through the driver.
+A model is one (sid, horizon_min, transition_weight). The driver goes through the list of
+fits with a small pool, so that the jobs of several fits share the cluster; a fit reads the
+rows of its sensor and horizon alone. What the models' predictions are worth is found by the
+metrics' aggregations over all models together, and so is the best candidate of each. The
+driver holds a row a fit (parameters, columns, gains), and never rows of models or scores.
 """
 
 from __future__ import annotations
 
 import itertools
-import time
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from panelwright.config import PanelConfig
-from panelwright.sources.scratch import written
+from panelwright.sources.scratch import new_folder, written
 
-from . import boosting, metrics
+from . import metrics
 from .clean import share
 
 NO_PROBABILITY = 0.5
-#: Tasks of a stage of fits, at most.
-MOST_TASKS = 4_096
+#: Values of a fit's features that a partition is meant to hold.
+PART_VALUES = 4_000_000
 #: What tells models apart, and candidates of a model.
 MODEL = ("sid", "horizon_min", "transition_weight")
 CANDIDATE = (*MODEL, "cand")
@@ -80,77 +85,159 @@ def with_weights(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return each.withColumn("weight", F.when(moved, F.col("transition_weight")).otherwise(1.0))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
+def models_of(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """models(model keys): each sensor and horizon of rows with each transition weight."""
+    each = F.explode(F.array(*[F.lit(float(w)) for w in weights]))
+    return rows.select("sid", "horizon_min").distinct().select("sid", F.col("horizon_min").cast("int").alias("horizon_min"), each.alias("transition_weight"))
+
+
+def first_minimum(losses: list[float], patience: int) -> int:
+    """The round (from 1) with the least loss, none seen after as many worse rounds as patience allows."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTClassificationModel, k: int) -> GBTClassificationModel:
+    """The model that the first k rounds made, without another fit."""
+    java, context = model._java_obj, SparkSession.active().sparkContext
+    trees, weights = java.trees(), java.treeWeights()
+    kept = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, k)
+    shares = context._gateway.new_array(context._jvm.double, k)
+    for i in range(k):
+        kept[i], shares[i] = trees[i], weights[i]
+    return GBTClassificationModel(context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, shares, java.numFeatures(), java.numClasses()))
+
+
+def learner(params: dict[str, float], rounds: int, seed: int) -> GBTClassifier:
+    """Boosted trees with the parameters that MLlib has: gamma is the least gain of a split, min_child_weight the least rows of a leaf, colsample_bytree is drawn for each split; the others have no counterpart."""
+    columns = params.get("colsample_bytree", 1.0)
+    return GBTClassifier(
+        labelCol="target",
+        weightCol="weight",
+        maxIter=rounds,
+        maxDepth=int(params.get("max_depth", 3)),
+        stepSize=params.get("eta", 0.1),
+        subsamplingRate=params.get("subsample", 1.0),
+        featureSubsetStrategy="all" if columns >= 1 else str(columns),
+        minInstancesPerNode=max(1, int(params.get("min_child_weight", 1))),
+        minInfoGain=params.get("gamma", 0.0),
+        seed=seed,
+    )
+
+
+def with_class_weight(train: DataFrame, soft: bool = False) -> DataFrame:
+    """(target, weight, features) to fit on, of rows with y, weight and, for taught models, soft.
+
+    Rows of the class 1 weigh negatives over positives, by hard labels. A soft label s is
+    two rows, 1 with the weight's share s and 0 with the rest: the same loss.
+    """
+    ratio = class_weight(train.select(F.lit(1).alias("one"), "y"), ["one"])
+    rows = train.join(F.broadcast(ratio.select("class_weight")))  # one row
+    aim = F.col("soft") if soft else F.col("y").cast("double")
+    rows = rows.select("features", aim.alias("aim"), (F.col("weight") * F.when(aim == 1, F.col("class_weight")).otherwise(1.0)).alias("weight"))
+    pair = F.array(F.struct(F.lit(1.0).alias("target"), (F.col("weight") * F.col("aim")).alias("weight")), F.struct(F.lit(0.0).alias("target"), (F.col("weight") * (1 - F.col("aim"))).alias("weight")))
+    return rows.select("features", F.explode(pair).alias("p")).select("features", "p.target", "p.weight").where("weight > 0")
 
 
-def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig) -> DataFrame:
-    """Fit each model's candidates and predict, written: a row a (candidate, predicted row), and one a candidate with what was fitted.
+def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame, list[int]] | None:
+    """(rows with their features as a vector, the place in features of each of its entries); None without training rows.
 
-    rows(model keys, pos, label, y, split, inner, changed, weight, features and, for taught
-    models, soft). candidates(model keys, cand, params, columns, rounds, splits): columns are
-    places in features, all if null. With rounds, the fit is on all training rows; without,
-    on the inner ones, with rounds by the rest's unweighted loss (config.max_rounds at most,
-    or params' max_rounds). splits names the splits to predict. The class weight
-    (negatives over positives) comes from the hard labels of the rows fitted on, and counts
-    for rows whose label is 1, or soft label is.
+    Missing values become the training rows' mean, and a column that has any gets a flag
+    beside it; a column without a value in training is left out.
+    """
+    train = F.col("split") == "train"
+    each = rows.select(train.alias("train"), F.posexplode("features").alias("i", "x"))
+    gone = F.isnan("x") | F.isnull("x")
+    counts = each.groupBy("i").agg(F.count_if(gone).alias("gone"), F.count_if(F.col("train") & ~gone).alias("seen"), F.count_if("train").alias("train"), F.count("*").alias("rows")).collect()  # a row a column
+    by_place = {r.i: r for r in counts}
+    if not counts or not counts[0].train:
+        return None
+    columns = [i for i in (sorted(by_place) if columns is None else columns) if by_place[i].seen]
+    gaps = [i for i in columns if by_place[i].gone]
+    kept = [c for c in rows.columns if c != "features"]
+    value = lambda i: F.get("features", F.lit(i))
+    wide = rows.select(*kept, F.lit(0.0).alias("nothing"), *[value(i).alias(f"x{i}") for i in columns], *[F.isnan(value(i)).cast("double").alias(f"gone{i}") for i in gaps])
+    names = [f"full{i}" if by_place[i].gone else f"x{i}" for i in columns] + [f"gone{i}" for i in gaps]
+    stages = [Imputer(strategy="mean", inputCols=[f"x{i}" for i in gaps], outputCols=[f"full{i}" for i in gaps])] if gaps else []
+    stages.append(VectorAssembler(inputCols=names or ["nothing"], outputCol="features"))
+    out = Pipeline(stages=stages).fit(wide.where(train)).transform(wide).select(*kept, "features")
+    parts = max(1, -(-counts[0].rows * len(names) // PART_VALUES))
+    return out.coalesce(parts), columns + gaps
+
+
+FITS = "sid string, horizon_min int, transition_weight double, cand int, pos long, split string, y_true int, current_label int, changed boolean, prob double, n_rounds int, n_features int, gains array<double>, inference_us double"
+
+
+def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig, teacher: DataFrame | None = None) -> DataFrame:
+    """Fit candidates and predict: a row a (candidate, predicted row), and one a candidate with what was fitted; a written table.
+
+    rows(sid, horizon_min, pos, label, y, split, inner, changed, features).
+    candidates(model keys, cand, params, columns, rounds, splits): columns are places in
+    features, all if null. With rounds, the fit is on all training rows; without, on the
+    inner ones (config.max_rounds rounds at most, or params' max_rounds), cut to the rounds
+    that the rest's unweighted loss by hard labels speaks for. Training rows weigh the
+    transition weight where the label is about to change. splits names the splits to
+    predict. A teacher(model keys, pos, prob) blends its probabilities into the labels
+    fitted on.
 
     A predicted row has pos, split, y_true, current_label, changed and prob; a candidate's
-    own row has a null pos, and n_rounds, gains (mean gain by place in features) and
-    inference_us (a row's prediction). A model with no two training rows gives nothing.
+    own row has a null pos, and n_rounds, n_features and gains (importances that sum to 1, by
+    place in features). A model with no two training rows gives nothing.
     """
-    kinds = dict(rows.dtypes)
-    soft = "soft" in rows.columns
-    schema = f"sid {kinds['sid']}, horizon_min int, transition_weight double, cand int, pos long, split string, y_true int, current_label int, changed boolean, prob double, n_rounds int, gains array<double>, inference_us double"
-    kept = ["sid", "horizon_min", "transition_weight", "pos", "split", "y", "label", "changed", "inner", "weight", "features", *(["soft"] if soft else [])]
-    types = [F.col("horizon_min").cast("int"), F.col("transition_weight").cast("double")]
-    rows = rows.select(*kept).withColumns({"horizon_min": types[0], "transition_weight": types[1], "y": F.col("y").cast("int"), "label": F.col("label").cast("int"), "pos": F.col("pos").cast("long")})
-    candidates = candidates.select("sid", *types, "cand", F.map_entries("params").alias("params"), "columns", "rounds", "splits")
-    names = [n for n in schema.replace(",", "").split() if not n.startswith(("string", "int", "long", "double", "boolean", "array"))]
-
-    def fit(mine: pa.Table, tries: pa.Table):
-        empty = {"sid": pa.nulls(0, mine.schema.field("sid").type)}
-        mine = mine.sort_by("pos")
-        x, y = _matrix(mine["features"]), mine["y"].to_numpy().astype(float)
-        split, inner, weight = mine["split"].to_numpy(zero_copy_only=False), mine["inner"].to_numpy(), mine["weight"].to_numpy()
-        aim = mine["soft"].to_numpy() if soft else y
-        out = []
-        for one in tries.sort_by("cand").to_pylist() if inner.any() else []:
-            params = {e["key"]: e["value"] for e in one["params"]}
-            columns = np.arange(x.shape[1]) if one["columns"] is None else np.array(one["columns"], dtype=np.int64)
-            on = split == "train" if one["rounds"] is not None else inner
-            rest = (split == "train") & ~inner
-            positive, negative = (y[on] == 1).sum(), (y[on] == 0).sum()
-            class_weight = negative / positive if positive and negative else 1.0
-            w = weight[on] * np.where(aim[on] == 1, class_weight, 1.0)
-            most = int(one["rounds"] or params.get("max_rounds") or config.max_rounds)
-            val = None if one["rounds"] is not None else (x[rest][:, columns], aim[rest])
-            model = boosting.fit(x[on][:, columns], aim[on], w, params, most, config.seed, val, config.patience)
-            asked = np.isin(split, one["splits"])
-            began = time.perf_counter()
-            prob = model.predict(x[asked][:, columns])
-            took = (time.perf_counter() - began) * 1e6 / max(1, len(prob))
-            gains = np.zeros(x.shape[1])
-            gains[columns] = model.mean_gain()
-            n, of = len(prob), mine.filter(pa.array(asked))
-            own = {"sid": of["sid"], "horizon_min": of["horizon_min"], "transition_weight": of["transition_weight"], "cand": pa.array([one["cand"]] * n, pa.int32()), "pos": of["pos"], "split": of["split"], "y_true": of["y"], "current_label": of["label"], "changed": of["changed"], "prob": pa.array(prob)}
-            out.append(pa.table(own | {"n_rounds": pa.nulls(n, pa.int32()), "gains": pa.nulls(n, pa.list_(pa.float64())), "inference_us": pa.nulls(n, pa.float64())}))
-            head = {c: pa.array([one[c]], mine.schema.field(c).type) for c in MODEL} | {"cand": pa.array([one["cand"]], pa.int32())}
-            blank = {"pos": pa.int64(), "split": pa.string(), "y_true": pa.int32(), "current_label": pa.int32(), "changed": pa.bool_(), "prob": pa.float64()}
-            out.append(pa.table(head | {c: pa.nulls(1, t) for c, t in blank.items()} | {"n_rounds": pa.array([len(model.trees)], pa.int32()), "gains": pa.array([gains], pa.list_(pa.float64())), "inference_us": pa.array([took])}))
-        if not out:
-            blank = {"horizon_min": pa.int32(), "transition_weight": pa.float64(), "cand": pa.int32(), "pos": pa.int64(), "split": pa.string(), "y_true": pa.int32(), "current_label": pa.int32(), "changed": pa.bool_(), "prob": pa.float64(), "n_rounds": pa.int32(), "gains": pa.list_(pa.float64()), "inference_us": pa.float64()}
-            return pa.table(empty | {c: pa.nulls(0, t) for c, t in blank.items()})
-        string = out[0].schema.field("split").type
-        return pa.concat_tables([t.set_column(t.schema.get_field_index("split"), "split", t["split"].cast(string)) for t in out]).select(names)
-
-    # little data and much work: as many partitions as models, which AQE leaves as they are
-    parts = min(MOST_TASKS, max(1, 2 * candidates.select(*MODEL).distinct().count()))
-    rows, candidates = rows.repartition(parts, *MODEL), candidates.repartition(parts, *MODEL)
-    met = rows.groupBy(*MODEL).cogroup(candidates.groupBy(*MODEL)).applyInArrow(fit, schema)
-    return written(met, "fits")
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "fits")
+    groups: dict[tuple, list[Row]] = {}
+    for one in candidates.collect():  # a row a fit
+        groups.setdefault((one.sid, one.horizon_min, None if one.columns is None else tuple(one.columns)), []).append(one)
+
+    def fit_group(of: tuple, tries: list[Row], first: int) -> list[tuple]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "fits")
+        sid, horizon, columns = of
+        own = rows.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon)).select("pos", "label", "y", "split", "inner", "changed", "features")
+        found = assembled(own, columns)
+        if found is None:
+            return []
+        vectors, places = found
+        vectors, heads = vectors.persist(), []
+        try:
+            inner, width = vectors.where("inner").count(), own.select(F.size("features")).first()[0]
+            for k, one in enumerate(tries if inner else []):
+                train = vectors.where("split = 'train'").withColumn("weight", row_weight(F.col("label"), F.col("y"), one.transition_weight))
+                if teacher is not None:
+                    given = teacher.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon) & (F.col("transition_weight") == one.transition_weight))
+                    train = soft_labels(train, given, config.soft_share, ("pos",))
+                fit = learner(one.params, int(one.rounds or one.params.get("max_rounds") or config.max_rounds), config.seed)
+                model = fit.fit(with_class_weight(train if one.rounds is not None else train.where("inner"), teacher is not None))
+                if one.rounds is None:
+                    rest = train.where("NOT inner").select("features", F.col("y").cast("double").alias("target"), F.lit(1.0).alias("weight"))
+                    model = first_trees(model, first_minimum(model.evaluateEachIteration(rest), config.patience))
+                gains, importance = [0.0] * width, model.featureImportances
+                for at, gain in zip(importance.indices.tolist(), importance.values.tolist(), strict=True):
+                    if at < len(places):
+                        gains[places[at]] += gain
+                key = (sid, horizon, one.transition_weight, one.cand)
+                heads.append((*key, model.getNumTrees, len(columns) if columns is not None else width, gains))
+                scored = model.transform(vectors.where(F.col("split").isin(list(one.splits))))
+                scored = scored.select(*[F.lit(v).alias(c) for v, c in zip(key, CANDIDATE, strict=True)], "pos", "split", F.col("y").alias("y_true"), F.col("label").alias("current_label"), "changed", vector_to_array("probability")[1].alias("prob"))
+                scored.write.parquet(f"{folder}/predicted/fit={first + k}")
+        finally:
+            vectors.unpersist()
+        return heads
+
+    firsts = itertools.accumulate(map(len, groups.values()), initial=0)
+    with ThreadPoolExecutor(config.fit_threads) as pool:
+        asked = [pool.submit(inheritable_thread_target(spark)(fit_group), of, tries, first) for (of, tries), first in zip(groups.items(), firsts, strict=False)]
+        heads = [h for a in asked for h in a.result()]
+    head = spark.createDataFrame(heads, "sid string, horizon_min int, transition_weight double, cand int, n_rounds int, n_features int, gains array<double>")
+    head = written(head, "fitted")
+    if not heads:
+        return spark.createDataFrame([], FITS)
+    scored = spark.read.schema(", ".join(FITS.split(", ")[:10]) + ", fit int").parquet(f"{folder}/predicted").drop("fit")
+    return scored.unionByName(head, allowMissingColumns=True).withColumn("inference_us", F.lit(None).cast("double"))
 
 
 def predictions(fits: DataFrame, split: str) -> DataFrame:
@@ -159,8 +246,8 @@ def predictions(fits: DataFrame, split: str) -> DataFrame:
 
 
 def fitted(fits: DataFrame) -> DataFrame:
-    """(candidate, n_rounds, gains, inference_us)."""
-    return fits.where("pos IS NULL").select(*CANDIDATE, "n_rounds", "gains", "inference_us")
+    """(candidate, n_rounds, n_features, gains, inference_us)."""
+    return fits.where("pos IS NULL").select(*CANDIDATE, "n_rounds", "n_features", "gains", "inference_us")
 
 
 def listed(models: DataFrame, choices: list[dict], columns: Column | None = None, rounds: Column | None = None, splits: tuple[str, ...] = ("eval",)) -> DataFrame:
@@ -196,11 +283,12 @@ def active_stages(grid: dict, stages: tuple[tuple[str, ...], ...]) -> list[tuple
     return [s for s in stages if any(len(grid.get(k, [])) > 1 for k in s)]
 
 
-def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_stages: bool = False) -> DataFrame:
+def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_stages: bool = False, columns: DataFrame | None = None, teacher: DataFrame | None = None) -> DataFrame:
     """The best parameters of each of models(model keys): (model keys, params, n_rounds, score, threshold, f1, precision, recall, transition_f1).
 
     Stages go in order; each tries its values around the best so far on the eval rows, and
-    only a better score wins. All models go through a stage together.
+    only a better score wins. All models go through a stage together. columns(model keys,
+    columns) says which features a model has, all without it.
     """
     start = {k: v[0] for k, v in config.grid.items()}
     kept = ["params", "n_rounds", "score", "threshold", "f1", "precision", "recall", "transition_f1"]
@@ -211,7 +299,7 @@ def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_s
         options = F.array(*[F.struct(F.lit(i).alias("cand"), c.alias("now")) for i, c in enumerate(changes)])
         tried = base.select(*MODEL, "was", F.explode(options).alias("o")).select(*MODEL, "o.cand", F.map_concat(F.map_filter("was", lambda k, v: ~F.map_contains_key("o.now", k)), "o.now").alias("params"))
         tried = written(tried, "candidates")
-        fits = fit_models(rows, tried.select("*", F.lit(None).cast("array<int>").alias("columns"), F.lit(None).cast("int").alias("rounds"), F.array(F.lit("eval")).alias("splits")), config)
+        fits = fit_models(rows, with_columns_of(tried, columns).select("*", F.lit(None).cast("int").alias("rounds"), F.array(F.lit("eval")).alias("splits")), config, teacher)
         found = best_candidate(fits, config, config.metric_for(1.0)).join(tried, list(CANDIDATE)).select(*MODEL, *kept)
         if best is not None:  # of equal scores the earlier stage's stays
             both = best.withColumn("__s", F.lit(0)).unionByName(found.withColumn("__s", F.lit(1)))
@@ -221,14 +309,21 @@ def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_s
     return best
 
 
-def final_models(rows: DataFrame, best: DataFrame, config: PanelConfig) -> tuple[DataFrame, DataFrame]:
+def with_columns_of(tries: DataFrame, columns: DataFrame | None) -> DataFrame:
+    """tries with the columns of their models, null for all."""
+    if columns is None:
+        return tries.withColumn("columns", F.lit(None).cast("array<int>"))
+    return tries.join(columns.select(*MODEL, "columns"), list(MODEL))
+
+
+def final_models(rows: DataFrame, best: DataFrame, config: PanelConfig, columns: DataFrame | None = None, teacher: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, fits) of models refitted on all training rows with the searched params and n_rounds.
 
     results has the model keys, the test metrics at the threshold that the eval rows speak
     for, threshold, inference_us, n_rounds and gains.
     """
-    tries = best.select(*MODEL, F.lit(0).alias("cand"), "params", F.lit(None).cast("array<int>").alias("columns"), F.col("n_rounds").alias("rounds"), F.array(*map(F.lit, ("train", "eval", "test"))).alias("splits"))
-    fits = fit_models(rows, tries, config)
+    tries = best.select(*MODEL, F.lit(0).alias("cand"), "params", F.col("n_rounds").alias("rounds"), F.array(*map(F.lit, ("train", "eval", "test"))).alias("splits"))
+    fits = fit_models(rows, with_columns_of(tries, columns), config, teacher)
     limits = metrics.best_threshold(predictions(fits, "eval"), config, config.metric_for(1.0), CANDIDATE)
     found = metrics.evaluate_with_threshold(predictions(fits, "test"), limits, config, CANDIDATE)
     out = fitted(fits).join(limits.select(*CANDIDATE, "threshold"), list(CANDIDATE), "left").join(found, list(CANDIDATE), "left")

@@ -1,8 +1,9 @@
 """The jobs: origin mining, naive baselines, and the local, global and transfer models.
 
 A model is fitted for each transition weight, target sensor and horizon. All models of a job
-go through each step together: their fits are groups of one cogrouped stage, their scores
-one aggregation. The driver loops over horizons to build frames, and over search stages.
+go through each step together: a pool of threads submits their distributed fits, their
+scores are one aggregation. The driver loops over horizons to build frames, over search
+stages and over fits.
 """
 
 from __future__ import annotations
@@ -48,25 +49,24 @@ def _local_rows(own: DataFrame, config: PanelConfig, holidays: DataFrame | None)
         frame = frames.local_frame(own, horizon, config, holidays)
         columns = frames.feature_names(frame)
         frame = clean.with_split(frame, config.steps(horizon), config).withColumn("horizon_min", F.lit(horizon))
-        rows.append(written(training.model_rows(frame, columns, config), "local-rows"))
+        rows.append(training.model_rows(frame, columns, config))
         names.append(sids.select("sid", F.lit(horizon).alias("horizon_min"), F.posexplode(F.array(*map(F.lit, columns))).alias("seq", "column_name")))
-    return _union(rows), written(_union(names), "names")
+    return written(_union(rows), "local-rows", FRAME), written(_union(names), "names")
 
 
-def _picked(rows: DataFrame, names: DataFrame, chosen: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """rows with the chosen(keys, seq) features alone, in order of seq, and their names with the new places."""
-    lists = written(chosen.groupBy(*keys).agg(F.array_sort(F.collect_list("seq")).alias("seqs")), "chosen")
-    out = rows.join(lists, list(keys)).withColumn("features", F.transform("seqs", lambda i: F.get("features", i))).drop("seqs")
-    places = lists.select(*keys, F.posexplode("seqs").alias("place", "seq")).join(names, list(set(keys) & {"sid", "horizon_min"}) + ["seq"])
-    return written(out, "picked-rows"), written(places.select(*keys, F.col("place").alias("seq"), "column_name"), "picked-names")
+def _picked(names: DataFrame, chosen: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(columns, names): of each of models the chosen(keys, seq) places in order, and their names."""
+    keys = [c for c in training.MODEL if c in chosen.columns]
+    lists = models.join(chosen, keys).groupBy(*training.MODEL).agg(F.array_sort(F.collect_list(F.col("seq").cast("int"))).alias("columns"))
+    places = models.join(chosen, keys).select(*training.MODEL, "seq").join(names.select(*FRAME, "seq", "column_name"), [*FRAME, "seq"])
+    return written(lists, "columns"), written(places.select(*training.MODEL, "seq", "column_name"), "picked-names")
 
 
 def _report(method: str, models: DataFrame, best: DataFrame, names: DataFrame, sensors: DataFrame, began: float, dataset: str = "panel") -> dict[str, DataFrame]:
     """What a job writes: results, summary, training_time, gain and importance, from final_models' results."""
     spark = models.sparkSession
     weight = F.format_string("%s", F.regexp_replace(F.col("transition_weight").cast("string"), r"\.0$", ""))
-    n_features = F.size("gains")
-    results = models.select(F.lit(method).alias("method"), *training.MODEL, "f1", "transition_f1", "trsp", "precision", "recall", "inference_us", "threshold", n_features.alias("n_features"), F.col("n_rounds").alias("n_boost_rounds")).select(*RESULT)
+    results = models.select(F.lit(method).alias("method"), *training.MODEL, "f1", "transition_f1", "trsp", "precision", "recall", "inference_us", "threshold", "n_features", F.col("n_rounds").alias("n_boost_rounds")).select(*RESULT)
     by_name = [c for c in training.MODEL if c in names.columns]
     gain = models.select(*training.MODEL, F.posexplode("gains").alias("seq", "gain")).where("gain > 0").join(names, [*by_name, "seq"])
     gain = written(gain.select(*training.MODEL, "column_name", "seq", "gain"), "gain")
@@ -98,8 +98,7 @@ def local(panel: DataFrame, targets: DataFrame, config: PanelConfig, holidays: D
     began = time.time()
     own = written(clean.only_targets(clean.head(panel, config), targets), "targets")
     rows, names = _local_rows(own, config, holidays)
-    rows = training.with_weights(rows, config.weights)
-    best = training.staged_search(rows, rows.select(*training.MODEL).distinct(), config)
+    best = training.staged_search(rows, training.models_of(rows, config.weights), config)
     models, _ = training.final_models(rows, best, config)
     return _report("local", models, best, names, own.select("sid").distinct(), began)
 
@@ -123,9 +122,9 @@ def _wide_rows(cut: DataFrame, own: DataFrame, upstream: DataFrame, targets: Dat
         side = features.join(kept.select("sid", "column_name", "seq", "k"), "column_name").groupBy("sid", "pos").agg(F.first("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("seq", "value"))).alias("m"))
         values = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(float("nan"))))
         frame = base.join(side.select("sid", "pos", values.alias("features")), ["sid", "pos"]).select("sid", "horizon_min", "pos", "label", "y", "split", "features")
-        rows.append(written(training.with_inner(frame, config), "wide-rows"))
+        rows.append(training.with_inner(frame, config))
         names.append(kept.select("sid", F.lit(horizon).alias("horizon_min"), "seq", "column_name", "col_idx", "n_full"))
-    return _union(rows), _union(names)
+    return written(_union(rows), "wide-rows", FRAME), written(_union(names), "names")
 
 
 def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None = None, artifacts: str | None = None) -> dict[str, DataFrame]:
@@ -143,10 +142,9 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
     own = written(clean.only_targets(cut, targets), "targets")
     rows, names = _wide_rows(cut, own, upstream, targets, config, holidays)
 
-    plain = training.with_weights(rows, (1.0,))
-    frames_ = written(plain.select(*training.MODEL).distinct(), "models")
+    frames_ = written(training.models_of(rows, (1.0,)), "models")
     fixed = config.fixed_params | {"max_rounds": config.fixed_rounds}
-    ranked = training.fit_models(plain, training.listed(frames_, [fixed]), config)
+    ranked = training.fit_models(rows, training.listed(frames_, [fixed]), config)
     ranker = written(training.gain_rows(training.fitted(ranked), names.select(*FRAME, "seq", "column_name")).drop("transition_weight"), "ranker-gain")
 
     order = written(selection.rank_own_and_cross(names, ranker, FRAME), "ranked-columns")
@@ -155,7 +153,7 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
     tries = F.array(*[F.struct(F.lit(i).alias("cand"), F.lit(b).alias("budget"), F.col(f"b{b}").alias("columns")) for i, b in enumerate(config.cross_budgets)])
     tries = frames_.join(lists, list(FRAME)).select(*training.MODEL, F.explode(tries).alias("o")).select(*training.MODEL, "o.*")
     tries = written(tries.withColumns({"params": training.as_map(fixed), "rounds": F.lit(None).cast("int"), "splits": F.array(F.lit("eval"))}), "sweep")
-    swept = training.fit_models(plain, tries, config)
+    swept = training.fit_models(rows, tries, config)
     scores = metrics.best_threshold(training.predictions(swept, "eval"), config, config.selection_metric, training.CANDIDATE)
     sweep = tries.select(*training.CANDIDATE, "budget", F.size("columns").alias("n_features")).join(scores, list(training.CANDIDATE), "left")
     sweep = written(sweep.select(*FRAME, "cand", "budget", "n_features", "threshold", "f1", "precision", "recall", "transition_f1", "score"), "sweep-scores")
@@ -163,13 +161,13 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
     # without a defined score, own columns alone
     budget = written(lists.select(*FRAME, "n_own", "n_full", "n_prefiltered").join(best_budget, list(FRAME), "left").withColumn("budget", F.coalesce("budget", F.lit(0))), "budget")
     chosen = order.join(budget.select(*FRAME, "budget"), list(FRAME)).where(F.col("rank") <= F.col("n_own") + F.col("budget")).select(*FRAME, "seq")
-    rows, names = _picked(rows, names.select(*FRAME, "seq", "column_name"), chosen, FRAME)
-
-    rows = training.with_weights(rows, config.weights)
-    best = training.staged_search(rows, rows.select(*training.MODEL).distinct(), config)
-    models, fits = training.final_models(rows, best, config)
+    every = training.models_of(rows, config.weights)
+    columns, names = _picked(names, chosen, every)
+    best = training.staged_search(rows, every, config, columns=columns)
+    models, fits = training.final_models(rows, best, config, columns)
     out = _report("global", models, best, names, sensors, began)
-    raised = training.count_raised(rows.where("split = 'train'"), list(training.MODEL)).withColumnRenamed("n_raised", "transition_train_count")
+    narrow = training.with_weights(rows.where("split = 'train'").select(*FRAME, "label", "y"), config.weights)
+    raised = training.count_raised(narrow, list(training.MODEL)).withColumnRenamed("n_raised", "transition_train_count")
     lists = sweep.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("budget", "n_features", "threshold", "f1", "precision", "recall", "transition_f1", "score"))).alias("feature_sweep_scores"))
     search = best.select(*training.MODEL, F.col("params").alias("search_best_params"), F.col("n_rounds").alias("search_rounds"), *[F.col(c).alias(f"search_eval_{c}") for c in ("threshold", "f1", "precision", "recall", "transition_f1", "score")])
     choices = search.join(raised, list(training.MODEL), "left").join(budget, list(FRAME)).join(lists, list(FRAME))
@@ -197,14 +195,13 @@ def transfer(panel: DataFrame, targets: DataFrame, config: PanelConfig, artifact
     own = written(clean.only_targets(clean.head(panel, config), targets), "targets")
     known = io.load_artifacts(panel.sparkSession, artifacts)
     rows, names = _local_rows(own, config, holidays)
-    rows = training.with_weights(rows, config.weights)
-    columns = names.select(*FRAME, "column_name", F.col("seq").alias("col_idx"))
-    columns = columns.join(F.broadcast(rows.select("transition_weight").distinct()))
+    every = training.models_of(rows, config.weights)
+    columns = every.join(names.select(*FRAME, "column_name", F.col("seq").alias("col_idx")), list(FRAME))
     gain = to_local_names(known["gain"]).select(*training.MODEL, "column_name", "seq", "gain")
     top = selection.select_top(columns, selection.known_gain(gain, columns, training.MODEL), config.transfer_features, training.MODEL)
     chosen = top.join(names, [*FRAME, "column_name"]).select(*training.MODEL, "seq")
-    rows, names = _picked(rows, names, chosen, training.MODEL)
-    rows = written(training.soft_labels(rows, known["train_probs"], config.soft_share, (*training.MODEL, "pos")), "soft-rows")
-    best = training.staged_search(rows, rows.select(*training.MODEL).distinct(), config, all_stages=True)
-    models, _ = training.final_models(rows, best, config)
+    columns, names = _picked(names, chosen, every)
+    teacher = known["train_probs"]
+    best = training.staged_search(rows, every, config, True, columns, teacher)
+    models, _ = training.final_models(rows, best, config, columns, teacher)
     return _report("transfer", models, best, names, own.select("sid").distinct(), began)

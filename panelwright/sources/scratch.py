@@ -25,10 +25,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a written table: what follows neither plans nor computes them again, and outlives lost executors."""
+def written(rows: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows as a written table: what follows neither plans nor computes them again, and outlives lost executors.
+
+    With by, a folder for each value, so that a filter on them reads that one alone.
+    """
     path = new_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    if by:
+        rows.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    else:
+        rows.write.parquet(path)
     out = rows.sparkSession.read.schema(rows.schema).parquet(path)
     out._written = path
     return out
