@@ -9,14 +9,13 @@ driver holds a row a fit (parameters, columns, gains), and never rows of models
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
@@ -130,44 +129,46 @@ def learner(params: dict[str, float], rounds: int, seed: int) -> GBTClassifier:
     )
 
 
-def with_class_weight(train: DataFrame, soft: bool = False) -> DataFrame:
+def weighted_targets(train: DataFrame, class_ratio: float, soft: bool = False) -> DataFrame:
     """(target, weight, features) to fit on, of rows with y, weight and, for taught models, soft.
 
-    Rows of the class 1 weigh negatives over positives, by hard labels. A soft label s is
-    two rows, 1 with the weight's share s and 0 with the rest: the same loss.
+    Rows whose label is 1 weigh class_ratio times as much. A soft label s is two rows, 1 with
+    the weight's share s and 0 with the rest: the same loss.
     """
-    ratio = class_weight(train.select(F.lit(1).alias("one"), "y"), ["one"])
-    rows = train.join(F.broadcast(ratio.select("class_weight")))  # one row
     aim = F.col("soft") if soft else F.col("y").cast("double")
-    rows = rows.select("features", aim.alias("aim"), (F.col("weight") * F.when(aim == 1, F.col("class_weight")).otherwise(1.0)).alias("weight"))
-    pair = F.array(F.struct(F.lit(1.0).alias("target"), (F.col("weight") * F.col("aim")).alias("weight")), F.struct(F.lit(0.0).alias("target"), (F.col("weight") * (1 - F.col("aim"))).alias("weight")))
-    return rows.select("features", F.explode(pair).alias("p")).select("features", "p.target", "p.weight").where("weight > 0")
+    rows = train.select("features", aim.alias("target"), (F.col("weight") * F.when(aim == 1, class_ratio).otherwise(1.0)).alias("weight"))
+    if soft:
+        pair = F.array(F.struct(F.lit(1.0).alias("target"), (F.col("weight") * F.col("target")).alias("weight")), F.struct(F.lit(0.0).alias("target"), (F.col("weight") * (1 - F.col("target"))).alias("weight")))
+        rows = rows.select("features", F.explode(pair).alias("p")).select("features", "p.target", "p.weight").where("weight > 0")
+    return rows
 
 
-def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame, list[int]] | None:
-    """(rows with their features as a vector, the place in features of each of its entries); None without training rows.
+def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame, list[int], int] | None:
+    """(rows with their features as a vector, the place in features of each of its entries, how many features there are); None without training rows.
 
     Missing values become the training rows' mean, and a column that has any gets a flag
-    beside it; a column without a value in training is left out.
+    beside it; a column without a value in training is left out. That is what an Imputer and
+    a VectorAssembler do, as a few expressions on arrays: with one for each of a wide frame's
+    columns, the generated code would be too large to compile.
     """
-    train = F.col("split") == "train"
-    each = rows.select(train.alias("train"), F.posexplode("features").alias("i", "x"))
+    each = rows.select((F.col("split") == "train").alias("train"), F.posexplode("features").alias("i", "x"))
     gone = F.isnan("x") | F.isnull("x")
-    counts = each.groupBy("i").agg(F.count_if(gone).alias("gone"), F.count_if(F.col("train") & ~gone).alias("seen"), F.count_if("train").alias("train"), F.count("*").alias("rows")).collect()  # a row a column
+    known = F.when(F.col("train") & ~gone, F.col("x"))
+    counts = each.groupBy("i").agg(F.count_if(gone).alias("gone"), F.count(known).alias("seen"), F.avg(known).alias("mean"), F.count_if("train").alias("train"), F.count("*").alias("rows")).collect()  # a row a column
     by_place = {r.i: r for r in counts}
     if not counts or not counts[0].train:
         return None
     columns = [i for i in (sorted(by_place) if columns is None else columns) if by_place[i].seen]
-    gaps = [i for i in columns if by_place[i].gone]
+    gaps, names = [i for i in columns if by_place[i].gone], columns or [0]
+    value = lambda i: F.get("features", i)
+    listed = lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+    means = listed([by_place[i].mean if columns else 0.0 for i in names], "double")
+    full = F.zip_with(F.transform(listed(names, "int"), value), means, lambda x, m: F.when(F.isnan(x) | x.isNull(), m).otherwise(x))
+    flags = F.transform(listed(gaps, "int"), lambda i: F.isnan(value(i)).cast("double"))
     kept = [c for c in rows.columns if c != "features"]
-    value = lambda i: F.get("features", F.lit(i))
-    wide = rows.select(*kept, F.lit(0.0).alias("nothing"), *[value(i).alias(f"x{i}") for i in columns], *[F.isnan(value(i)).cast("double").alias(f"gone{i}") for i in gaps])
-    names = [f"full{i}" if by_place[i].gone else f"x{i}" for i in columns] + [f"gone{i}" for i in gaps]
-    stages = [Imputer(strategy="mean", inputCols=[f"x{i}" for i in gaps], outputCols=[f"full{i}" for i in gaps])] if gaps else []
-    stages.append(VectorAssembler(inputCols=names or ["nothing"], outputCol="features"))
-    out = Pipeline(stages=stages).fit(wide.where(train)).transform(wide).select(*kept, "features")
-    parts = max(1, -(-counts[0].rows * len(names) // PART_VALUES))
-    return out.coalesce(parts), columns + gaps
+    out = rows.select(*kept, array_to_vector(F.concat(full, flags)).alias("features"))
+    parts = max(1, -(-counts[0].rows * (len(names) + len(gaps)) // PART_VALUES))
+    return out.coalesce(parts), columns + gaps, len(counts)
 
 
 FITS = "sid string, horizon_min int, transition_weight double, cand int, pos long, split string, y_true int, current_label int, changed boolean, prob double, n_rounds int, n_features int, gains array<double>, inference_us double"
@@ -194,26 +195,26 @@ def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig, teac
     for one in candidates.collect():  # a row a fit
         groups.setdefault((one.sid, one.horizon_min, None if one.columns is None else tuple(one.columns)), []).append(one)
 
-    def fit_group(of: tuple, tries: list[Row], first: int) -> list[tuple]:
+    def fit_group(of: tuple, tries: list[Row], number: int) -> list[tuple]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", "fits")
         sid, horizon, columns = of
         own = rows.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon)).select("pos", "label", "y", "split", "inner", "changed", "features")
         found = assembled(own, columns)
         if found is None:
             return []
-        vectors, places = found
-        vectors, heads = vectors.persist(), []
+        vectors, places, width = found
+        vectors, heads, scores = vectors.persist(), [], []
         try:
-            inner, width = vectors.where("inner").count(), own.select(F.size("features")).first()[0]
-            for k, one in enumerate(tries if inner else []):
-                train = vectors.where("split = 'train'").withColumn("weight", row_weight(F.col("label"), F.col("y"), one.transition_weight))
+            ratios = {r.inner: r.class_weight for r in class_weight(vectors.where("split = 'train'").select(F.explode(F.when(F.col("inner"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("inner"), "y"), ["inner"]).collect()}
+            for one in tries if True in ratios else []:
+                inner, train = one.rounds is None, vectors.where("split = 'train'").withColumn("weight", row_weight(F.col("label"), F.col("y"), one.transition_weight))
                 if teacher is not None:
                     given = teacher.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon) & (F.col("transition_weight") == one.transition_weight))
                     train = soft_labels(train, given, config.soft_share, ("pos",))
                 fit = learner(one.params, int(one.rounds or one.params.get("max_rounds") or config.max_rounds), config.seed)
-                model = fit.fit(with_class_weight(train if one.rounds is not None else train.where("inner"), teacher is not None))
-                if one.rounds is None:
-                    rest = train.where("NOT inner").select("features", F.col("y").cast("double").alias("target"), F.lit(1.0).alias("weight"))
+                model = fit.fit(weighted_targets(train.where("inner") if inner else train, ratios[inner], teacher is not None))
+                if inner:
+                    rest = vectors.where("split = 'train' AND NOT inner").select("features", F.col("y").cast("double").alias("target"), F.lit(1.0).alias("weight"))
                     model = first_trees(model, first_minimum(model.evaluateEachIteration(rest), config.patience))
                 gains, importance = [0.0] * width, model.featureImportances
                 for at, gain in zip(importance.indices.tolist(), importance.values.tolist(), strict=True):
@@ -222,21 +223,21 @@ def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig, teac
                 key = (sid, horizon, one.transition_weight, one.cand)
                 heads.append((*key, model.getNumTrees, len(columns) if columns is not None else width, gains))
                 scored = model.transform(vectors.where(F.col("split").isin(list(one.splits))))
-                scored = scored.select(*[F.lit(v).alias(c) for v, c in zip(key, CANDIDATE, strict=True)], "pos", "split", F.col("y").alias("y_true"), F.col("label").alias("current_label"), "changed", vector_to_array("probability")[1].alias("prob"))
-                scored.write.parquet(f"{folder}/predicted/fit={first + k}")
+                scores.append(scored.select(*[F.lit(v).alias(c) for v, c in zip(key, CANDIDATE, strict=True)], "pos", "split", F.col("y").alias("y_true"), F.col("label").alias("current_label"), "changed", vector_to_array("probability")[1].alias("prob")))
+            if scores:
+                functools.reduce(DataFrame.unionByName, scores).write.parquet(f"{folder}/predicted/fits={number}")
         finally:
             vectors.unpersist()
         return heads
 
-    firsts = itertools.accumulate(map(len, groups.values()), initial=0)
     with ThreadPoolExecutor(config.fit_threads) as pool:
-        asked = [pool.submit(inheritable_thread_target(spark)(fit_group), of, tries, first) for (of, tries), first in zip(groups.items(), firsts, strict=False)]
+        asked = [pool.submit(inheritable_thread_target(spark)(fit_group), of, tries, k) for k, (of, tries) in enumerate(groups.items())]
         heads = [h for a in asked for h in a.result()]
     head = spark.createDataFrame(heads, "sid string, horizon_min int, transition_weight double, cand int, n_rounds int, n_features int, gains array<double>")
     head = written(head, "fitted")
     if not heads:
         return spark.createDataFrame([], FITS)
-    scored = spark.read.schema(", ".join(FITS.split(", ")[:10]) + ", fit int").parquet(f"{folder}/predicted").drop("fit")
+    scored = spark.read.schema(", ".join(FITS.split(", ")[:10]) + ", fits int").parquet(f"{folder}/predicted").drop("fits")
     return scored.unionByName(head, allowMissingColumns=True).withColumn("inference_us", F.lit(None).cast("double"))
 
 

@@ -53,9 +53,9 @@ def test_rounds_are_cut_to_the_least_validation_loss(spark):
     """The minimum is inside, the kept trees are the first of the same fit, and the loss is the log-loss."""
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(200, 4)), rng.random(200) < 0.5
-    rows, places = training.assembled(table_of(spark, x, y), None)
+    rows, places, _ = training.assembled(table_of(spark, x, y), None)
     weighted = rows.where("split = 'train'").withColumn("weight", F.lit(1.0))
-    model = training.learner({"max_depth": 3.0, "eta": 0.3}, 12, 1).fit(training.with_class_weight(weighted.where("inner")))
+    model = training.learner({"max_depth": 3.0, "eta": 0.3}, 12, 1).fit(training.weighted_targets(weighted.where("inner"), 1.0))
     rest = weighted.where("NOT inner").withColumn("target", F.col("y").cast("double"))
     losses = model.evaluateEachIteration(rest)
     k = training.first_minimum(losses, 4)
@@ -93,16 +93,16 @@ def test_transition_and_class_weights_reach_the_fit(spark):
     label = np.roll(y, 1)
     rows = training.assembled(table_of(spark, x, y, label=label), None)[0].where("inner").withColumn("weight", training.row_weight(F.col("label"), F.col("y"), 3.0))
     ratio = (y[:126] == 0).sum() / (y[:126] == 1).sum()
-    given = training.with_class_weight(rows).groupBy("target").agg(F.sum("weight").alias("w")).collect()
+    given = training.weighted_targets(rows, ratio).groupBy("target").agg(F.sum("weight").alias("w")).collect()
     plain = {t: sum((3.0 if label[k] != y[k] else 1.0) * (ratio if t else 1.0) for k in range(126) if y[k] == t) for t in (0, 1)}
     assert {r.target: pytest.approx(r.w) for r in given} == plain
 
 
 def test_soft_labels_are_weighted_pairs(spark):
-    """A row of soft label s is 1 with the share s of its weight and 0 with the rest; the class weight is the hard labels'."""
+    """A row of soft label s is 1 with the share s of its weight and 0 with the rest; the class weight is for labels of 1."""
     x, y = noisy()
     rows = training.assembled(table_of(spark, x, y), None)[0].where("inner").withColumns({"weight": F.lit(2.0), "soft": 0.3 + 0.5 * F.col("y")})
-    given = {r.target: r.w for r in training.with_class_weight(rows, True).groupBy("target").agg(F.sum("weight").alias("w")).collect()}
+    given = {r.target: r.w for r in training.weighted_targets(rows, 1.7, True).groupBy("target").agg(F.sum("weight").alias("w")).collect()}
     soft = 0.3 + 0.5 * y[:126]
     assert given == {1.0: pytest.approx(2 * soft.sum()), 0.0: pytest.approx(2 * (1 - soft).sum())}
 
@@ -116,7 +116,7 @@ def test_transfer_validates_on_hard_labels(spark):
     config = replace(C, max_rounds=8, patience=8, soft_share=1.0)
     fits = training.fit_models(table_of(spark, x, y), one_try(spark, ({"max_depth": 2.0, "eta": 0.3}, None)), config, teacher)
     rows = training.soft_labels(training.assembled(table_of(spark, x, y), None)[0].where("split = 'train'").withColumn("weight", F.lit(1.0)), teacher, 1.0, ("pos",))
-    model = training.learner({"max_depth": 2.0, "eta": 0.3}, 8, config.seed).fit(training.with_class_weight(rows.where("inner"), True))
+    model = training.learner({"max_depth": 2.0, "eta": 0.3}, 8, config.seed).fit(training.weighted_targets(rows.where("inner"), (~y[:126]).sum() / y[:126].sum(), True))
     rest = rows.where("NOT inner").withColumn("weight", F.lit(1.0))
     hard, soft = (training.first_minimum(model.evaluateEachIteration(rest.withColumn("target", F.col(c).cast("double"))), 8) for c in ("y", "soft"))
     assert hard != soft and training.fitted(fits).first().n_rounds == hard
