@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, stage, table
 
 DIMENSIONS = 8192
 CENTROIDS = 4
@@ -91,8 +91,8 @@ def unseen_similarity(rows: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model from labelled rows: idf, centroids, their languages and rejection bounds.
 
-    Rows with a null language, null text or no letter are left out. At most MAX_PER_LANG
-    rows of a language are brought to the driver, as gram counts.
+    Rows with a null language, null text or no letter are left out. A language's fit, on
+    MAX_PER_LANG rows at most, is a task; the driver gets its centroids alone.
     """
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -114,24 +114,41 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 names=["lang", "at", "counts"],
             )
 
-    sample = sorted(tuple(r) for r in rows.select("lang", "text").mapInArrow(count, "lang string, at binary, counts binary").collect())
-    counts = np.zeros((len(sample), DIMENSIONS), dtype=np.float32)
-    for row, (_, at, n) in zip(counts, sample, strict=True):
-        row[np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
-    idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows_, factors = vectors(counts, idf), length_factor(counts)
-    del counts
-    langs, centroids, bounds = [], [], []
-    for lang in sorted(sizes):
-        mine = [r[0] == lang for r in sample]
-        own = rows_[mine]
-        if not len(own):
-            continue
+    sample = stage(rows.select("lang", "text").mapInArrow(count, "lang string, at binary, counts binary"), "language-sample")
+
+    def documents(batches):
+        """How many of a task's texts have each gram: a row a task."""
+        n, found = 0, np.zeros(DIMENSIONS, dtype=np.int64)
+        for batch in batches:
+            n += len(batch)
+            for at in batch.column(0).to_pylist():
+                found[np.frombuffer(at, "<i4")] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([found.tobytes()], pa.binary())], names=["n", "found"])
+
+    parts = sample.select("at").mapInArrow(documents, "n long, found binary").collect()
+    n, seen = sum(r.n for r in parts), sum((np.frombuffer(r.found, np.int64) for r in parts), np.zeros(DIMENSIONS, dtype=np.int64))
+    idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+
+    def one_language(group: pa.Table) -> pa.Table:
+        """A language's centroids and how far from them its texts may be; MAX_PER_LANG rows at most."""
+        mine = sorted(zip(group["at"].to_pylist(), group["counts"].to_pylist(), strict=True))
+        counts = np.zeros((len(mine), DIMENSIONS), dtype=np.float32)
+        for row, (at, times) in zip(counts, mine, strict=True):
+            row[np.frombuffer(at, "<i4")] = np.frombuffer(times, "<i4")
+        own = vectors(counts, idf)
         found = spherical_kmeans(own, CENTROIDS)
-        least = np.quantile(unseen_similarity(own) / factors[mine], REJECT_QUANTILE)
+        least = np.quantile(unseen_similarity(own) / length_factor(counts), REJECT_QUANTILE)
+        return pa.table({"lang": group["lang"][:1], "centroids": pa.array([found.astype("<f4").tobytes()], pa.binary()), "bound": pa.array([float(least) * REJECT_SHARE])})
+
+    fitted = sample.groupBy("lang").applyInArrow(one_language, "lang string, centroids binary, bound double").collect()  # CENTROIDS vectors a language
+    langs, centroids, bounds = [], [], []
+    for lang, found, bound in sorted(tuple(r) for r in fitted):
+        found = np.frombuffer(found, "<f4").reshape(-1, DIMENSIONS)
         langs += [lang] * len(found)
         centroids.append(found)
-        bounds += [float(least) * REJECT_SHARE] * len(found)
+        bounds += [bound] * len(found)
+    if not langs:
+        return {"langs": []}
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids), "bounds": np.array(bounds)}
 
 

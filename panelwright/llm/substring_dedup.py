@@ -144,7 +144,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     rows = stage(texts.mapInArrow(last, f"id {kind}, h long, anchor long, start int, windows binary"), "repeat-last")
 
     hot = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
-    hot = F.broadcast(hot.select("anchor", F.ceil(F.col("n") / GROUP_ROWS).alias("deals")))  # at most a row for each GROUP_ROWS
+    hot = small(stage(hot.select("anchor", F.ceil(F.col("n") / GROUP_ROWS).alias("deals")), "repeat-hot"))
     dealt = rows.join(hot, "anchor", "left").withColumn("deal", F.when(F.col("deals") > 1, F.pmod(F.xxhash64("id", "h", "start"), "deals")).otherwise(-1))
     dealt = dealt.select("id", "h", "anchor", "deal", "start", "windows").repartition("anchor", "deal").sortWithinPartitions("anchor", "deal")
 

@@ -148,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_
     """The chain for categories (name -> 0/1 column of labels), in their order.
 
     A null label leaves its row out of that category; a category without labels of both
-    kinds has no model. Of labels that repeat an id, the least stays in each category. At
-    most MAX_TRAIN rows come to the driver, as feature hashes.
+    kinds has no model. Of labels that repeat an id, the least stays in each category, and of
+    documents that do, the one whose text has the least hash. So MAX_TRAIN rows at most come
+    to the driver, as feature hashes.
     """
     prepare(docs.sparkSession)
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("fit"))
@@ -159,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_
     if total > MAX_TRAIN:  # a share by hash first, so that the sort that follows is small
         picked = picked.where(F.pmod("k", F.lit(1 << 20)) < int((1 << 20) * 1.2 * MAX_TRAIN / total)).orderBy("k").limit(MAX_TRAIN)
     own = docs.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("text"))
-    rows = own.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("k", *[f"y{i}" for i in range(len(categories))], "text")
+    rows = own.join(F.broadcast(picked), F.col("__own") == F.col("__id"))
+    kept = [F.first("k").alias("k"), *[F.first(f"y{i}").alias(f"y{i}") for i in range(len(categories))]]
+    rows = rows.groupBy("__id").agg(*kept, F.min_by("text", F.xxhash64("text")).alias("text")).drop("__id")
 
     def count(batches):
         for batch in batches:
