@@ -61,6 +61,8 @@ class PanelConfig:
     stages: tuple[tuple[str, ...], ...] = (("max_depth", "eta"), ("subsample", "colsample_bytree"), ("min_child_weight", "gamma"), ("reg_lambda", "reg_alpha"))
     max_rounds: int = 2000
     patience: int = 50
+    #: Positions of a chunk where a sensor's history is too long for a task; 0: a sensor is one task's.
+    chunk_rows: int = 0
     #: Fits whose jobs share the cluster at a time.
     fit_threads: int = 8
 
@@ -72,6 +74,11 @@ class PanelConfig:
         """Rows that a span of minutes takes, one at least; halves go to the even number."""
         return max(1, int(round(minutes / self.sampling)))
 
+    def reach_rows(self, horizon: int) -> int:
+        """The most rows that a window of bounded length looks back."""
+        spans = [*self.roll_windows, *self.roll_min_windows, *self.lag_minutes(horizon), *self.transition_minutes(horizon), 2 * DAY, WEEK]
+        return max(*map(self.steps, spans), *self.delta_rows, 2)
+
     def lag_minutes(self, horizon: int) -> list[int]:
         return sorted({horizon, *self.lags})
 

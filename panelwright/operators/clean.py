@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.config import PanelConfig
 
+from .chunks import quantiles, ranked
 from .sizes import bounded
 
 
@@ -42,9 +43,11 @@ def time_axis(readings: DataFrame, sensors: DataFrame, config: PanelConfig) -> D
         seen = seen.where("k > 0")
     else:
         seen = seen.join(F.broadcast(sensors.agg(F.count("*").alias("all"))), F.col("k") == F.col("all"))
-    # one row a time: the rank is over the axis, never over the panel
-    everything = Window.partitionBy().orderBy("ts")
-    return seen.select("ts", (F.row_number().over(everything) - 1).cast("bigint").alias("pos"), F.count("*").over(Window.partitionBy()).alias("n"))
+    if config.chunk_rows:
+        return ranked(seen.select("ts"), ["ts"])
+    # one value a time: the axis is ordered, never the panel
+    axis = seen.agg(F.array_sort(F.collect_list("ts")).alias("axis"))
+    return axis.select(F.posexplode("axis").alias("pos", "ts"), F.size("axis").alias("n")).select("ts", F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"))
 
 
 def dense_panel(readings: DataFrame, sensors: DataFrame, config: PanelConfig) -> DataFrame:
@@ -64,6 +67,9 @@ def thresholds(panel: DataFrame, config: PanelConfig, train_only: bool | None =
     """thresholds(sid, thr): a share of the speed's quantile on train rows (or all rows)."""
     train_only = config.train_threshold if train_only is None else train_only
     rows = panel.where(F.col("pos") < share(F.col("n"), config.train_share)) if train_only else panel
+    if config.chunk_rows:
+        known = rows.select("sid").distinct().join(quantiles(rows.select("sid", "speed"), "speed", config.quantile), "sid", "left")
+        return known.select("sid", (F.col("value") * config.threshold_share).alias("thr"))
     return rows.groupBy("sid").agg((F.percentile("speed", config.quantile) * config.threshold_share).alias("thr"))
 
 

@@ -9,6 +9,7 @@ from panelwright.config import PanelConfig
 from panelwright.functions.timefeat import NAMES, add_time_features
 
 from . import graph, profiles, windows
+from .chunks import in_chunks
 from .clean import future_target
 from .sizes import bounded
 
@@ -16,13 +17,20 @@ KEYS = ["sid", "idx", "pos", "ts", "n", "label"]
 SPATIAL = ("spd", "cong", "wspd", "wcong", "trans_on", "trans_off")
 
 
+def with_windows(panel: DataFrame, columns: dict, horizon: int, config: PanelConfig) -> DataFrame:
+    """panel with columns from windows of bounded length by sensor; in chunks where the configuration asks for them."""
+    if not config.chunk_rows:
+        return panel.withColumns(columns)
+    return in_chunks(panel, config.chunk_rows, config.reach_rows(horizon), config.steps(horizon), lambda p: p.withColumns(columns))
+
+
 def add_extra(panel: DataFrame, horizon: int, config: PanelConfig) -> DataFrame:
     """panel with the families that config switches on: profile, state, naive labels, margin, residual, averages."""
     on = config.families
     if "state" in on:
         panel = windows.add_state_times(panel, config)
     if "naive" in on:
-        panel = panel.withColumns(windows.naive_labels(horizon, config))
+        panel = with_windows(panel, windows.naive_labels(horizon, config), horizon, config)
     if "profile" in on:
         panel = profiles.add_congestion_profile(panel, horizon, config)
     if "margin" in on:
@@ -44,7 +52,7 @@ def own_congestion(horizon: int, config: PanelConfig) -> dict:
 
 def local_frame(panel: DataFrame, horizon: int, config: PanelConfig, holidays: DataFrame | None = None) -> DataFrame:
     """A sensor's own features, one row a (sid, pos), with the target y."""
-    rows = panel.withColumns(own_speed(horizon, config) | own_congestion(horizon, config) | {"y": future_target(config.steps(horizon))})
+    rows = with_windows(panel, own_speed(horizon, config) | own_congestion(horizon, config) | {"y": future_target(config.steps(horizon))}, horizon, config)
     rows = add_extra(rows, horizon, config)
     return add_time_features(rows, holidays if "holiday" in config.families else None)
 
@@ -68,14 +76,14 @@ def wide_frame(panel: DataFrame, horizon: int, config: PanelConfig, upstream: Da
     features of the targets (of all sensors if none are given); calendar columns once.
     """
     speed = own_speed(horizon, config, long_lags)
-    out = _melt(panel.withColumns(speed), ["speed", *speed], "sid")
+    out = _melt(with_windows(panel, speed, horizon, config), ["speed", *speed], "sid")
     if upstream is not None:
         near = graph.neighbour_means(panel, upstream, {"spd": "speed", "cong": "label"}) if snapshot_only else graph.all_neighbour_features(panel, upstream, horizon, config)
         near = near.join(panel.select("sid", "idx").distinct(), "sid")
         out = out.unionByName(_melt(near, [c for c in near.columns if c not in ("sid", "idx", "pos")], "idx"))
     own = panel if targets is None else panel.join(bounded(targets.select("sid")), "sid", "left_semi")
     state = own_congestion(horizon, config)
-    rows = add_extra(own.withColumns(state), horizon, config)
+    rows = add_extra(with_windows(own, state, horizon, config), horizon, config)
     names = [c for c in rows.columns if c not in (*KEYS, "speed")]
     out = out.unionByName(_melt(rows, names, "sid"))
     times = add_time_features(panel.select("pos", "ts").distinct(), holidays if "holiday" in config.families else None)

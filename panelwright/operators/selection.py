@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.timefeat import NAMES
 
+from .sizes import bounded
+
 
 def is_own(name: Column, sid: Column) -> Column:
     """A column of the sensor itself or of the calendar. Neighbour columns end in an index, so they are not."""
@@ -23,29 +25,20 @@ def correlations(features: DataFrame, targets: DataFrame, n_train: int) -> DataF
     """Absolute correlation of each column with each target on train rows: (sid, column_name, score).
 
     targets(sid, pos, y). A null value acts as its column's mean, so only rows with a value
-    add to the cross product; the target's mean is over all train rows. 0 if undefined.
-    The long rows meet the targets' values side by side by position, and one aggregation
-    gives moments and cross products; its sums are combined on the map side, so the shuffle
-    has a row for each column and partition.
+    add to the cross product; the target's spread is over all train rows. 0 if undefined.
+    The long rows meet the targets' values by position, and one aggregation by column and
+    target merges centred co-moments, so that large means cancel nothing; it is combined on
+    the map side, and the shuffle has a row for each column, target and partition.
     """
     train = targets.where(F.col("pos") < n_train).select("sid", "pos", F.col("y").cast("double").alias("y"))
-    y = train.groupBy("sid").agg((F.var_pop("y") * F.count("y")).alias("syy"))
-    spread = {r["sid"]: r["syy"] for r in y.collect()}  # a row for each of a job's few targets
-    sids = sorted(spread)
-    by_pos = train.groupBy("pos").pivot("sid", sids).agg(F.first("y"))
-    met = features.where(F.col("pos") < n_train).join(by_pos, "pos", "left")
-    known = F.col("value").isNotNull()
-    sums = met.groupBy("column_name").agg(
-        F.avg("value").alias("mean"),
-        (F.coalesce(F.var_pop("value"), F.lit(0.0)) * F.count("value")).alias("sxx"),
-        *[F.sum(F.col("value") * F.col(f"`{s}`")).alias(f"xy_{s}") for s in sids],
-        *[F.sum(F.when(known, F.col(f"`{s}`"))).alias(f"y_{s}") for s in sids],
-    )
-    pairs = F.array(*[F.struct(F.lit(s).alias("sid"), F.lit(spread[s]).alias("syy"), F.col(f"xy_{s}").alias("xy"), F.col(f"y_{s}").alias("sy")) for s in sids])
-    out = sums.select("column_name", "mean", "sxx", F.explode(pairs).alias("p")).select("column_name", "mean", "sxx", "p.*") if sids else sums.select("column_name", *[F.lit(None).cast(t).alias(c) for c, t in (("mean", "double"), ("sxx", "double"), ("sid", "string"), ("syy", "double"), ("xy", "double"), ("sy", "double"))]).where("false")
-    # sum of (x - mean) * (y - mean of all y) over rows with a value
-    top, below = F.col("xy") - F.col("mean") * F.col("sy"), F.sqrt(F.col("sxx") * F.col("syy"))
-    return out.select("sid", "column_name", F.when(below > 0, F.coalesce(F.abs(top / below), F.lit(0.0))).otherwise(0.0).alias("score"))
+    spread = train.groupBy("sid").agg((F.var_pop("y") * F.count("y")).alias("syy"))  # a row a target
+    met = features.where(F.col("pos") < n_train).join(train, "pos")
+    both = F.count(F.when(F.col("value").isNotNull() & F.col("y").isNotNull(), 1))
+    # the values are centred by their own mean, so the mean that the targets are centred by doesn't matter
+    sums = met.groupBy("column_name", "sid").agg((F.covar_pop("value", "y") * both).alias("sxy"), (F.var_pop("value") * F.count("value")).alias("sxx"))
+    below = F.sqrt(F.col("sxx") * F.col("syy"))
+    score = F.when(below > 0, F.coalesce(F.abs(F.col("sxy") / below), F.lit(0.0))).otherwise(0.0)
+    return sums.join(bounded(spread), "sid").select("sid", "column_name", score.alias("score"))
 
 
 def prefilter(scores: DataFrame, columns: DataFrame, top_k: int) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from panelwright.config import DAY, WEEK, PanelConfig
 
+from .chunks import chunk_of, state_events
 from .clean import by_sid, rows_between, thresholds
+from .sizes import bounded
 
 
 def lags(horizon: int, config: PanelConfig) -> dict[str, Column]:
@@ -74,25 +76,31 @@ def naive_labels(horizon: int, config: PanelConfig) -> dict[str, Column]:
 
 def add_state_times(panel: DataFrame, config: PanelConfig) -> DataFrame:
     """panel with minutes_in_state, minutes_since_onset and previous_episode_minutes."""
-    was = F.lag("label").over(by_sid())
-    so_far = rows_between(Window.unboundedPreceding, 0)
-    last = lambda flag, value: F.last(F.when(flag, value), ignorenulls=True).over(so_far)
-    rows = panel.withColumns({"__was": was})
-    rows = rows.withColumns({"__start": last(F.col("__was").isNull() | (F.col("__was") != F.col("label")), F.col("pos")), "__onset": last((F.col("__was") == 0) & (F.col("label") == 1), F.col("pos"))})
-    # at the row that ends an episode, the row before it knows where the episode began
-    began = F.lag("__start").over(by_sid())
-    rows = rows.withColumn("__length", F.when((F.col("__was") == 1) & (F.col("label") == 0), F.col("pos") - began))
+    rows = state_events(panel, config.chunk_rows) if config.chunk_rows else _state_events(panel)
     minutes = lambda c: (c * config.sampling).cast("int")
     rows = rows.withColumns(
         {
             "minutes_in_state": minutes(F.col("pos") - F.col("__start")),
             "minutes_since_onset": minutes(F.col("pos") - F.col("__onset")),
-            "previous_episode_minutes": minutes(F.last("__length", ignorenulls=True).over(so_far)),
+            "previous_episode_minutes": minutes(F.col("__length")),
         }
     )
     return rows.drop("__was", "__start", "__onset", "__length")
 
 
+def _state_events(panel: DataFrame) -> DataFrame:
+    """panel with the label before, where the state and the last congestion began, and how long the last one ended was."""
+    was = F.lag("label").over(by_sid())
+    so_far = rows_between(Window.unboundedPreceding, 0)
+    last = lambda flag, value: F.last(F.when(flag, value), ignorenulls=True).over(so_far)
+    rows = panel.withColumns({"__was": was})
+    rows = rows.withColumns({"__start": last(F.col("__was").isNull() | (F.col("__was") != F.col("label")), F.col("pos")), "__onset": last((F.col("__was") == 0) & (F.col("label") == 1), F.col("pos"))})
+    # at the row that ends an episode, the row before it knows where the episode began
+    began = F.lag("__start").over(by_sid())
+    rows = rows.withColumn("__length", F.when((F.col("__was") == 1) & (F.col("label") == 0), F.col("pos") - began))
+    return rows.withColumn("__length", F.last("__length", ignorenulls=True).over(so_far))
+
+
 def add_margin(panel: DataFrame, config: PanelConfig) -> DataFrame:
     """panel with the speed's difference from, and ratio to, the threshold of its train rows."""
     limits = thresholds(panel, config, train_only=True)
@@ -118,15 +126,46 @@ def decayed_sum(values: np.ndarray, decay: float, before: float) -> np.ndarray:
     return out.ravel()[: len(values)]
 
 
+def _ends(panel: DataFrame, spans: dict[str, int], rows: int) -> DataFrame:
+    """(sid, __chunk, <name>_total, <name>_weight, __seen): the sums before each chunk, decayed to its first row.
+
+    A chunk by itself is an aggregation of its rows by their distance from its end; the few
+    chunks of a sensor are then combined in order, as a sum over those before that ages by
+    the rows between.
+    """
+    own = panel.select("sid", "pos", "speed", chunk_of(rows).alias("__chunk"))
+    last = F.least((F.col("__chunk") + 1) * rows, F.col("__most") + 1) - 1
+    most = panel.groupBy("sid").agg(F.max("pos").alias("__most"))
+    age = last - F.col("pos")
+    sums = {}
+    for name, k in spans.items():
+        aged = F.pow(F.lit(0.5 ** (1 / k)), age)
+        sums |= {f"{name}_total": F.sum(F.col("speed") * aged), f"{name}_weight": F.sum(F.when(F.col("speed").isNotNull(), aged))}
+    sums = {n: F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sums.items()}
+    ends = own.join(bounded(most), "sid").groupBy("sid", "__chunk").agg(*sums.values(), F.count("speed").alias("__seen"))
+    listed = ends.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("__chunk", "__seen", *sums))).alias("ends"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("__chunk"), F.lit(0).cast("bigint").alias("__seen"), *[F.lit(0.0).alias(n) for n in sums])
+
+    def on(state: Column, end: Column) -> Column:
+        decay = {n: F.lit(0.5 ** (rows / k)) for name, k in spans.items() for n in (f"{name}_total", f"{name}_weight")}
+        return F.struct((end["__chunk"] + 1).alias("__chunk"), (state["__seen"] + end["__seen"]).alias("__seen"), *[(state[n] * decay[n] + end[n]).alias(n) for n in sums])
+
+    # the state after each chunk but the last is the state before the next
+    states = F.aggregate("ends", F.array(zero), lambda done, end: F.concat(done, F.array(on(F.element_at(done, -1), end))))
+    return listed.select("sid", F.explode(states).alias("s")).select("sid", "s.*")
+
+
 def add_ema(panel: DataFrame, config: PanelConfig) -> DataFrame:
     """panel with ema_<m>min: an adjusted exponential mean whose weight halves every k rows.
 
     A missing row still ages the weights and shows the value before it; null until k rows
     had a speed. The recurrence is carried from one Arrow batch of the sorted rows to the
-    next, so a sensor's history is never held as a whole.
+    next, so a sensor's history is never held as a whole. In chunks, each one starts from
+    the sums of those before it.
     """
     spans = {f"ema_{m}min": config.steps(m) for m in config.half_lives}
     schema = T.StructType([*panel.schema.fields, *[T.StructField(n, T.DoubleType()) for n in spans]])
+    starts = [c for n in spans for c in (f"{n}_total", f"{n}_weight")] + ["__seen", "__chunk"] if config.chunk_rows else []
 
     def carry(batches):
         sid, state = None, {}
@@ -134,13 +173,20 @@ def add_ema(panel: DataFrame, config: PanelConfig) -> DataFrame:
             sids, speed = batch.column("sid"), batch.column("speed").to_numpy(zero_copy_only=False).astype(float)
             known = ~np.isnan(speed)
             codes = sids.dictionary_encode().indices.to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            new = np.diff(codes) != 0
+            if starts:
+                chunk = batch.column("__chunk").to_numpy()
+                new |= np.diff(chunk) != 0
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(codes)]
             means = {name: np.empty(len(codes)) for name in spans}
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if hi == lo:
                     continue
-                if sids[lo].as_py() != sid or not state:
-                    sid, state = sids[lo].as_py(), {name: (0.0, 0.0, 0) for name in spans}
+                key = (sids[lo].as_py(), chunk[lo] if starts else 0)
+                if key != sid or not state:
+                    sid = key
+                    before = lambda c, lo=lo, batch=batch: batch.column(c)[lo].as_py()
+                    state = {n: (before(f"{n}_total"), before(f"{n}_weight"), before("__seen")) if starts else (0.0, 0.0, 0) for n in spans}
                 for name, k in spans.items():
                     total, weight, seen = state[name]
                     top = decayed_sum(np.where(known[lo:hi], speed[lo:hi], 0.0), 0.5 ** (1 / k), total)
@@ -149,6 +195,11 @@ def add_ema(panel: DataFrame, config: PanelConfig) -> DataFrame:
                     means[name][lo:hi] = np.where(count >= k, top / np.where(below > 0, below, 1.0), np.nan)
                     state[name] = (top[-1], below[-1], int(count[-1]))
             made = [pa.array(m, mask=np.isnan(m)) for m in means.values()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *spans])
-
-    return panel.repartition("sid").sortWithinPartitions("sid", "pos").mapInArrow(carry, schema)
+            kept = [c for c in batch.schema.names if c not in starts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *spans])
+
+    if not starts:
+        return panel.repartition("sid").sortWithinPartitions("sid", "pos").mapInArrow(carry, schema)
+    rows = panel.withColumn("__chunk", chunk_of(config.chunk_rows)).join(bounded(_ends(panel, spans, config.chunk_rows)), ["sid", "__chunk"])
+    rows = rows.select(*panel.columns, *starts)
+    return rows.repartition("sid", "__chunk").sortWithinPartitions("sid", "pos").mapInArrow(carry, schema)

@@ -356,3 +356,6 @@ scores AS (SELECT sensors.sid, sensors.idx, count(h.sid) AS score FROM sensors L
 ORACLES["origin_scores"] = weekly(f"{_ORIGINS} SELECT * FROM scores")
 ORACLES["top_origins"] = hourly(f"{_ORIGINS} SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, idx LIMIT 10")
 ORACLES["result_append"] = hourly("SELECT * FROM (" + ORACLES["zero_report"].removeprefix(HOURLY).strip() + "), (SELECT unnest([1, 2]))").replace("SELECT * FROM (SELECT", "SELECT n_zero, n_cells, percent FROM (SELECT", 1)
+#: Queries on chunks of a long axis give what those on whole sensors do.
+ORACLES |= {f"{name}_in_chunks": ORACLES[name] for name in ("speed_lags", "rolling_windows", "congestion_windows", "state_times", "exponential_means")}
+ORACLES |= {f"{name}_by_ranges": ORACLES[name] for name in ("time_axis", "thresholds")}

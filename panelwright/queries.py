@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from panelwright.sources.scratch import new_folder, written
 C: PanelConfig = HOURLY
 #: The horizon of queries on a single one: 2 rows ahead.
 H = 120
+#: The same panel as if its axis were too long for a task a sensor.
+LONG: PanelConfig = replace(C, chunk_rows=100)
 
 
 class Hourly:
@@ -154,8 +157,6 @@ def time_axis(spark, sf_dir):
 
 @query
 def time_axis_all_present(spark, sf_dir):
-    from dataclasses import replace
-
     p = Hourly(spark, sf_dir)
     return clean.time_axis(p.readings, p.sensors, replace(C, zero_missing=False))
 
@@ -281,6 +282,55 @@ def speed_residual(spark, sf_dir):
     return profiles.add_speed_residual(panel, C).select("sid", "pos", "speed_residual")
 
 
+# the same in chunks of a long axis
+
+
+@query
+def time_axis_by_ranges(spark, sf_dir):
+    p = Hourly(spark, sf_dir)
+    return clean.time_axis(clean.zero_to_null(p.readings), p.sensors, LONG)
+
+
+@query
+def thresholds_by_ranges(spark, sf_dir):
+    p = Hourly(spark, sf_dir)
+    panel = written(clean.dense_panel(p.readings, p.sensors, LONG), "dense")
+    whole = clean.thresholds(panel, LONG, train_only=False).withColumnRenamed("thr", "thr_all")
+    return clean.thresholds(panel, LONG).join(whole, "sid")
+
+
+def _in_chunks(spark, sf_dir, columns: dict) -> DataFrame:
+    panel = clean.head(Hourly(spark, sf_dir).panel, LONG)
+    return frames.with_windows(panel, columns, H, LONG).select("sid", "pos", *columns)
+
+
+@query
+def speed_lags_in_chunks(spark, sf_dir):
+    return _in_chunks(spark, sf_dir, windows.lags(H, LONG) | windows.long_lags(H, LONG))
+
+
+@query
+def rolling_windows_in_chunks(spark, sf_dir):
+    return _in_chunks(spark, sf_dir, windows.rollings(LONG))
+
+
+@query
+def congestion_windows_in_chunks(spark, sf_dir):
+    return _in_chunks(spark, sf_dir, frames.own_congestion(H, LONG))
+
+
+@query
+def state_times_in_chunks(spark, sf_dir):
+    panel = clean.head(Hourly(spark, sf_dir).panel, LONG)
+    return windows.add_state_times(panel, LONG).select("sid", "pos", "minutes_in_state", "minutes_since_onset", "previous_episode_minutes")
+
+
+@query
+def exponential_means_in_chunks(spark, sf_dir):
+    panel = clean.head(Hourly(spark, sf_dir).panel, LONG)
+    return windows.add_ema(panel, LONG).select("sid", "pos", *[f"ema_{m}min" for m in LONG.half_lives])
+
+
 # graph
 
 
