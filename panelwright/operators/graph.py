@@ -72,14 +72,20 @@ def all_neighbour_features(panel: DataFrame, upstream: DataFrame, horizon: int,
     return neighbour_means(rows, upstream, {"spd": "speed", "cong": "label", "trans_on": "__on", "trans_off": "__off"}, waves, config.wave_rows)
 
 
-def origin_scores(panel: DataFrame, edges: DataFrame) -> DataFrame:
-    """scores(sid, score): at how many times a sensor is congested, no downstream neighbour is, and some upstream one is."""
-    links = bounded(edges.where("weight <> 0 AND src <> dst").select("src", "dst").distinct())
-    hot = panel.where("label = 1").select("ts", "sid")
-    below_hot = hot.join(links, hot["sid"] == links["dst"]).select("ts", F.col("src").alias("sid"))  # a downstream neighbour is congested
-    after_hot = hot.join(links, hot["sid"] == links["src"]).select("ts", F.col("dst").alias("sid"))  # an upstream neighbour is congested
-    found = hot.join(below_hot, ["ts", "sid"], "left_anti").join(after_hot, ["ts", "sid"], "left_semi").groupBy("sid").agg(F.count("*").alias("score"))
-    everyone = panel.select("sid", "idx").distinct()
+def origin_scores(panel: DataFrame, edges: DataFrame, sensors: DataFrame | None = None) -> DataFrame:
+    """scores(sid, idx, score): at how many times a sensor is congested, no downstream neighbour is, and some upstream one is.
+
+    A congested sensor marks itself, those upstream of it and those downstream of it; one
+    aggregation of the marks by time and sensor, combined on the map side, says all three.
+    """
+    everyone = panel.select("sid", "idx").distinct() if sensors is None else sensors.select("sid", "idx")
+    links = edges.where("weight <> 0 AND src <> dst").select("src", "dst").distinct()
+    marks = everyone.select("sid", F.col("sid").alias("to"), F.lit(1).alias("mark"))
+    marks = marks.unionByName(links.select(F.col("dst").alias("sid"), F.col("src").alias("to"), F.lit(2).alias("mark")))
+    marks = marks.unionByName(links.select(F.col("src").alias("sid"), F.col("dst").alias("to"), F.lit(4).alias("mark")))
+    marks = bounded(marks.groupBy("sid", "to").agg(F.bit_or("mark").alias("mark")))
+    seen = panel.where("label = 1").select("ts", "sid").join(marks, "sid").groupBy("ts", F.col("to").alias("sid")).agg(F.bit_or("mark").alias("mark"))
+    found = seen.where("mark = 5").groupBy("sid").agg(F.count("*").alias("score"))  # congested, one upstream is, none downstream
     return everyone.join(found, "sid", "left").select("sid", "idx", F.coalesce("score", F.lit(0)).alias("score"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.config import PanelConfig
-from panelwright.operators import clean, frames, graph, metrics, report, selection, training
+from panelwright.operators import chunks, clean, frames, graph, metrics, report, selection, training
 from panelwright.sources import io
 from panelwright.sources.scratch import written
 
@@ -25,7 +25,7 @@ RESULT = ("method", *training.MODEL, "f1", "transition_f1", "trsp", "precision",
 def origins(readings: DataFrame, sensors: DataFrame, edges: DataFrame, config: PanelConfig, k: int = 10) -> DataFrame:
     """The sensors where congestion begins most often: (sid, idx, score)."""
     panel = clean.build_panel(readings, sensors, config)
-    return graph.top_origins(graph.origin_scores(panel, edges), k)
+    return graph.top_origins(graph.origin_scores(panel, edges, sensors), k)
 
 
 def naive(panel: DataFrame, targets: DataFrame, config: PanelConfig, sensors: DataFrame | None = None) -> DataFrame:
@@ -110,9 +110,8 @@ def _wide_rows(cut: DataFrame, own: DataFrame, upstream: DataFrame, targets: Dat
     for horizon in config.horizons:
         k = config.steps(horizon)
         features = written(frames.wide_frame(cut, horizon, config, upstream, targets, holidays), "wide-features")
-        everything = Window.partitionBy().orderBy("column_name")  # a row a column
-        columns = features.select("column_name").distinct().withColumn("col_idx", (F.row_number().over(everything) - 1).cast("int"))
-        columns = written(columns.withColumn("n_full", F.count("*").over(Window.partitionBy())), "columns")
+        columns = chunks.ranked(features.select("column_name").distinct(), ["column_name"], "col_idx")
+        columns = written(columns.select("column_name", F.col("col_idx").cast("int").alias("col_idx"), F.col("n").alias("n_full")), "columns")
         base = written(clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon)), "targets")
         ys = own.select("sid", "pos", clean.future_target(k).alias("y"))
         kept = selection.prefilter(selection.correlations(features, ys, n_train), columns.select("column_name", "col_idx"), config.prefilter_top)

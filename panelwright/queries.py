@@ -29,12 +29,18 @@ class Hourly:
     make = (fixtures.hourly_readings, fixtures.hourly_sensors, fixtures.hourly_targets)
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: PanelConfig = C):
-        readings, sensors, targets = self.make
-        self.spark, self.config = spark, config
-        self.readings = written(readings(spark, sf_dir), "readings")
-        self.sensors = written(sensors(spark, sf_dir), "sensors")
+        readings, self._sensors, self._targets = self.make
+        self.spark, self.config, self.sf_dir = spark, config, sf_dir
+        self.readings = readings(spark, sf_dir)  # one scan and one aggregation, which a plan that reads it twice shares
         self.holidays = fixtures.holidays(spark)
-        self.targets = targets(self.sensors)
+
+    @cached_property
+    def sensors(self) -> DataFrame:
+        return written(self._sensors(self.spark, self.sf_dir), "sensors")
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return self._targets(self.sensors)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -365,7 +371,7 @@ def neighbour_transitions(spark, sf_dir):
 @query
 def origin_scores(spark, sf_dir):
     p = Weekly(spark, sf_dir)
-    return graph.origin_scores(p.panel, p.edges)
+    return graph.origin_scores(clean.build_panel(p.readings, p.sensors, p.config), p.edges, p.sensors)
 
 
 @query
