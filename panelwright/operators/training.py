@@ -171,6 +171,12 @@ def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame
     return out.coalesce(parts), columns + gaps, len(counts)
 
 
+def _by_part(rows: DataFrame) -> DataFrame:
+    """(inner, y) of training rows: those of the inner part once as such, and all once as the whole."""
+    parts = F.when(F.col("inner"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    return rows.where("split = 'train'").select(F.explode(parts).alias("inner"), "y")
+
+
 FITS = "sid string, horizon_min int, transition_weight double, cand int, pos long, split string, y_true int, current_label int, changed boolean, prob double, n_rounds int, n_features int, gains array<double>, inference_us double"
 
 
@@ -205,7 +211,7 @@ def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig, teac
         vectors, places, width = found
         vectors, heads, scores = vectors.persist(), [], []
         try:
-            ratios = {r.inner: r.class_weight for r in class_weight(vectors.where("split = 'train'").select(F.explode(F.when(F.col("inner"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("inner"), "y"), ["inner"]).collect()}
+            ratios = {r.inner: r.class_weight for r in class_weight(_by_part(vectors), ["inner"]).collect()}
             for one in tries if True in ratios else []:
                 inner, train = one.rounds is None, vectors.where("split = 'train'").withColumn("weight", row_weight(F.col("label"), F.col("y"), one.transition_weight))
                 if teacher is not None:
@@ -284,7 +290,7 @@ def active_stages(grid: dict, stages: tuple[tuple[str, ...], ...]) -> list[tuple
     return [s for s in stages if any(len(grid.get(k, [])) > 1 for k in s)]
 
 
-def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_stages: bool = False, columns: DataFrame | None = None, teacher: DataFrame | None = None) -> DataFrame:
+def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, columns: DataFrame | None = None, teacher: DataFrame | None = None) -> DataFrame:
     """The best parameters of each of models(model keys): (model keys, params, n_rounds, score, threshold, f1, precision, recall, transition_f1).
 
     Stages go in order; each tries its values around the best so far on the eval rows, and
@@ -294,7 +300,8 @@ def staged_search(rows: DataFrame, models: DataFrame, config: PanelConfig, all_s
     start = {k: v[0] for k, v in config.grid.items()}
     kept = ["params", "n_rounds", "score", "threshold", "f1", "precision", "recall", "transition_f1"]
     best = None
-    for keys in config.stages if all_stages else active_stages(config.grid, config.stages) or config.stages[:1]:
+    # a stage without a choice would fit the best candidate again and find the same score
+    for keys in active_stages(config.grid, config.stages) or config.stages[:1]:
         changes = [as_map({k: c[k] for k in keys if k in c}) for c in stage_choices(start, config.grid, tuple(k for k in keys if k in config.grid))]
         base = models.select(*MODEL, as_map(start).alias("was")) if best is None else best.select(*MODEL, F.col("params").alias("was"))
         options = F.array(*[F.struct(F.lit(i).alias("cand"), c.alias("now")) for i, c in enumerate(changes)])

@@ -356,6 +356,14 @@ scores AS (SELECT sensors.sid, sensors.idx, count(h.sid) AS score FROM sensors L
 ORACLES["origin_scores"] = weekly(f"{_ORIGINS} SELECT * FROM scores")
 ORACLES["top_origins"] = hourly(f"{_ORIGINS} SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, idx LIMIT 10")
 ORACLES["result_append"] = hourly("SELECT * FROM (" + ORACLES["zero_report"].removeprefix(HOURLY).strip() + "), (SELECT unnest([1, 2]))").replace("SELECT * FROM (SELECT", "SELECT n_zero, n_cells, percent FROM (SELECT", 1)
+TRIED = f"""{PROFILE_SCORES}, tried AS (SELECT sid, c, k, y, cur, changed, (CASE c WHEN 0 THEN prob WHEN 1 THEN prob * prob ELSE 1 - prob END >= 0.02::DOUBLE + 0.02::DOUBLE * (k - 1))::INT AS p
+FROM marked CROSS JOIN {GRID} CROSS JOIN range(3) t(c) WHERE split = 'eval'), {metrics_sql('tried', 'sid, c, k')}"""
+FIRST = "SELECT *, row_number() OVER (PARTITION BY sid, c ORDER BY trsp DESC NULLS LAST, k) AS place FROM metrics"
+ORACLES |= {
+    "search_choice": hourly(f"{TRIED} SELECT sid, c AS cand, {r(LIMIT, 'threshold')}, {r('trsp', 'score')}, {r('f1', 'f1')} FROM ({FIRST}) WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY sid ORDER BY coalesce(trsp, -1) DESC, c) = 1"),
+    "artifacts_round_trip": hourly(f"{PROFILE_SCORES} SELECT sid, {H}::BIGINT AS horizon_min, 3.0::DOUBLE AS transition_weight, pos, {r('prob * 3', 'prob')} FROM marked WHERE split = 'train'"),
+    "boosted_fits": hourly(f"{PROFILE_SCORES} SELECT sid, 2::BIGINT AS n_rounds, 1.0::DOUBLE AS gain, 0::BIGINT AS n_left_out, count(*) AS n_rows, 0::BIGINT AS n_outside, count(DISTINCT pos) AS n_pos FROM marked GROUP BY sid"),
+}
 #: Queries on chunks of a long axis give what those on whole sensors do.
 ORACLES |= {f"{name}_in_chunks": ORACLES[name] for name in ("speed_lags", "rolling_windows", "congestion_windows", "state_times", "exponential_means")}
 ORACLES |= {f"{name}_by_ranges": ORACLES[name] for name in ("time_axis", "thresholds")}

@@ -9,9 +9,11 @@ stages and over fits.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from panelwright.config import PanelConfig
 from panelwright.operators import chunks, clean, frames, graph, metrics, report, selection, training
@@ -106,13 +108,13 @@ def local(panel: DataFrame, targets: DataFrame, config: PanelConfig, holidays: D
 def _wide_rows(cut: DataFrame, own: DataFrame, upstream: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(rows, names) of all targets and horizons on the columns that the correlation filter leaves; names also has col_idx and n_full."""
     n_train = int((cut.agg(F.max("n")).first()[0] or 0) * config.train_share)
-    rows, names = [], []
-    for horizon in config.horizons:
+
+    def one_horizon(horizon: int) -> tuple[DataFrame, DataFrame]:
         k = config.steps(horizon)
         features = written(frames.wide_frame(cut, horizon, config, upstream, targets, holidays), "wide-features")
         columns = chunks.ranked(features.select("column_name").distinct(), ["column_name"], "col_idx")
         columns = written(columns.select("column_name", F.col("col_idx").cast("int").alias("col_idx"), F.col("n").alias("n_full")), "columns")
-        base = written(clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon)), "targets")
+        base = clean.with_split(own.withColumn("y", clean.future_target(k)), k, config).withColumn("horizon_min", F.lit(horizon))
         ys = own.select("sid", "pos", clean.future_target(k).alias("y"))
         kept = selection.prefilter(selection.correlations(features, ys, n_train), columns.select("column_name", "col_idx"), config.prefilter_top)
         kept = kept.select("sid", "column_name").join(columns, "column_name")
@@ -121,9 +123,13 @@ def _wide_rows(cut: DataFrame, own: DataFrame, upstream: DataFrame, targets: Dat
         side = features.join(kept.select("sid", "column_name", "seq", "k"), "column_name").groupBy("sid", "pos").agg(F.first("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("seq", "value"))).alias("m"))
         values = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(float("nan"))))
         frame = base.join(side.select("sid", "pos", values.alias("features")), ["sid", "pos"]).select("sid", "horizon_min", "pos", "label", "y", "split", "features")
-        rows.append(training.with_inner(frame, config))
-        names.append(kept.select("sid", F.lit(horizon).alias("horizon_min"), "seq", "column_name", "col_idx", "n_full"))
-    return written(_union(rows), "wide-rows", FRAME), written(_union(names), "names")
+        return training.with_inner(frame, config), kept.select("sid", F.lit(horizon).alias("horizon_min"), "seq", "column_name", "col_idx", "n_full")
+
+    # the horizons' steps are independent, and their jobs share the cluster
+    with ThreadPoolExecutor(config.fit_threads) as pool:
+        asked = [pool.submit(inheritable_thread_target(cut.sparkSession)(one_horizon), h) for h in config.horizons]
+        rows, names = zip(*(a.result() for a in asked), strict=True)
+    return written(_union(list(rows)), "wide-rows", FRAME), written(_union(list(names)), "names")
 
 
 def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets: DataFrame, config: PanelConfig, holidays: DataFrame | None = None, artifacts: str | None = None) -> dict[str, DataFrame]:
@@ -201,6 +207,6 @@ def transfer(panel: DataFrame, targets: DataFrame, config: PanelConfig, artifact
     chosen = top.join(names, [*FRAME, "column_name"]).select(*training.MODEL, "seq")
     columns, names = _picked(names, chosen, every)
     teacher = known["train_probs"]
-    best = training.staged_search(rows, every, config, True, columns, teacher)
+    best = training.staged_search(rows, every, config, columns, teacher)
     models, _ = training.final_models(rows, best, config, columns, teacher)
     return _report("transfer", models, best, names, own.select("sid").distinct(), began)

@@ -612,6 +612,49 @@ def test_metrics_at_threshold(spark, sf_dir):
     return metrics.evaluate_with_threshold(_profile_scores(p, "test"), best, C)
 
 
+# models and what they leave behind
+
+
+@query
+def search_choice(spark, sf_dir):
+    """Of three candidates' scores on eval rows, each sensor's best with its own best threshold; the first of ties."""
+    scores = written(_profile_scores(Hourly(spark, sf_dir), "eval"), "scores")
+    made = F.array(F.col("prob"), F.col("prob") * F.col("prob"), 1 - F.col("prob"))
+    tried = scores.withColumn("transition_weight", F.lit(1.0)).select(*training.MODEL, F.posexplode(made).alias("cand", "prob"), "pos", "split", "y_true", "current_label", "changed")
+    heads = tried.select(*training.CANDIDATE).distinct()
+    return training.best_candidate(tried.unionByName(heads, allowMissingColumns=True).withColumns({c: F.lit(None).cast(t) for c, t in (("n_rounds", "int"), ("n_features", "int"), ("gains", "array<double>"), ("inference_us", "double"))}), C).select("sid", "cand", "threshold", "score", "f1")
+
+
+@query
+def artifacts_round_trip(spark, sf_dir):
+    """A global job's training probabilities, saved for each weight and read for one."""
+    p = Hourly(spark, sf_dir)
+    scores = _profile_scores(p, "train").withColumn("transition_weight", F.explode(F.array(F.lit(1.0), F.lit(3.0))))
+    probs = scores.select(*training.MODEL, "pos", (F.col("prob") * F.col("transition_weight")).alias("prob"))
+    gain = _rounded_gain(p).select("sid", F.lit(H).alias("horizon_min"), F.lit(3.0).alias("transition_weight"), "column_name", F.lit(0).alias("seq"), "gain")
+    params = p.targets.select("sid", F.lit(H).alias("horizon_min"), F.lit(3.0).alias("transition_weight"), F.lit(0).alias("seq"), training.as_map(C.fixed_params).alias("params"))
+    path = new_folder(spark, "artifacts")
+    io.save_artifacts(path, gain, params, probs)
+    return io.load_artifacts(spark, path, 3.0)["train_probs"].select("sid", "horizon_min", "transition_weight", "pos", "prob")
+
+
+@query
+def boosted_fits(spark, sf_dir):
+    """What must hold for a fit of each target: a probability for each row, within bounds, importances that sum to 1, the rounds asked for."""
+    p = Hourly(spark, sf_dir)
+    own = written(clean.only_targets(clean.head(p.panel, C), p.targets, p.sensors), "targets")
+    frame = frames.local_frame(own, H, C, p.holidays)
+    names = frames.feature_names(frame)
+    frame = clean.with_split(frame, C.steps(H), C).withColumn("horizon_min", F.lit(H))
+    rows = written(training.model_rows(frame, names, C), "rows", ("sid", "horizon_min"))
+    tries = training.listed(training.models_of(rows, (3.0,)), [C.fixed_params], rounds=F.lit(2), splits=("train", "eval", "test"))
+    fits = written(training.fit_models(rows, tries, C), "fits")
+    inside = (F.col("prob") >= 0) & (F.col("prob") <= 1)
+    scored = fits.where("pos IS NOT NULL").groupBy("sid").agg(F.count("*").alias("n_rows"), F.count_if(~inside).alias("n_outside"), F.count_distinct("pos").alias("n_pos"))
+    whole = F.aggregate("gains", F.lit(0.0), lambda a, b: a + b)
+    return training.fitted(fits).select("sid", "n_rounds", F.round(whole, 6).alias("gain"), (F.size("gains") - F.col("n_features")).alias("n_left_out")).join(scored, "sid")
+
+
 # reports
 
 
