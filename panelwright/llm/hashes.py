@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 
 #: Words a worker remembers, and the longest (bytes).
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 MEMO_BYTES = 48
 
 _KEY = b"words of the corpus operators"

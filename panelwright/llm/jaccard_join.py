@@ -36,7 +36,7 @@ from .components import components, partitions_for
 from .hashes import mix, run_hashes
 
 #: Keys that a task combines at once.
-COMBINED_KEYS = 1 << 21
+COMBINED_KEYS = 1 << 20
 #: Shingles of a tile, and what a row counts for at least.
 TILE_SHINGLES = 1 << 18
 LEAST_WEIGHT = 128

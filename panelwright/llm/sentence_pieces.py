@@ -23,7 +23,7 @@ from .common import prepare, table
 
 MARK = "▁"
 #: Chunks a worker remembers, and the longest (characters).
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 150_000
 MEMO_CHARS = 32
 #: Columns that encoding makes.
 MADE = {"n_pieces": T.LongType(), "ids_crc32": T.LongType(), "round_trip": T.BooleanType(), "pieces": T.ArrayType(T.IntegerType())}
