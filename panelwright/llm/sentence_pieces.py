@@ -6,6 +6,9 @@ A character that is no piece goes to byte pieces (or the unknown id). Spaces are
 the model's mark; where no piece holds the mark after another character, a text is cut in
 front of each run of marks, and around characters that only stand alone, without changing
 the best path; the ids of such chunks are remembered.
+
+With a unigram model the ids are the library's. A BPE model's merge ranks are added up like
+scores here, so its ids differ from the library's merges.
 """
 
 from __future__ import annotations
