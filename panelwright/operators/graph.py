@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.config import PanelConfig
 
 from .clean import by_sid
-from .sizes import bounded
+from .sizes import BROADCAST_ROWS, bounded
 
 #: Hops that neighbour features tell apart.
 MOST_HOPS = 3
+#: Values of a measure in a block of positions, and of the neighbours that are multiplied at a time.
+BLOCK_VALUES, SLICE_VALUES = 1 << 18, 1 << 20
 
 
 def hop_sets(edges: DataFrame, hops: int, upstream: bool = False) -> DataFrame:
@@ -37,26 +42,88 @@ def neighbour_means(panel: DataFrame, hops: DataFrame, measures: dict[str, str],
     """Per (sid, pos): <prefix>_h<hop>, the neighbours' mean by hop, for each measure (prefix -> column of panel).
 
     Null where any neighbour of that hop has null. waves are measures whose neighbours are
-    taken wave_rows rows earlier for each step. All measures share one join with the hops
-    (broadcast if they are few) and one aggregation, combined on the map side; its key has the position
-    in it, so a sensor with many neighbours is no hot key.
+    taken wave_rows rows earlier for each step. Hop sets within the bound of a broadcast are
+    a sparse matrix that is multiplied with blocks of positions; larger ones are joined.
     """
     waves, steps = waves or {}, range(1, MOST_HOPS + 1)
     late = dict.fromkeys(waves.values())
     rows = panel.withColumns({f"{c}__{h}": F.lag(c, h * wave_rows).over(by_sid()) for c in late for h in steps}) if late else panel
     rows = rows.select("sid", "pos", *dict.fromkeys([*measures.values(), *(f"{c}__{h}" for c in late for h in steps)]))
-    near = bounded(hops.select(F.col("sid").alias("target"), F.col("nb_sid").alias("sid"), "hop"))
-    values = {p: F.col(c) for p, c in measures.items()}
-    values |= {p: F.coalesce(*[F.when(F.col("hop") == h, F.col(f"{c}__{h}")) for h in steps]) for p, c in waves.items()}
-    met = rows.join(near, "sid").select("target", "pos", "hop", *[v.cast("double").alias(p) for p, v in values.items()])
-
-    def mean(p: str, h: int):
-        here = F.col("hop") == h
-        # within a hop all weights are 1 / hop
-        weighted = F.sum(F.when(here, F.col(p) / F.col("hop"))) / F.sum(F.when(here, 1 / F.col("hop")))
-        return F.when(F.count(F.when(here, F.col(p))) == F.count_if(here), weighted).alias(f"{p}_h{h}")
-
-    return met.groupBy(F.col("target").alias("sid"), "pos").agg(*[mean(p, h) for p in values for h in steps])
+    sources = {f"{p}_h{h}": (h, c) for p, c in measures.items() for h in steps} | {f"{p}_h{h}": (h, f"{c}__{h}") for p, c in waves.items() for h in steps}
+    pairs = hops.select("sid", "nb_sid", "hop").where(F.col("hop") <= MOST_HOPS)
+    found = pairs.limit(BROADCAST_ROWS + 1).toArrow()
+    if len(found) > BROADCAST_ROWS:
+        return _joined_means(rows, pairs, sources)
+    return _multiplied_means(rows, found, sources)
+
+
+def _joined_means(rows: DataFrame, hops: DataFrame, sources: dict[str, tuple[int, str]]) -> DataFrame:
+    """Every neighbour's row at every position, aggregated; the key holds the position, so a sensor with many neighbours is no hot key."""
+    near = hops.select(F.col("sid").alias("target"), F.col("nb_sid").alias("sid"), "hop")
+    met = rows.join(near, "sid")
+
+    def mean(name: str, hop: int, column: str):
+        here = F.col("hop") == hop
+        value = F.when(here, F.col(column).cast("double"))
+        return F.when(F.count(value) == F.count_if(here), F.avg(value)).alias(name)
+
+    return met.groupBy(F.col("target").alias("sid"), "pos").agg(*[mean(n, h, c) for n, (h, c) in sources.items()])
+
+
+def _multiplied_means(rows: DataFrame, hops: pa.Table, sources: dict[str, tuple[int, str]]) -> DataFrame:
+    """Hop sets as sparse matrices, times blocks of positions: sums, and how many neighbours have a row and a value.
+
+    The shuffle has a row of rows once; what neighbours multiply stays in a task, for a
+    slice of sensors at a time.
+    """
+    known, targets = pc.unique(hops["nb_sid"]), pc.unique(hops["sid"])
+    of, to, hop = (np.asarray(x) for x in (pc.index_in(hops["sid"], targets), pc.index_in(hops["nb_sid"], known), hops["hop"]))
+    matrices = {}
+    for h in range(1, MOST_HOPS + 1):
+        order = np.flatnonzero(hop == h)
+        order = order[np.argsort(of[order], kind="stable")]
+        own, starts = np.unique(of[order], return_index=True)
+        matrices[h] = (own, np.append(starts, len(order)), to[order])
+    graph = rows.sparkSession.sparkContext.broadcast((known, targets, matrices))
+    span = max(1, BLOCK_VALUES // max(1, len(known)))
+    columns = sorted({c for _, c in sources.values()})
+
+    def multiply(block: pa.Table) -> pa.Table:
+        known, targets, matrices = graph.value
+        at = pc.index_in(block["sid"].combine_chunks(), known.cast(block["sid"].type))
+        block = block.filter(at.is_valid())
+        at, pos = np.asarray(at.drop_null()), block["pos"].to_numpy()
+        first = int(pos.min()) if len(pos) else 0
+        width = int(pos.max()) - first + 1 if len(pos) else 0
+        there = np.zeros((len(known), width), dtype=bool)
+        there[at, pos - first] = True
+        values = {}
+        for c in columns:
+            values[c] = np.full((len(known), width), np.nan)
+            values[c][at, pos - first] = block[c].cast(pa.float64()).to_numpy()
+        met = np.zeros((len(targets), width), dtype=bool)
+        out = {n: np.full((len(targets), width), np.nan) for n in sources}
+        for h, (own, starts, to) in matrices.items():
+            k = 0
+            while k < len(own) and width:
+                # as many sensors as their neighbours' rows fit in a slice
+                last = max(k + 1, int(np.searchsorted(starts, starts[k] + max(1, SLICE_VALUES // width), "right")) - 1)
+                nb, edges = to[starts[k] : starts[last]], starts[k:last] - starts[k]
+                n = np.add.reduceat(there[nb].astype(np.int64), edges, axis=0)
+                met[own[k:last]] |= n > 0
+                for name, (of_hop, c) in sources.items():
+                    if of_hop == h:
+                        v = values[c][nb]
+                        full = np.add.reduceat((~np.isnan(v)).astype(np.int64), edges, axis=0) == n
+                        total = np.add.reduceat(np.nan_to_num(v), edges, axis=0)
+                        out[name][own[k:last]] = np.where(full & (n > 0), total / np.maximum(n, 1), np.nan)
+                k = last
+        t, p = np.nonzero(met)
+        made = {n: pa.array(v[t, p], mask=np.isnan(v[t, p])) for n, v in out.items()}
+        return pa.table({"sid": targets.take(pa.array(t)).cast(pa.string()), "pos": pa.array(p + first, pa.int64())} | made)
+
+    blocks = rows.select("sid", "pos", *[F.col(c).cast("double").alias(c) for c in columns], F.floor(F.col("pos") / span).alias("__block"))
+    return blocks.groupBy("__block").applyInArrow(multiply, "sid string, pos long, " + ", ".join(f"{n} double" for n in sources))
 
 
 def onsets(panel: DataFrame, steps: int) -> DataFrame:

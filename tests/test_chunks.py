@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.config import HOURLY
-from panelwright.operators import chunks, clean, frames, selection, windows
+from panelwright.operators import chunks, clean, frames, graph, selection, windows
 
 C = HOURLY
 LONG = replace(C, chunk_rows=37)
@@ -104,3 +104,20 @@ def test_correlations_of_large_means(spark):
     own = pd.Series(np.where(gone, np.nan, x))[:400] - 1e8
     plain = abs(np.corrcoef(own.fillna(own.mean()), y[:400])[0, 1])
     assert found["s"] == pytest.approx(plain, abs=1e-9) and found["t"] == 0.0
+
+
+@pytest.mark.parametrize("block,cut", [(1 << 18, 1 << 20), (40, 30)])
+def test_multiplied_means_are_the_joined_ones(spark, monkeypatch, block, cut):
+    """Blocks of positions and slices of sensors of any size; missing rows, nulls, a sensor of many neighbours and one of none."""
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i}", k, None if rng.random() < 0.05 else float(rng.normal()), int(rng.integers(0, 2))) for i in range(12) for k in range(30) if rng.random() < 0.95]
+    panel = spark.createDataFrame(rows, "sid string, pos long, speed double, label int").repartition(4)
+    hops = spark.createDataFrame([("s0", f"s{i}", 1 + i % 3) for i in range(1, 12)] + [("s1", "s0", 1), ("s2", "s1", 2), ("s3", "gone", 1)], "sid string, nb_sid string, hop int")
+    measures, waves = {"spd": "speed", "cong": "label"}, {"wspd": "speed"}
+    monkeypatch.setattr(graph, "BLOCK_VALUES", block)
+    monkeypatch.setattr(graph, "SLICE_VALUES", cut)
+    found = graph.neighbour_means(panel, hops, measures, waves)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 3)
+    same(graph.neighbour_means(panel, hops, measures, waves), found, 9)
+    assert found.where("sid = 's0' AND spd_h1 IS NOT NULL").count() > 5 and found.where("sid = 's3'").count() == 0
+    assert graph.neighbour_means(panel, hops.limit(0), measures, waves).count() == 0
