@@ -16,7 +16,7 @@ from .sizes import BROADCAST_ROWS, bounded
 #: Hops that neighbour features tell apart.
 MOST_HOPS = 3
 #: Values of a measure in a block of positions, and of the neighbours that are multiplied at a time.
-BLOCK_VALUES, SLICE_VALUES = 1 << 18, 1 << 20
+BLOCK_VALUES, SLICE_VALUES = 1 << 15, 1 << 20
 
 
 def hop_sets(edges: DataFrame, hops: int, upstream: bool = False) -> DataFrame:

@@ -24,16 +24,21 @@ LONG: PanelConfig = replace(C, chunk_rows=100)
 
 
 class Hourly:
-    """The hourly panel and what goes with it. What several steps of a query read is a written table."""
+    """The hourly panel and what goes with it. What several steps of a query read is a written table, made when it is first asked for."""
 
     make = (fixtures.hourly_readings, fixtures.hourly_sensors, fixtures.hourly_targets)
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: PanelConfig = C):
         readings, self._sensors, self._targets = self.make
         self.spark, self.config, self.sf_dir = spark, config, sf_dir
-        self.readings = readings(spark, sf_dir)  # one scan and one aggregation, which a plan that reads it twice shares
+        self.readings = readings(spark, sf_dir)
         self.holidays = fixtures.holidays(spark)
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """readings as a written table: a panel reads them four times, and the raw rows are scanned once."""
+        return written(self.readings, "readings")
+
     @cached_property
     def sensors(self) -> DataFrame:
         return written(self._sensors(self.spark, self.sf_dir), "sensors")
@@ -48,7 +53,7 @@ class Hourly:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return written(clean.build_panel(self.readings, self.sensors, self.config), "panel")
+        return written(clean.build_panel(self.cells, self.sensors, self.config), "panel")
 
     @cached_property
     def upstream(self) -> DataFrame:
@@ -371,13 +376,13 @@ def neighbour_transitions(spark, sf_dir):
 @query
 def origin_scores(spark, sf_dir):
     p = Weekly(spark, sf_dir)
-    return graph.origin_scores(clean.build_panel(p.readings, p.sensors, p.config), p.edges, p.sensors)
+    return graph.origin_scores(clean.build_panel(p.cells, p.sensors, p.config), p.edges, p.sensors)
 
 
 @query
 def top_origins(spark, sf_dir):
     p = Hourly(spark, sf_dir)
-    return jobs.origins(p.readings, p.sensors, p.edges, C)
+    return jobs.origins(p.cells, p.sensors, p.edges, C)
 
 
 @query
