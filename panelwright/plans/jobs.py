@@ -144,7 +144,7 @@ def global_model(panel: DataFrame, sensors: DataFrame, edges: DataFrame, targets
     graph.check_alignment(panel.select("sid", "idx"), sensors)
     upstream = written(graph.hop_sets(edges, config.hops, upstream=True), "hops")
     cut = written(clean.head(panel, config), "panel")
-    own = written(clean.only_targets(cut, targets), "targets")
+    own = written(clean.only_targets(cut, targets, sensors), "targets")
     rows, names = _wide_rows(cut, own, upstream, targets, config, holidays)
 
     frames_ = written(training.models_of(rows, (1.0,)), "models")
