@@ -102,8 +102,8 @@ HOURLY = replace(
     transition_windows=(120, 240, 360),
     half_lives=(180, 720),
     fixed_params={"max_depth": 3, "eta": 0.3, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 1, "gamma": 0},
-    fixed_rounds=4,
+    fixed_rounds=2,
     grid={"max_depth": [2, 3], "eta": [0.3], "subsample": [0.8], "colsample_bytree": [0.8], "min_child_weight": [1], "gamma": [0]},
-    max_rounds=4,
-    patience=2,
+    max_rounds=2,
+    patience=1,
 )
