@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .clean import future_target
 from .sizes import bounded
 
 KEYS = ["sid", "idx", "pos", "ts", "n", "label"]
+#: Positions whose values of a sensor are put in arrays at a time.
+ARRAY_ROWS = 256
 SPATIAL = ("spd", "cong", "wspd", "wcong", "trans_on", "trans_off")
 
 
@@ -92,6 +96,24 @@ def wide_frame(panel: DataFrame, horizon: int, config: PanelConfig, upstream: Da
     return out.unionByName(calendar)
 
 
+def as_arrays(cells: DataFrame) -> DataFrame:
+    """(sid, pos, features): cells(sid, pos, seq, k, value) as one array a row, k long, with the value of seq at place seq and NaN where there is none.
+
+    A task holds a block of positions of one sensor at a time, as a matrix.
+    """
+
+    def fill(block: pa.Table) -> pa.Table:
+        pos, at = np.unique(block["pos"].to_numpy(), return_inverse=True)
+        values = np.full((len(pos), block["k"][0].as_py()), np.nan)
+        values[at, block["seq"].to_numpy()] = block["value"].to_numpy()
+        ends = np.arange(len(pos) + 1, dtype=np.int32) * np.int32(values.shape[1])
+        arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+        return pa.table({"sid": pa.repeat(block["sid"][0], len(pos)), "pos": pa.array(pos), "features": arrays})
+
+    blocks = cells.select("sid", F.col("pos").cast("long").alias("pos"), F.col("seq").cast("int").alias("seq"), F.col("k").cast("int").alias("k"), "value", F.floor(F.col("pos") / ARRAY_ROWS).alias("__block"))
+    return blocks.groupBy("sid", "__block").applyInArrow(fill, "sid string, pos long, features array<double>")
+
+
 def with_target(features: DataFrame, panel: DataFrame, horizon: int, config: PanelConfig) -> DataFrame:
     """Features of one row a (sid, pos) with the target y, null where the panel has no such row."""
     target = panel.select("sid", "pos", future_target(config.steps(horizon)).alias("y"))

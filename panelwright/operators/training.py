@@ -143,6 +143,13 @@ def weighted_targets(train: DataFrame, class_ratio: float, soft: bool = False) -
     return rows
 
 
+def constants(values: list, kind: str) -> Column:
+    """An array of numbers as one expression: a literal for each would be as many calls to the JVM, which fits in other threads wait for."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame, list[int], int] | None:
     """(rows with their features as a vector, the place in features of each of its entries, how many features there are); None without training rows.
 
@@ -161,10 +168,9 @@ def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame
     columns = [i for i in (sorted(by_place) if columns is None else columns) if by_place[i].seen]
     gaps, names = [i for i in columns if by_place[i].gone], columns or [0]
     value = lambda i: F.get("features", i)
-    listed = lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
-    means = listed([by_place[i].mean if columns else 0.0 for i in names], "double")
-    full = F.zip_with(F.transform(listed(names, "int"), value), means, lambda x, m: F.when(F.isnan(x) | x.isNull(), m).otherwise(x))
-    flags = F.transform(listed(gaps, "int"), lambda i: F.isnan(value(i)).cast("double"))
+    means = constants([by_place[i].mean if columns else 0.0 for i in names], "double")
+    full = F.zip_with(F.transform(constants(names, "int"), value), means, lambda x, m: F.when(F.isnan(x) | x.isNull(), m).otherwise(x))
+    flags = F.transform(constants(gaps, "int"), lambda i: F.isnan(value(i)).cast("double"))
     kept = [c for c in rows.columns if c != "features"]
     out = rows.select(*kept, array_to_vector(F.concat(full, flags)).alias("features"))
     parts = max(1, -(-counts[0].rows * (len(names) + len(gaps)) // PART_VALUES))

@@ -120,9 +120,8 @@ def _wide_rows(cut: DataFrame, own: DataFrame, upstream: DataFrame, targets: Dat
         kept = kept.select("sid", "column_name").join(columns, "column_name")
         kept = kept.withColumn("seq", F.row_number().over(Window.partitionBy("sid").orderBy("col_idx")) - 1)
         kept = written(kept.withColumn("k", F.count("*").over(Window.partitionBy("sid"))), "prefiltered")
-        side = features.join(kept.select("sid", "column_name", "seq", "k"), "column_name").groupBy("sid", "pos").agg(F.first("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("seq", "value"))).alias("m"))
-        values = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(float("nan"))))
-        frame = base.join(side.select("sid", "pos", values.alias("features")), ["sid", "pos"]).select("sid", "horizon_min", "pos", "label", "y", "split", "features")
+        side = frames.as_arrays(features.join(kept.select("sid", "column_name", "seq", "k"), "column_name"))
+        frame = base.join(side, ["sid", "pos"]).select("sid", "horizon_min", "pos", "label", "y", "split", "features")
         return training.with_inner(frame, config), kept.select("sid", F.lit(horizon).alias("horizon_min"), "seq", "column_name", "col_idx", "n_full")
 
     # the horizons' steps are independent, and their jobs share the cluster
