@@ -135,19 +135,22 @@ def weighted_targets(train: DataFrame, class_ratio: float, soft: bool = False) -
     Rows whose label is 1 weigh class_ratio times as much. A soft label s is two rows, 1 with
     the weight's share s and 0 with the rest: the same loss.
     """
-    aim = F.col("soft") if soft else F.col("y").cast("double")
-    rows = train.select("features", aim.alias("target"), (F.col("weight") * F.when(aim == 1, class_ratio).otherwise(1.0)).alias("weight"))
+    aim = "soft" if soft else "CAST(y AS DOUBLE)"
+    rows = train.selectExpr("features", f"{aim} AS target", f"weight * CASE WHEN {aim} = 1 THEN {number(class_ratio)} ELSE 1D END AS weight")
     if soft:
-        pair = F.array(F.struct(F.lit(1.0).alias("target"), (F.col("weight") * F.col("target")).alias("weight")), F.struct(F.lit(0.0).alias("target"), (F.col("weight") * (1 - F.col("target"))).alias("weight")))
-        rows = rows.select("features", F.explode(pair).alias("p")).select("features", "p.target", "p.weight").where("weight > 0")
+        pair = "ARRAY(STRUCT(1D AS target, weight * target AS weight), STRUCT(0D AS target, weight * (1 - target) AS weight))"
+        rows = rows.selectExpr("features", f"EXPLODE({pair}) AS p").selectExpr("features", "p.target", "p.weight").where("weight > 0")
     return rows
 
 
-def constants(values: list, kind: str) -> Column:
-    """An array of numbers as one expression: a literal for each would be as many calls to the JVM, which fits in other threads wait for."""
-    if not values:
-        return F.array().cast(f"array<{kind}>")
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+def number(value: float) -> str:
+    """A double as SQL."""
+    return f"DOUBLE('{float(value)!r}')"
+
+
+def constants(values: list, kind: str) -> str:
+    """An array of numbers as SQL, one literal whatever their number."""
+    return f"CAST(SPLIT('{','.join(map(repr, values))}', ',') AS ARRAY<{kind}>)" if values else f"CAST(ARRAY() AS ARRAY<{kind}>)"
 
 
 def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame, list[int], int] | None:
@@ -156,31 +159,30 @@ def assembled(rows: DataFrame, columns: Iterable[int] | None) -> tuple[DataFrame
     Missing values become the training rows' mean, and a column that has any gets a flag
     beside it; a column without a value in training is left out. That is what an Imputer and
     a VectorAssembler do, as a few expressions on arrays: with one for each of a wide frame's
-    columns, the generated code would be too large to compile.
+    columns, the generated code would be too large to compile. They are SQL, as each call
+    that builds a column from Python holds up the fits in other threads.
     """
-    each = rows.select((F.col("split") == "train").alias("train"), F.posexplode("features").alias("i", "x"))
-    gone = F.isnan("x") | F.isnull("x")
-    known = F.when(F.col("train") & ~gone, F.col("x"))
-    counts = each.groupBy("i").agg(F.count_if(gone).alias("gone"), F.count(known).alias("seen"), F.avg(known).alias("mean"), F.count_if("train").alias("train"), F.count("*").alias("rows")).collect()  # a row a column
+    gone, known = "isnan(x) OR x IS NULL", "CASE WHEN train AND NOT (isnan(x) OR x IS NULL) THEN x END"
+    each = rows.selectExpr("split = 'train' AS train", "POSEXPLODE(features) AS (i, x)")
+    sums = (f"COUNT_IF({gone}) AS gone", f"COUNT({known}) AS seen", f"AVG({known}) AS mean", "COUNT_IF(train) AS train", "COUNT(*) AS rows")
+    counts = each.groupBy("i").agg(*map(F.expr, sums)).collect()  # a row a column
     by_place = {r.i: r for r in counts}
     if not counts or not counts[0].train:
         return None
     columns = [i for i in (sorted(by_place) if columns is None else columns) if by_place[i].seen]
     gaps, names = [i for i in columns if by_place[i].gone], columns or [0]
-    value = lambda i: F.get("features", i)
-    means = constants([by_place[i].mean if columns else 0.0 for i in names], "double")
-    full = F.zip_with(F.transform(constants(names, "int"), value), means, lambda x, m: F.when(F.isnan(x) | x.isNull(), m).otherwise(x))
-    flags = F.transform(constants(gaps, "int"), lambda i: F.isnan(value(i)).cast("double"))
+    means = constants([by_place[i].mean if columns else 0.0 for i in names], "DOUBLE")
+    full = f"ZIP_WITH(TRANSFORM({constants(names, 'INT')}, i -> GET(features, i)), {means}, (x, m) -> CASE WHEN isnan(x) OR x IS NULL THEN m ELSE x END)"
+    flags = f"TRANSFORM({constants(gaps, 'INT')}, i -> CAST(isnan(GET(features, i)) AS DOUBLE))"
     kept = [c for c in rows.columns if c != "features"]
-    out = rows.select(*kept, array_to_vector(F.concat(full, flags)).alias("features"))
+    out = rows.select(*kept, array_to_vector(F.expr(f"CONCAT({full}, {flags})")).alias("features"))
     parts = max(1, -(-counts[0].rows * (len(names) + len(gaps)) // PART_VALUES))
     return out.coalesce(parts), columns + gaps, len(counts)
 
 
-def _by_part(rows: DataFrame) -> DataFrame:
-    """(inner, y) of training rows: those of the inner part once as such, and all once as the whole."""
-    parts = F.when(F.col("inner"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    return rows.where("split = 'train'").select(F.explode(parts).alias("inner"), "y")
+def class_ratio(counts: dict[int, int]) -> float:
+    """class_weight of counted labels."""
+    return counts[0] / counts[1] if counts.get(0) and counts.get(1) else 1.0
 
 
 FITS = "sid string, horizon_min int, transition_weight double, cand int, pos long, split string, y_true int, current_label int, changed boolean, prob double, n_rounds int, n_features int, gains array<double>, inference_us double"
@@ -207,26 +209,30 @@ def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig, teac
     for one in candidates.collect():  # a row a fit
         groups.setdefault((one.sid, one.horizon_min, None if one.columns is None else tuple(one.columns)), []).append(one)
 
-    def fit_group(of: tuple, tries: list[Row], number: int) -> list[tuple]:
+    def fit_group(of: tuple, tries: list[Row], nth: int) -> list[tuple]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", "fits")
         sid, horizon, columns = of
-        own = rows.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon)).select("pos", "label", "y", "split", "inner", "changed", "features")
+        own = rows.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon)).select("sid", "horizon_min", "pos", "label", "y", "split", "inner", "changed", "features")
         found = assembled(own, columns)
         if found is None:
             return []
         vectors, places, width = found
         vectors, heads, scores = vectors.persist(), [], []
         try:
-            ratios = {r.inner: r.class_weight for r in class_weight(_by_part(vectors), ["inner"]).collect()}
-            for one in tries if True in ratios else []:
-                inner, train = one.rounds is None, vectors.where("split = 'train'").withColumn("weight", row_weight(F.col("label"), F.col("y"), one.transition_weight))
+            seen = vectors.where("split = 'train'").groupBy("inner", "y").count().collect()  # four rows at most
+            of_inner = {r.y: r["count"] for r in seen if r.inner}
+            of_all = {y: sum(r["count"] for r in seen if r.y == y) for y in (0, 1)}
+            probability = vector_to_array("probability")[1]
+            for one in tries if any(r.inner for r in seen) else []:
+                inner, weight = one.rounds is None, number(one.transition_weight)
+                train = vectors.where("split = 'train'").withColumn("weight", F.expr(f"CASE WHEN label <> y THEN {weight} ELSE 1D END"))
                 if teacher is not None:
                     given = teacher.where((F.col("sid") == sid) & (F.col("horizon_min") == horizon) & (F.col("transition_weight") == one.transition_weight))
                     train = soft_labels(train, given, config.soft_share, ("pos",))
                 fit = learner(one.params, int(one.rounds or one.params.get("max_rounds") or config.max_rounds), config.seed)
-                model = fit.fit(weighted_targets(train.where("inner") if inner else train, ratios[inner], teacher is not None))
+                model = fit.fit(weighted_targets(train.where("inner") if inner else train, class_ratio(of_inner if inner else of_all), teacher is not None))
                 if inner:
-                    rest = vectors.where("split = 'train' AND NOT inner").select("features", F.col("y").cast("double").alias("target"), F.lit(1.0).alias("weight"))
+                    rest = vectors.where("split = 'train' AND NOT inner").selectExpr("features", "CAST(y AS DOUBLE) AS target", "1D AS weight")
                     model = first_trees(model, first_minimum(model.evaluateEachIteration(rest), config.patience))
                 gains, importance = [0.0] * width, model.featureImportances
                 for at, gain in zip(importance.indices.tolist(), importance.values.tolist(), strict=True):
@@ -234,10 +240,11 @@ def fit_models(rows: DataFrame, candidates: DataFrame, config: PanelConfig, teac
                         gains[places[at]] += gain
                 key = (sid, horizon, one.transition_weight, one.cand)
                 heads.append((*key, model.getNumTrees, len(columns) if columns is not None else width, gains))
-                scored = model.transform(vectors.where(F.col("split").isin(list(one.splits))))
-                scores.append(scored.select(*[F.lit(v).alias(c) for v, c in zip(key, CANDIDATE, strict=True)], "pos", "split", F.col("y").alias("y_true"), F.col("label").alias("current_label"), "changed", vector_to_array("probability")[1].alias("prob")))
+                wanted = ", ".join(f"'{x}'" for x in one.splits)
+                scored = model.transform(vectors.where(f"split IN ({wanted})")).withColumn("prob", probability)
+                scores.append(scored.selectExpr("sid", "CAST(horizon_min AS INT) AS horizon_min", f"{weight} AS transition_weight", f"{one.cand} AS cand", "pos", "split", "y AS y_true", "label AS current_label", "changed", "prob"))
             if scores:
-                functools.reduce(DataFrame.unionByName, scores).write.parquet(f"{folder}/predicted/fits={number}")
+                functools.reduce(DataFrame.unionByName, scores).write.parquet(f"{folder}/predicted/fits={nth}")
         finally:
             vectors.unpersist()
         return heads

@@ -252,3 +252,24 @@ def test_a_model_without_training_rows_gives_nothing(spark):
     panel, sensors, edges, targets = planted_panel(spark)
     out = jobs.local(panel.limit(0), targets.limit(0), replace(C, horizons=(120,)))
     assert out["results"].count() == 0
+
+
+def test_cells_become_arrays_in_blocks(spark):
+    from panelwright.operators import frames
+
+    width, last = 3, 2 * frames.ARRAY_ROWS + 5
+    cells = [(sid, pos, seq, width, float(pos * 10 + seq)) for sid in ("a", "b") for pos in (0, frames.ARRAY_ROWS - 1, frames.ARRAY_ROWS, last) for seq in range(width) if (pos + seq) % 4]
+    cells.append(("a", 7, 1, width, None))
+    found = frames.as_arrays(spark.createDataFrame(cells, "sid string, pos long, seq int, k int, value double")).collect()
+    want = {}
+    for sid, pos, seq, _, value in cells:
+        want.setdefault((sid, pos), [float("nan")] * width)[seq] = float("nan") if value is None else value
+    assert len(found) == len(want)
+    assert all(repr(want[r.sid, r.pos]) == repr(list(r.features)) for r in found)
+
+
+def test_constants_of_a_fit_are_exact(spark):
+    values = [0.1, -1e-300, 1 / 3, 1e300, float("inf")]
+    found = spark.range(1).selectExpr(f"{training.constants(values, 'DOUBLE')} AS a", f"{training.constants([], 'INT')} AS b", f"{training.number(1e-7)} AS c").first()
+    assert (list(found.a), list(found.b), found.c) == (values, [], 1e-7)
+    assert (training.class_ratio({0: 3, 1: 2}), training.class_ratio({0: 3}), training.class_ratio({1: 3})) == (1.5, 1.0, 1.0)
