@@ -273,3 +273,44 @@ def test_constants_of_a_fit_are_exact(spark):
     found = spark.range(1).selectExpr(f"{training.constants(values, 'DOUBLE')} AS a", f"{training.constants([], 'INT')} AS b", f"{training.number(1e-7)} AS c").first()
     assert (list(found.a), list(found.b), found.c) == (values, [], 1e-7)
     assert (training.class_ratio({0: 3, 1: 2}), training.class_ratio({0: 3}), training.class_ratio({1: 3})) == (1.5, 1.0, 1.0)
+
+
+def test_wide_rows_are_the_melted_frames(spark, monkeypatch):
+    """Where the filter leaves all columns no correlation is asked for, and rows are what cells put into arrays give; where it does not, rows are as before."""
+    from panelwright.operators import clean, frames, graph, selection
+
+    panel, sensors, edges, targets = planted_panel(spark)
+    panel = panel.where("NOT (sid = '100000' AND pos IN (3, 200))")  # a part without a row
+    upstream, own = graph.hop_sets(edges, C.hops, upstream=True), clean.only_targets(panel, targets, sensors)
+    config = replace(C, horizons=(120,))
+    melted = frames.wide_frame(panel, 120, config, upstream, targets)
+    names = sorted(r[0] for r in melted.select("column_name").distinct().collect())
+    cells = {(r.pos, r.column_name): r.value for r in melted.collect()}
+
+    def check(top):
+        rows, listed = jobs._wide_rows(panel, own, upstream, targets, replace(config, prefilter_top=top), None)
+        listed = {r.seq: r for r in listed.collect()}
+        assert all(names[r.col_idx] == r.column_name and r.n_full == len(names) for r in listed.values())
+        found = rows.collect()
+        assert len(found) == len({r.pos for r in found}) == 258 and {r.sid for r in found} == {"100001"}
+        for r in found:
+            want = [cells.get((r.pos, listed[k].column_name)) for k in range(len(listed))]
+            assert [None if np.isnan(v) else v for v in r.features] == want
+        return len(listed)
+
+    assert check(len(names) - 5) == len(names) - 5
+    monkeypatch.setattr(selection, "correlations", None)
+    assert check(len(names)) == len(names)
+
+
+def test_steps_count_a_tables_columns_once(spark, monkeypatch):
+    """Two models and two steps: their columns are counted by one aggregation, not by one for each fit."""
+    x, y = noisy()
+    rows = table_of(spark, x, y, "a").unionByName(table_of(spark, x, y, "b"))
+    asked, was = [], training.column_counts
+    monkeypatch.setattr(training, "column_counts", lambda *a: asked.append(a) or was(*a))
+    for _ in range(2):
+        tries = one_try(spark, ({"max_depth": 2.0}, None), sid="a").unionByName(one_try(spark, ({"max_depth": 2.0}, None), sid="b"))
+        fits = training.fit_models(rows, tries, replace(C, max_rounds=2))
+        assert training.fitted(fits).count() == 2
+    assert len(asked) == 1
