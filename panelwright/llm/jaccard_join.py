@@ -3,12 +3,18 @@
 Which rows meet at all follows from the pigeonhole principle. Linked sets of a band of sizes
 and the next differ in d shingles at most, so of d + 1 or more parts of the hash range one
 holds the same shingles in both sets. A part's key is the hash of what the set has there, a
-handful of shingles at once. Any division into parts misses no link; so that passages which
+handful of shingles at once. There are some parts more than that, so that those with few
+shingles need not give keys: a single common shingle would bring together a share of all
+rows, however large the corpus. Any division into parts misses no link; so that passages which
 many rows share don't bring them all together, shingles that stand out in a table of hashed
 counts over all documents are moved to the range's first parts. The table is of fixed size:
 in a larger corpus fewer shingles stand out, but keys still are of several shingles. Sets
-with so many empty parts that the agreeing one may be empty also get a prefix of single
-shingles as keys, those that stand out last.
+with so many parts without a key that all agreeing ones may be among them also get the keys of
+a division whose parts need fewer shingles, and at last a prefix of single shingles, those
+that stand out last: of linked sets either both do or they already share a key.
+
+Keys are shuffled in blocks by ranges of their hashes, five bytes and a small difference of row
+numbers each, as nearly all of them occur once.
 
 Rows that share keys form groups, and groups are put in tiles of bounded weight. A tile
 bounds each pair's overlap from above by the counts of differing bits of hashed bitmaps and
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable
 from functools import cache, partial
 
@@ -35,14 +42,21 @@ from .common import discard, join_lists, prepare, small, stage, table, unused
 from .components import components, partitions_for
 from .hashes import mix, run_hashes
 
-#: Keys that a task combines at once.
+#: Keys that a task combines at once, and that a bucket of the shuffle is meant to hold at most.
 COMBINED_KEYS = 1 << 20
+#: Bits of a key that are kept within its bucket.
+KEY_BITS = 40
+#: The most shingles that a part may need to give a key; how much less telling a key is with each shingle less, and what it costs to have one.
+MOST_NEEDED = 4
+COMMON, KEY_COST = 0.05, 0.0005
 #: Shingles of a tile, and what a row counts for at least.
 TILE_SHINGLES = 1 << 18
 LEAST_WEIGHT = 128
 #: Places of the table of counts, and the part of the hash range that shingles which stand out are moved to (as a shift).
 PLACES = 1 << 20
 HOT_SHIFT = 4
+#: Places whose counts are one record.
+BLOCK = 1 << 14
 #: The fewest bits of a bitmap.
 BITMAP_BITS = 1024
 #: Of a row and others of its tile, gives those that it may link with.
@@ -74,26 +88,54 @@ def band_bounds(num: int, den: int, most: int = 1 << 40) -> list[int]:
 
 
 @cache
-def parts_of(family: int, num: int, den: int) -> tuple[int, np.ndarray]:
-    """Of a family (a band and the one below): how many shingles linked sets may differ in, and the parts' first hashes.
-
-    There are as many parts as keep a set's expected empty ones below what the differences leave.
+def parts_of(family: int, num: int, den: int) -> tuple[int, list[tuple[np.ndarray, int]]]:
+    """Of a family (a band and the one below): how many shingles linked sets may differ in, and divisions as (the parts' first hashes, shingles that a part needs to give a key).
+
+    A key is the less telling the fewer shingles it stands for, so the first division's parts
+    need most. More parts than differences leave room for some without a key; a set that
+    has more of those takes the next division too, and after the last one single shingles.
+    What keys of few shingles cost is weighed for sets of the family's sizes, whole and with
+    a part of their shingles moved.
     """
     bounds = band_bounds(num, den)
     low, high = bounds[max(0, family - 2)], bounds[family] - 1
     differ = 2 * high * (den - num) // (den + num)
-    parts = differ + 1
-    while differ and parts < 2 * differ + 2:
-        empty = parts * math.exp(-low / parts)
-        if empty + 3 * math.sqrt(empty) < parts - differ:
-            break
-        parts += 1
-    return differ, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
+    sizes = [(n, share) for n in (low, (low + high) // 2, high) for share in (1.0, 0.85)]
+
+    def costs(parts: int, needed: int, after: list[float]) -> list[float]:
+        out = []
+        for (n, share), otherwise in zip(sizes, after, strict=True):
+            x = n * share / parts
+            of = [math.exp(-x) * x**k / math.factorial(k) for k in range(MOST_NEEDED + 4)]
+            weak = parts * sum(of[:needed])
+            room = parts - differing(n, differ, num, den) - 0.5
+            without = 0.5 * math.erfc((room - weak) / math.sqrt(2 * weak + 1e-9))
+            out.append(parts * sum(o * COMMON**k for k, o in enumerate(of) if k >= needed) + without * otherwise + parts * KEY_COST)
+        return out
+
+    best = [(n - -(-n * num // den) + 1) * COMMON for n, _ in sizes]
+    most, chosen = (differ // 2 + 3 if differ else 1), []
+    for needed in range(1, MOST_NEEDED + 1 if differ else 2):
+        tried = [(costs(differ + 1 + k, needed, best), differ + 1 + k) for k in range(0, most, 1 + most // 48)]
+        found, parts = min(tried, key=lambda t: sum(t[0]))
+        if sum(found) < sum(best) or not chosen:
+            best = found
+            chosen.insert(0, (np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64), needed))
+    return differ, chosen
+
+
+def differing(n: int, differ: int, num: int, den: int) -> int:
+    """How many shingles a set of n may differ in from one that it links with, where a family's sets may in differ."""
+    return min(differ, n * (den - num) // num)
 
 
 def stands_out(docs: DataFrame, size: int) -> np.ndarray:
     """For each place of the hashed counts, packed: whether shingles there are more than chance brings together. docs(text)."""
 
+    def blocks(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        packed = [zlib.compress(t.astype("<i8"), 1) for t in totals.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+
     def count(batches):
         total = np.zeros(PLACES, dtype=np.int64)
         for batch in batches:
@@ -102,16 +144,22 @@ def stands_out(docs: DataFrame, size: int) -> np.ndarray:
                 if words:
                     own = run_hashes(words, min(size, len(words)))[0]
                     np.add.at(total, (own & np.uint64(PLACES - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["place", "n"])
+        yield blocks({k: t for k, t in enumerate(total.reshape(-1, min(BLOCK, PLACES))) if t.any()})
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[block] = totals.get(block, 0) + np.frombuffer(zlib.decompress(counts), dtype="<i8")
+        yield blocks(totals)
 
-    sums = docs.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # PLACES rows at most
-    counts = np.zeros(PLACES, dtype=np.int64)
-    counts[sums["place"].to_numpy()] = sums["n"].to_numpy()
-    usual = float(np.median(counts))
-    return np.packbits(counts > usual + 4 * math.sqrt(usual) + 8)
+    schema = "block int, counts binary"
+    found = docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()  # PLACES counts
+    total = np.zeros((max(1, PLACES // BLOCK), min(BLOCK, PLACES)), dtype=np.int64)
+    for block, counts in zip(found["block"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        total[block] = np.frombuffer(zlib.decompress(counts), dtype="<i8")
+    usual = float(np.median(total))
+    return np.packbits(total.ravel() > usual + 4 * math.sqrt(usual) + 8)
 
 
 def moved(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -129,13 +177,16 @@ def part_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
     band = int(np.searchsorted(band_bounds(num, den), n, "right"))
     sums, out = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))]), []
     for family in (band, band + 1):
-        differ, firsts = parts_of(family, num, den)
-        at = np.append(np.searchsorted(own, firsts), n)
-        full = at[1:] > at[:-1]
-        tag = mix(np.arange(len(firsts), dtype=np.uint64) + np.uint64(family << 32))
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ tag)[full])
-        if len(firsts) - int(full.sum()) >= len(firsts) - differ:
-            out.append(mix(own[-(-n * num // den) - 1 :] ^ mix(np.array([(family << 32) - 1], dtype=np.uint64))))
+        differ, divisions = parts_of(family, num, den)
+        for firsts, needed in divisions:
+            at = np.append(np.searchsorted(own, firsts), n)
+            full = at[1:] - at[:-1] >= needed
+            tag = mix(np.arange(len(firsts), dtype=np.uint64) + np.uint64((family << 8 | needed) << 32))
+            out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ tag)[full])
+            if int(full.sum()) > differing(n, differ, num, den):  # an agreeing part is among them
+                break
+        else:
+            out.append(mix(own[-(-n * num // den) - 1 :] ^ mix(np.array([(family << 40) - 1], dtype=np.uint64))))
     return np.concatenate(out)
 
 
@@ -276,8 +327,10 @@ def groups_by_keys(own: DataFrame, keyed: DataFrame, keys_of: Callable[[DataFram
     spark = own.sparkSession
     keyed = stage(keyed.withColumn("row", F.monotonically_increasing_id()), "join-sets")
     sets = keyed.select("row", "id", "n", "print", "h", *([carry] if carry else []))  # the scan leaves out the rest
+    sets = sets if carry else stage(sets, "join-rows")  # keys go as soon as they have been read
+    n_rows = sets.count()
 
-    with partitions_for(spark, keyed.count()):  # narrow rows from here on, but for keys and tiles
+    with partitions_for(spark, n_rows):  # narrow rows from here on, but for keys and tiles
         # equal sets are one: rows of a repeated set point to its first row
         prints = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
         # aggregates are written before they are joined, so that Spark can split the other side's hot keys
@@ -285,10 +338,12 @@ def groups_by_keys(own: DataFrame, keyed: DataFrame, keys_of: Callable[[DataFram
         same = stage(sets.select("row", "print").join(prints, "print").where("row <> rep").select("row", "rep"), "join-same")
     alone = keyed.join(small(same.select("row")), "row", "left_anti")
     near = _near(keys_of(alone))
+    if not carry:
+        discard(keyed)
     links = _links(own, sets, near, tile, num, den, with_links, carry)
     joined = components(links)
 
-    with partitions_for(spark, keyed.count()):
+    with partitions_for(spark, n_rows):
         rep = sets.select("row", "id", "n", "h").join(small(same), "row", "left").withColumn("rep", F.coalesce("rep", "row"))
         joined = small(joined.select(F.col("node").alias("rep"), "root"))
         rooted = rep.join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -301,7 +356,7 @@ def groups_by_keys(own: DataFrame, keyed: DataFrame, keys_of: Callable[[DataFram
         more = ["n_links"] if with_links else []
         rooted = stage(rooted.select("row", "id", "n", "h", "root", *more), "join-rooted")
         groups = stage(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("row"), F.col("h"))).alias("first")), "join-firsts")
-    discard(keyed, prints, same, near, links)
+    discard(keyed if carry else sets, prints, same, near, links)
     out = rooted.join(groups, "root")
     head = F.col("row") == F.col("first.row")
     return out.select(
@@ -321,27 +376,46 @@ def _near(keyed: DataFrame) -> DataFrame:
 
     A key's rows are joined to the least of them. Each task first does so with the rows that
     it has itself and passes on the least, so that a key of very many rows is a row a task
-    for the shuffle.
+    for the shuffle. Keys go to buckets by their first bits, and a bucket's keys that a task
+    has combined are one record. Keys of a bucket that agree in KEY_BITS are taken for equal;
+    that may bring rows together which share none, about once a bucket.
     """
+    spark = keyed.sparkSession
+    held = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = min(1 << 16, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // COMBINED_KEYS)))
+    width, kept = KEY_BITS // 8, np.uint64((1 << KEY_BITS) - 1)
+
+    def least_of(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, its least row, pairs of least rows and others)."""
+        order = np.lexsort((row, key))
+        row, key = row[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        least = row[new][np.cumsum(new) - 1]
+        return key[new], row[new], np.unique(np.stack([least[~new], row[~new]], axis=1), axis=0)
 
     def combine(batches):
         rows, keys, held = [], [], 0
 
         def flush():
             row = np.repeat(np.concatenate(rows), np.concatenate([np.diff(a) for a, _ in keys]))
-            key = np.concatenate([k for _, k in keys])
-            order = np.lexsort((row, key))
-            row, key = row[order], key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            least = row[new][np.cumsum(new) - 1]
-            pairs = np.unique(np.stack([least[~new], row[~new]], axis=1), axis=0)
-            found = pa.table({"key": pa.array(key[new]), "row": pa.array(row[new]), "other": pa.nulls(int(new.sum()), pa.int64())})
-            joined = pa.table({"key": pa.array(mix(pairs[:, 0].astype(np.uint64)).view(np.int64)), "row": pa.array(pairs[:, 0]), "other": pa.array(pairs[:, 1])})
-            return [*found.to_batches(max_chunksize=1 << 16), *joined.to_batches(max_chunksize=1 << 16)]
+            key, row, pairs = least_of(np.concatenate([k for _, k in keys]).view(np.uint64), row)
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((row, bucket))
+            key, row, bucket = key[order] & kept, row[order], bucket[order]
+            at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)).tolist()
+            flat = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+            found = [(int(bucket[a]), flat[a:b].tobytes(), zlib.compress(np.diff(row[a:b], prepend=0).astype("<i8"), 1), None) for a, b in zip(at[:-1], at[1:], strict=True)]
+            if len(pairs):
+                found.append((int(pairs[0, 0] % buckets), b"", zlib.compress(b"", 1), zlib.compress(pairs.astype("<i8").tobytes(), 1)))
+            for k in range(0, len(found), 64):
+                columns = list(zip(*found[k : k + 64], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "keys", "rows", "pairs"])
 
         for batch in batches:
             lists = batch.column(1)
             at = lists.offsets.to_numpy()
+            if at[-1] == at[0]:
+                continue
             rows.append(batch.column(0).to_numpy())
             keys.append((at, lists.values.to_numpy()[at[0] : at[-1]]))
             held += int(at[-1] - at[0])
@@ -352,26 +426,34 @@ def _near(keyed: DataFrame) -> DataFrame:
             yield from flush()
 
     def join(batches):
-        last_key = last_least = None
+        now, keys, rows = None, [], []
+
+        def pairs_of(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def settled():
+            flat = np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, width)
+            key = np.zeros((len(flat), 8), dtype=np.uint8)
+            key[:, :width] = flat
+            row = [np.cumsum(np.frombuffer(zlib.decompress(r), dtype="<i8")) for r in rows]
+            if len(flat):
+                yield pairs_of(least_of(key.view("<u8")[:, 0], np.concatenate(row))[2])
+
         for batch in batches:
-            other = batch.column(2)
-            linked = np.asarray(other.is_valid())
-            row, key = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            a, b = row[linked], other.drop_null().to_numpy()
-            row, key = row[~linked], key[~linked]
-            if len(key):
-                new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-                firsts = np.concatenate([[row[0] if new[0] else last_least], row[1:][new[1:]]])
-                least = firsts[np.cumsum(new) - int(new[0])]
-                a, b = np.concatenate([a, least[~new]]), np.concatenate([b, row[~new]])
-                last_key, last_least = key[-1], least[-1]
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    met = keyed.mapInArrow(combine, "key long, row long, other long").repartition("key").sortWithinPartitions("key", "row")
+            for bucket, some, theirs, pairs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != now:
+                    yield from settled()
+                    now, keys, rows = bucket, [], []
+                if pairs is not None:
+                    yield pairs_of(np.frombuffer(zlib.decompress(pairs), dtype="<i8").reshape(-1, 2))
+                keys.append(some)
+                rows.append(theirs)
+        yield from settled()
+
+    met = keyed.mapInArrow(combine, "bucket int, keys binary, rows binary, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
     near = components(met.mapInArrow(join, "a long, b long"))
     with_roots = F.explode(F.array(F.struct("node", "root"), F.struct(F.col("root").alias("node"), "root")))
-    with partitions_for(keyed.sparkSession, near.count()):
+    with partitions_for(spark, near.count()):
         return stage(near.select(with_roots.alias("x")).select("x.*").distinct(), "join-near")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import language_id, sharding, toxicity
+from panelwright.llm import jaccard_join, language_id, sharding, toxicity
 
 from .test_operators import docs_of
 
@@ -56,3 +56,25 @@ def test_shards_of_several_depths(spark, limit):
                 break
         assert (found[i].shard, found[i].depth, found[i].shard_rows) == (hashes[i][:depth] or "-", depth, len(own))
     assert len({r.depth for r in found.values()}) > (2 if limit < 10_000 else 0)
+
+
+@pytest.mark.parametrize("num,n,pool,most", [(80, 300, 1200, 50), (80, 3000, 12000, 300), (90, 3000, 1500, 5)])
+def test_common_shingles_bring_few_rows_together(num, n, pool, most):
+    """A sixth of each row's shingles is dealt from a few common ones: single ones are no keys, so hardly any rows meet."""
+    rng, seen = np.random.default_rng(5), {}
+    common = rng.integers(0, 2**64, pool, dtype=np.uint64)
+    for k in range(300):
+        own = np.unique(np.concatenate([rng.choice(common, n // 6, replace=False), rng.integers(0, 2**64, n - n // 6, dtype=np.uint64)]))
+        for key in jaccard_join.part_keys(own, num, 100).tolist():
+            seen.setdefault(key, set()).add(k)
+    assert sum(len(s) > 1 for s in seen.values()) < most
+
+
+def test_counts_that_stand_out_are_all_rows(spark, monkeypatch):
+    """Counts come in blocks from each task and are summed up; a shingle of all rows stands out, and few others do."""
+    monkeypatch.setattr(jaccard_join, "PLACES", 1 << 16)
+    rows = [(k, f"the same few words {' '.join(f'w{k}x{j}' for j in range(200))}") for k in range(300)]
+    hot = jaccard_join.stands_out(docs_of(spark, rows, 7).select("text"), 3)
+    at = int(jaccard_join.shingle_set(b"the same few", 3)[0] & np.uint64(jaccard_join.PLACES - 1))
+    bits = np.unpackbits(hot)
+    assert len(bits) == jaccard_join.PLACES and bits[at] == 1 and bits.sum() <= 10
