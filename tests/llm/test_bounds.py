@@ -78,3 +78,26 @@ def test_counts_that_stand_out_are_all_rows(spark, monkeypatch):
     at = int(jaccard_join.shingle_set(b"the same few", 3)[0] & np.uint64(jaccard_join.PLACES - 1))
     bits = np.unpackbits(hot)
     assert len(bits) == jaccard_join.PLACES and bits[at] == 1 and bits.sum() <= 10
+
+
+def test_shards_are_read_a_group_at_a_time(spark, monkeypatch, tmp_path):
+    """The driver never plans a read of more than a group's folders, and the query gives what assign_shards does, whatever ids repeat."""
+    monkeypatch.setattr(sharding, "READ_SHARDS", 16)
+    monkeypatch.setattr(sharding, "QUERY_BYTES", 2_000)
+    rng = random.Random(3)
+    rows = [(k, "x" * rng.randrange(900)) for k in range(400)] + [(None, None), (None, "y" * 300)]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held, was = [], sharding.read_shards
+    monkeypatch.setattr(sharding, "read_shards", lambda *a: held.append(out := was(*a)) or out)
+    key = lambda found: sorted((str(tuple(r)) for r in found.collect()))
+    found = sharding.op2_extendible_shards(spark, f"file://{tmp_path}")
+    assert key(found) == key(sharding.assign_shards(docs, 2_000)) and len(key(found)) == 402
+    folders = [{f.rsplit("/", 2)[1] for f in x.inputFiles()} for x in held]
+    assert len(folders) > 4 and max(map(len, folders)) <= 40 and sum(map(len, folders)) == found.select("shard").distinct().count()
+    again = [(7, "z" * 500)] * 30 + rows[:40]
+    path = str(tmp_path / "again")
+    name, shards = sharding._write(docs_of(spark, again), path, 2_000)
+    names = [r.shard for r in shards.collect()]
+    assert len(names) == len(set(names)) and any("." in n for n in names)
+    assert was(spark, path, docs, name, names).count() == was(spark, path, docs, name).count() == 70
