@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.config import HOURLY
+from panelwright.config import HOURLY, PanelConfig
 from panelwright.operators import training
 from panelwright.plans import jobs
 from panelwright.sources import io
@@ -314,3 +314,29 @@ def test_steps_count_a_tables_columns_once(spark, monkeypatch):
         fits = training.fit_models(rows, tries, replace(C, max_rounds=2))
         assert training.fitted(fits).count() == 2
     assert len(asked) == 1
+
+
+def test_the_hourly_search_is_whole():
+    """Rounds, patience, grid and stages are those of the job, not a part of them."""
+    whole = PanelConfig()
+    assert all(getattr(HOURLY, k) == getattr(whole, k) for k in ("fixed_params", "fixed_rounds", "grid", "stages", "max_rounds", "patience", "weights", "cross_budgets", "prefilter_top"))
+    assert len(training.stage_choices({}, HOURLY.grid, HOURLY.stages[0])) == 9 and HOURLY.max_rounds == 2000 and HOURLY.fixed_rounds == 600 and HOURLY.patience == 50
+
+
+def test_a_fit_that_grows_is_the_whole_fit(spark, monkeypatch):
+    """Fits of 4, 8, 16 rounds, as patience asks for them, end with the model of one fit of all rounds; no round is asked for after patience has run out."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(200, 4)), rng.random(200) < 0.5
+    params = {"max_depth": 2.0, "eta": 0.1, "subsample": 0.6, "colsample_bytree": 0.6, "max_rounds": 24.0}
+    asked, was = [], training.learner
+    monkeypatch.setattr(training, "learner", lambda *a: asked.append(a[1]) or was(*a))
+    config = replace(C, patience=2)
+    fits = training.fit_models(table_of(spark, x, y), one_try(spark, (params, None)), config)
+    rows = training.assembled(table_of(spark, x, y), None)[0].where("split = 'train'").withColumn("weight", F.lit(1.0))
+    inner = y[:126]
+    model = was(params, 24, config.seed).fit(training.weighted_targets(rows.where("inner"), (~inner).sum() / inner.sum()))
+    losses = model.evaluateEachIteration(rows.where("NOT inner").withColumn("target", F.col("y").cast("double")))
+    kept = training.first_minimum(losses, 2)
+    assert training.fitted(fits).first().n_rounds == kept
+    assert list(training.fitted(fits).first().gains) == pytest.approx(training.first_trees(model, kept).featureImportances.toArray().tolist())
+    assert asked == [n for n in (4, 8, 16, 24) if n == 4 or n // 2 < kept + 2 and (n < 24 or 16 < kept + 2)]
